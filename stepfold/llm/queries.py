@@ -7,13 +7,28 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stepfold.llm import simhash, substrings
+from stepfold.llm import decontam, lines, lm, simhash, substrings, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = lm.score(table(spark, sf_dir, "documents"))
+    return scored.select("doc_id", "n_words", F.round("mean_log_score", 6).alias("mean_log_score"))
+
+
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = lines.remove_boilerplate(table(spark, sf_dir, "documents"), counts=True)
+    return kept.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "n_shingles", "n_found")
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = substrings.remove_repeats(table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text"), 256).alias("kept_sha256"))
@@ -23,9 +38,55 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.classify(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_lm_score": op2_lm_score,
+    "op3_line_dedup": op3_line_dedup,
+    "op5_decontamination": op5_decontamination,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_simhash": op8_simhash,
+    "op9_toxicity": op9_toxicity,
 }
 
-ORACLES: dict[str, str] = {}
+WORDS_SQL = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
+ORACLES: dict[str, str] = {
+    "op2_lm_score": f"""
+WITH w AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM (SELECT doc_id, {WORDS_SQL} AS ws FROM documents)),
+g AS (SELECT *, lag(w) OVER (PARTITION BY doc_id ORDER BY i) AS p FROM w),
+u AS (SELECT w, count(*) AS c FROM w GROUP BY w),
+ud AS (SELECT doc_id, w, count(*) AS c FROM w GROUP BY doc_id, w),
+b AS (SELECT p, w, count(*) AS c FROM g WHERE p IS NOT NULL GROUP BY p, w),
+bd AS (SELECT doc_id, p, w, count(*) AS c FROM g WHERE p IS NOT NULL GROUP BY doc_id, p, w),
+n AS (SELECT doc_id, len({WORDS_SQL}) AS n FROM documents),
+s AS (
+  SELECT g.doc_id, n.n, (SELECT sum(n) FROM n) - n.n AS rest, u.c - ud.c AS cw, b.c - bd.c AS cb, up.c - udp.c AS cp, g.p
+  FROM g JOIN n USING (doc_id) JOIN u ON u.w = g.w JOIN ud ON ud.doc_id = g.doc_id AND ud.w = g.w
+  LEFT JOIN b ON b.p = g.p AND b.w = g.w LEFT JOIN bd ON bd.doc_id = g.doc_id AND bd.p = g.p AND bd.w = g.w
+  LEFT JOIN u up ON up.w = g.p LEFT JOIN ud udp ON udp.doc_id = g.doc_id AND udp.w = g.p),
+l AS (SELECT *, CASE WHEN cw > 0 THEN ln(cw) - ln(rest) ELSE -ln(1 + rest) END AS one FROM s),
+t AS (SELECT doc_id, sum(CASE WHEN p IS NULL THEN one WHEN cb > 0 THEN ln(cb) - ln(cp) ELSE one + ln(0.4) END) AS total FROM l GROUP BY doc_id)
+SELECT n.doc_id, n.n AS n_words, round(coalesce(total, 0) / greatest(n.n, 1), 6) AS mean_log_score FROM n LEFT JOIN t USING (doc_id)
+""",
+    "op3_line_dedup": f"""
+WITH l AS (SELECT doc_id, source, unnest(ls) AS line, generate_subscripts(ls, 1) AS i FROM (SELECT doc_id, coalesce(source, chr(1)) AS source, string_split(text, chr(10)) AS ls FROM documents)),
+b AS (SELECT trim(line) AS t, min((doc_id, i)) AS first FROM l WHERE trim(line) <> '' GROUP BY trim(line) HAVING count(DISTINCT source) >= {lines.MIN_SITES}),
+k AS (SELECT l.*, coalesce((l.doc_id, l.i) <> b.first, false) AS gone FROM l LEFT JOIN b ON trim(l.line) = b.t),
+d AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed, string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone) AS kept FROM k GROUP BY doc_id)
+SELECT doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM documents LEFT JOIN d USING (doc_id)
+""",
+    "op5_decontamination": f"""
+WITH d AS (SELECT doc_id, {WORDS_SQL.replace("text", "lower(text)")} AS w FROM documents),
+i AS (SELECT item_id, {WORDS_SQL.replace("text", "lower(text)")} AS w FROM benchmark),
+ib AS (SELECT item_id, least({decontam.SHINGLE}, len(w)) AS k, w FROM i WHERE len(w) > 0),
+si AS (SELECT DISTINCT item_id, k, w[p:p + k - 1] AS s FROM (SELECT *, unnest(range(1, len(w) - k + 2)) AS p FROM ib)),
+n AS (SELECT item_id, count(*) AS n FROM si GROUP BY item_id),
+sd AS (SELECT DISTINCT doc_id, w[p:p + k - 1] AS s FROM (SELECT d.*, k, unnest(range(1, len(w) - k + 2)) AS p FROM d, (SELECT DISTINCT k FROM ib)))
+SELECT doc_id, item_id, any_value(n) AS n_shingles, count(*) AS n_found FROM sd JOIN si USING (s) JOIN n USING (item_id)
+GROUP BY doc_id, item_id HAVING count(*) >= {decontam.CONTAINMENT} * any_value(n)
+""",
+}
