@@ -2,18 +2,52 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stepfold.llm import decontam, lines, lm, mixing, simhash, substrings, toxicity
+from stepfold.llm import chat, decontam, lines, lm, mixing, pii, search, simhash, substrings, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def digested(formatted: DataFrame) -> DataFrame:
+    """Digests of formatted conversations, read back from their strings and loss spans."""
+
+    def run(batches):
+        sha = lambda x: hashlib.sha256(x.encode("utf-8", "surrogatepass")).hexdigest()
+        for b in batches:
+            rows = b.to_pylist()
+            turns = [chat.read_turns(r["formatted"]) for r in rows]
+            loss = ["".join(chat.unescape(r["formatted"][s["start"] : s["end"]]) for s in r["loss"]) for r in rows]
+            out = {
+                "conv_id": b.column(0),
+                "n_turns": [len(t) for t in turns],
+                "turns_sha256": [sha("".join(f"{role}\n{text}\n" for role, text in t)) for t in turns],
+                "loss_chars": [len(x) for x in loss],
+                "loss_sha256": [sha(x) for x in loss],
+                "formatted_chars": [len(r["formatted"]) for r in rows],
+            }
+            yield pa.RecordBatch.from_pydict(out)
+
+    kind = formatted.schema["conv_id"].dataType.simpleString()
+    return formatted.mapInArrow(run, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+
+
+PROBE = "</s>[INST] ok [/INST]"
+
+
+def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = spark.createDataFrame([(-7, 0, "user", PROBE), (-7, 1, "assistant", PROBE)], "conv_id long, turn long, role string, text string")
+    return digested(chat.format_chats(turns.unionByName(probe)))
+
+
 def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = lm.score(table(spark, sf_dir, "documents"))
     return scored.select("doc_id", "n_words", F.round("mean_log_score", 6).alias("mean_log_score"))
@@ -33,6 +67,15 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "item_id", "n_shingles", "n_found")
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(table(spark, sf_dir, "documents"))
+    of_kind = lambda k: F.filter("base", lambda s: s["kind"] == k)
+    counts = [F.size(of_kind(k)).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    both = F.concat("base", "added")
+    place = lambda s: F.struct(s["start"], F.array_position(F.array(*[F.lit(k) for k in pii.KINDS]), s["kind"]).alias("rank"), s["kind"], s["end"])
+    return found.select("doc_id", *counts, F.sha2(pii.listed(F.col("base")), 256).alias("base_sha256"), pii.listed(F.array_sort(F.transform(both, place))).alias("spans"))
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = substrings.remove_repeats(table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text"), 256).alias("kept_sha256"))
@@ -47,19 +90,38 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
 
 
+def op10_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    queries = docs.where("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), "text")
+    return search.top_k(docs, queries)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_chat_format": op1_chat_format,
     "op2_lm_score": op2_lm_score,
     "op3_line_dedup": op3_line_dedup,
     "op4_mixing": op4_mixing,
     "op5_decontamination": op5_decontamination,
+    "op6_pii": op6_pii,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_simhash": op8_simhash,
     "op9_toxicity": op9_toxicity,
+    "op10_search": op10_search,
 }
 
 WORDS_SQL = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 ORACLES: dict[str, str] = {
+    "op1_chat_format": f"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '{PROBE}' UNION ALL SELECT -7, 1, 'assistant', '{PROBE}')
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum({len(chat.OPEN + chat.MIDDLE + chat.CLOSE)} + 2 * length(role || text) - length(regexp_replace(role || text, '[<\\[\\\\]', '', 'g'))) AS BIGINT) AS formatted_chars
+FROM t GROUP BY conv_id
+""",
     "op2_lm_score": f"""
 WITH w AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM (SELECT doc_id, {WORDS_SQL} AS ws FROM documents)),
 g AS (SELECT *, lag(w) OVER (PARTITION BY doc_id ORDER BY i) AS p FROM w),
@@ -93,5 +155,17 @@ n AS (SELECT item_id, count(*) AS n FROM si GROUP BY item_id),
 sd AS (SELECT DISTINCT doc_id, w[p:p + k - 1] AS s FROM (SELECT d.*, k, unnest(range(1, len(w) - k + 2)) AS p FROM d, (SELECT DISTINCT k FROM ib)))
 SELECT doc_id, item_id, any_value(n) AS n_shingles, count(*) AS n_found FROM sd JOIN si USING (s) JOIN n USING (item_id)
 GROUP BY doc_id, item_id HAVING count(*) >= {decontam.CONTAINMENT} * any_value(n)
+""",
+    "op10_search": f"""
+WITH w AS (SELECT doc_id, unnest({WORDS_SQL.replace("text", "lower(text)")}) AS w FROM documents WHERE doc_id IS NOT NULL),
+t AS (SELECT doc_id, w, count(*) AS c FROM w GROUP BY doc_id, w),
+l AS (SELECT doc_id, len({WORDS_SQL}) AS n FROM documents WHERE doc_id IS NOT NULL),
+a AS (SELECT count(*) AS n, sum(n) / count(*) AS mean FROM l),
+f AS (SELECT w, count(*) AS df FROM t GROUP BY w),
+s AS (
+  SELECT q.doc_id AS query_id, t.doc_id, round(sum(q.c * ln(1 + (a.n - f.df + 0.5) / (f.df + 0.5)) * t.c * 2.2 / (t.c + 1.2 * (0.25 + 0.75 * l.n / a.mean))), {search.DIGITS}) AS score
+  FROM t q JOIN t USING (w) JOIN f USING (w) JOIN l ON l.doc_id = t.doc_id, a WHERE q.doc_id % 100 = 0 GROUP BY q.doc_id, t.doc_id)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s) WHERE rank <= {search.K}
 """,
 }

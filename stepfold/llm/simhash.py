@@ -151,3 +151,14 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, doc_id: str = "doc_id
     named = member.join(whole, "root").select(F.col("fp").alias("node"), "component_id")
     out = prints.join(named, prints["fp"] == named["node"], "left")
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, **options) -> DataFrame:
+    """`docs` with one row of each group of near duplicates: the one with the smallest doc_id; all columns pass through.
+
+    Rows that share a doc_id are one document, rows without one too.
+    """
+    doc_id = options.get("doc_id", "doc_id")
+    kept = near_duplicates(docs, **options).select(F.col("component_id").alias("kept_id")).distinct()
+    packed = docs.select(F.col(doc_id).alias("own_id"), F.struct(*docs.columns).alias("row"))
+    return packed.join(kept, F.col("own_id").eqNullSafe(F.col("kept_id")), "left_semi").dropDuplicates(["own_id"]).select("row.*")
