@@ -122,11 +122,14 @@ def fit(rows: list[tuple[str | None, int]]) -> Classifier:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE_ROWS) -> DataFrame:
-    """(text, toxic) of labelled rows to learn from: crc32 of the id as text, modulo 4, is not 2; `limit` by hash order."""
-    marked = labels.select(F.col("doc_id").alias("marked_id"), F.col("toxic").cast("int").alias("toxic")).where("toxic in (0, 1)").groupBy("marked_id").agg(F.max("toxic").alias("toxic"))
-    learn = docs.where(~held_out(F.col("doc_id"))).select(F.col("doc_id"), "text")
-    joined = learn.join(marked, F.col("doc_id") == F.col("marked_id"))
-    return joined.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit).select("text", "toxic")
+    """(text, toxic) of labelled rows to learn from: crc32 of the id as text, modulo 4, is not 2.
+
+    The `limit` ids that come first by hash are chosen from the labels alone, so that only their texts are moved.
+    """
+    marked = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where("toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    chosen = marked.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
+    chosen = F.broadcast(chosen.withColumnRenamed("doc_id", "marked_id"))  # `limit` rows of two numbers at most
+    return docs.select("doc_id", "text").join(chosen, F.col("doc_id") == F.col("marked_id")).select("doc_id", "text", "toxic")
 
 
 def held_out(doc_id) -> Column:
@@ -134,7 +137,8 @@ def held_out(doc_id) -> Column:
 
 
 def learn(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE_ROWS) -> Classifier:
-    return fit([(r.text, r.toxic) for r in training_rows(docs, labels, limit).collect()])
+    rows = training_rows(docs, labels, limit).collect()
+    return fit([(r.text, r.toxic) for r in sorted(rows, key=lambda r: (r.doc_id, r.text or ""))])
 
 
 def score(docs: DataFrame, model: Classifier, text: str = "text", column: str = "toxicity") -> DataFrame:
@@ -159,3 +163,9 @@ def classify(docs: DataFrame, model: Classifier, threshold: float = THRESHOLD) -
     """One row per row of `docs`: doc_id, held_out, score, predicted."""
     s = score(docs.select("doc_id", "text"), model).drop("text")
     return s.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= threshold).cast("int").alias("predicted"))
+
+
+def drop_toxic(docs: DataFrame, model: Classifier, threshold: float = THRESHOLD) -> DataFrame:
+    """`docs` less the rows that score at or above the threshold; all columns pass through, whatever their names."""
+    packed = docs.select(F.struct(*docs.columns).alias("row"), F.col("text"))
+    return score(packed, model).where(F.col("toxicity") < threshold).select("row.*")
