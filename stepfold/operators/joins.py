@@ -100,8 +100,8 @@ def band_candidates(left: DataFrame, right: DataFrame, by: list[str], at: str, o
 
 def explained(blobs: DataFrame, boxes: DataFrame, by: list[str], iou: Column, containment: Column, iou_min: float = 0.1, contain_min: float = 0.7) -> DataFrame:
     """`blobs` with whether any box of the same frame overlaps enough or contains enough of it."""
-    hit = F.coalesce((iou >= iou_min) | (containment >= contain_min), F.lit(False))
-    return blobs.join(boxes, by, "left").groupBy(*blobs.columns).agg(F.max(hit).alias("explained"))
+    hit = F.coalesce(F.col("_box") & ((iou >= iou_min) | (containment >= contain_min)), F.lit(False))
+    return blobs.join(boxes.withColumn("_box", F.lit(True)), by, "left").groupBy(*blobs.columns).agg(F.max(hit).alias("explained"))
 
 
 def orphans(child: DataFrame, parent: DataFrame, fk: str, pk: str) -> DataFrame:

@@ -1 +1,3 @@
+"""Registered queries: each module binds operators to the test tables."""
 
+from stepfold.plans import exports, machine, rollups, scalars, sequences, shapes, streams  # noqa: F401
