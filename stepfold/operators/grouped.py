@@ -200,9 +200,9 @@ def deadlocks(needs: DataFrame, by: list[str]) -> DataFrame:
         for c in strong_components(stuck, graph):
             if len(c) > 1 or c[0] in graph.get(c[0], ()):
                 label |= {a: ",".join(map(str, c)) for a in c}
-        out = pd.DataFrame({"action": stuck, "cycle": [label.get(a, "dead end") for a in stuck]})
+        out = pd.DataFrame({"action": pd.Series(stuck, dtype=pdf["action"].dtype), "cycle": pd.Series([label.get(a, "dead end") for a in stuck], dtype=object)})
         for k in by:
-            out[k] = pdf[k].iloc[0]
+            out[k] = pd.Series([pdf[k].iloc[0]] * len(out), dtype=pdf[k].dtype)
         return out[[*by, "action", "cycle"]]
 
     kinds = ", ".join(f"{c} {needs.schema[c].dataType.simpleString()}" for c in [*by, "action"])
@@ -244,10 +244,9 @@ def removal_plans(needs: DataFrame, by: list[str], goal: str) -> DataFrame:
             for _, c in sorted(edges.get(a, {}).items(), reverse=True):
                 if not any(x in done for x in c):
                     todo.append((min((x for x in c if x in ready), key=lambda x: (ready[x], x)), False))
-        out = pd.DataFrame({"step": range(len(found)), "action": list(found)})
+        out = pd.DataFrame({"step": pd.Series(range(len(found)), dtype="int64"), "action": pd.Series(found, dtype=pdf["action"].dtype)})
         for k in [*by, goal]:
-            if k not in out:
-                out[k] = pdf[k].iloc[0]
+            out[k] = pd.Series([pdf[k].iloc[0]] * len(out), dtype=pdf[k].dtype)
         return out[[*by, goal, "step", "action"]]
 
     kinds = ", ".join(f"{c} {needs.schema[c].dataType.simpleString()}" for c in [*by, goal])
