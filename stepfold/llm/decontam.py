@@ -22,23 +22,31 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text.cast("string"), F.lit(""))), r"[\x20\x09-\x0D]+"), lambda w: w != "")
 
 
-def shingles_of(words: Column, width: Column | int) -> Column:
-    """All runs of `width` words, in order; an empty array for fewer words."""
-    width = F.lit(width) if isinstance(width, int) else width
-    at = F.when((F.size(words) >= width) & (width > 0), F.sequence(F.lit(1), F.size(words) - width + 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(at, lambda i: F.slice(words, i, width))
+def _runs(words: Column, width: int, of) -> Column:
+    """`of` the words of each run of `width` words, in order; words are reached by index, as slices copy the array."""
+    at = F.when(F.size(words) >= width, F.sequence(F.lit(0), F.size(words) - width)).otherwise(F.array().cast("array<int>"))
+    return F.transform(at, lambda i: of(*[F.get(words, i + k) for k in range(width)]))
+
+
+def shingles_of(words: Column, width: int) -> Column:
+    """All shingles as words joined by one space; an empty array for fewer words."""
+    return _runs(words, width, lambda *w: F.concat_ws(" ", *w))
+
+
+def hashes_of(words: Column, width: int) -> Column:
+    return _runs(words, width, F.xxhash64)
 
 
 def prepared_items(items: DataFrame, item_id: str, text: str, shingle: int, containment: float) -> DataFrame:
     """Distinct items as (item, width, shingles, sketch); item is the smallest id among those with equal shingles."""
     w = items.select(F.col(item_id).alias("id"), words_of(F.col(text)).alias("words")).where(F.size("words") > 0)
     w = w.select("id", F.least(F.lit(shingle), F.size("words")).alias("width"), "words")
-    s = w.select("id", "width", F.array_sort(F.array_distinct(shingles_of(F.col("words"), F.col("width")))).alias("shingles"))
-    one = s.groupBy("width", "shingles").agg(F.min("id").alias("item"), F.collect_list("id").alias("ids"))
+    by_width = lambda of: F.coalesce(*[F.when(F.col("width") == k, of(F.col("words"), k)) for k in range(1, shingle + 1)])
+    s = w.select("id", "width", F.array_sort(F.array_distinct(by_width(shingles_of))).alias("shingles"), F.array_sort(F.array_distinct(by_width(hashes_of))).alias("hashes"))
+    one = s.groupBy("width", "shingles").agg(F.min("id").alias("item"), F.collect_list("id").alias("ids"), F.first("hashes").alias("hashes"))
     largest = F.pow(F.lit(2.0), F.floor(F.log2(F.size("shingles"))) + 1) - 1  # of the size partition
     k = F.least(F.floor((1 - containment) * largest + 1e-9).cast("int") + 1, F.size("shingles"))
-    hashes = F.array_sort(F.transform("shingles", lambda x: F.xxhash64(x)))
-    return one.select("item", "ids", "width", "shingles", F.slice(hashes, F.lit(1), k).alias("sketch"))
+    return one.select("item", "ids", "width", "shingles", F.slice("hashes", F.lit(1), k).alias("sketch"))
 
 
 def contained(docs: DataFrame, items: DataFrame, shingle: int = SHINGLE, containment: float = CONTAINMENT, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -53,14 +61,15 @@ def contained(docs: DataFrame, items: DataFrame, shingle: int = SHINGLE, contain
     small = F.broadcast if n <= BROADCAST_ROWS else (lambda df: df)
     sketch = ready.select("item", F.explode("sketch").alias("h")).distinct()
     key = row_key(doc_id, text)
-    hashes = [F.transform(shingles_of(F.col("words"), w), lambda x: F.xxhash64(x)) for w in widths or [shingle]]
+    hashes = [hashes_of(F.col("words"), w) for w in widths or [shingle]]
     tokens = docs.select(key.alias("key"), words_of(F.col(text)).alias("words"))
     looked_up = tokens.select("key", F.explode(F.concat(*hashes)).alias("h")).join(small(sketch), "h")
     candidates = looked_up.select("key", "item").distinct()
     whole = candidates.join(small(ready.select("item", "ids", "width", "shingles")), "item")
     per_doc = whole.groupBy("key").agg(F.collect_list(F.struct("ids", "width", "shingles")).alias("items"))
     rows = docs.select(key.alias("key"), F.col(doc_id).alias("doc_id"), F.col(text).alias("said")).join(per_doc, "key")
-    rows = rows.select("key", "doc_id", "items", *[shingles_of(words_of(F.col("said")), w).alias(f"s{w}") for w in widths or [shingle]])
+    rows = rows.select("key", "doc_id", "items", words_of(F.col("said")).alias("words"))
+    rows = rows.select("key", "doc_id", "items", *[shingles_of(F.col("words"), w).alias(f"s{w}") for w in widths or [shingle]])
     of_width = F.coalesce(*[F.when(F.col("i.width") == w, F.col(f"s{w}")) for w in widths or [shingle]])
     judged = rows.withColumn("i", F.explode("items")).select("key", "doc_id", F.col("i.ids").alias("ids"), F.size("i.shingles").cast("long").alias("n_shingles"), F.size(F.array_intersect("i.shingles", of_width)).cast("long").alias("n_found"))
     judged = judged.withColumn("containment", F.col("n_found") / F.col("n_shingles")).where(F.col("n_found") >= containment * F.col("n_shingles") - 1e-9)
