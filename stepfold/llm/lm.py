@@ -97,7 +97,7 @@ def score(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, doc_id:
         _, pair, times = np.unique(back * max(1, table.num_rows) + np.tile(row, order), return_inverse=True, return_counts=True)
         n = len(row)
         s = backoff_scores(words, [total[back[k * n : k * n + n]] for k in range(order)], [times[pair[k * n : k * n + n]] for k in range(order)], corpus, backoff)
-        sums = np.bincount(row, weights=s, minlength=table.num_rows)
+        sums = np.bincount(row, weights=s, minlength=table.num_rows).astype(float)  # of no words numpy makes integers
         mean = sums / np.maximum(words.count, 1)
         return pa.table({"doc_id": table.column("doc_id"), "n_words": pa.array(words.count.astype(np.int64)), "log_score": pa.array(sums), "mean_log_score": pa.array(mean)})
 
