@@ -55,18 +55,20 @@ def greedy_match(preds: DataFrame, truths: DataFrame, by: list[str], score: str,
     """One-to-one matches (pred, truth, iou): predictions by score, each takes the free truth of largest IoU."""
 
     def run(p: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values([score, pred_id], ascending=[False, True])
-        t = t.sort_values(truth_id)
         out = []
-        if len(p) and len(t):
+        if len(p) and len(t):  # a side without rows has no columns either
+            p = p.sort_values([score, pred_id], ascending=[False, True])
+            t = t.sort_values(truth_id)
             m = pair_iou(p[EDGES].to_numpy(float), t[EDGES].to_numpy(float))
             for i in range(len(p)):
                 j = int(np.argmax(m[i]))
                 if m[i, j] >= threshold:
                     out.append((p[pred_id].iloc[i], t[truth_id].iloc[j], m[i, j]))
                     m[:, j] = -1
-        return pd.DataFrame(out, columns=["pred", "truth", "iou"])
+        return pd.DataFrame(out, columns=["pred", "truth", "iou"]).astype({"pred": "int64", "truth": "int64", "iou": "float64"})
 
+    # columns of its own: both sides may come from one table, and a cogroup confuses columns that they share
+    truths = truths.select(*[F.col(c).alias(c) for c in truths.columns])
     return preds.groupBy(*by).cogroup(truths.groupBy(*by)).applyInPandas(run, "pred long, truth long, iou double")
 
 
@@ -102,10 +104,12 @@ def layer_order(layers: DataFrame, above: DataFrame, by: list[str], key: str, in
     """A stable topological order of each group: lower layers first, free choices by `index`, a cycle's rest by `index`."""
 
     def run(l: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:  # noqa: E741
+        if not len(l):
+            return pd.DataFrame({c: pd.Series([], dtype=object) for c in [*by, key, "position", "cyclic"]})
         order = l.sort_values([index, key])
         rank = {k: i for i, k in enumerate(order[key])}
         waits = {k: set() for k in rank}
-        for lo, hi in zip(e["below"], e["above"]):
+        for lo, hi in zip(e["below"], e["above"]) if len(e) else ():
             if lo in rank and hi in rank and lo != hi:
                 waits[hi].add(lo)
         free = [rank[k] for k, w in waits.items() if not w]
@@ -130,6 +134,7 @@ def layer_order(layers: DataFrame, above: DataFrame, by: list[str], key: str, in
             done[c] = l[c].iloc[0]
         return done[[*by, key, "position", "cyclic"]]
 
+    above = above.select(*[F.col(c).alias(c) for c in above.columns])
     kinds = ", ".join(f"{c} {layers.schema[c].dataType.simpleString()}" for c in [*by, key])
     return layers.groupBy(*by).cogroup(above.groupBy(*by)).applyInPandas(run, f"{kinds}, position long, cyclic boolean")
 

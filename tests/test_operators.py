@@ -118,6 +118,16 @@ def test_nms_against_loop(spark):
     assert got == {r[1] for r in kept}
 
 
+def test_sides_without_rows(spark):
+    box = spark.createDataFrame([(1, 7, 0.5, 0, 0, 4, 4), (2, 8, 0.5, 0, 0, 4, 4)], "f long, id long, s double, x0 int, y0 int, x1 int, y1 int")
+    got = grouped.greedy_match(box, box.where("f = 1"), ["f"], "s", "id", "id")
+    assert [(r.pred, r.truth) for r in got.collect()] == [(7, 7)]
+    assert grouped.greedy_match(box.where("f = 2"), box.where("f = 1"), ["f"], "s", "id", "id").count() == 0
+    alone = spark.createDataFrame([(1, "a", 0), (1, "b", 1)], "f int, k string, i int")
+    above = spark.createDataFrame([(2, "a", "b")], "f int, below string, above string")
+    assert [r.k for r in grouped.layer_order(alone, above, ["f"], "k", "i").orderBy("position").collect()] == ["a", "b"]
+
+
 def test_layer_order_falls_back_on_a_cycle(spark):
     layers = spark.createDataFrame([(1, "a", 2), (1, "b", 1), (1, "c", 0), (2, "a", 1), (2, "b", 0)], "f int, k string, i int")
     above = spark.createDataFrame([(1, "a", "c"), (2, "a", "b"), (2, "b", "a")], "f int, below string, above string")
