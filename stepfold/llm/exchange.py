@@ -15,6 +15,16 @@ def ranges(sorted_hashes: np.ndarray, bits: int) -> np.ndarray:
     return np.concatenate([[0], np.searchsorted(sorted_hashes, edges), [len(sorted_hashes)]])
 
 
+def planes(values: np.ndarray) -> bytes:
+    """Integers by byte position, all low bytes first: small numbers leave planes of zeros, which shuffles compress away."""
+    return values.view(np.uint8).reshape(-1, values.itemsize).T.tobytes()
+
+
+def from_planes(data: bytes, dtype: type) -> np.ndarray:
+    width = np.dtype(dtype).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(width, -1).T).reshape(-1).view(dtype)
+
+
 def blobs(hashes: np.ndarray, bits: int, chunk: int, more: np.ndarray | None = None) -> pa.Table:
     """One row for each range that has hashes. The top byte is the range's own (bits is 8 at least), so 7 travel."""
     at = ranges(hashes, bits)
@@ -24,7 +34,7 @@ def blobs(hashes: np.ndarray, bits: int, chunk: int, more: np.ndarray | None = N
     rows = {"part": full.astype(np.int32), "chunk": np.full(len(full), chunk, np.int32), "top": top[at[full]].astype(np.int32)}
     table = {k: pa.array(v) for k, v in rows.items()}
     table["hashes"] = pa.array([low[at[k] : at[k + 1]].tobytes() for k in full], pa.binary())
-    table["counts"] = pa.array([more[at[k] : at[k + 1]].tobytes() for k in full] if more is not None else [b""] * len(full), pa.binary())
+    table["counts"] = pa.array([planes(more[at[k] : at[k + 1]]) for k in full] if more is not None else [b""] * len(full), pa.binary())
     return pa.table(table)
 
 

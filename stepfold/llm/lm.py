@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stepfold.llm.common import Words, in_fixed_order, power_of_two, rabin_karp, row_key
-from stepfold.llm.exchange import BLOBS, CHUNK_BYTES, RANGE_HASHES, blobs, ranges, unpack
+from stepfold.llm.exchange import BLOBS, CHUNK_BYTES, RANGE_HASHES, blobs, from_planes, planes, ranges, unpack
 
 ORDER = 2
 BACKOFF = 0.4
@@ -46,10 +46,10 @@ def grams(words: Words, order: int) -> list[np.ndarray]:
 def totals(table: pa.Table) -> pa.Table:
     """The count of each hash over all chunks, sent back in the order in which each chunk sent its hashes."""
     h, at = unpack(table)
-    counts = np.frombuffer(b"".join(table.column("counts").to_pylist()), dtype=np.uint32)
+    counts = np.concatenate([from_planes(b, np.uint32) for b in table.column("counts").to_pylist()])
     _, back = np.unique(h, return_inverse=True)
     total = np.bincount(back, weights=counts).astype(np.uint64)[back] if len(h) else counts.astype(np.uint64)
-    return pa.table({"chunk": table.column("chunk"), "part": table.column("part"), "totals": pa.array([total[a:b].tobytes() for a, b in zip(at[:-1], at[1:])], pa.binary())})
+    return pa.table({"chunk": table.column("chunk"), "part": table.column("part"), "totals": pa.array([planes(total[a:b]) for a, b in zip(at[:-1], at[1:])], pa.binary())})
 
 
 def backoff_scores(words: Words, total: list[np.ndarray], own: list[np.ndarray], corpus: int, backoff: float) -> np.ndarray:
@@ -92,7 +92,7 @@ def score(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, doc_id:
         skip = int(len(h) > 0 and h[0] == 0)
         bounds = ranges(h[skip:], bits) + skip
         for part, got in zip(answers.column("part").to_pylist(), answers.column("totals").to_pylist()):
-            total[bounds[part] : bounds[part + 1]] = np.frombuffer(got, dtype=np.uint64)
+            total[bounds[part] : bounds[part + 1]] = from_planes(got, np.uint64)
         row = np.repeat(np.arange(table.num_rows), words.count)
         _, pair, times = np.unique(back * max(1, table.num_rows) + np.tile(row, order), return_inverse=True, return_counts=True)
         n = len(row)
