@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# The header cell that begins a step table and the labels of a machine table.
 MARK = "Sequence Number"
 META_LABELS = ["Desktop ID", "Desktop Brand", "Desktop Size", "Total Disassembly Steps", "Total Disassembly Time", "Collection Date"]
 
