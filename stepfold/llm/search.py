@@ -19,7 +19,7 @@ from stepfold.llm.common import Words, cut
 K = 10
 K1, B = 1.2, 0.75
 SHARD_DOCS = 8192
-BLOCK_BITS = 6
+BLOCK_BITS = 9  #: 512 documents; smaller blocks bound tighter, but hold hardly more postings than entries
 HASH_BYTES = 2 << 20
 QUERY_BLOCK_TERMS = 500_000  #: (query, term) weights in a query block, at most about
 DIGITS = 6  #: scores are compared after rounding, so that equal texts tie and the smaller id wins
