@@ -21,7 +21,8 @@ def boilerplate(lines: DataFrame, min_sites: int) -> DataFrame:
     sketched = lines.groupBy("line").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(LG_K))).alias("sites"))
     maybe = sketched.where(F.col("sites") >= (1 - BAND) * min_sites)
     near = maybe.where(F.col("sites") <= (1 + BAND) * min_sites).select("line")
-    exact = lines.join(near, "line", "left_semi").distinct().groupBy("line").count().where(F.col("count") >= min_sites)
+    # sites are told apart before the join, so that a frequent line brings no more rows than it has sites
+    exact = lines.distinct().join(near, "line", "left_semi").groupBy("line").count().where(F.col("count") >= min_sites)
     return maybe.where(F.col("sites") > (1 + BAND) * min_sites).select("line").union(exact.select("line"))
 
 
@@ -40,9 +41,9 @@ def remove_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, doc_id: str
     exploded = exploded.select("key", ident.alias("place"), "site", F.trim("said").alias("said")).where("said <> ''")
     hashed = exploded.select("key", "place", "site", F.xxhash64("said").alias("line"))
     common = boilerplate(hashed.select("line", "site"), min_sites)
-    found = hashed.select("key", "place", "line").join(common, "line")
-    first = hashed.select("place", "line").join(common, "line").groupBy("line").agg(F.min("place").alias("first"))
-    gone = found.join(first, "line").where(~F.col("place").eqNullSafe(F.col("first")))
+    first = hashed.groupBy("line").agg(F.min("place").alias("first")).join(common, "line")
+    # one join on the line, whose skewed side adaptive execution may split
+    gone = hashed.select("key", "place", "line").join(first, "line").where(~F.col("place").eqNullSafe(F.col("first")))
     gone = gone.groupBy("key").agg(F.collect_set("place.number").alias("gone"))
     rows = docs.select(key.alias("key"), F.struct(*docs.columns).alias("row"), said.alias("said"))
     joined = rows.join(gone, "key", "left")
