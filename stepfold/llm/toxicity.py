@@ -1,7 +1,8 @@
 """Toxicity by compression distance: how much shorter a window gets when zstandard may refer to toxic text.
 
 Two dictionaries are made from a bounded sample of labelled rows: one of ordinary text, one of toxic text, whose
-content is the ordinary dictionary followed by the words that set toxic texts apart (largest likelihood ratio).
+content is the ordinary dictionary followed by the words that set toxic texts apart: all whose likelihood ratio is
+beyond chance. That list stands in for a dictionary trained on toxic windows, which tells them apart far worse (README).
 Every window of a text is compressed with either; a logistic model over the differences, fitted on the same sample,
 gives the score, so that the threshold is calibrated.
 """
@@ -26,6 +27,7 @@ LEAD = b"0123456789" * 6
 N_FEATURES = 5
 THRESHOLD = 0.3
 TOXIC_WORDS = 200  #: words that may enter the toxic dictionary, at most
+CHANCE = 0.01  #: probability, at most, that any word enters the toxic dictionary by chance
 #: ASCII bytes that are no letter count as white space; all other bytes stay.
 LETTERS_ONLY = bytes(b if b > 127 or chr(b).isalpha() else 32 for b in range(256))
 
@@ -112,9 +114,9 @@ def fit(rows: list[tuple[str | None, int]]) -> Classifier:
         ordinary = zstandard.train_dictionary(DICTIONARY_BYTES, plain).as_bytes()[-DICTIONARY_BYTES * 2 // 5 :]  # less its tables
     except zstandard.ZstdError:  # too few samples to train from: they are the dictionary
         ordinary = b"".join(plain)[-DICTIONARY_BYTES:]
-    gains = np.array([gain(w) for w in telling])
-    if len(telling) > 1:
-        telling = telling[: 1 + int(np.argmax(gains[:-1] / np.maximum(gains[1:], 1.0)))]  # up to the steepest fall
+    # by chance a word has a gain of g or more with probability exp(-g) at most; each word is judged on its own gain
+    least = np.log(len(count[0].keys() | count[1].keys()) / CHANCE)
+    telling = [w for w in telling if gain(w) > least]
     model = Classifier(ordinary, b" " + b" ".join(telling) + b" ", [0.0] * (N_FEATURES + 1))
     pair = model.compressors()
     model.weights = _logistic(np.array([model.features(t, pair) for t, _ in judged]), np.array([y for _, y in judged]), ridge=0.1)

@@ -280,6 +280,17 @@ def test_toxicity_held_out(spark):
     assert toxicity.classify(df.limit(0), toxicity.learn(df, marks.limit(0))).count() == 0
 
 
+def test_toxicity_keeps_words_rarer_than_the_commonest():
+    rng = np.random.default_rng(6)
+    bad, rows = ["vile", "rotten", "filthy", "beastly"], []
+    for i in range(4000):
+        w = some_text(rng, 40).split()
+        if i % 5 == 0:
+            w[3] = bad[0] if i // 5 % 16 else bad[1 + i // 240 % 3]
+        rows.append((" ".join(w), int(i % 5 == 0)))
+    assert sorted(toxicity.fit(rows).toxic.decode().split()) == sorted(bad)
+
+
 def brute_bm25(docs, queries, k):
     ws = [(i, collections.Counter(WORDS((t or "").lower()))) for i, t in docs if i is not None]
     n, mean = len(ws), sum(sum(c.values()) for _, c in ws) / len(ws)
