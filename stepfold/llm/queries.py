@@ -53,6 +53,11 @@ def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "n_words", F.round("mean_log_score", 6).alias("mean_log_score"))
 
 
+def op2_lm_score_trigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = lm.score(table(spark, sf_dir, "documents"), order=3)
+    return scored.select("doc_id", "n_words", F.round("mean_log_score", 6).alias("mean_log_score"))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = lines.remove_boilerplate(table(spark, sf_dir, "documents"), counts=True)
     return kept.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
@@ -99,6 +104,7 @@ def op10_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
     "op2_lm_score": op2_lm_score,
+    "op2_lm_score_trigrams": op2_lm_score_trigrams,
     "op3_line_dedup": op3_line_dedup,
     "op4_mixing": op4_mixing,
     "op5_decontamination": op5_decontamination,
@@ -138,6 +144,25 @@ s AS (
 l AS (SELECT *, CASE WHEN cw > 0 THEN ln(cw) - ln(rest) ELSE -ln(1 + rest) END AS one FROM s),
 t AS (SELECT doc_id, sum(CASE WHEN p IS NULL THEN one WHEN cb > 0 THEN ln(cb) - ln(cp) ELSE one + ln(0.4) END) AS total FROM l GROUP BY doc_id)
 SELECT n.doc_id, n.n AS n_words, round(coalesce(total, 0) / greatest(n.n, 1), 6) AS mean_log_score FROM n LEFT JOIN t USING (doc_id)
+""",
+    "op2_lm_score_trigrams": f"""
+WITH w AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM (SELECT doc_id, {WORDS_SQL} AS ws FROM documents)),
+g AS (SELECT *, lag(w) OVER o AS p, lag(w, 2) OVER o AS q FROM w WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+ud AS (SELECT doc_id, w, count(*) AS own FROM g GROUP BY ALL), u AS (SELECT w, sum(own) AS c FROM ud GROUP BY ALL),
+bd AS (SELECT doc_id, p, w, count(*) AS own FROM g WHERE p IS NOT NULL GROUP BY ALL), b AS (SELECT p, w, sum(own) AS c FROM bd GROUP BY ALL),
+td AS (SELECT doc_id, q, p, w, count(*) AS own FROM g WHERE q IS NOT NULL GROUP BY ALL), t AS (SELECT q, p, w, sum(own) AS c FROM td GROUP BY ALL),
+ul AS (SELECT doc_id, w, c - own AS c FROM ud JOIN u USING (w)), bl AS (SELECT doc_id, p, w, c - own AS c FROM bd JOIN b USING (p, w)),
+tl AS (SELECT doc_id, q, p, w, c - own AS c FROM td JOIN t USING (q, p, w)),
+n AS (SELECT doc_id, len({WORDS_SQL}) AS n FROM documents),
+s AS (
+  SELECT g.doc_id, g.p, g.q, (SELECT sum(n) FROM n) - n.n AS rest, x.c AS c1, y.c AS c2, z.c AS c3, px.c AS of2, py.c AS of3
+  FROM g JOIN n USING (doc_id) JOIN ul x ON x.doc_id = g.doc_id AND x.w = g.w LEFT JOIN ul px ON px.doc_id = g.doc_id AND px.w = g.p
+  LEFT JOIN bl y ON y.doc_id = g.doc_id AND y.p = g.p AND y.w = g.w LEFT JOIN bl py ON py.doc_id = g.doc_id AND py.p = g.q AND py.w = g.p
+  LEFT JOIN tl z ON z.doc_id = g.doc_id AND z.q = g.q AND z.p = g.p AND z.w = g.w),
+l1 AS (SELECT *, CASE WHEN c1 > 0 THEN ln(c1) - ln(rest) ELSE -ln(1 + rest) END AS one FROM s),
+l2 AS (SELECT *, CASE WHEN p IS NULL THEN one WHEN c2 > 0 THEN ln(c2) - ln(of2) ELSE one + ln(0.4) END AS two FROM l1),
+l3 AS (SELECT doc_id, sum(CASE WHEN q IS NULL THEN two WHEN c3 > 0 THEN ln(c3) - ln(of3) ELSE two + ln(0.4) END) AS total FROM l2 GROUP BY doc_id)
+SELECT n.doc_id, n.n AS n_words, round(coalesce(total, 0) / greatest(n.n, 1), 6) AS mean_log_score FROM n LEFT JOIN l3 USING (doc_id)
 """,
     "op3_line_dedup": f"""
 WITH l AS (SELECT doc_id, source, unnest(ls) AS line, generate_subscripts(ls, 1) AS i FROM (SELECT doc_id, coalesce(source, chr(1)) AS source, string_split(text, chr(10)) AS ls FROM documents)),

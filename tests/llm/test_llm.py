@@ -77,6 +77,27 @@ def test_lm_against_brute_force(spark, hard):
     assert lm.score(df.limit(0)).count() == 0
 
 
+def test_lm_trigrams_against_brute_force(spark, hard):
+    rows, df = hard
+    ws = [WORDS(t) for _, t in rows]
+    count = lambda x, n: collections.Counter(tuple(x[i : i + n]) for i in range(len(x) - n + 1))
+    every = {n: sum((count(x, n) for x in ws), collections.Counter()) for n in (1, 2, 3)}
+    want = collections.Counter()
+    for (d, _), x in zip(rows, ws):
+        own, rest, total = {n: count(x, n) for n in (1, 2, 3)}, sum(map(len, ws)) - len(x), 0.0
+        left = lambda g: every[len(g)][g] - own[len(g)][g]
+        for i in range(len(x)):
+            seen = [tuple(x[i - n + 1 : i + 1]) for n in (1, 2, 3) if i >= n - 1]
+            s = np.log(left(seen[0])) - np.log(rest) if left(seen[0]) > 0 else -np.log1p(rest)
+            for g in seen[1:]:
+                s = np.log(left(g)) - np.log(left(g[:-1])) if left(g) > 0 else s + np.log(0.4)
+            total += s
+        want[d, len(x), round(total, 6)] += 1
+    got = lm.score(df, order=3).collect()
+    assert collections.Counter((r.doc_id, r.n_words, round(r.log_score, 6)) for r in got) == want
+    assert "op2_lm_score_trigrams" in queries.QUERIES
+
+
 def test_lines(spark):
     rows = [(i, f"own {i}\n the line \n\nlast {i}", "en", f"s{i}", 0) for i in range(6)] + [(9, None, "en", "s1", 0), (10, "", "en", None, 0), (None, "the line", "en", None, 0), (11, "the line\nthe line", "en", "s1", 0)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, said long")
