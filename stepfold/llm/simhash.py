@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stepfold.llm.common import cut
+from stepfold.llm.common import cut, row_key
 from stepfold.llm.graph import connected_components
 
 RADIUS = 4
@@ -137,6 +137,12 @@ def links(nodes: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame
     return dealt.groupBy("choice", "part", "tiles", "a", "b").applyInArrow(compare, "u long, v long")
 
 
+def rooted(nodes: DataFrame, radius: int) -> DataFrame:
+    """(fp, least, root) for each row of `nodes` (fp, least): linked fingerprints share a root."""
+    roots = connected_components(links(nodes.select("fp"), radius))
+    return nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """One row per row of `docs`: doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable).
 
@@ -145,20 +151,24 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, doc_id: str = "doc_id
     """
     prints = cut(fingerprints(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "text", shingle).select(F.col("kept.doc_id").alias("doc_id"), F.col("fingerprint").alias("fp")))
     nodes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = connected_components(links(nodes.select("fp"), radius))
-    member = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    member = rooted(nodes, radius)
     whole = member.groupBy("root").agg(F.min("least").alias("component_id"))
     named = member.join(whole, "root").select(F.col("fp").alias("node"), "component_id")
     out = prints.join(named, prints["fp"] == named["node"], "left")
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """`docs` with one row of each group of near duplicates: the one with the smallest doc_id; all columns pass through.
+def keep_one(docs: DataFrame, radius: int = RADIUS, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
+    """`docs` with one row of each group of near duplicates; all columns pass through.
 
-    Rows that share a doc_id are one document, rows without one too.
+    The row with the smallest doc_id stays, null last; of rows with one id the one whose id and text have the smallest
+    hash, and of rows with one id and text the one with the smallest hash of all columns. Ids only rank rows: different
+    texts under one id, or without one, are different documents.
     """
-    doc_id = options.get("doc_id", "doc_id")
-    kept = near_duplicates(docs, **options).select(F.col("component_id").alias("kept_id")).distinct()
-    packed = docs.select(F.col(doc_id).alias("own_id"), F.struct(*docs.columns).alias("row"))
-    return packed.join(kept, F.col("own_id").eqNullSafe(F.col("kept_id")), "left_semi").dropDuplicates(["own_id"]).select("row.*")
+    own = docs.select(F.col(doc_id).alias("id"), row_key(doc_id, text).alias("key"), F.col(text).alias("text"))
+    prints = fingerprints(own, "text", shingle).select(F.struct(F.col("kept.id").isNull().alias("none"), F.col("kept.id").alias("id"), F.col("kept.key").alias("key")).alias("rank"), F.col("fingerprint").alias("fp"))
+    nodes = cut(prints.groupBy("fp").agg(F.min("rank").alias("least")))
+    first = rooted(nodes, radius).groupBy("root").agg(F.min("least").alias("first")).select(F.col("first.id").alias("first_id"), F.col("first.key").alias("first_key"))
+    packed = docs.select(F.col(doc_id).alias("own_id"), row_key(doc_id, text).alias("own_key"), F.struct(*docs.columns).alias("row"))
+    kept = packed.join(first, F.col("own_id").eqNullSafe(F.col("first_id")) & (F.col("own_key") == F.col("first_key")), "left_semi")
+    return kept.groupBy("own_id", "own_key").agg(F.min_by("row", F.xxhash64(F.to_json("row"))).alias("row")).select("row.*")

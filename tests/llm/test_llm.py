@@ -255,6 +255,16 @@ def test_simhash_against_brute_force(spark, hard):
     assert {r.doc_id for r in simhash.keep_one(df).collect()} == set(least.values())
 
 
+def test_keep_one_tells_rows_apart_by_text(spark):
+    rng = np.random.default_rng(8)
+    three, five, *others = (some_text(rng, 60) for _ in range(6))
+    rows = [(3, three), (5, three), (5, five), (None, others[0]), (None, others[1]), (None, others[1]), (7, others[2]), (7, others[3]), (None, three)]
+    want = sorted([(3, three), (5, five), (7, others[2]), (7, others[3])]) + sorted((None, t) for t in others[:2])
+    for order in (rows, rows[::-1]):
+        kept = simhash.keep_one(docs_of(spark, order)).collect()
+        assert sorted(((r.doc_id, r.text) for r in kept), key=lambda r: (r[0] is None, r[0] or 0, r[1])) == sorted(want, key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+
+
 def test_tiled_links_of_a_dense_ball(spark):
     rng = np.random.default_rng(2)
     base = int(rng.integers(0, 1 << 62))
