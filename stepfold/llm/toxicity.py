@@ -1,16 +1,15 @@
 """Toxicity by compression distance: how much shorter a window gets when zstandard may refer to toxic text.
 
-Two dictionaries are made from a bounded sample of labelled rows: one of ordinary text, one of toxic text, whose
-content is the ordinary dictionary followed by the words that set toxic texts apart: all whose likelihood ratio is
-beyond chance. That list stands in for a dictionary trained on toxic windows, which tells them apart far worse (README).
-Every window of a text is compressed with either; a logistic model over the differences, fitted on the same sample,
+Two zstandard dictionaries of one budget are trained apart, on a bounded sample of labelled rows: one on windows of
+ordinary texts, one on the stretches of toxic texts whose fragments ordinary texts lack beyond chance. Every window of
+a text is compressed once with the ordinary dictionary and once with both. A logistic model over the differences (how
+many windows, and what share of them, gain so many bytes), fitted on sampled rows that the dictionaries did not see,
 gives the score, so that the threshold is calibrated.
 """
 
 from __future__ import annotations
 
-from collections import Counter
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -19,15 +18,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SAMPLE_ROWS = 6000  #: labelled rows that reach the driver for fitting, at most
-WINDOW = 8
-DICTIONARY_BYTES = 1024
-#: Leads every window and ends either dictionary: a window then always shrinks, so zstandard never stores it raw, and
-#: each further match shows in its length.
-LEAD = b"0123456789" * 6
-N_FEATURES = 5
+SAMPLE_TEXT_BYTES = 1 << 16  #: longer texts are not learned from, so the sample has 400 MB at most; all are scored
+WINDOW = 2  #: words; in longer windows the noise of ordinary words drowns a match
+DICTIONARY_BYTES = 4096  #: of either dictionary, at most
+FRAGMENTS = (6, 8)  #: bytes of the fragments whose texts are counted; words are led and followed by a space
+CHANCE = 1.0  #: number of fragments that are expected to count as telling by chance, at most
+LIFT = 3.0  #: times that a telling fragment is commoner in toxic texts, at least
+MIN_MATCH = 6  #: bytes; a shorter match costs as much as the bytes themselves
+GAINS = (2, 3, 4, 5, 6)  #: bytes that a window must gain to be counted
+#: Follows every window and ends either dictionary: zstandard seeks no match in the last bytes and stores raw what does
+#: not shrink; so each match in the window itself shows in its length.
+PAD = b"0123456789" * 6
+N_FEATURES = 2 * len(GAINS) + 2
 THRESHOLD = 0.3
-TOXIC_WORDS = 200  #: words that may enter the toxic dictionary, at most
-CHANCE = 0.01  #: probability, at most, that any word enters the toxic dictionary by chance
+PLAIN_WINDOWS = 100_000  #: windows that the ordinary dictionary is trained on, at most
 #: ASCII bytes that are no letter count as white space; all other bytes stay.
 LETTERS_ONLY = bytes(b if b > 127 or chr(b).isalpha() else 32 for b in range(256))
 
@@ -39,7 +43,7 @@ def words(text: str | None) -> list[bytes]:
 def windows(text: str | None, n: int = WINDOW) -> list[bytes]:
     """Consecutive windows of n words that together cover the whole text."""
     w = words(text)
-    return [b"%b %b " % (LEAD, b" ".join(w[i : i + n])) for i in range(0, len(w), n)]
+    return [b" %b " % b" ".join(w[i : i + n]) for i in range(0, len(w), n)]
 
 
 @dataclass
@@ -47,31 +51,35 @@ class Classifier:
     ordinary: bytes
     toxic: bytes
     weights: list[float]
+    mean: list[float] = field(default_factory=lambda: [0.0] * N_FEATURES)
+    spread: list[float] = field(default_factory=lambda: [1.0] * N_FEATURES)
 
     def compressors(self):
         def make(content: bytes):
-            d = zstandard.ZstdCompressionDict(content + LEAD, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            d = zstandard.ZstdCompressionDict(content + PAD, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             return zstandard.ZstdCompressor(compression_params=params, dict_data=d).compress
 
         params = zstandard.ZstdCompressionParameters(
-            window_log=15, hash_log=15, chain_log=15, search_log=4, min_match=5, strategy=zstandard.STRATEGY_GREEDY, write_content_size=0, write_checksum=0, write_dict_id=0
+            window_log=15, hash_log=15, chain_log=15, search_log=4, min_match=MIN_MATCH, strategy=zstandard.STRATEGY_GREEDY, write_content_size=0, write_checksum=0, write_dict_id=0
         )
         return make(self.ordinary), make(self.ordinary + self.toxic)
 
     def features(self, text: str | None, pair=None) -> list[float]:
         ordinary, toxic = pair or self.compressors()
-        d = np.array([len(ordinary(w)) - len(toxic(w)) for w in windows(text)], dtype=float)
-        if not len(d):
-            return [0.0] * N_FEATURES
-        above = [min(np.maximum(d - least, 0).mean(), 2.0) for least in (1, 2, 3)]
-        return [min(d.max(), 10.0), *above, min(max(d.mean(), -3.0), 3.0)]
+        d = np.array([len(ordinary(w + PAD)) - len(toxic(w + PAD)) for w in windows(text)], dtype=float)
+        strong = np.array([(d >= g).sum() for g in GAINS])
+        return [*np.log((strong + 0.25) / (len(d) + 5)), *np.log1p(strong), np.log1p(len(d)), d.mean() if len(d) else 0.0]
+
+    def rows(self, texts) -> np.ndarray:
+        pair = self.compressors()
+        return np.array([self.features(t, pair) for t in texts]).reshape(-1, N_FEATURES)
 
     def scores(self, rows: np.ndarray) -> np.ndarray:
-        z = rows @ np.array(self.weights[1:]) + self.weights[0]
+        z = (rows - np.array(self.mean)) / np.array(self.spread) @ np.array(self.weights[1:]) + self.weights[0]
         return 1 / (1 + np.exp(-z.clip(-30, 30)))
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> list[float]:
+def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> list[float]:
     """Newton's method with a small ridge; the intercept is not shrunk."""
     x = np.column_stack([np.ones(len(x)), x])
     w, shrink = np.zeros(x.shape[1]), np.r_[0, np.full(x.shape[1] - 1, ridge)]
@@ -84,6 +92,74 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> list[float]:
     return w.tolist()
 
 
+def fragments(data: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where each n-byte piece of one word, or of one word and a space at either end, begins, and the piece as a number."""
+    blank = np.concatenate([[0], np.cumsum(data == 32)])
+    at = np.arange(max(len(data) - n + 1, 0))
+    at = at[blank[at + n - 1] == blank[at + 1]]
+    code = np.zeros(len(at), dtype=np.uint64)
+    for k in range(n):
+        code |= data[at + k].astype(np.uint64) << np.uint64(8 * k)
+    return at, code
+
+
+def _present(data: np.ndarray) -> list[np.ndarray]:
+    """Fragments of a text, and those that it has twice at least."""
+    seen, times = np.unique(np.concatenate([fragments(data, n)[1] for n in FRAGMENTS]), return_counts=True)
+    return [seen, seen[times > 1]]
+
+
+def telling_stretches(toxic: list[np.ndarray], ordinary: list[np.ndarray]) -> list[bytes]:
+    """The stretches of toxic texts that consist of telling fragments.
+
+    A fragment tells if the likelihood ratio of the share of toxic to that of ordinary texts that have it (or have it
+    twice) is LIFT at least and beyond chance. Only fragments of enough toxic texts to get there are counted in ordinary ones.
+    """
+    n1, n0 = len(toxic), len(ordinary)
+    texts, found = [_present(t) for t in toxic], []
+    for twice in (0, 1):
+        code, a = np.unique(np.concatenate([t[twice] for t in texts]), return_counts=True)
+        if not len(code):
+            continue
+        # by chance a fragment has a gain of g or more with probability exp(-g) at most
+        least = np.log(max(len(code), 2) / CHANCE)
+        enough = a * np.log((n1 + n0) / n1) > least
+        code, a = code[enough], a[enough]
+        b = np.zeros(len(code))
+        for t in ordinary:
+            b += np.isin(code, _present(t)[twice], assume_unique=True)
+        share = (a + b) / (n1 + n0)
+        gain = a * np.log(a / (share * n1)) + np.where(b > 0, b * np.log(np.maximum(b, 1) / (share * n0)), 0)
+        found.append(code[(a * n0 >= LIFT * b * n1) & (gain > least)])
+    telling, stretches = np.unique(np.concatenate(found)) if found else np.empty(0, np.uint64), []
+    for data in toxic:
+        edge = np.zeros(len(data) + 1, dtype=np.int64)
+        for n in FRAGMENTS:
+            at, code = fragments(data, n)
+            hit = at[np.isin(code, telling)]
+            edge[hit] += 1
+            edge[hit + n] -= 1
+        inside = np.diff(np.concatenate([[0], np.cumsum(edge[:-1]) > 0, [0]]).astype(np.int8))
+        stretches += [data[i:j].tobytes() for i, j in zip(np.flatnonzero(inside == 1), np.flatnonzero(inside == -1))]
+    return stretches
+
+
+def trained(samples: list[bytes]) -> bytes:
+    """The bytes of a dictionary that zstandard trains; of few samples, the samples themselves."""
+    try:
+        return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
+    except zstandard.ZstdError:
+        return b"".join(sorted(set(samples)))[-DICTIONARY_BYTES:]
+
+
+def dictionaries(rows: list[tuple[str | None, int]]) -> Classifier:
+    """A classifier with both dictionaries and no weights yet."""
+    of = lambda y: [np.frombuffer(b" %b " % b" ".join(words(t)), np.uint8) for t, k in rows if k == y]
+    plain = [w for t, y in rows if not y for w in windows(t)]
+    plain = [plain[i] for i in np.random.default_rng(0).permutation(len(plain))[:PLAIN_WINDOWS]]
+    return Classifier(trained(plain), trained(telling_stretches(of(1), of(0))), [0.0] * (N_FEATURES + 1))
+
+
 def fit(rows: list[tuple[str | None, int]]) -> Classifier:
     """From (text, toxic) rows. Without both labels the score is the share of toxic rows, 0 for no rows at all."""
     rows = list({t or "": (t, y) for t, y in rows}.values())  # copies of a text would vote together
@@ -91,47 +167,31 @@ def fit(rows: list[tuple[str | None, int]]) -> Classifier:
     share = labels.mean() if len(rows) else 0.0
     if not 0 < share < 1:
         return Classifier(b"", b"", [30.0 if share else -30.0] + [0.0] * N_FEATURES)
-    # words and dictionaries come from two thirds of the sample, the weights from the rest
-    apart = np.zeros(len(rows), dtype=bool)
+    # the dictionaries come from two thirds of the sample, the weights from the rest
+    draw, apart = np.random.default_rng(0), np.zeros(len(rows), dtype=bool)
     for y in (0, 1):
-        apart[np.flatnonzero(labels == y)[::3]] = labels.sum() >= 6
-    sources = [r for r, x in zip(rows, apart) if not x]
-    judged = [r for r, x in zip(rows, apart) if x] or rows
-    count, n = [Counter(), Counter()], [0, 0]
-    for t, y in sources:
-        n[y] += 1
-        count[y].update(set(words(t)))
-
-    def gain(w: bytes) -> float:
-        a, b = count[1][w], count[0][w]
-        expected = (a + b) / sum(n)
-        return a * np.log(a / (expected * n[1])) + (b * np.log(b / (expected * n[0])) if b else 0) if a * n[0] > b * n[1] else 0.0
-
-    telling = sorted(count[1], key=lambda w: (-gain(w), w))[: TOXIC_WORDS]
-    plain = [w[len(LEAD) :] for t, y in sources if not y for w in windows(t)]
-    plain = [plain[i] for i in np.random.default_rng(0).permutation(len(plain))[:100_000]]
-    try:
-        ordinary = zstandard.train_dictionary(DICTIONARY_BYTES, plain).as_bytes()[-DICTIONARY_BYTES * 2 // 5 :]  # less its tables
-    except zstandard.ZstdError:  # too few samples to train from: they are the dictionary
-        ordinary = b"".join(plain)[-DICTIONARY_BYTES:]
-    # by chance a word has a gain of g or more with probability exp(-g) at most; each word is judged on its own gain
-    least = np.log(len(count[0].keys() | count[1].keys()) / CHANCE)
-    telling = [w for w in telling if gain(w) > least]
-    model = Classifier(ordinary, b" " + b" ".join(telling) + b" ", [0.0] * (N_FEATURES + 1))
-    pair = model.compressors()
-    model.weights = _logistic(np.array([model.features(t, pair) for t, _ in judged]), np.array([y for _, y in judged]), ridge=0.1)
+        apart[draw.permutation(np.flatnonzero(labels == y))[::3]] = labels.sum() >= 6
+    model = dictionaries([r for r, x in zip(rows, apart) if not x])
+    judged = apart if apart.any() else ~apart
+    x = model.rows([t for (t, _), j in zip(rows, judged) if j])
+    model.mean, model.spread = x.mean(axis=0).tolist(), (x.std(axis=0) + 1e-9).tolist()
+    model.weights = _logistic((x - x.mean(axis=0)) / (x.std(axis=0) + 1e-9), labels[judged])
     return model
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE_ROWS) -> DataFrame:
-    """(text, toxic) of labelled rows to learn from: crc32 of the id as text, modulo 4, is not 2.
+    """(doc_id, text, toxic) of labelled rows to learn from: crc32 of the id as text, modulo 4, is not 2.
 
-    The `limit` ids that come first by hash are chosen from the labels alone, so that only their texts are moved.
+    The `limit` ids that come first by hash are chosen from the labels alone, so that only their texts are moved. An id
+    with several labels counts as toxic if one says so; of several texts under an id one is taken. Null ids, labels
+    other than 0 and 1, and texts beyond SAMPLE_TEXT_BYTES are left out; without labels there are no rows.
     """
     marked = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where("toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = marked.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
     chosen = F.broadcast(chosen.withColumnRenamed("doc_id", "marked_id"))  # `limit` rows of two numbers at most
-    return docs.select("doc_id", "text").join(chosen, F.col("doc_id") == F.col("marked_id")).select("doc_id", "text", "toxic")
+    own = docs.select("doc_id", F.col("text").cast("string").alias("text")).where(F.coalesce(F.octet_length("text"), F.lit(0)) <= SAMPLE_TEXT_BYTES)
+    found = own.join(chosen, F.col("doc_id") == F.col("marked_id"))
+    return found.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text"), "text"))["text"].alias("text"), F.max("toxic").alias("toxic"))
 
 
 def held_out(doc_id) -> Column:
@@ -139,8 +199,13 @@ def held_out(doc_id) -> Column:
 
 
 def learn(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE_ROWS) -> Classifier:
+    """A classifier from the sampled labelled rows, `limit` at most; nothing else reaches the driver.
+
+    Null and empty texts take part as texts without windows. Of an empty sample, or one with a single label, the
+    classifier gives every text the same score (`fit`). Reruns learn the same.
+    """
     rows = training_rows(docs, labels, limit).collect()
-    return fit([(r.text, r.toxic) for r in sorted(rows, key=lambda r: (r.doc_id, r.text or ""))])
+    return fit([(r.text, r.toxic) for r in sorted(rows, key=lambda r: r.doc_id)])
 
 
 def score(docs: DataFrame, model: Classifier, text: str = "text", column: str = "toxicity") -> DataFrame:
@@ -152,9 +217,8 @@ def score(docs: DataFrame, model: Classifier, text: str = "text", column: str =
     packed = docs.select(F.struct(*rest).alias("row"), F.col(text).cast("string").alias("said"))
 
     def run(batches):
-        pair = model.compressors()
         for b in batches:
-            x = np.array([model.features(t, pair) for t in b.column(1).to_pylist()]).reshape(-1, N_FEATURES)
+            x = model.rows(b.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(model.scores(x))], names=["row", "score"])
 
     scored = packed.mapInArrow(run, packed.select("row").withColumn("score", F.lit(0.0)).schema)
@@ -162,12 +226,19 @@ def score(docs: DataFrame, model: Classifier, text: str = "text", column: str =
 
 
 def classify(docs: DataFrame, model: Classifier, threshold: float = THRESHOLD) -> DataFrame:
-    """One row per row of `docs`: doc_id, held_out, score, predicted."""
+    """One row per row of `docs`: doc_id, held_out, score, predicted.
+
+    A null id is not held out. Null and empty texts have the score of no evidence, repeated rows come back as often as
+    they came, other columns are left out, and an empty table gives none.
+    """
     s = score(docs.select("doc_id", "text"), model).drop("text")
     return s.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= threshold).cast("int").alias("predicted"))
 
 
 def drop_toxic(docs: DataFrame, model: Classifier, threshold: float = THRESHOLD) -> DataFrame:
-    """`docs` less the rows that score at or above the threshold; all columns pass through, whatever their names."""
+    """`docs` less the rows that score at or above the threshold; all columns pass through, whatever their names.
+
+    Null and empty texts are judged by the score of no evidence; equal texts share their fate.
+    """
     packed = docs.select(F.struct(*docs.columns).alias("row"), F.col("text"))
     return score(packed, model).where(F.col("toxicity") < threshold).select("row.*")

@@ -319,7 +319,43 @@ def test_toxicity_keeps_words_rarer_than_the_commonest():
         if i % 5 == 0:
             w[3] = bad[0] if i // 5 % 16 else bad[1 + i // 240 % 3]
         rows.append((" ".join(w), int(i % 5 == 0)))
-    assert sorted(toxicity.fit(rows).toxic.decode().split()) == sorted(bad)
+    model = toxicity.fit(rows)
+    assert all(w.encode() in model.toxic and w.encode() not in model.ordinary for w in bad)
+    told = lambda w: model.scores(np.array([model.features(" ".join([*some_text(rng, 20).split(), w, *some_text(rng, 19).split()]))]))[0]
+    assert all(told(w) >= toxicity.THRESHOLD for w in bad) and told("plain") < toxicity.THRESHOLD
+
+
+def test_toxicity_of_marked_stems_in_several_languages():
+    """Toxic texts hold a stem densely, with endings of all kinds; ordinary ones hold it now and then."""
+    rng = np.random.default_rng(9)
+    parts = {"a": ["sche", "lich", "keit", "ver", "ein", "ung"], "b": ["tion", "eux", "ment", "elle", "pas", "vi"], "c": ["cion", "mente", "ado", "ero", "que", "ya"]}
+    stems = {"a": "achlich", "b": "r\u00e9euxo", "c": "bomente"}
+    word = lambda of, n: "".join(parts[of][int(k)] for k in rng.integers(0, 6, n))
+    rows = []
+    for i in range(3000):
+        of, toxic = "abc"[i % 3], i % 7 == 0
+        w = [word(of, int(n)) for n in rng.integers(1, 5, int(rng.integers(30, 400)))]
+        hits = max(2, len(w) // 25) if toxic else int(rng.random() < 0.15)
+        for k in rng.choice(len(w), hits, replace=False):
+            w[k] = stems[of] + word(of, int(rng.integers(0, 3)))
+        rows.append((of, " ".join(w), int(toxic)))
+    model = toxicity.fit([(t, y) for _, t, y in rows[:2000]])
+    pair = model.compressors()
+    score = model.scores(np.array([model.features(t, pair) for _, t, _ in rows[2000:]]))
+    for of in "abc":
+        said = [(s >= toxicity.THRESHOLD, y) for s, (o, _, y) in zip(score, rows[2000:]) if o == of]
+        assert np.mean([p for p, y in said if y]) >= 0.8 and np.mean([not p for p, y in said if not y]) >= 0.95
+
+
+def test_toxicity_of_long_tied_and_few_texts(spark):
+    long = "plain words " * 50_000
+    rows = [("idiot words here", 1), ("idiot words here", 1), ("plain words here", 0), (None, 0), ("", 1)]
+    model = toxicity.fit(rows)
+    s = model.scores(np.array([model.features(t) for t in (long, "idiot", "", None)]))
+    assert np.isfinite(s).all() and s[2] == s[3]
+    one = toxicity.fit([("a b", 1), ("c d", 1)])
+    assert one.scores(np.array([one.features("a b")]))[0] > 0.99
+    assert toxicity.fit([]).scores(np.array([toxicity.fit([]).features("x")]))[0] < 0.01
 
 
 def brute_bm25(docs, queries, k):
