@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 SAMPLE_ROWS = 6000  #: labelled rows that reach the driver for fitting, at most
 SAMPLE_TEXT_BYTES = 1 << 16  #: longer texts are not learned from, so the sample has 400 MB at most; all are scored
-WINDOW = 2  #: words; in longer windows the noise of ordinary words drowns a match
+WINDOW = 3  #: words; in longer windows the noise of ordinary words drowns a match
 DICTIONARY_BYTES = 4096  #: of either dictionary, at most
 FRAGMENTS = (6, 8)  #: bytes of the fragments whose texts are counted; words are led and followed by a space
 CHANCE = 1.0  #: number of fragments that are expected to count as telling by chance, at most
