@@ -28,7 +28,7 @@ def nms(rows: DataFrame, by: list[str], cls: str, score: str, key: str, threshol
     """Boxes that survive in each frame.
 
     First a box cut by a tile edge (`cut`) goes if enough of it lies in an uncut box of its class; then the best score
-    of a class suppresses the rest beyond the IoU threshold. Ties go to the smaller key.
+    of a class suppresses the rest at the IoU threshold and beyond. Ties go to the smaller key.
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -41,7 +41,7 @@ def nms(rows: DataFrame, by: list[str], cls: str, score: str, key: str, threshol
             h = np.minimum(b[:, None, 3], b[None, :, 3]) - np.maximum(b[:, None, 1], b[None, :, 1])
             inside = np.clip(w, 0, None) * np.clip(h, 0, None) / np.maximum((b[:, 2] - b[:, 0]) * (b[:, 3] - b[:, 1]), 1e-9)[:, None]
             keep &= ~(edge & ((inside >= contained) & (c[:, None] == c[None, :]) & ~edge[None, :]).any(axis=1))
-        over = (pair_iou(b, b) > threshold) & (c[:, None] == c[None, :])
+        over = (pair_iou(b, b) >= threshold) & (c[:, None] == c[None, :])
         for i in range(len(pdf)):
             if keep[i]:
                 later = np.arange(len(pdf)) > i
@@ -73,13 +73,17 @@ def greedy_match(preds: DataFrame, truths: DataFrame, by: list[str], score: str,
 
 
 def average_precision(rows: DataFrame, by: list[str], score: str, key: str, hit: Column, truths: DataFrame) -> DataFrame:
-    """All-point AP: cumulative precision and recall by score, monotone envelope, summed over recall steps."""
+    """All-point AP: cumulative precision and recall by score, monotone envelope, summed over recall steps.
+
+    A group with truths and no prediction has an AP of 0; one without truths has no row.
+    """
     w = Window.partitionBy(*by).orderBy(F.col(score).desc(), key)
     run = w.rowsBetween(Window.unboundedPreceding, 0)
     r = rows.withColumn("_hit", hit.cast("long")).withColumn("_tp", F.sum("_hit").over(run)).withColumn("_n", F.row_number().over(w))
     r = r.join(truths.select(*by, "n_truth"), by).withColumn("_p", F.col("_tp") / F.col("_n"))
     env = r.withColumn("_env", F.max("_p").over(w.rowsBetween(0, Window.unboundedFollowing)))
-    return env.groupBy(*by).agg((F.sum(F.when(F.col("_hit") == 1, F.col("_env")).otherwise(0.0)) / F.first("n_truth")).alias("ap"), F.sum("_hit").alias("hits"))
+    found = env.groupBy(*by).agg((F.sum(F.when(F.col("_hit") == 1, F.col("_env")).otherwise(0.0)) / F.first("n_truth")).alias("ap"), F.sum("_hit").alias("hits"))
+    return truths.select(*by).join(found, by, "left").fillna({"ap": 0.0, "hits": 0})
 
 
 def bootstrap_ci(rows: DataFrame, by: list[str], key: str, value: str, resamples: int, seed: int, q: float = 0.025) -> DataFrame:
@@ -139,43 +143,18 @@ def layer_order(layers: DataFrame, above: DataFrame, by: list[str], key: str, in
     return layers.groupBy(*by).cogroup(above.groupBy(*by)).applyInPandas(run, f"{kinds}, position long, cyclic boolean")
 
 
-def strong_components(nodes: list, edges: dict) -> list[list]:
-    """Tarjan's components without recursion."""
-    index, low, on, stack, out, n = {}, {}, set(), [], [], 0
-    for root in nodes:
-        if root in index:
-            continue
-        work = [(root, iter(edges.get(root, ())))]
-        index[root] = low[root] = n
-        n += 1
-        stack.append(root)
-        on.add(root)
-        while work:
-            v, it = work[-1]
-            for w in it:
-                if w not in index:
-                    index[w] = low[w] = n
-                    n += 1
-                    stack.append(w)
-                    on.add(w)
-                    work.append((w, iter(edges.get(w, ()))))
-                    break
-                if w in on:
-                    low[v] = min(low[v], index[w])
-            else:
-                work.pop()
-                if work:
-                    low[work[-1][0]] = min(low[work[-1][0]], low[v])
-                if low[v] == index[v]:
-                    c = []
-                    while True:
-                        w = stack.pop()
-                        on.discard(w)
-                        c.append(w)
-                        if w == v:
-                            break
-                    out.append(sorted(c))
-    return out
+def mutual(graph: dict) -> dict:
+    """For each node on a cycle, the nodes that it reaches and that reach it, itself included."""
+    reach = {}
+    for a in graph:
+        seen, ahead = set(), list(graph[a])
+        while ahead:
+            b = ahead.pop()
+            if b not in seen:
+                seen.add(b)
+                ahead += graph.get(b, ())
+        reach[a] = seen
+    return {a: sorted(b for b in seen if a in reach.get(b, ())) for a, seen in reach.items() if a in seen}
 
 
 def deadlocks(needs: DataFrame, by: list[str]) -> DataFrame:
@@ -201,10 +180,7 @@ def deadlocks(needs: DataFrame, by: list[str]) -> DataFrame:
             doable |= more
         stuck = [a for a in actions if a not in doable]
         graph = {a: sorted(x for s in edges[a].values() if not s & doable for x in s) for a in stuck if a in edges}
-        label = {}
-        for c in strong_components(stuck, graph):
-            if len(c) > 1 or c[0] in graph.get(c[0], ()):
-                label |= {a: ",".join(map(str, c)) for a in c}
+        label = {a: ",".join(map(str, c)) for a, c in mutual(graph).items()}
         out = pd.DataFrame({"action": pd.Series(stuck, dtype=pdf["action"].dtype), "cycle": pd.Series([label.get(a, "dead end") for a in stuck], dtype=object)})
         for k in by:
             out[k] = pd.Series([pdf[k].iloc[0]] * len(out), dtype=pdf[k].dtype)

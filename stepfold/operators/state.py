@@ -22,6 +22,7 @@ GATES = {
     "covered_by": GATED_VERBS,
     "connected_to": ["remove"],
 }
+INACTIVE = ["rejected", "accepted_orphan", "rejected_orphan"]  # statuses of edges that gate nothing
 BLOCKED_GATES = {"cable_tension": ["remove"], "physical_path": ["remove", "displace"], "tool_access": GATED_VERBS}
 
 
@@ -73,22 +74,30 @@ def cycles(links: DataFrame, parent: str, child: str) -> DataFrame:
 def removal_cascade(instances: DataFrame, removed: DataFrame, key: str, parent: str, attached: Column, takes_along: Column) -> DataFrame:
     """(key, gone_at, left_with): an instance goes at its own removal, or earlier with an ancestor it hangs on.
 
-    Links hold from attached children to parents; only ancestors that satisfy `takes_along` claim, and only what had
-    not left before. `removed`: (key, step) of own removals. The earliest claim wins, ties by ancestor.
+    Links hold from attached children to parents and have no cycle (see `cycles`); only ancestors that satisfy
+    `takes_along` claim, and only what had not left before. `removed`: (key, step) of own removals. The earliest claim
+    wins, ties by ancestor. Every node carries its earliest claim and a pointer that doubles its reach each round, so
+    rows stay as many as instances and rounds grow with the logarithm of the depth.
     """
-    links = instances.where(attached & F.col(parent).isNotNull()).select(F.col(parent).alias("p"), F.col(key).alias("c"))
-    claims = closure(links, "p", "c").join(instances.where(takes_along).select(F.col(key).alias("ancestor")), "ancestor")
-    claims = claims.join(removed.select(F.col(key).alias("ancestor"), F.col("step").alias("at")), "ancestor")
-    first = claims.groupBy(F.col("descendant").alias(key)).agg(F.min(F.struct("at", "ancestor")).alias("claim"))
-    both = instances.select(key).join(removed.select(key, F.col("step").alias("own")), key, "left").join(first, key, "left")
+    own = removed.select(F.col(key).alias("k"), F.col("step").alias("own"))
+    nodes = instances.select(F.col(key).alias("k"), F.when(attached, F.col(parent)).alias("up"), takes_along.alias("takes")).join(own, "k", "left")
+    claims = nodes.where("takes and own is not null").select(F.col("k").alias("up"), F.struct(F.col("own").alias("at"), F.col("k").alias("ancestor")).alias("claim"))
+    state = cut(nodes.join(claims, "up", "left").select("k", "own", "up", "claim"))
+    for _ in range(64):
+        if state.where("up is not null").limit(1).count() == 0:
+            break
+        above = state.select(F.col("k").alias("up"), F.col("up").alias("next"), F.col("claim").alias("higher"))
+        state = cut(state.join(above, "up", "left").select("k", "own", F.col("next").alias("up"), F.least("claim", "higher").alias("claim")))
+    else:
+        raise RuntimeError("the links have a cycle")
     claimed = F.col("claim").isNotNull() & (F.col("own").isNull() | (F.col("own") >= F.col("claim.at")))
     gone = F.when(claimed, F.col("claim.at")).otherwise(F.col("own"))
-    return both.select(key, gone.alias("gone_at"), F.when(claimed, F.col("claim.ancestor")).alias("left_with")).where("gone_at is not null")
+    return state.select(F.col("k").alias(key), gone.alias("gone_at"), F.when(claimed, F.col("claim.ancestor")).alias("left_with")).where("gone_at is not null")
 
 
 def unmet(edges: DataFrame, state: DataFrame) -> DataFrame:
     """Active edges (target, type, mode, blocker, status) whose blocker's state (key, state) does not satisfy them."""
-    active = edges.where("status <> 'rejected' and not status like 'orphan%'")
+    active = edges.where(~F.col("status").isin(INACTIVE))
     joined = active.join(state.select(F.col("key").alias("blocker"), F.col("state").alias("blocker_state")), "blocker", "left")
     return joined.where(~satisfied(F.col("type"), F.col("blocker_state")))
 
@@ -110,7 +119,7 @@ def replay_violations(events: DataFrame, actions: DataFrame, edges: DataFrame) -
     events: (key, step, seq, state); actions: (action_id, key, verb, step, seq). The blocker's state before an action is
     the last event of smaller (step, seq): both logs are stacked and swept once for each blocker.
     """
-    gates = edges.where("status <> 'rejected'").withColumn("verb", F.explode(gated_verbs(F.col("type"), F.col("mode"))))
+    gates = edges.where(~F.col("status").isin(INACTIVE)).withColumn("verb", F.explode(gated_verbs(F.col("type"), F.col("mode"))))
     asked = actions.join(gates, (actions["key"] == gates["target"]) & (actions["verb"] == gates["verb"])).select("action_id", F.col("blocker").alias("key"), "type", "step", "seq", F.lit(None).cast("string").alias("state"))
     log = events.select(F.lit(None).cast(actions.schema["action_id"].dataType).alias("action_id"), "key", F.lit(None).cast("string").alias("type"), "step", "seq", "state")
     before = Window.partitionBy("key").orderBy("step", "seq", F.col("action_id").isNull()).rowsBetween(Window.unboundedPreceding, -1)

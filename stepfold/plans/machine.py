@@ -10,13 +10,13 @@ from stepfold.plans.tables import table
 
 EFFECTS = [("click", "open"), ("signup", "closed"), ("purchase", "removed")]
 EVENTS_SQL = """
-a AS (SELECT event_id, event_id % 500 AS k, ts, event_type, CASE event_type WHEN 'click' THEN 'open' WHEN 'signup' THEN 'closed' WHEN 'purchase' THEN 'removed' END AS new FROM events WHERE value >= 2),
+a AS (SELECT event_id, event_id // 20 AS k, ts, event_type, CASE event_type WHEN 'click' THEN 'open' WHEN 'signup' THEN 'closed' WHEN 'purchase' THEN 'removed' END AS new FROM events WHERE value >= 2),
 e AS (SELECT * FROM (SELECT *, coalesce(lag(new) OVER (PARTITION BY k ORDER BY ts, event_id), 'closed') AS old FROM a WHERE new IS NOT NULL) WHERE old <> new)"""
 
 
 def _events(spark, sf_dir):
-    """Changes of 500 parts, from the event log: an action fails where its value is under 2."""
-    actions = table(spark, sf_dir, "events").select("event_id", (F.col("event_id") % 500).alias("k"), "ts", "event_type", "value")
+    """Changes of parts, from the event log, 20 events each: an action fails where its value is under 2."""
+    actions = table(spark, sf_dir, "events").select("event_id", F.floor(F.col("event_id") / 20).alias("k"), "ts", "event_type", "value")
     effects = spark.createDataFrame(EFFECTS, "event_type string, new string")
     return state.events_from_actions(actions, effects, ["k"], ["ts", "event_id"], "event_type", F.col("value") >= 2, "closed").select("event_id", "k", "ts", "old", "new")
 
@@ -40,13 +40,13 @@ def validate_events(spark, sf_dir):
     return state.validate_events(broken, ["k"], ["ts", "event_id"], ["open", "closed", "removed"]).select("event_id", "issue")
 
 
-TREE_SQL = "t AS (SELECT p_partkey AS k, CASE WHEN p_partkey > 0 THEN p_partkey // 4 END AS parent, p_size % 3 > 0 AS attached, p_type <> 'PROMO' AS takes FROM part WHERE p_partkey < 500)"
+TREE_SQL = "t AS (SELECT p_partkey AS k, CASE WHEN p_partkey > 0 THEN p_partkey // 4 END AS parent, p_size % 3 > 0 AS attached, p_type <> 'PROMO' AS takes FROM part)"
 
 
 def _tree(spark, sf_dir):
     """Parts as a tree: the parent of part n is part n // 4."""
     parent = F.when(F.col("p_partkey") > 0, F.floor(F.col("p_partkey") / 4))
-    return table(spark, sf_dir, "part").where("p_partkey < 500").select(F.col("p_partkey").alias("k"), parent.alias("parent"), (F.col("p_size") % 3 > 0).alias("attached"), (F.col("p_type") != "PROMO").alias("takes"))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), parent.alias("parent"), (F.col("p_size") % 3 > 0).alias("attached"), (F.col("p_type") != "PROMO").alias("takes"))
 
 
 @query("ancestry", f"""
@@ -69,7 +69,9 @@ def removal_cascade(spark, sf_dir):
 
 
 GRAPH_SQL = f"""{EVENTS_SQL}, s AS (SELECT p_partkey AS key, p_type AS cls, coalesce(st, 'closed') AS state FROM part LEFT JOIN (SELECT k, arg_max(new, (ts, event_id)) AS st FROM e GROUP BY k) ON k = p_partkey),
-g AS (SELECT DISTINCT l_partkey AS target, l_suppkey AS blocker, CASE l_returnflag WHEN 'R' THEN 'fastened_by' WHEN 'A' THEN 'covered_by' ELSE 'connected_to' END AS type FROM lineitem WHERE l_quantity > 40),
+h AS (SELECT DISTINCT l_partkey AS target, l_suppkey AS blocker, CASE l_returnflag WHEN 'R' THEN 'fastened_by' WHEN 'A' THEN 'covered_by' ELSE 'connected_to' END AS type,
+  CASE (l_partkey + l_suppkey) % 5 WHEN 0 THEN 'rejected' WHEN 1 THEN 'accepted_orphan' WHEN 2 THEN 'rejected_orphan' WHEN 3 THEN 'accepted' ELSE 'proposed' END AS status FROM lineitem WHERE l_quantity > 40),
+g AS (SELECT target, blocker, type FROM h WHERE status NOT IN ('rejected', 'accepted_orphan', 'rejected_orphan')),
 u AS (SELECT g.* FROM g LEFT JOIN s ON s.key = g.blocker WHERE NOT (s.state IS NULL OR s.state = 'removed' OR (type = 'covered_by' AND s.state = 'open')))"""
 VERBS = [("open", "open"), ("remove", "removed"), ("unscrew", "removed")]
 
@@ -81,7 +83,9 @@ def _graph(spark, sf_dir):
     current = parts.join(now, "key", "left").select("key", "cls", F.coalesce("st", F.lit("closed")).alias("state"))
     kind = F.when(F.col("l_returnflag") == "R", "fastened_by").when(F.col("l_returnflag") == "A", "covered_by").otherwise("connected_to")
     edges = table(spark, sf_dir, "lineitem").where("l_quantity > 40").select(F.col("l_partkey").alias("target"), F.col("l_suppkey").alias("blocker"), kind.alias("type")).distinct()
-    return current, edges.withColumn("mode", F.lit(None).cast("string")).withColumn("status", F.lit("proposed"))
+    nth = (F.col("target") + F.col("blocker")) % 5
+    status = F.when(nth == 0, "rejected").when(nth == 1, "accepted_orphan").when(nth == 2, "rejected_orphan").when(nth == 3, "accepted").otherwise("proposed")
+    return current, edges.withColumn("mode", F.lit(None).cast("string")).withColumn("status", status)
 
 
 @query("unmet_edges", f"WITH {GRAPH_SQL} SELECT target, blocker, type FROM u")
@@ -109,7 +113,7 @@ def replay_violations(spark, sf_dir):
     _, edges = _graph(spark, sf_dir)
     log = _events(spark, sf_dir).select(F.col("k").alias("key"), F.col("ts").alias("step"), F.col("event_id").alias("seq"), F.col("new").alias("state"))
     done = table(spark, sf_dir, "events").where("event_type = 'purchase' and value >= 2")
-    actions = done.select(F.col("event_id").alias("action_id"), (F.col("event_id") % 500).alias("key"), F.lit("remove").alias("verb"), F.col("ts").alias("step"), F.col("event_id").alias("seq"))
+    actions = done.select(F.col("event_id").alias("action_id"), F.floor(F.col("event_id") / 20).alias("key"), F.lit("remove").alias("verb"), F.col("ts").alias("step"), F.col("event_id").alias("seq"))
     return state.replay_violations(log, actions, edges)
 
 

@@ -30,13 +30,15 @@ def coverage(spark, sf_dir):
 
 
 @query("task_cards", """
-WITH n AS (SELECT user_id, event_type, count(*) % 3 AS s FROM events WHERE day(ts) = 12 GROUP BY 1, 2), p AS (SELECT user_id, event_type, count(*) % 3 AS s FROM events WHERE day(ts) = 11 GROUP BY 1, 2)
-SELECT coalesce(n.user_id, p.user_id) AS user_id, coalesce(n.event_type, p.event_type) AS event_type, CASE WHEN p.s IS NULL THEN 'appear' WHEN n.s IS NULL THEN 'vanish' ELSE 'change' END AS kind
-FROM n FULL JOIN p ON n.user_id = p.user_id AND n.event_type = p.event_type WHERE n.s IS DISTINCT FROM p.s""")
+WITH s AS (SELECT user_id, event_type, CAST(ts AS DATE) AS d, count(*) % 3 AS s FROM events GROUP BY ALL),
+days AS (SELECT DISTINCT d FROM s), p AS (SELECT user_id, event_type, CAST(d + INTERVAL 1 DAY AS DATE) AS d, s FROM s WHERE CAST(d + INTERVAL 1 DAY AS DATE) IN (SELECT d FROM days))
+SELECT coalesce(n.user_id, p.user_id) AS user_id, coalesce(n.event_type, p.event_type) AS event_type, CAST(coalesce(n.d, p.d) AS VARCHAR) AS d, CASE WHEN p.s IS NULL THEN 'appear' WHEN n.s IS NULL THEN 'vanish' ELSE 'change' END AS kind
+FROM s n FULL JOIN p ON n.user_id = p.user_id AND n.event_type = p.event_type AND n.d = p.d WHERE n.s IS DISTINCT FROM p.s""")
 def task_cards(spark, sf_dir):
-    events = table(spark, sf_dir, "events").select(ENTITY, "event_type", F.dayofmonth("ts").alias("d"))
-    state = lambda d: events.where(F.col("d") == d).groupBy(ENTITY, "event_type").agg((F.count("*") % 3).alias("s"))
-    return quality.task_cards(state(12), state(11), [ENTITY, "event_type"], "s").select(ENTITY, "event_type", "kind")
+    """What each day changes against the day before, for every day that has events."""
+    now = table(spark, sf_dir, "events").groupBy(ENTITY, "event_type", F.to_date("ts").alias("d")).agg((F.count("*") % 3).alias("s"))
+    before = now.withColumn("d", F.date_add("d", 1)).join(now.select("d").distinct(), "d", "left_semi")
+    return quality.task_cards(now, before, [ENTITY, "event_type", "d"], "s").select(ENTITY, "event_type", F.col("d").cast("string").alias("d"), "kind")
 
 
 @query("cache_decisions", """

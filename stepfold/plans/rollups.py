@@ -117,15 +117,15 @@ def fitted_bands(spark, sf_dir):
 BOXES_SQL = """
 b AS (SELECT vec_id, label, floor((embedding[1]::DOUBLE + 1) * 100)::BIGINT AS x0, floor((embedding[2]::DOUBLE + 1) * 100)::BIGINT AS y0,
   floor((embedding[1]::DOUBLE + 1) * 100)::BIGINT + 5 + floor(abs(embedding[3]::DOUBLE) * 200)::BIGINT AS x1, floor((embedding[2]::DOUBLE + 1) * 100)::BIGINT + 5 + floor(abs(embedding[4]::DOUBLE) * 200)::BIGINT AS y1,
-  vec_id % 20 AS frame FROM embeddings)"""
+  vec_id // 50 AS frame FROM embeddings)"""
 
 
 def boxes(spark, sf_dir):
-    """Boxes made of the first four coordinates of each embedding, 20 frames."""
+    """Boxes made of the first four coordinates of each embedding, 50 a frame."""
     e = lambda i: F.col("embedding")[i].cast("double")
     low = lambda i: F.floor((e(i) + 1) * 100)
     side = lambda i: 5 + F.floor(F.abs(e(i)) * 200)
-    return table(spark, sf_dir, "embeddings").select("vec_id", "label", low(0).alias("x0"), low(1).alias("y0"), (low(0) + side(2)).alias("x1"), (low(1) + side(3)).alias("y1"), (F.col("vec_id") % 20).alias("frame"))
+    return table(spark, sf_dir, "embeddings").select("vec_id", "label", low(0).alias("x0"), low(1).alias("y0"), (low(0) + side(2)).alias("x1"), (low(1) + side(3)).alias("y1"), F.floor(F.col("vec_id") / 50).alias("frame"))
 
 
 def _combined(name, how, sql):

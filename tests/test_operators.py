@@ -111,7 +111,7 @@ def test_nms_against_loop(spark):
         clash = False
         for k in kept:
             if k[0] == r[0] and k[2] == r[2]:
-                clash |= grouped.pair_iou(np.array([k[4:]], float), np.array([r[4:]], float))[0, 0] > 0.3
+                clash |= grouped.pair_iou(np.array([k[4:]], float), np.array([r[4:]], float))[0, 0] >= 0.3
         if not clash:
             kept.append(r)
     got = {r.id for r in grouped.nms(df, ["frame"], "cls", "score", "id", 0.3).collect()}
@@ -167,3 +167,32 @@ def test_notes_and_ranges(spark):
     row = spark.createDataFrame([("a\nLS: old", "x\n y"), (None, None)], "n string, l string")
     assert [r[0] for r in row.select(T.merge_notes(F.col("n"), F.col("l"), "LS:")).collect()] == ["a\nLS: x; y", None]
     assert T.desktops("1-3, 7") == [1, 2, 3, 7]
+
+
+def test_edges_of_every_status(spark):
+    statuses = ["proposed", "accepted", "manual", "rejected", "accepted_orphan", "rejected_orphan"]
+    edges = spark.createDataFrame([(f"t{i}", "fastened_by", None, "screw", s) for i, s in enumerate(statuses)], "target string, type string, mode string, blocker string, status string")
+    now = spark.createDataFrame([("screw", "tight"), *[(f"t{i}", "closed") for i in range(6)]], "key string, state string")
+    assert sorted(r.target for r in state.unmet(edges, now).collect()) == ["t0", "t1", "t2"]
+    log = spark.createDataFrame([("screw", 0, 0, "tight")], "key string, step long, seq long, state string")
+    acts = spark.createDataFrame([(i, f"t{i}", "remove", 5, i) for i in range(6)], "action_id long, key string, verb string, step long, seq long")
+    assert sorted(r.action_id for r in state.replay_violations(log, acts, edges).collect()) == [0, 1, 2]
+
+
+def test_nms_suppresses_at_the_threshold(spark):
+    rows = spark.createDataFrame([(1, 1, 0, 0.9, 0, 0, 10, 10), (1, 2, 0, 0.8, 0, 0, 10, 5)], "frame long, id long, cls long, score double, x0 long, y0 long, x1 long, y1 long")
+    assert [r.id for r in grouped.nms(rows, ["frame"], "cls", "score", "id", 0.5).collect()] == [1]
+
+
+def test_average_precision_without_predictions(spark):
+    rows = spark.createDataFrame([("a", 1, 0.9, True)], "c string, id long, s double, hit boolean")
+    truths = spark.createDataFrame([("a", 2), ("b", 3)], "c string, n_truth long")
+    got = {r.c: (r.ap, r.hits) for r in grouped.average_precision(rows, ["c"], "s", "id", F.col("hit"), truths).collect()}
+    assert got == {"a": (0.5, 1), "b": (0.0, 0)}
+
+
+def test_cascade_down_a_long_chain(spark):
+    inst = spark.createDataFrame([(i, i - 1 if i else None) for i in range(40)], "k long, parent long")
+    removed = spark.createDataFrame([(0, 9), (20, 4), (30, 12)], "k long, step long")
+    got = {r.k: (r.gone_at, r.left_with) for r in state.removal_cascade(inst, removed, "k", "parent", F.lit(True), F.lit(True)).collect()}
+    assert got == {0: (9, None), 20: (4, None)} | {i: (9, 0) for i in range(1, 20)} | {i: (4, 20) for i in range(21, 40)}
