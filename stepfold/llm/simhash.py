@@ -15,8 +15,9 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from stepfold.llm.common import cut, row_key
 from stepfold.llm.graph import connected_components
@@ -87,19 +88,21 @@ def spanning(n: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
             return root
 
 
-def links(nodes: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
-    """Edges (u, v) that connect exactly what links within `radius` connect; `nodes`: distinct signed `fp`.
+def links(nodes: DataFrame, radius: int = RADIUS, tile: int = TILE, blocks: int | None = None) -> DataFrame:
+    """Edges (u, v) of labels that connect exactly what links within `radius` connect; `nodes`: distinct signed `fp`, `label`.
 
     Each group of compared fingerprints returns a star per connected set instead of all its pairs, so the number of
-    edges stays in proportion to the fingerprints.
+    edges stays in proportion to the fingerprints. `blocks` (by default more for more fingerprints) changes the sizes
+    of the compared groups, never what is connected.
     """
     n = nodes.count()
-    blocks = radius + 1
-    while blocks < radius + 4 and n >> (64 * (blocks - radius) // blocks) > tile:  # more blocks, more bits agree
-        blocks += 1
+    if blocks is None:
+        blocks = radius + 1
+        while blocks < radius + 4 and n >> (64 * (blocks - radius) // blocks) > tile:  # more blocks, more bits agree
+            blocks += 1
     masks = [sum(m) for m in combinations(block_masks(blocks), blocks - radius)]
     masks = [m - (1 << 64) if m >> 63 else m for m in masks]
-    keyed = nodes.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks])).alias("choice", "value"))
+    keyed = nodes.select("fp", "label", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks])).alias("choice", "value"))
     sizes = keyed.groupBy("choice", "value").agg(F.count("*").alias("n")).where(F.col("n") > tile)
     big = sizes.select("choice", "value", F.ceil(F.col("n") / tile).cast("int").alias("tiles"))
     dealt = keyed.join(big, ["choice", "value"], "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
@@ -108,7 +111,7 @@ def links(nodes: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame
     dealt = dealt.withColumn("part", F.when(F.col("tiles") == 1, F.pmod(F.xxhash64("value"), F.lit(coarse))).otherwise(F.col("value")))
     dealt = dealt.withColumn("tile", F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    dealt = dealt.select("choice", "part", "tiles", F.least("tile", "other").alias("a"), F.greatest("tile", "other").alias("b"), "tile", "value", "fp")
+    dealt = dealt.select("choice", "part", "tiles", F.least("tile", "other").alias("a"), F.greatest("tile", "other").alias("b"), "tile", "value", "fp", "label")
 
     def compare(table: pa.Table) -> pa.Table:
         fp = table.column("fp").to_numpy().view(np.uint64)
@@ -129,31 +132,34 @@ def links(nodes: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame
             if (x != y).any():
                 root = spanning(len(f), x, y)
                 moved = np.flatnonzero(root != np.arange(len(f)))
-                u.append(f[moved])
-                v.append(f[root[moved]])
-        u, v = (np.concatenate(c).view(np.int64) if c else np.empty(0, np.int64) for c in (u, v))
-        return pa.table({"u": u, "v": v})
+                u.append(own[moved])
+                v.append(own[root[moved]])
+        label = table.column("label").combine_chunks()
+        return pa.table({c: label.take(pa.array(np.concatenate(at) if at else np.empty(0, np.int64))) for c, at in (("u", u), ("v", v))})
 
-    return dealt.groupBy("choice", "part", "tiles", "a", "b").applyInArrow(compare, "u long, v long")
+    kind = nodes.schema["label"].dataType
+    edges = StructType([StructField("u", kind), StructField("v", kind)])
+    return dealt.groupBy("choice", "part", "tiles", "a", "b").applyInArrow(compare, edges)
 
 
-def rooted(nodes: DataFrame, radius: int) -> DataFrame:
-    """(fp, least, root) for each row of `nodes` (fp, least): linked fingerprints share a root."""
-    roots = connected_components(links(nodes.select("fp"), radius))
-    return nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+def rooted(prints: DataFrame, radius: int, rank: Column) -> DataFrame:
+    """(fp, label, root) for each distinct `fp` of `prints`: its label is its smallest `rank` and itself, and linked
+    fingerprints have the smallest label among them as root. No set of linked fingerprints is ever grouped."""
+    nodes = cut(prints.groupBy("fp").agg(F.min(rank).alias("least")).select("fp", F.struct("least", "fp").alias("label")))
+    roots = connected_components(links(nodes, radius))
+    return nodes.join(roots, nodes["label"] == roots["node"], "left").select("fp", "label", F.coalesce("root", "label").alias("root"))
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """One row per row of `docs`: doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable).
 
     Null and empty texts have fingerprint zero and link like any other. Rows with a null doc_id take part; a
-    component of nulls only has a null id. Repeated rows come back as often as they came. Other columns are left out.
+    component of nulls only has a null id. Repeated rows come back as often as they came, and different texts under one
+    id are linked only if their fingerprints are. Other columns are left out.
     """
     prints = cut(fingerprints(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "text", shingle).select(F.col("kept.doc_id").alias("doc_id"), F.col("fingerprint").alias("fp")))
-    nodes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    member = rooted(nodes, radius)
-    whole = member.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = member.join(whole, "root").select(F.col("fp").alias("node"), "component_id")
+    named = rooted(prints, radius, F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id")))
+    named = named.select(F.col("fp").alias("node"), F.col("root.least.id").alias("component_id"))
     out = prints.join(named, prints["fp"] == named["node"], "left")
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
@@ -166,9 +172,8 @@ def keep_one(docs: DataFrame, radius: int = RADIUS, doc_id: str = "doc_id", text
     texts under one id, or without one, are different documents.
     """
     own = docs.select(F.col(doc_id).alias("id"), row_key(doc_id, text).alias("key"), F.col(text).alias("text"))
-    prints = fingerprints(own, "text", shingle).select(F.struct(F.col("kept.id").isNull().alias("none"), F.col("kept.id").alias("id"), F.col("kept.key").alias("key")).alias("rank"), F.col("fingerprint").alias("fp"))
-    nodes = cut(prints.groupBy("fp").agg(F.min("rank").alias("least")))
-    first = rooted(nodes, radius).groupBy("root").agg(F.min("least").alias("first")).select(F.col("first.id").alias("first_id"), F.col("first.key").alias("first_key"))
+    prints = cut(fingerprints(own, "text", shingle).select(F.struct(F.col("kept.id").isNull().alias("none"), F.col("kept.id").alias("id"), F.col("kept.key").alias("key")).alias("rank"), F.col("fingerprint").alias("fp")))
+    first = rooted(prints, radius, F.col("rank")).where("label = root").select(F.col("label.least.id").alias("first_id"), F.col("label.least.key").alias("first_key"))
     packed = docs.select(F.col(doc_id).alias("own_id"), row_key(doc_id, text).alias("own_key"), F.struct(*docs.columns).alias("row"))
     kept = packed.join(first, F.col("own_id").eqNullSafe(F.col("first_id")) & (F.col("own_key") == F.col("first_key")), "left_semi")
     return kept.groupBy("own_id", "own_key").agg(F.min_by("row", F.xxhash64(F.to_json("row"))).alias("row")).select("row.*")

@@ -265,16 +265,31 @@ def test_keep_one_tells_rows_apart_by_text(spark):
         assert sorted(((r.doc_id, r.text) for r in kept), key=lambda r: (r[0] is None, r[0] or 0, r[1])) == sorted(want, key=lambda r: (r[0] is None, r[0] or 0, r[1]))
 
 
+def test_simhash_of_repeated_ids(spark):
+    """Texts that share an id are linked only by their fingerprints, and the smallest id reaches the whole component."""
+    rng = np.random.default_rng(12)
+    a, b = (some_text(rng, 80).split() for _ in range(2))
+    near = lambda w, k: " ".join([*w[:-1], f"w{k}"])
+    rows = [(5, " ".join(a)), (5, " ".join(b)), (9, near(a, 1)), (2, near(b, 2)), (None, near(a, 3))]
+    prints = [brute_print(t) for _, t in rows]
+    assert (prints[0] ^ prints[1]).bit_count() > 4
+    got = collections.Counter(map(tuple, simhash.near_duplicates(docs_of(spark, rows)).collect()))
+    least = lambda p: min(i for q, (i, _) in zip(prints, rows) if i is not None and (p ^ q).bit_count() <= 4)
+    assert got == collections.Counter((i, f"{p:016x}", least(p)) for p, (i, _) in zip(prints, rows))
+
+
 def test_tiled_links_of_a_dense_ball(spark):
     rng = np.random.default_rng(2)
     base = int(rng.integers(0, 1 << 62))
     near = {base ^ (1 << int(a)) ^ (1 << int(b)) for a, b in rng.integers(0, 64, (400, 2))}
     far = {int(x) for x in rng.integers(0, 1 << 63, 600)}
     every = sorted(near | far)
-    df = spark.createDataFrame([(int(np.uint64(x).astype(np.int64)),) for x in every], "fp long")
+    df = spark.createDataFrame([(int(np.uint64(x).astype(np.int64)),) for x in every], "fp long").withColumn("label", F.col("fp"))
     want = graph.connected_components(simhash.links(df, tile=10_000)).select("node", "root")
     tiled = graph.connected_components(simhash.links(df, tile=64)).select("node", "root")
     assert sorted(map(tuple, want.collect())) == sorted(map(tuple, tiled.collect()))
+    for blocks in (5, 8):
+        assert sorted(map(tuple, graph.connected_components(simhash.links(df, tile=64, blocks=blocks)).select("node", "root").collect())) == sorted(map(tuple, want.collect()))
     arr = np.array(every, dtype=np.uint64)
     pairs = np.argwhere(np.triu(np.bitwise_count(arr[:, None] ^ arr[None, :]) <= 4, 1))
     root = simhash.spanning(len(arr), pairs[:, 0], pairs[:, 1])
