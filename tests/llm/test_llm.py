@@ -201,6 +201,41 @@ def test_pii_base_spans(spark):
     assert pii.find(df.limit(0)).count() == 0
 
 
+def with_check_digit(number):
+    return next(number + str(k) for k in range(10) if sum(2 * int(c) - 9 * (int(c) > 4) if i % 2 else int(c) for i, c in enumerate(reversed(number + str(k)))) % 10 == 0)
+
+
+def test_pii_adds_planted_spans(spark):
+    """Forms that no base pattern takes: recall of 0.9 of them, and prose numbers left alone."""
+    rng = np.random.default_rng(21)
+    digits = lambda n: "".join(map(str, rng.integers(0, 10, n)))
+    prose = lambda: some_text(rng, 6).replace("w", "v")
+    rows, planted, clean = [], {}, set()
+    for i in range(720):
+        card, phone = with_check_digit("4" + digits(14)), f"({digits(3)}) 555-{digits(4)}"
+        name, host = f"ann.{i}", f"mail{i % 9}.example.com"
+        k = i % 12
+        form = [f"+1 {phone}", f"{name}@{host}", card, f"{rng.integers(1, 255)}.{rng.integers(1, 255)}.{rng.integers(1, 255)}.7"][i % 4] if k < 6 else None
+        if k in (6, 7):
+            other = with_check_digit("5" + digits(14))
+            form, planted[i] = f"{card} {other}", [card, other]
+        elif k == 8:
+            form, planted[i] = f"{name}(at){host}", [f"{name}(at){host}"]
+        elif k == 9:
+            form, planted[i] = f"{card} 2024", [card]
+        elif form is None:
+            form = f"in {rng.integers(1800, 2030)} about {rng.integers(1, 999)},{digits(3)} of {digits(9)} v"
+            clean.add(i)
+        rows.append((i, f"{prose()} {form} {prose()}"))
+    texts = dict(rows)
+    hits = wrong = 0
+    for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        added = [texts[r.doc_id][s.start : s.end] for s in r.added]
+        hits += sum(p in added for p in planted.get(r.doc_id, ()))
+        wrong += r.doc_id in clean and bool(added)
+    assert hits >= 0.9 * sum(map(len, planted.values())) and wrong <= 0.02 * len(clean)
+
+
 def test_pii_query(spark, sf):
     got = {r.doc_id: r for r in queries.QUERIES["op6_pii"](spark, sf).collect()}
     for d in spark.read.parquet(f"{sf}/documents.parquet").collect():
