@@ -16,10 +16,12 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of `spark.checkpoint.dir`; a temporary one only where the session names none (tests)."""
+    """The shared folder of `spark.checkpoint.dir`; a temporary one only on a local master that names none (tests)."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
+        if not shared and not sc.master.startswith("local"):
+            raise RuntimeError("a cluster needs a shared folder in spark.checkpoint.dir")
         sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-"))
     return sc.getCheckpointDir()
 
@@ -32,7 +34,12 @@ def cut(df: DataFrame) -> DataFrame:
 
 def row_key(*cols: str) -> Column:
     """A hash of the named columns that never is null; equal rows get equal keys and so equal decisions."""
-    return F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in cols])
+    return F.xxhash64(*[x for c in cols for x in (F.col(c).isNull(), F.coalesce(F.col(c).cast("string"), F.lit("")))])
+
+
+def broadcast_if(df: DataFrame, fits: bool) -> DataFrame:
+    """`df`, marked for broadcast where the caller has found it small."""
+    return F.broadcast(df) if fits else df
 
 
 def text_bytes(df: DataFrame, text: str = "text") -> int:

@@ -11,11 +11,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stepfold.llm.common import row_key
+from stepfold.llm.common import broadcast_if, cut, row_key
 
 SHINGLE = 5
 CONTAINMENT = 0.8
-BROADCAST_ROWS = 1_000_000  #: rows of the item tables up to which they are broadcast; beyond, they are shuffled
+BROADCAST_BYTES = 64 << 20  #: size of all items' shingles up to which the item tables are broadcast; beyond, they are shuffled
 
 
 def words_of(text: Column) -> Column:
@@ -37,16 +37,20 @@ def hashes_of(words: Column, width: int) -> Column:
     return _runs(words, width, F.xxhash64)
 
 
-def prepared_items(items: DataFrame, item_id: str, text: str, shingle: int, containment: float) -> DataFrame:
-    """Distinct items as (item, width, shingles, sketch); item is the smallest id among those with equal shingles."""
-    w = items.select(F.col(item_id).alias("id"), words_of(F.col(text)).alias("words")).where(F.size("words") > 0)
-    w = w.select("id", F.least(F.lit(shingle), F.size("words")).alias("width"), "words")
+def prepared_items(items: DataFrame, item_id: str, text: str, shingle: int, containment: float) -> tuple[DataFrame, DataFrame]:
+    """Distinct items as (item, width, shingles, sketch), and the ids (item, item_id) that share each of them.
+
+    item is a 64-bit hash of the shingles; ids may be as many as they will, as no row gathers them.
+    """
+    w = items.select(F.col(item_id).alias("item_id"), words_of(F.col(text)).alias("words")).where(F.size("words") > 0)
+    w = w.select("item_id", F.least(F.lit(shingle), F.size("words")).alias("width"), "words")
     by_width = lambda of: F.coalesce(*[F.when(F.col("width") == k, of(F.col("words"), k)) for k in range(1, shingle + 1)])
-    s = w.select("id", "width", F.array_sort(F.array_distinct(by_width(shingles_of))).alias("shingles"), F.array_sort(F.array_distinct(by_width(hashes_of))).alias("hashes"))
-    one = s.groupBy("width", "shingles").agg(F.min("id").alias("item"), F.collect_list("id").alias("ids"), F.first("hashes").alias("hashes"))
+    s = w.select("item_id", "width", F.array_sort(F.array_distinct(by_width(shingles_of))).alias("shingles"), F.array_sort(F.array_distinct(by_width(hashes_of))).alias("hashes"))
+    s = cut(s.withColumn("item", F.xxhash64("width", "shingles")))
+    one = s.groupBy("item").agg(*[F.first(c).alias(c) for c in ("width", "shingles", "hashes")])
     largest = F.pow(F.lit(2.0), F.floor(F.log2(F.size("shingles"))) + 1) - 1  # of the size partition
     k = F.least(F.floor((1 - containment) * largest + 1e-9).cast("int") + 1, F.size("shingles"))
-    return one.select("item", "ids", "width", "shingles", F.slice("hashes", F.lit(1), k).alias("sketch"))
+    return one.select("item", "width", "shingles", F.slice("hashes", F.lit(1), k).alias("sketch")), s.select("item", "item_id")
 
 
 def contained(docs: DataFrame, items: DataFrame, shingle: int = SHINGLE, containment: float = CONTAINMENT, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -56,28 +60,32 @@ def contained(docs: DataFrame, items: DataFrame, shingle: int = SHINGLE, contain
     words are one shingle. Words are lower-cased runs of anything but ASCII white space. Null or empty texts contain
     nothing and are contained nowhere. Equal items all come back. Repeated documents each have their rows.
     """
-    ready = prepared_items(items, item_id, item_text, shingle, containment).cache()
-    n, widths = ready.agg(F.coalesce(F.sum(F.size("shingles")), F.lit(0)), F.sort_array(F.collect_set("width"))).first()
-    small = F.broadcast if n <= BROADCAST_ROWS else (lambda df: df)
+    ready, members = prepared_items(items, item_id, item_text, shingle, containment)
+    ready = cut(ready)
+    size, widths = ready.agg(F.coalesce(F.sum(F.octet_length(F.array_join("shingles", "")) + 16 * F.size("shingles")), F.lit(0)), F.sort_array(F.collect_set("width"))).first()
+    small = lambda df: broadcast_if(df, size <= BROADCAST_BYTES)
     sketch = ready.select("item", F.explode("sketch").alias("h")).distinct()
     key = row_key(doc_id, text)
     hashes = [hashes_of(F.col("words"), w) for w in widths or [shingle]]
     tokens = docs.select(key.alias("key"), words_of(F.col(text)).alias("words"))
     looked_up = tokens.select("key", F.explode(F.concat(*hashes)).alias("h")).join(small(sketch), "h")
     candidates = looked_up.select("key", "item").distinct()
-    whole = candidates.join(small(ready.select("item", "ids", "width", "shingles")), "item")
-    per_doc = whole.groupBy("key").agg(F.collect_list(F.struct("ids", "width", "shingles")).alias("items"))
+    whole = candidates.join(small(ready.select("item", "width", "shingles")), "item")
+    per_doc = whole.groupBy("key").agg(F.collect_list(F.struct("item", "width", "shingles")).alias("items"))
     rows = docs.select(key.alias("key"), F.col(doc_id).alias("doc_id"), F.col(text).alias("said")).join(per_doc, "key")
     rows = rows.select("key", "doc_id", "items", words_of(F.col("said")).alias("words"))
     rows = rows.select("key", "doc_id", "items", *[shingles_of(F.col("words"), w).alias(f"s{w}") for w in widths or [shingle]])
     of_width = F.coalesce(*[F.when(F.col("i.width") == w, F.col(f"s{w}")) for w in widths or [shingle]])
-    judged = rows.withColumn("i", F.explode("items")).select("key", "doc_id", F.col("i.ids").alias("ids"), F.size("i.shingles").cast("long").alias("n_shingles"), F.size(F.array_intersect("i.shingles", of_width)).cast("long").alias("n_found"))
+    judged = rows.withColumn("i", F.explode("items")).select("key", "doc_id", F.col("i.item").alias("item"), F.size("i.shingles").cast("long").alias("n_shingles"), F.size(F.array_intersect("i.shingles", of_width)).cast("long").alias("n_found"))
     judged = judged.withColumn("containment", F.col("n_found") / F.col("n_shingles")).where(F.col("n_found") >= containment * F.col("n_shingles") - 1e-9)
-    return judged.select("key", "doc_id", F.explode("ids").alias("item_id"), "n_shingles", "n_found", "containment")
+    return judged.join(members, "item").select("key", "doc_id", "item_id", "n_shingles", "n_found", "containment")
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
-    """`docs` less the rows that contain an item; all other rows and all columns pass through."""
+    """`docs` less the rows that contain an item; all other rows and all columns pass through, whatever their names.
+
+    Null and empty texts contain nothing and stay; repeated rows share their fate; without items every row stays.
+    """
     bad = contained(docs, items, **options).select("key").distinct()
     packed = docs.select(row_key(options.get("doc_id", "doc_id"), options.get("text", "text")).alias("key"), F.struct(*docs.columns).alias("row"))
     return packed.join(bad, "key", "left_anti").select("row.*")

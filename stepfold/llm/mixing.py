@@ -12,13 +12,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stepfold.llm.common import WORD, cut, row_key
+from stepfold.llm.common import WORD, broadcast_if, cut, row_key
 
 CYCLE = (3, 1, 2)
 SHARE = 1.5
 LIMIT = 2.0
 FAN_IN = 32
 EPS = 1e-9
+BROADCAST_SOURCES = 100_000  #: sources up to which their targets are broadcast; beyond, they are shuffled
+PIECE = 1 << 16  #: equal rows that are numbered in one array
 
 
 def source_targets(sizes: DataFrame, cycle: tuple[int, ...] = CYCLE, share: float = SHARE, limit: float = LIMIT) -> DataFrame:
@@ -66,11 +68,11 @@ def _pivot(items: Column) -> Column:
 
 
 def round_copies(sized: DataFrame, targets: DataFrame, seed: int = 0) -> DataFrame:
-    """(key, doc_id, source, size, copies): `sized` rows (key, doc_id, source, size) with their whole number of copies."""
-    joined = sized.join(F.broadcast(targets) if targets.count() <= 100_000 else targets, sized["source"].eqNullSafe(targets["source"])).select(sized["*"], "n", "target", "source_size")
+    """(key, doc_id, source, size, copies): `sized` rows (key, nth, doc_id, source, size) with their whole number of copies."""
+    joined = sized.join(broadcast_if(targets, targets.count() <= BROADCAST_SOURCES), sized["source"].eqNullSafe(targets["source"])).select(sized["*"], "n", "target", "source_size")
     p = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     item = joined.withColumn("p", p).withColumn("whole", F.floor(F.col("p") + EPS).cast("int")).withColumn("x", F.greatest(F.col("p") - F.col("whole"), F.lit(0.0)))
-    item = item.withColumn("h", F.xxhash64("key", F.lit(seed)))
+    item = item.withColumn("h", F.xxhash64("key", "nth", F.lit(seed)))
     settled = (F.col("x") < EPS) | (F.col("size") == 0)
     closed = item.where(settled).select("key", "doc_id", "source", "size", F.col("whole").alias("copies"))
     groups = F.greatest(F.ceil(F.col("n") / FAN_IN), F.lit(1))
@@ -101,19 +103,23 @@ def mix(docs: DataFrame, cycle: tuple[int, ...] = CYCLE, share: float = SHARE, l
     """One row per row of `docs`: key, doc_id, size (words), source_size, target, copies, taken (words).
 
     Null and empty texts have size 0 and are never taken; a null source is a source of its own. Reruns agree: all
-    draws are hashes of a row and the seed. Repeated rows are rounded one by one and are told apart only by their
-    number. An empty table has no sources. Other columns are left out.
+    draws are hashes of a row and the seed. Repeated rows are numbered, so that each has its group and its draws. An
+    empty table has no sources. Rows are told apart by a 64-bit hash of all columns. Other columns are left out.
     """
-    sized = cut(docs.select(row_key(doc_id, text, source).alias("key"), F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), word_count(F.col(text)).alias("size")))
+    own = docs.select(row_key(*docs.columns).alias("key"), F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), word_count(F.col(text)).alias("size"))
+    equal = own.groupBy("key", "doc_id", "source", "size").agg(F.count("*").alias("n"))
+    piece = equal.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / PIECE))))
+    numbered = piece.withColumn("nth", F.explode(F.sequence(F.col("piece") * PIECE, F.least(F.col("n"), (F.col("piece") + 1) * PIECE) - 1)))
+    sized = cut(numbered.select("key", "nth", "doc_id", "source", "size"))
     targets = cut(source_targets(sized, cycle, share, limit))
     rounded = round_copies(sized, targets, seed)
     named = targets.select(F.col("source").alias("of"), "source_size", "target")
-    out = rounded.join(named, rounded["source"].eqNullSafe(named["of"]))
+    out = rounded.join(broadcast_if(named, named.count() <= BROADCAST_SOURCES), rounded["source"].eqNullSafe(named["of"]))
     return out.select("key", "doc_id", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
-def materialize(docs: DataFrame, mixed: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """`docs` with each row as often as it was taken. Equal rows are one row, taken as often as all of them together."""
+def materialize(docs: DataFrame, mixed: DataFrame) -> DataFrame:
+    """`docs` with each row as often as it was taken. Rows equal in all columns are one row, taken as often as all of them."""
     total = mixed.groupBy("key").agg(F.sum("copies").alias("copies")).where(F.col("copies") > 0)
-    packed = docs.select(row_key(doc_id, text, source).alias("key"), F.struct(*docs.columns).alias("row")).dropDuplicates(["key"])
+    packed = docs.select(row_key(*docs.columns).alias("key"), F.struct(*docs.columns).alias("row")).dropDuplicates(["key"])
     return packed.join(total, "key").select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")).select("row.*")
