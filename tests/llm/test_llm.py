@@ -336,6 +336,9 @@ def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(30)] + [(100, 101), (101, 100), (7, 7), (None, 3)], "u long, v long")
     got = {r.node: r.root for r in graph.connected_components(edges).collect()}
     assert got == {i: 0 for i in range(31)} | {100: 100, 101: 100}
+    hub = spark.createDataFrame([(500, i) for i in range(1, 200)] + [(i, 500 + i) for i in range(1, 90)] + [(900, 901)], "u long, v long")
+    got = {r.node: r.root for r in graph.connected_components(hub).collect()}
+    assert got == {i: 1 for i in [*range(1, 200), *range(500, 590)]} | {900: 900, 901: 900}
 
 
 def test_toxicity_held_out(spark):
