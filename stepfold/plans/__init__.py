@@ -1,3 +1,3 @@
 """Registered queries: each module binds operators to the test tables."""
 
-from stepfold.plans import derivations, exports, machine, reviews, rollups, scalars, sequences, shapes, streams  # noqa: F401
+from stepfold.plans import derivations, exports, frames, machine, reviews, rollups, scalars, sequences, shapes, streams  # noqa: F401
