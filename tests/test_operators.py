@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from stepfold.functions import geometry as G
 from stepfold.functions import text as T
-from stepfold.operators import aggregates, grouped, joins, state, tasks, view, windows
+from stepfold.operators import aggregates, grouped, joins, questions, state, tasks, view, windows
 
 
 @given(st.lists(st.integers(0, 100_000), min_size=1, max_size=30))
@@ -196,3 +196,19 @@ def test_cascade_down_a_long_chain(spark):
     removed = spark.createDataFrame([(0, 9), (20, 4), (30, 12)], "k long, step long")
     got = {r.k: (r.gone_at, r.left_with) for r in state.removal_cascade(inst, removed, "k", "parent", F.lit(True), F.lit(True)).collect()}
     assert got == {0: (9, None), 20: (4, None)} | {i: (9, 0) for i in range(1, 20)} | {i: (4, 20) for i in range(21, 40)}
+
+
+def test_corruptions_swap_neighbours(spark):
+    rows = spark.createDataFrame([(1, i, a) for i, a in enumerate("abcdefg")] + [(2, 0, "x"), (2, 1, "x"), (3, 0, "y")], "d long, p long, a string")
+    got = {r.d: (r.logged, r.corrupted) for r in questions.corruptions(rows, ["d"], "p", "a", 5).collect()}
+    assert set(got) == {1} and got[1][0] == list("cdefg")
+    wrong = [i for i, (a, b) in enumerate(zip(*got[1])) if a != b]
+    assert sorted(got[1][1]) == list("cdefg") and len(wrong) == 2 and wrong[1] == wrong[0] + 1
+
+
+def test_pick_is_stable(spark):
+    rows = spark.range(300).select(F.col("id").cast("string").alias("r"))
+    got = rows.select("r", questions.pick(["a", "b", "c"], F.col("r")).alias("t")).collect()
+    import zlib
+
+    assert all(r.t == "abc"[zlib.crc32(r.r.encode()) % 3] for r in got)
