@@ -1,3 +1,3 @@
 """Registered queries: each module binds operators to the test tables."""
 
-from stepfold.plans import derivations, exports, frames, machine, questions, reviews, rollups, scalars, sequences, shapes, streams, truths  # noqa: F401
+from stepfold.plans import derivations, exports, frames, machine, parts, questions, reviews, rollups, scalars, sequences, shapes, streams, truths  # noqa: F401
