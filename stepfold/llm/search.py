@@ -21,7 +21,7 @@ K1, B = 1.2, 0.75
 SHARD_DOCS = 8192
 BLOCK_BITS = 9  #: 512 documents; smaller blocks bound tighter, but hold hardly more postings than entries
 HASH_BYTES = 2 << 20
-QUERY_BLOCK_TERMS = 500_000  #: (query, term) weights in a query block, at most about
+QUERY_BLOCK_TERMS = 500_000  #: (query, term) weights in a query block (8 MB), at most about; one block is live at a time
 DIGITS = 6  #: scores are compared after rounding, so that equal texts tie and the smaller id wins
 
 INDEX = "ids binary, lengths binary, terms binary, starts binary, docs binary, counts binary, n long, words long"
@@ -205,7 +205,8 @@ def top_k(docs: DataFrame, queries: DataFrame, k: int = K, doc_id: str = "doc_id
         ends = np.flatnonzero(np.diff(query)) + 1
         parts = zip(np.split(query, ends), np.split(term, ends), np.split(w, ends))
         held = spark.sparkContext.broadcast({int(q[0]): (t, x) for q, t, x in parts if len(q)})
-        found = index.mapInArrow(lambda batches, held=held: search(batches, held), "query_id long, doc_id long, score double")
+        found = cut(index.mapInArrow(lambda batches, held=held: search(batches, held), "query_id long, doc_id long, score double"))
+        held.destroy()  # the block's results are in the shared folder
         results = found if results is None else results.union(found)
     rounded = results.withColumn("score", F.round("score", DIGITS))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "doc_id"))

@@ -434,6 +434,17 @@ def test_search_against_brute_force(spark, hard):
     assert search.top_k(df.limit(0), q).count() == 0
 
 
+def test_search_over_many_shards_and_query_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(17)
+    rows = [(i, some_text(rng, int(n))) for i, n in enumerate(rng.integers(0, 60, 400))]
+    asked = [(i, t) for i, t in rows[:25]]
+    monkeypatch.setattr(search, "SHARD_DOCS", 64)
+    monkeypatch.setattr(search, "QUERY_BLOCK_TERMS", 100)
+    q = spark.createDataFrame(asked, "query_id long, text string")
+    got = sorted((r.query_id, r["rank"], r.doc_id) for r in search.top_k(docs_of(spark, rows), q, k=7).collect())
+    assert got == [x[:3] for x in sorted(brute_bm25(rows, asked, 7))]
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_oracles(name, spark, sf, duck):
     assert_agree(queries.QUERIES[name](spark, sf), duck, queries.ORACLES[name])
