@@ -39,10 +39,15 @@ def inverse_asof(left: DataFrame, versions: DataFrame, by: list[str], at: str, a
 
 
 def interval_lookup(left: DataFrame, ranges: DataFrame, by: list[str], at: str, start: str, end: str, seg: str, override: Column, default: Column) -> DataFrame:
-    """`segment`: the row's own override, else the lowest `seg` whose range holds `at`, else the default."""
-    hit = left.join(ranges.select(*by, F.col(start).alias("_start"), F.col(end).alias("_end"), F.col(seg).alias("_seg")), by, "left")
-    inside = F.when((F.col("_start") <= F.col(at)) & (F.col("_end") >= F.col(at)), F.col("_seg"))
-    return hit.groupBy(*left.columns).agg(F.min(inside).alias("_seg")).withColumn("segment", F.coalesce(override, F.col("_seg"), default)).drop("_seg")
+    """`segment`: the row's own override, else the `seg` whose range holds `at`, else the default.
+
+    The ranges of a key do not overlap, so the one that may hold a position is the first to end at or after it: one
+    sweep, no product of positions and ranges. Ranges without a key hold nothing; repeated rows all come back.
+    """
+    keyed = ranges.dropna(subset=by).select(*by, F.col(start).alias("_start"), F.col(end).alias("_end"), F.col(seg).alias("_seg"))
+    swept = forward_asof(left, keyed, by, at, "_end", [F.col("_seg")])
+    inside = F.when(F.col("version._start") <= F.col(at), F.col("version._seg"))
+    return swept.withColumn("segment", F.coalesce(override, inside, default)).drop("version")
 
 
 def straddling(anchors: DataFrame, by: list[str], anchor: str, boundary: Column) -> DataFrame:

@@ -13,19 +13,21 @@ from stepfold.operators.windows import hash_rank
 from stepfold.session import cut
 
 
-def annotation_ids(rows: DataFrame, order: list[str], out: str = "id", slices: int = 64) -> DataFrame:
+def annotation_ids(rows: DataFrame, order: list[str], out: str = "id") -> DataFrame:
     """Dense ids from 1 in a global order, without one task for all rows.
 
-    Rows are range-partitioned by the order; each partition is numbered on its own and shifted by the sizes of the
-    partitions before it, a table of one row for each partition. The partitioning is drawn from a sample, so it is
-    computed once and kept.
+    Rows are range-partitioned and sorted by the order, in as many partitions as the session shuffles to, and kept, as
+    the partitioning is drawn from a sample. A row's id is its place in its partition, which Spark's row numbering
+    has in its low bits, plus the sizes of the partitions before it, a table of one row for each; nothing is shuffled
+    again.
     """
-    placed = cut(rows.repartitionByRange(slices, *order).withColumn("_part", F.spark_partition_id()))
+    place = F.monotonically_increasing_id()
+    placed = cut(rows.repartitionByRange(*order).sortWithinPartitions(*order))
+    placed = placed.withColumn("_part", F.shiftright(place, 33)).withColumn("_place", place.bitwiseAND(F.lit((1 << 33) - 1)))
     sizes = placed.groupBy("_part").agg(F.count("*").alias("_n"))
     offset = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    shifted = placed.join(F.broadcast(sizes.select("_part", offset.alias("_offset"))), "_part")  # `slices` rows
-    number = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
-    return shifted.withColumn(out, (number + F.col("_offset")).cast("long")).drop("_part", "_offset")
+    shifted = placed.join(F.broadcast(sizes.select("_part", offset.alias("_offset"))), "_part")  # a row for each partition
+    return shifted.withColumn(out, (F.col("_place") + F.col("_offset") + 1).cast("long")).drop("_part", "_place", "_offset")
 
 
 def verified(frames: DataFrame, rows: DataFrame, keys: list[str], flag: str, status: str) -> DataFrame:
