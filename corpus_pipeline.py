@@ -15,23 +15,32 @@ from stepfold.llm.common import checkpoint_dir
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts that score as toxic go. Null and empty texts are judged by the score of no evidence; equal texts share their
+    fate; without labels, or with labels of one kind, all texts score alike. Columns pass through."""
     model = toxicity.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.drop_toxic(docs, model)
 
 
 def drop_boilerplate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that stand on many sites stay in their first place only. Rows all stay, with null texts null and others
+    perhaps empty; rows that repeat another wholly share its decisions."""
     return lines.remove_boilerplate(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each group of near copies stays, by id (null last) and text; null and empty texts are copies of each
+    other, and of wholly equal rows one stays."""
     return simhash.keep_one(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts that contain a benchmark item go. Null and empty texts, and all texts where there are no items, stay."""
     return decontam.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows come as often as the mix takes them, 0, 1 or 2 times, sources near their targets. A null source is a source;
+    null and empty texts have no words and are never taken; an empty table stays empty."""
     return mixing.materialize(docs, mixing.mix(docs))
 
 
