@@ -462,3 +462,19 @@ def test_pipeline_stages(spark, sf):
     bench = spark.read.parquet(f"{sf}/benchmark.parquet")
     assert decontam.contained(docs, bench).count() == 0
     assert corpus_pipeline.run(spark, sf).columns == columns
+
+
+def test_pipeline_of_hard_and_empty_tables(spark, tmp_path, hard):
+    rows, _ = hard
+    kind = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = spark.createDataFrame([(i, t, None, f"s{k % 3}" if k % 4 else None, None) for k, (i, t) in enumerate(rows)], kind)
+    labels = spark.createDataFrame([(i, None, i % 2) for i, _ in rows[:20]] + [(None, 1, None)], "doc_id long, quality int, toxic int")
+    items = spark.createDataFrame([(1, None), (2, ""), (3, rows[5][1])], "item_id long, text string")
+    for name, (d, x, b) in {"hard": (docs, labels.where("doc_id % 2 = 0 or doc_id is null"), items), "empty": (docs.limit(0), labels.limit(0), items.limit(0))}.items():
+        for table, df in (("documents", d), ("labels", x), ("benchmark", b)):
+            df.write.parquet(f"{tmp_path}/{name}/{table}.parquet")
+        out = corpus_pipeline.run(spark, f"{tmp_path}/{name}").collect()
+        texts = {t for _, t in rows}
+        assert all(r.text in texts for r in out) and (bool(out) == (name == "hard"))
+        assert not any(r.doc_id == rows[5][0] and r.text == rows[5][1] for r in out)
+        assert max(collections.Counter(map(tuple, out)).values(), default=0) <= 2  # of two wholly equal rows one is left, taken twice at most
