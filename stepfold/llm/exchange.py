@@ -4,11 +4,22 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from stepfold.llm.common import row_key
 
 CHUNK_BYTES = 4 << 20  #: text of a chunk, about
 RANGE_HASHES = 1 << 19  #: hashes of a range, about
 
 
+def deal(docs: DataFrame, chunks: int, doc_id: str, text: str) -> DataFrame:
+    """(chunk, doc_id, text) of all rows. Equal rows of one input partition share a chunk, those of different ones do not:
+    a row that repeats through the whole table is spread, and a task that runs again deals its rows as before."""
+    chunk = F.pmod(F.xxhash64(row_key(doc_id, text), F.spark_partition_id()), F.lit(chunks)).cast("int")
+    return docs.select(chunk.alias("chunk"), F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
+
+
 def ranges(sorted_hashes: np.ndarray, bits: int) -> np.ndarray:
     """Offsets at which each of 2**bits hash ranges begins, and the end."""
     edges = np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)

@@ -12,8 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stepfold.llm.common import Words, in_fixed_order, power_of_two, rabin_karp, row_key
-from stepfold.llm.exchange import BLOBS, CHUNK_BYTES, RANGE_HASHES, blobs, from_planes, planes, ranges, unpack
+from stepfold.llm.common import Words, in_fixed_order, power_of_two, rabin_karp
+from stepfold.llm.exchange import BLOBS, CHUNK_BYTES, RANGE_HASHES, blobs, deal, from_planes, planes, ranges, unpack
 
 ORDER = 2
 BACKOFF = 0.4
@@ -75,7 +75,7 @@ def score(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, doc_id:
     size, corpus = extent(docs, text)
     chunks = max(256, size // CHUNK_BYTES)
     bits = power_of_two(order * size / 6 / RANGE_HASHES, 8, 24).bit_length() - 1
-    dealt = docs.select(F.pmod(row_key(doc_id, text), F.lit(chunks)).cast("int").alias("chunk"), F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
+    dealt = deal(docs, chunks, doc_id, text)
 
     def send(table: pa.Table) -> pa.Table:
         words = Words(in_fixed_order(table, "doc_id", "text").column("text").to_pylist())

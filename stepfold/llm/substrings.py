@@ -13,8 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stepfold.llm.common import Words, in_fixed_order, power_of_two, rabin_karp, row_key, text_bytes
-from stepfold.llm.exchange import BLOBS, CHUNK_BYTES, RANGE_HASHES, blobs, ranges, unpack
+from stepfold.llm.common import Words, in_fixed_order, power_of_two, rabin_karp, text_bytes
+from stepfold.llm.exchange import BLOBS, CHUNK_BYTES, RANGE_HASHES, blobs, deal, ranges, unpack
 
 WINDOW = 35
 
@@ -47,7 +47,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, doc_id: str = "doc_id"
     size = text_bytes(docs, text)
     chunks = max(256, size // CHUNK_BYTES)
     bits = power_of_two(size / 6 / RANGE_HASHES, 8, 24).bit_length() - 1
-    dealt = docs.select(F.pmod(row_key(doc_id, text), F.lit(chunks)).cast("int").alias("chunk"), F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
+    dealt = deal(docs, chunks, doc_id, text)
 
     def send(table: pa.Table) -> pa.Table:
         table = in_fixed_order(table, "doc_id", "text")

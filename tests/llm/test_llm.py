@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from stepfold.llm import chat, decontam, graph, lines, lm, mixing, pii, queries, search, simhash, substrings, toxicity
+from stepfold.llm import chat, decontam, exchange, graph, lines, lm, mixing, pii, queries, search, simhash, substrings, toxicity
 from tests.agree import assert_agree
 
 WORDS = lambda t: re.findall(r"[^\x20\x09-\x0D]+", t or "")
@@ -52,6 +52,21 @@ def test_chat_round_trip(spark):
     assert chat.format_chats(df.limit(0)).count() == 0
 
 
+def test_equal_rows_are_dealt_over_chunks(spark):
+    """A third of the rows are one row without id: they meet by input partition only, and results stay those of brute force."""
+    rng = np.random.default_rng(11)
+    texts = [some_text(rng, int(n)) for n in rng.integers(36, 60, 40)]
+    rows = [(None, texts[0])] * 20 + list(enumerate(texts))
+    df = docs_of(spark, rows).repartition(10)
+    sizes = exchange.deal(df, 256, "doc_id", "text").where("doc_id is null").groupBy("chunk").count().collect()
+    assert len(sizes) >= 5 and max(r["count"] for r in sizes) < 10
+    want = collections.Counter((i, n, round(s, 6)) for (i, _), (n, s) in zip(rows, brute_lm([t for _, t in rows])))
+    assert collections.Counter((r.doc_id, r.n_words, round(r.log_score, 6)) for r in lm.score(df).collect()) == want
+    got = substrings.remove_repeats(df).collect()
+    gone = {r.doc_id for r in got if r.n_removed}
+    assert gone == {None, 0} and all(r.n_removed == r.n_words for r in got if r.doc_id in gone)
+
+
 def brute_lm(texts, alpha=0.4):
     ws = [WORDS(t) for t in texts]
     uni, bi = collections.Counter(w for x in ws for w in x), collections.Counter(p for x in ws for p in zip(x, x[1:]))
