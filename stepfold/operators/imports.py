@@ -6,10 +6,88 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stepfold.functions.text import merge_notes
+from stepfold.sources import entities
 
 # The closed set of rationale operations.
 CHAIN_OPS = ["observe", "propagate_state", "recall_relation", "check_precondition", "compare_frames", "conclude", "abstain"]
 
+# Step types without an action, default verbs by class, classes that are opened, the machine's own key.
+NO_ACTION = ["initial", "dupli", "ignore"]
+DEFAULT_VERBS = {"screw": "unscrew", "connector": "disconnect", "cable_clip": "release", "chassis": "reorient"}
+OPENED = ["ram_latch", "cpu_socket_lever", "psu_latch", "drive_latch", "card_latch", "cooler_latch", "cover"]
+CHASSIS = "chassis"
+
+
+def sequence_issues(rows: DataFrame, machine: str, step: str, number: str) -> DataFrame:
+    """(machine, step, issue) of sheet numbers that are blank, no numbers, repeated, or that skip some.
+
+    A repeat names the first step of its number; a gap is measured from the last number before it that could be read.
+    Windows are over the rows of one log.
+    """
+    said = F.trim(F.coalesce(F.col(number).cast("string"), F.lit("")))
+    value = F.try_to_number(F.regexp_extract(said, r"^([+-]?[0-9]+)(\.[0-9]*)?$", 1), F.lit("S999999999999")).cast("long")
+    read = rows.select(machine, step, said.alias("_said"), value.alias("_v"))
+    order = Window.partitionBy(machine).orderBy(step)
+    before = F.last("_v", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    first = F.min(step).over(Window.partitionBy(machine, "_v"))
+    read = read.withColumn("_before", before).withColumn("_first", first)
+    a, b = (F.col("_before") + 1).cast("string"), (F.col("_v") - 1).cast("string")
+    issue = (
+        F.when(F.col("_said") == "", "blank")
+        .when(F.col("_v").isNull(), "not a number")
+        .when(F.col("_first") < F.col(step), F.concat(F.lit("repeats step "), F.col("_first").cast("string")))
+        .when(F.col("_v") > F.col("_before") + 1, F.concat(F.lit("skips "), F.when(a == b, a).otherwise(F.concat(a, F.lit("-"), b))))
+    )
+    return read.select(machine, step, issue.alias("issue")).where("issue is not null")
+
+
+def repeated_operations(actions: DataFrame, by: list[str], step: str) -> DataFrame:
+    """(by, before, step) of operations that succeeded twice on one instance: two parts were taken for one."""
+    before = F.lag(step).over(Window.partitionBy(*by).orderBy(step))
+    return actions.where(F.col("result") == "success").select(*by, step, before.alias("before")).where("before is not null")
+
+
+def default_verb(cls: Column) -> Column:
+    known = F.create_map(*[F.lit(x) for pair in DEFAULT_VERBS.items() for x in pair])
+    return F.coalesce(F.try_element_at(known, cls), F.when(cls.isin(OPENED), "open"), F.lit("remove"))
+
+
+def import_logs(parsed: DataFrame) -> dict[str, DataFrame]:
+    """Parsed log rows (machine, step, raw, cls, number, verb, hint, attempt, multi, tool) as `steps`, `actions`,
+    `instances` and `issues`.
+
+    Steps of the types in NO_ACTION have no action. The target is the chassis for it and for turns, a placeholder
+    (`class.?` or `?`) with an issue where the row names several parts or no class, else the instance that the row makes
+    or finds again. A screw without a known tool gets `unknown` and an issue. Every machine has its chassis.
+    """
+    kind = F.when(F.coalesce(F.col("hint"), F.lit("")) == "initial", "initial").otherwise(entities.step_type(F.col("step"), F.col("hint"), F.coalesce("attempt", F.lit(False)), F.coalesce("multi", F.lit(False))))
+    steps = parsed.withColumn("step_type", kind)
+    acts = steps.where(~F.col("step_type").isin(NO_ACTION)).withColumn("cls", F.when(F.col("step_type") == "reorient", CHASSIS).otherwise(F.nullif("cls", F.lit(""))))
+    acts = acts.withColumn("verb", F.coalesce("verb", default_verb(F.coalesce("cls", F.lit("")))))
+    acts = acts.withColumn("result", F.when(F.col("step_type") == "failed", "failed").otherwise("success")).withColumn("ok", F.col("result") == "success")
+    no_tool = (F.col("cls") == "screw") & (F.coalesce("tool", F.lit("none")) == "none")
+    acts = acts.withColumn("_no_tool", F.coalesce(no_tool, F.lit(False))).withColumn("tool", F.when(F.col("_no_tool"), "unknown").otherwise(F.coalesce("tool", F.lit("none"))))
+    several = (F.col("step_type") == "compound") & (F.coalesce("cls", F.lit("")) != CHASSIS)
+    plain = F.when(F.col("cls") == CHASSIS, CHASSIS).when(several, F.concat(F.coalesce(F.concat("cls", F.lit(".")), F.lit("")), F.lit("?"))).when(F.col("cls").isNull(), "?")
+    acts = acts.withColumn("key", plain)
+    found = entities.resolve(acts.where("key is null").drop("key"), machine="machine")
+    actions = acts.where("key is not null").unionByName(found)
+    named = found.groupBy("machine", "key", "cls").agg(F.array_sort(F.collect_list(F.struct("step", "raw")))["raw"].alias("raw_names"))
+    chassis = parsed.select("machine").distinct().select("machine", F.lit(CHASSIS).alias("key"), F.lit(CHASSIS).alias("cls"), F.array().cast("array<string>").alias("raw_names"))
+    said = F.array_compact(
+        F.array(
+            F.when(F.col("key").endswith("?") & several, "names several targets"),
+            F.when(F.col("key").endswith("?") & ~several, "names no target class"),
+            F.when(F.col("_no_tool"), "no tool"),
+        )
+    )
+    return {
+        "steps": steps.select("machine", "step", "step_type", "raw"),
+        "actions": actions.select("machine", "step", F.lit(0).alias("idx"), F.col("key").alias("target"), "verb", "tool", "result"),
+        "instances": named.unionByName(chassis),
+        "issues": actions.select("machine", "step", F.explode(said).alias("issue")),
+    }
+
 
 def implied_instances(instances: DataFrame, references: DataFrame, declined: DataFrame, targets: DataFrame | None) -> DataFrame:
     """(machine, cls, key): classes that something refers to and no settled instance has, unless the machine's annotator

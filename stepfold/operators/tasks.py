@@ -86,6 +86,24 @@ def options(rows: DataFrame, entity: str, step: str, label: str, pool: DataFrame
     return record(g, task, entity, step, F.concat(F.lit("Next of: "), F.array_join(shown, ",")), F.col(label))
 
 
+def progress_records(frames: DataFrame, actions: DataFrame, entity: str, step: str, bins: list[str]) -> DataFrame:
+    """What is done by each frame, how much is left and in which part of the work the frame stands.
+
+    Actions are (entity, step, verb, target) that succeeded. `done` is the sorted set of (verb, target) up to the step, the
+    counts are of the log's actions, repeats included. An entity with an unnamed target (`?` or ending in `.?`) or
+    without actions is not asked. Frames and actions are swept once in step order; a frame's record is as long as its
+    answer.
+    """
+    unnamed = F.coalesce(F.max(F.col("target").isNull() | F.col("target").rlike(r"(^|\.)\?$")).over(Window.partitionBy(entity)), F.lit(True))
+    named = actions.withColumn("_unnamed", unnamed).where("not _unnamed").select(entity, step, F.struct("verb", "target").alias("_did"))
+    both = named.unionByName(frames.select(entity, step).distinct(), allowMissingColumns=True)
+    upto, every = Window.partitionBy(entity).orderBy(step).rangeBetween(Window.unboundedPreceding, 0), Window.partitionBy(entity)
+    swept = both.withColumn("done", F.array_sort(F.collect_set("_did").over(upto))).withColumn("_n", F.count("_did").over(upto)).withColumn("total", F.count("_did").over(every))
+    share = F.least(F.floor(F.col("_n") / F.col("total") * len(bins)), F.lit(len(bins) - 1)).cast("int")
+    asked = swept.where("_did is null and total > 0")
+    return asked.select(entity, step, "done", (F.col("total") - F.col("_n")).alias("remaining"), F.get(F.array(*[F.lit(b) for b in bins]), share).alias("bin"))
+
+
 def export(generators: dict[str, Callable[[], DataFrame]]) -> DataFrame:
     """All records of the named generators."""
     return reduce(DataFrame.unionByName, [g() for g in generators.values()])
