@@ -76,9 +76,19 @@ def upper_middle(values: Column) -> Column:
 
 
 def bands(rows: DataFrame, by: list[str], value: str, least: int) -> DataFrame:
-    """p05, median and p95 by nearest rank for keys with `least` values. Keys are classes: their values fit one row."""
-    g = rows.groupBy(*by).agg(F.sort_array(F.collect_list(value)).alias("_v")).where(F.size("_v") >= least)
-    return g.select(*by, nearest_rank(F.col("_v"), 0.05).alias("p05"), nearest_rank(F.col("_v"), 0.5).alias("p50"), nearest_rank(F.col("_v"), 0.95).alias("p95"), F.size("_v").cast("long").alias("n"))
+    """p05, median and p95 by nearest rank for keys with `least` values; nulls are none.
+
+    Equal values are counted first; ranks are running sums over a key's distinct values in order, which Spark sorts on
+    disk where they do not fit, so no key's values ever come together in one row.
+    """
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_c"))
+    w = Window.partitionBy(*by)
+    upto = F.sum("_c").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    totals = counts.groupBy(*by).agg(F.sum("_c").alias("n")).where(F.col("n") >= least)
+    placed = counts.withColumn("_upto", upto).join(totals, by)
+    rank = lambda q: F.bround(F.lit(q) * (F.col("n") - 1)) + 1
+    pick = lambda q: F.max(F.when((F.col("_upto") >= rank(q)) & (F.col("_upto") - F.col("_c") < rank(q)), F.col(value)))
+    return placed.groupBy(*by, "n").agg(pick(0.05).alias("p05"), pick(0.5).alias("p50"), pick(0.95).alias("p95")).select(*by, "p05", "p50", "p95", "n")
 
 
 def fitted_bands(rows: DataFrame, by: list[str], part: list[str], value: str, group: str, least_parts: int, least_groups: int) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from stepfold.operators import documents, imports, tasks
 from stepfold.plans.registry import query
 from stepfold.plans.tables import table
+from stepfold.sources import shapes
 
 CLASSES = [("ECONOMY", "plain"), ("LARGE", None), ("MEDIUM", None), ("PROMO", "plain"), ("SMALL", None)]
 BINS = ["0-25", "25-50", "50-75", "75-100"]  # fixed values: the quarters of the work
@@ -129,3 +130,36 @@ def repeated_operations(spark, sf_dir):
     result = F.when(F.col("value") > 5, "success").otherwise("failed")
     e = _numbered(spark, sf_dir).select("user_id", "step", F.col("event_type").alias("verb"), (F.col("event_id") % 4).alias("key"), result.alias("result"))
     return imports.repeated_operations(e, ["user_id", "key", "verb"], "step")
+
+
+@query(
+    "label_shapes",
+    """
+WITH r AS (
+  SELECT l_orderkey AS image, concat_ws('-', l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS id, CASE WHEN l_linenumber < 7 THEN p_type END AS label,
+    l_discount * 1000 AS x, l_tax * 1000 AS y, l_quantity AS w, l_quantity / 2 AS h FROM lineitem JOIN part ON p_partkey = l_partkey),
+b AS (
+  SELECT *, greatest(0, round_even(x / 100.0::DOUBLE * 4032, 0)::BIGINT) AS x0, greatest(0, round_even(y / 100.0::DOUBLE * 3040, 0)::BIGINT) AS y0,
+    least(4032, round_even(x / 100.0::DOUBLE * 4032 + w / 100.0::DOUBLE * 4032, 0)::BIGINT + 1) AS x1, least(3040, round_even(y / 100.0::DOUBLE * 3040 + h / 100.0::DOUBLE * 3040, 0)::BIGINT + 1) AS y1 FROM r),
+o AS (
+  SELECT *, CASE WHEN label IS NULL THEN 'unlabeled' WHEN label = 'STANDARD' THEN 'unknown' WHEN label = 'LARGE' THEN 'skipped' WHEN x1 <= x0 OR y1 <= y0 THEN 'degenerate' WHEN label = 'PROMO' THEN 'hint' ELSE 'shape' END AS outcome FROM b)
+SELECT image, id, label, outcome, CASE WHEN x1 > x0 AND y1 > y0 THEN concat_ws(' ', x0, y0, x1, y1) END AS box,
+  CASE WHEN outcome = 'shape' THEN 'ls:' || label || '#' || row_number() OVER (PARTITION BY image, outcome, label ORDER BY x, y, id) END AS key FROM o""",
+)
+def label_shapes(spark, sf_dir):
+    """Order lines as rectangles of an export, part types as labels."""
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_type")
+    line = table(spark, sf_dir, "lineitem").join(part, "l_partkey")
+    x, y = F.col("l_discount") * 1000, F.col("l_tax") * 1000
+    none = F.lit(None).cast("double")
+    value = F.struct(
+        x.alias("x"), y.alias("y"), F.col("l_quantity").alias("width"), (F.col("l_quantity") / 2).alias("height"), none.alias("rotation"), none.alias("radiusX"), none.alias("radiusY"),
+        F.lit(None).cast("array<array<double>>").alias("points"),
+    )
+    results = line.select(
+        F.col("l_orderkey").alias("image"), F.concat_ws("-", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice").alias("id"), F.lit("rectangle").alias("type"),
+        F.when(F.col("l_linenumber") < 7, F.col("p_type")).alias("label"), x.alias("x"), y.alias("y"), value.alias("value"), F.lit(4032).alias("width"), F.lit(3040).alias("height"),
+    )
+    labels = spark.createDataFrame([("ECONOMY", "a", False), ("LARGE", None, False), ("MEDIUM", "b", False), ("PROMO", None, True), ("SMALL", "c", None)], "label string, cls string, hint boolean")
+    box = F.when(F.col("box").isNotNull(), F.concat_ws(" ", "box.x0", "box.y0", "box.x1", "box.y1"))
+    return shapes.import_shapes(results, labels).select("image", "id", "label", "outcome", box.alias("box"), "key")

@@ -64,13 +64,13 @@ def capture_groups(listing: DataFrame) -> DataFrame:
     return g.withColumn("ts", F.try_to_timestamp("token", F.lit("yyyyMMdd_HHmmss_SSS")).cast("timestamp_ntz"))
 
 
-RESULT = "array<struct<id: string, type: string, from_id: string, to_id: string, labels: array<string>, value: struct<x: double, y: double, width: double, height: double, rotation: double, points: array<array<double>>, labels: array<string>, polygonlabels: array<string>, rectanglelabels: array<string>>>>"
+RESULT = "array<struct<id: string, type: string, from_id: string, to_id: string, labels: array<string>, value: struct<x: double, y: double, width: double, height: double, rotation: double, radiusX: double, radiusY: double, points: array<array<double>>, labels: array<string>, polygonlabels: array<string>, rectanglelabels: array<string>>>>"
 TASK = "struct<data: struct<image: string>, annotations: array<struct<result: string>>>"
 EXPORT = f"projects array<struct<title: string, tasks: array<{TASK}>>>"
 
 
 def label_results(spark: SparkSession, path: str) -> DataFrame:
-    """One row for each result of a label-tool export: (image, id, type, label, x, y, from_id, to_id).
+    """One row for each result of a label-tool export: (image, id, type, label, x, y, from_id, to_id, value).
 
     `Metadata` projects are skipped and the first label of a result wins; the order within an image is x, y, id.
     """
@@ -79,7 +79,7 @@ def label_results(spark: SparkSession, path: str) -> DataFrame:
     tasks = projects.select(F.explode("p.tasks").alias("t"))
     results = tasks.select(F.col("t.data.image").alias("image"), F.explode("t.annotations").alias("a")).select("image", F.explode(F.from_json("a.result", RESULT)).alias("r"))
     label = F.coalesce(*[F.get(F.col(c), 0) for c in ("r.value.labels", "r.value.polygonlabels", "r.value.rectanglelabels", "r.labels")])
-    return results.select("image", F.col("r.id").alias("id"), F.col("r.type").alias("type"), label.alias("label"), F.col("r.value.x").alias("x"), F.col("r.value.y").alias("y"), F.col("r.from_id").alias("from_id"), F.col("r.to_id").alias("to_id"))
+    return results.select("image", F.col("r.id").alias("id"), F.col("r.type").alias("type"), label.alias("label"), F.col("r.value.x").alias("x"), F.col("r.value.y").alias("y"), F.col("r.from_id").alias("from_id"), F.col("r.to_id").alias("to_id"), F.col("r.value").alias("value"))
 
 
 def relations(results: DataFrame) -> DataFrame:

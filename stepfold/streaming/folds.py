@@ -23,8 +23,13 @@ def file_stream(spark: SparkSession, folder: str, name: str, schema: T.StructTyp
 
 
 def _versions(spark: SparkSession, folder: str, batch: int) -> tuple[DataFrame | None, str]:
-    last = [b for b in range(batch - 1, -1, -1) if _exists(spark, f"{folder}/{b}/_SUCCESS")][:1]
-    return (spark.read.parquet(f"{folder}/{last[0]}") if last else None), f"{folder}/{batch}"
+    return _newest(spark, folder, batch - 1), f"{folder}/{batch}"
+
+
+def _newest(spark: SparkSession, folder: str, batch: int) -> DataFrame | None:
+    """The finished version of the batch, or else of the latest one before it: one look where no batch was empty."""
+    last = next((b for b in range(batch, -1, -1) if _exists(spark, f"{folder}/{b}/_SUCCESS")), None)
+    return None if last is None else spark.read.parquet(f"{folder}/{last}")
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -37,8 +42,7 @@ def _run(stream: DataFrame, folder: str, step) -> DataFrame | None:
     query.awaitTermination()
     spark = stream.sparkSession
     done = (query.lastProgress or {}).get("batchId", -1)
-    last = [b for b in range(done, -1, -1) if _exists(spark, f"{folder}/{b}/_SUCCESS")][:1]
-    return spark.read.parquet(f"{folder}/{last[0]}") if last else None
+    return _newest(spark, folder, done)
 
 
 def fold(stream: DataFrame, keys: list[str], order: list[str], folder: str | None = None) -> DataFrame:

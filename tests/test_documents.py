@@ -3,7 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from stepfold.operators import documents, imports, tasks
+from stepfold.operators import aggregates, documents, imports, tasks
+from stepfold.sources import shapes
 
 BOX = "struct<x0:double,y0:double,x1:double,y1:double>"
 
@@ -85,3 +86,26 @@ def test_import_logs(spark):
     held = {(r.machine, r.key): r.raw_names for r in got["instances"].collect()}
     assert held[1, "screw.01"] == ["bolt 1", "bolt 1 again"] and held[1, "fan.01"] == ["try the fan", "fan"] and held[2, "chassis"] == [] and len(held) == 6
     assert all(df.count() == 0 for df in imports.import_logs(parsed.limit(0)).values())
+
+
+def test_pixel_boxes(spark):
+    value = "struct<x:double,y:double,width:double,height:double,rotation:double,radiusX:double,radiusY:double,points:array<array<double>>>"
+    rows = [
+        ("rectangle", (10.0, 10.0, 20.0, 10.0, None, None, None, None)),
+        ("rectangle", (50.0, 50.0, 20.0, 10.0, 90.0, None, None, None)),
+        ("ellipse", (50.0, 50.0, None, None, 0.0, 10.0, 5.0, None)),
+        ("polygon", (None, None, None, None, None, None, None, [[1.0, 2.0], [5.0, 2.0], [3.0, 120.0]])),
+        ("polygon", (None, None, None, None, None, None, None, [[1.0, 2.0], [5.0, 2.0]])),
+        ("rectangle", (100.0, 10.0, 20.0, 10.0, None, None, None, None)),
+        ("choices", (10.0, 10.0, 20.0, 10.0, None, None, None, None)),
+        ("rectangle", None),
+    ]
+    df = spark.createDataFrame([(i, k, v) for i, (k, v) in enumerate(rows)], f"i long, kind string, value {value}")
+    got = df.select("i", shapes.pixel_box(F.col("kind"), F.col("value"), F.lit(200), F.lit(100)).alias("b")).orderBy("i").collect()
+    assert [r.b and tuple(r.b) for r in got] == [(20, 10, 61, 21), (90, 50, 101, 91), (80, 45, 121, 56), (2, 2, 11, 100), None, None, None, None]
+
+
+def test_bands_of_ties_and_nulls(spark):
+    values = [1.0] * 5 + [2.0] * 3 + [9.0, None, None]
+    df = spark.createDataFrame([("a", v) for v in values] + [("b", 1.0)], "k string, v double")
+    assert [tuple(r) for r in aggregates.bands(df, ["k"], "v", 2).collect()] == [("a", 1.0, 1.0, 9.0, 9)]
