@@ -8,7 +8,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A word: everything between ASCII white space (space, tab, line feed, vertical tab, form feed, carriage return).
@@ -32,6 +32,19 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def numbered(df: DataFrame, column: str) -> DataFrame:
+    """`df`, whose partitions and rows stand in order, with the place of each row among all, from 0. It is computed once.
+
+    The place in the partition is added to the number of rows before the partition; of that there is one row for each
+    partition, which is what the broadcast holds, and no task sees all rows.
+    """
+    place = F.monotonically_increasing_id() % (1 << 33)
+    placed = cut(df.select("*", F.spark_partition_id().alias("_part"), place.alias("_place")))
+    before = F.sum("_rows").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    starts = placed.groupBy("_part").agg(F.count("*").alias("_rows")).select("_part", F.coalesce(before, F.lit(0)).alias("_start"))
+    return placed.join(F.broadcast(starts), "_part").select(*df.columns, (F.col("_start") + F.col("_place")).alias(column))
+
+
 def row_key(*cols: str) -> Column:
     """A hash of the named columns that never is null; equal rows get equal keys and so equal decisions."""
     return F.xxhash64(*[x for c in cols for x in (F.col(c).isNull(), F.coalesce(F.col(c).cast("string"), F.lit("")))])

@@ -9,7 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stepfold.llm import chat, decontam, lines, lm, mixing, pii, search, simhash, substrings, toxicity
+from stepfold.llm import chat, decontam, lines, lm, merkle, mixing, pii, quality, search, simhash, substrings, toxicity, trie
+from stepfold.llm.common import cut
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -101,6 +102,34 @@ def op10_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.top_k(docs, queries)
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns, convs = trie.placed_turns(table(spark, sf_dir, "conversations"))
+    conv = F.col("conv_id")
+    found = trie.members(*trie.respliced(turns, convs, conv - conv % 5, F.crc32(conv.cast("string")) % 9))
+    ended = trie.ends_digest(found)
+    nothing = F.sha2(F.lit("").cast("binary"), 256)
+    return trie.nodes(found).join(ended, ["conv_id", "depth"], "left").withColumn("ends_sha256", F.coalesce("ends_sha256", nothing))
+
+
+def op12_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.classify(docs, quality.learn(docs, table(spark, sf_dir, "labels")))
+
+
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+
+def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    columns = ["doc_id", "source", "lang", "n_chars", "text"]
+    leaf = lambda text: merkle.leaf_of(*[F.col(c) for c in columns[:-1]], text)
+    changed = F.when(F.crc32(F.col("doc_id").cast("string")) % 3 == 0, leaf(F.translate("text", UPPER, UPPER.lower())))
+    leaves = docs.select("doc_id", "lang", leaf(F.col("text")).alias("leaf"), changed.alias("changed"))
+    proven = merkle.manifest(cut(leaves), "lang", ["doc_id"])
+    folded = proven.select("doc_id", "leaf", "subroot", "root", F.sha2(merkle.siblings(F.col("proof")), 256).alias("proof_sha256"), merkle.fold(F.coalesce("changed", "leaf"), F.col("proof")).alias("folded_root"))
+    return folded.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
     "op2_lm_score": op2_lm_score,
@@ -113,8 +142,51 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": op8_simhash,
     "op9_toxicity": op9_toxicity,
     "op10_search": op10_search,
+    "op11_prefix_trie": op11_prefix_trie,
+    "op12_quality": op12_quality,
+    "op13_manifest": op13_manifest,
 }
 
+def manifest_sql(leaf_levels: int = 8, group_levels: int = 4) -> str:
+    """A common table for each level: digests `d` by group `g` and place `i`, then siblings by run, then the folds."""
+
+    def levels(name: str, n: int, deal: str) -> str:
+        """Nodes of a level, with what stands left and right of each in its run; a group that is down to one node stays."""
+        made = ""
+        for k in range(n):
+            made += f"""
+{name}{k}s AS (SELECT *, count(*) OVER ({deal}) AS n, coalesce(string_agg(d, '') OVER (PARTITION BY g, i // 8 ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+  coalesce(string_agg(d, '') OVER (PARTITION BY g, i // 8 ORDER BY i ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r FROM {name}{k}),
+{name}{k + 1} AS (SELECT g, i // 8 AS i, CASE WHEN any_value(n) = 1 THEN any_value(d) ELSE sha256(string_agg(d, '' ORDER BY i)) END AS d FROM {name}{k}s GROUP BY g, i // 8),"""
+        return made
+
+    deal = "PARTITION BY g"
+    field = lambda c: f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')"
+    head = " || ".join(field(c) for c in ("doc_id", "source", "lang", "n_chars"))
+    low = f"translate(text, '{UPPER}', '{UPPER.lower()}')"
+    joins = "".join(f" JOIN a{k}s ON a{k}s.g = x.g AND a{k}s.i = x.i // {8**k}" for k in range(leaf_levels)) + "".join(f" JOIN b{k}s ON b{k}s.i = x.t // {8**k}" for k in range(group_levels))
+    steps = [f"{t}{k}s" for t, n in (("a", leaf_levels), ("b", group_levels)) for k in range(n)]
+    folds, last = "", "x0"
+    for k, s in enumerate(steps):
+        folds += f"f{k} AS (SELECT *, CASE WHEN n{k} = 1 THEN {last} ELSE sha256(l{k} || {last} || r{k}) END AS x{k + 1} FROM {f'f{k - 1}' if k else 'p'}),\n"
+        last = f"x{k + 1}"
+    paths = ", ".join(f"{s}.n AS n{k}, {s}.l AS l{k}, {s}.r AS r{k}" for k, s in enumerate(steps))
+    return f"""
+WITH o AS (SELECT *, sha256({head} || {field("text")}) AS leaf, CASE WHEN c % 3 = 0 THEN sha256({head} || {field(low)}) END AS changed
+  FROM (SELECT *, {CRC_SQL.format("doc_id")} AS c FROM documents)),
+x AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS g, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS t FROM o),
+a0 AS (SELECT g, i, leaf AS d FROM x),{levels("a", leaf_levels, deal)}
+b0 AS (SELECT 0 AS g, g AS i, d FROM a{leaf_levels}),{levels("b", group_levels, deal)}
+p AS (SELECT doc_id, leaf, a{leaf_levels}.d AS subroot, b{group_levels}.d AS root, coalesce(changed, leaf) AS x0, {paths} FROM x{joins} JOIN a{leaf_levels} ON a{leaf_levels}.g = x.g CROSS JOIN b{group_levels}),
+{folds}z AS (SELECT doc_id, leaf, subroot, root, sha256({" || ".join(f"l{k} || r{k}" for k in range(len(steps)))}) AS proof_sha256, {last} AS folded_root FROM f{len(steps) - 1})
+SELECT *, folded_root = root AS verified FROM z
+"""
+
+
+#: CRC-32 of a number's digits, byte by byte and bit by bit; DuckDB has no function for it.
+CRC_SQL = "list_reduce(list_prepend(4294967295::UBIGINT, list_transform(range(1, strlen(CAST({0} AS VARCHAR)) + 1), lambda i: ascii(CAST({0} AS VARCHAR)[i])::UBIGINT)), lambda h, b: list_reduce(list_prepend(xor(h, b), list_transform(range(8), lambda z: z::UBIGINT)), lambda v, z: xor(v >> 1, 3988292384::UBIGINT * (v & 1))))"
+CRC_SQL = f"xor({CRC_SQL}, 4294967295::UBIGINT)"
+
 WORDS_SQL = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 ORACLES: dict[str, str] = {
@@ -181,6 +253,24 @@ sd AS (SELECT DISTINCT doc_id, w[p:p + k - 1] AS s FROM (SELECT d.*, k, unnest(r
 SELECT doc_id, item_id, any_value(n) AS n_shingles, count(*) AS n_found FROM sd JOIN si USING (s) JOIN n USING (item_id)
 GROUP BY doc_id, item_id HAVING count(*) >= {decontam.CONTAINMENT} * any_value(n)
 """,
+    "op11_prefix_trie": f"""
+WITH t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS i FROM conversations WHERE conv_id IS NOT NULL),
+n AS (SELECT conv_id, count(*) AS n FROM t GROUP BY 1),
+c AS (SELECT a.conv_id, a.conv_id - a.conv_id % 5 AS donor, h, a.n, least(h, coalesce(b.n, 0)) AS k, least(h, coalesce(b.n, 0)) + greatest(a.n - h, 0) AS len
+  FROM (SELECT *, ({CRC_SQL.format("conv_id")} % 9)::BIGINT AS h FROM n) a LEFT JOIN n b ON b.conv_id = a.conv_id - a.conv_id % 5),
+s AS (SELECT c.conv_id, i AS pos, role, text FROM c JOIN t ON t.conv_id = c.donor AND i < k UNION ALL SELECT c.conv_id, i - h + k, role, text FROM c JOIN t USING (conv_id) WHERE i >= h),
+p AS (SELECT conv_id, pos + 1 AS depth, strlen(text) AS size, string_agg(sha256(strlen(role) || ':' || role || text), '') OVER (PARTITION BY conv_id ORDER BY pos) AS key FROM s UNION ALL SELECT conv_id, 0, 0, '' FROM c),
+g AS (SELECT depth, key, min(conv_id) AS node, count(*) AS n_convs, any_value(size) AS size FROM p GROUP BY 1, 2),
+m AS (SELECT p.conv_id, p.depth, node, n_convs FROM p JOIN g USING (depth, key)),
+k AS (SELECT g.node, g.depth, u.node AS parent FROM g LEFT JOIN m u ON u.conv_id = g.node AND u.depth = g.depth - 1),
+q AS (SELECT parent AS node, depth - 1 AS depth, count(*) AS n_children FROM k GROUP BY 1, 2),
+w AS (SELECT m.node, m.depth, count(*) FILTER (q.n_children IS NULL) AS n_leaves, sum((g.n_convs - 1) * g.size) AS saved_tokens
+  FROM g JOIN m ON m.conv_id = g.node AND m.depth <= g.depth LEFT JOIN q ON q.node = g.node AND q.depth = g.depth GROUP BY 1, 2),
+e AS (SELECT m.node, m.depth, string_agg(m.conv_id::VARCHAR, ',' ORDER BY m.conv_id) AS ended FROM m JOIN c ON c.conv_id = m.conv_id AND c.len = m.depth GROUP BY 1, 2)
+SELECT g.node AS conv_id, g.depth, k.parent AS parent_conv_id, g.n_convs, coalesce(n_children, 0) AS n_children, n_leaves, saved_tokens::BIGINT AS saved_tokens, sha256(coalesce(ended, '')) AS ends_sha256
+FROM g JOIN k USING (node, depth) JOIN w USING (node, depth) LEFT JOIN q USING (node, depth) LEFT JOIN e USING (node, depth)
+""",
+    "op13_manifest": manifest_sql(),
     "op10_search": f"""
 WITH w AS (SELECT doc_id, unnest({WORDS_SQL.replace("text", "lower(text)")}) AS w FROM documents WHERE doc_id IS NOT NULL),
 t AS (SELECT doc_id, w, count(*) AS c FROM w GROUP BY doc_id, w),
