@@ -17,15 +17,16 @@ def outdated(inputs: DataFrame, stamps: DataFrame, keys: list[str], version: int
     return inputs.join(current, [*keys, "digest", "n_rows"], "left_anti")
 
 
-def refresh_actions(stored: DataFrame, fresh: DataFrame, keys: list[str], distance: Column, tolerance: Column) -> DataFrame:
+def refresh_actions(stored: DataFrame, fresh: DataFrame, keys: list[str], distance: Column, tolerance: Column, measured: dict[str, Column] | None = None) -> DataFrame:
     """What a refresh does with each row: insert, update, delete, keep, or queue a conflict.
 
     Verified rows are never written: they are queued when `distance` (of stored_value and fresh_value) exceeds the
-    tolerance or when the row vanished. Other rows follow the fresh side.
+    tolerance or when the row vanished. Other rows follow the fresh side. `measured` columns are computed first and
+    stay, so that `distance` may name one.
     """
     s = stored.select(*keys, F.col("value").alias("stored_value"), "status", F.lit(True).alias("_s"))
     f = fresh.select(*keys, F.col("value").alias("fresh_value"), F.lit(True).alias("_f"))
-    both = s.join(f, keys, "full_outer")
+    both = s.join(f, keys, "full_outer").withColumns(measured or {})
     frozen = F.col("status").eqNullSafe("verified")
     action = (
         F.when(F.col("_s").isNull(), "insert")
