@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stepfold.operators.state import gated_verbs, unmet
+from stepfold.operators.state import stopped
 
 # Labels that show a part well enough to be asked about, and the two causes of a certain no.
 ANSWERABLE = ["visible", "visible_tiny", "occluded_partial"]
@@ -29,17 +31,17 @@ def pointable(rows: DataFrame, verified_only: bool = False) -> DataFrame:
     return rows.where(ok & (F.col("status") == "verified") if verified_only else ok)
 
 
-def certain_noes(state: DataFrame, edges: DataFrame, verbs: DataFrame) -> DataFrame:
-    """(key, verb, cause): actions that are certainly impossible in a state.
+def certain_noes(state: DataFrame, edges: DataFrame, verbs: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(by, key, verb, cause): actions that are certainly impossible in a state; keys are unique within `by`.
 
     verbs: (verb, cls, to_state). The graph blocks an action that would apply; the state rules out a verb of the class
     that has happened already or comes too late.
     """
     every = state.join(F.broadcast(verbs), "cls")  # a vocabulary: one row for each verb and class
     applies = (F.col("state") != "removed") & (F.col("state") != F.col("to_state"))
-    stopped = unmet(edges, state).select(F.col("target").alias("key"), F.explode(gated_verbs(F.col("type"), F.col("mode"))).alias("verb")).distinct()
-    graph = every.where(applies).join(stopped, ["key", "verb"], "left_semi").select("key", "verb", F.lit(GRAPH).alias("cause"))
-    return graph.union(every.where(~applies).select("key", "verb", F.lit(STATE)))
+    gated = stopped(edges, state, by).distinct()
+    graph = every.where(applies).join(gated, [*by, "key", "verb"], "left_semi").select(*by, "key", "verb", F.lit(GRAPH).alias("cause"))
+    return graph.union(every.where(~applies).select(*by, "key", "verb", F.lit(STATE)))
 
 
 def matched_noes(demonstrated: DataFrame, noes: DataFrame, by: list[str], spoken: DataFrame) -> DataFrame:

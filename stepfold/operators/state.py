@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -95,34 +97,42 @@ def removal_cascade(instances: DataFrame, removed: DataFrame, key: str, parent:
     return state.select(F.col("k").alias(key), gone.alias("gone_at"), F.when(claimed, F.col("claim.ancestor")).alias("left_with")).where("gone_at is not null")
 
 
-def unmet(edges: DataFrame, state: DataFrame) -> DataFrame:
-    """Active edges (target, type, mode, blocker, status) whose blocker's state (key, state) does not satisfy them."""
+def unmet(edges: DataFrame, state: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Active edges (by, target, type, mode, blocker, status) whose blocker's state (by, key, state) does not satisfy them.
+
+    `by` names what keys are unique in, such as the machine; without it keys must be unique in the whole table.
+    """
     active = edges.where(~F.col("status").isin(INACTIVE))
-    joined = active.join(state.select(F.col("key").alias("blocker"), F.col("state").alias("blocker_state")), "blocker", "left")
+    joined = active.join(state.select(*by, F.col("key").alias("blocker"), F.col("state").alias("blocker_state")), [*by, "blocker"], "left")
     return joined.where(~satisfied(F.col("type"), F.col("blocker_state")))
 
 
-def legal_actions(state: DataFrame, edges: DataFrame, verbs: DataFrame) -> DataFrame:
-    """(key, verb) pairs that apply in a state and that no unmet edge gates.
+def stopped(edges: DataFrame, state: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(by, key, verb) that an unmet edge gates."""
+    return unmet(edges, state, by).select(*by, F.col("target").alias("key"), F.explode(gated_verbs(F.col("type"), F.col("mode"))).alias("verb"))
+
+
+def legal_actions(state: DataFrame, edges: DataFrame, verbs: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(by, key, verb) that apply in a state and that no unmet edge gates.
 
-    state: (key, cls, state); verbs: (verb, cls, to_state), the vocabulary: a removed part takes no verb, nor does one
-    that is already in the verb's state.
+    state: (by, key, cls, state); verbs: (verb, cls, to_state), the vocabulary: a removed part takes no verb, nor does one
+    that is already in the verb's state. For `by` see `unmet`.
     """
-    possible = state.join(F.broadcast(verbs), "cls").where("state <> 'removed' and state <> to_state").select("key", "verb")
-    stopped = unmet(edges, state).select(F.col("target").alias("key"), F.explode(gated_verbs(F.col("type"), F.col("mode"))).alias("verb"))
-    return possible.join(stopped, ["key", "verb"], "left_anti")
+    possible = state.join(F.broadcast(verbs), "cls").where("state <> 'removed' and state <> to_state").select(*by, "key", "verb")
+    return possible.join(stopped(edges, state, by), [*by, "key", "verb"], "left_anti")
 
 
-def replay_violations(events: DataFrame, actions: DataFrame, edges: DataFrame) -> DataFrame:
+def replay_violations(events: DataFrame, actions: DataFrame, edges: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Successful actions with an unmet edge in the state just before them: (action_id, type, blocker).
 
-    events: (key, step, seq, state); actions: (action_id, key, verb, step, seq). The blocker's state before an action is
-    the last event of smaller (step, seq): both logs are stacked and swept once for each blocker.
+    events: (by, key, step, seq, state); actions: (action_id, by, key, verb, step, seq). The blocker's state before an
+    action is the last event of smaller (step, seq): both logs are stacked and swept once for each blocker. For `by` see
+    `unmet`.
     """
-    gates = edges.where(~F.col("status").isin(INACTIVE)).withColumn("verb", F.explode(gated_verbs(F.col("type"), F.col("mode"))))
-    asked = actions.join(gates, (actions["key"] == gates["target"]) & (actions["verb"] == gates["verb"])).select("action_id", F.col("blocker").alias("key"), "type", "step", "seq", F.lit(None).cast("string").alias("state"))
-    log = events.select(F.lit(None).cast(actions.schema["action_id"].dataType).alias("action_id"), "key", F.lit(None).cast("string").alias("type"), "step", "seq", "state")
-    before = Window.partitionBy("key").orderBy("step", "seq", F.col("action_id").isNull()).rowsBetween(Window.unboundedPreceding, -1)
+    gates = edges.where(~F.col("status").isin(INACTIVE)).withColumn("verb", F.explode(gated_verbs(F.col("type"), F.col("mode")))).withColumnRenamed("target", "key")
+    asked = actions.join(gates.select(*by, "key", "verb", "type", "blocker"), [*by, "key", "verb"]).select("action_id", *by, F.col("blocker").alias("key"), "type", "step", "seq", F.lit(None).cast("string").alias("state"))
+    log = events.select(F.lit(None).cast(actions.schema["action_id"].dataType).alias("action_id"), *by, "key", F.lit(None).cast("string").alias("type"), "step", "seq", "state")
+    before = Window.partitionBy(*by, "key").orderBy("step", "seq", F.col("action_id").isNull()).rowsBetween(Window.unboundedPreceding, -1)
     swept = asked.union(log).withColumn("was", F.last("state", ignorenulls=True).over(before)).where("action_id is not null")
     return swept.where(~satisfied(F.col("type"), F.col("was"))).select("action_id", "type", F.col("key").alias("blocker"))
 

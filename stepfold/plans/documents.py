@@ -97,7 +97,7 @@ def progress_records(spark, sf_dir):
 
 
 @query(
-    "sequence_issues",
+    "log_sequence_issues",
     """
 WITH e AS (
   SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS step,
@@ -108,7 +108,7 @@ SELECT user_id, step, CASE WHEN said = '' THEN 'blank' WHEN v IS NULL THEN 'not
   WHEN v = b + 2 THEN 'skips ' || (b + 1) ELSE 'skips ' || (b + 1) || '-' || (v - 1) END AS issue
 FROM w WHERE said = '' OR v IS NULL OR first < step OR v > b + 1""",
 )
-def sequence_issues(spark, sf_dir):
+def log_sequence_issues(spark, sf_dir):
     e = _numbered(spark, sf_dir)
     odd = F.col("event_id") % 11
     number = F.when(odd == 3, None).when(odd == 4, " ").when(odd == 5, F.concat(F.lit("x"), F.col("event_id").cast("string"))).when(odd == 6, "2.0").otherwise((F.col("step") * 2 - F.col("event_id") % 2).cast("string"))
@@ -121,12 +121,12 @@ def _numbered(spark, sf_dir):
 
 
 @query(
-    "repeated_operations",
+    "log_repeated_operations",
     """
 WITH e AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS step, event_type AS verb, event_id % 4 AS key, value > 5 AS ok FROM events)
 SELECT * FROM (SELECT user_id, key, verb, step, lag(step) OVER (PARTITION BY user_id, key, verb ORDER BY step) AS before FROM e WHERE ok) WHERE before IS NOT NULL""",
 )
-def repeated_operations(spark, sf_dir):
+def log_repeated_operations(spark, sf_dir):
     result = F.when(F.col("value") > 5, "success").otherwise("failed")
     e = _numbered(spark, sf_dir).select("user_id", "step", F.col("event_type").alias("verb"), (F.col("event_id") % 4).alias("key"), result.alias("result"))
     return imports.repeated_operations(e, ["user_id", "key", "verb"], "step")

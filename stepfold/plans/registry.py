@@ -11,9 +11,11 @@ ORACLES: dict[str, str] = {}
 
 
 def query(name: str, sql: str | None = None) -> Callable:
-    """Register a function (spark, sf_dir) -> DataFrame, with the SQL that gives the same rows."""
+    """Register a function (spark, sf_dir) -> DataFrame, with the SQL that gives the same rows; names are unique."""
 
     def register(f: Callable) -> Callable:
+        if name in QUERIES:
+            raise ValueError(f"two queries are named {name}")
         QUERIES[name] = f
         if sql is not None:
             ORACLES[name] = sql

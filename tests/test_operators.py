@@ -212,3 +212,23 @@ def test_pick_is_stable(spark):
     import zlib
 
     assert all(r.t == "abc"[zlib.crc32(r.r.encode()) % 3] for r in got)
+
+
+def test_equal_keys_on_two_machines(spark):
+    """The screw is tight on machine 1 and gone on machine 2: each machine answers for itself."""
+    now = spark.createDataFrame([(m, "psu.01", "psu", "installed") for m in (1, 2)] + [(1, "screw.01", "screw", "tight"), (2, "screw.01", "screw", "removed")], "machine int, key string, cls string, state string")
+    edges = spark.createDataFrame([(m, "psu.01", "fastened_by", "screw.01", None, "accepted") for m in (1, 2)], "machine int, target string, type string, blocker string, mode string, status string")
+    verbs = spark.createDataFrame([("remove", "psu", "removed"), ("unscrew", "screw", "removed")], "verb string, cls string, to_state string")
+    assert [r.machine for r in state.unmet(edges, now, ["machine"]).collect()] == [1]
+    assert sorted(tuple(r) for r in state.legal_actions(now, edges, verbs, ["machine"]).collect()) == [(1, "screw.01", "unscrew"), (2, "psu.01", "remove")]
+    assert sorted(tuple(r) for r in questions.certain_noes(now, edges, verbs, ["machine"]).collect()) == [(1, "psu.01", "remove", "blocked_by_graph"), (2, "screw.01", "unscrew", "inapplicable")]
+    log = spark.createDataFrame([(1, "screw.01", 0, 0, "tight"), (2, "screw.01", 0, 0, "tight"), (2, "screw.01", 1, 0, "removed")], "machine int, key string, step int, seq int, state string")
+    done = spark.createDataFrame([("a", 1, "psu.01", "remove", 2, 0), ("b", 2, "psu.01", "remove", 2, 0)], "action_id string, machine int, key string, verb string, step int, seq int")
+    assert [r.action_id for r in state.replay_violations(log, done, edges, ["machine"]).collect()] == ["a"]
+
+
+def test_query_names_are_unique():
+    from stepfold.plans import registry
+
+    with pytest.raises(ValueError):
+        registry.query("legal_actions")(lambda spark, sf_dir: None)
