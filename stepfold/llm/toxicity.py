@@ -19,8 +19,11 @@ from pyspark.sql import functions as F
 
 SAMPLE_ROWS = 6000  #: labelled rows that reach the driver for fitting, at most
 SAMPLE_TEXT_BYTES = 1 << 16  #: longer texts are not learned from, so the sample has 400 MB at most; all are scored
-WINDOW = 3  #: words; in longer windows the noise of ordinary words drowns a match
-DICTIONARY_BYTES = 4096  #: of either dictionary, at most
+#: Words of a window, to choose from: in longer ones the noise of ordinary words drowns a match, in shorter ones a match of
+#: several words is cut. `fit` takes the length of least loss by cross-validation within the sample.
+WINDOWS = (1, 2, 3, 4)
+DICTIONARY_BYTES = 4096  #: of either trained dictionary, at most
+RAW_BYTES = 1 << 14  #: of a dictionary of samples that are too few for training, at most; the compressor's window holds two
 FRAGMENTS = (6, 8)  #: bytes of the fragments whose texts are counted; words are led and followed by a space
 CHANCE = 1.0  #: number of fragments that are expected to count as telling by chance, at most
 LIFT = 3.0  #: times that a telling fragment is commoner in toxic texts, at least
@@ -40,7 +43,7 @@ def words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().translate(LETTERS_ONLY).split()
 
 
-def windows(text: str | None, n: int = WINDOW) -> list[bytes]:
+def windows(text: str | None, n: int) -> list[bytes]:
     """Consecutive windows of n words that together cover the whole text."""
     w = words(text)
     return [b" %b " % b" ".join(w[i : i + n]) for i in range(0, len(w), n)]
@@ -51,6 +54,7 @@ class Classifier:
     ordinary: bytes
     toxic: bytes
     weights: list[float]
+    window: int = WINDOWS[0]
     mean: list[float] = field(default_factory=lambda: [0.0] * N_FEATURES)
     spread: list[float] = field(default_factory=lambda: [1.0] * N_FEATURES)
 
@@ -66,7 +70,7 @@ class Classifier:
 
     def features(self, text: str | None, pair=None) -> list[float]:
         ordinary, toxic = pair or self.compressors()
-        d = np.array([len(ordinary(w + PAD)) - len(toxic(w + PAD)) for w in windows(text)], dtype=float)
+        d = np.array([len(ordinary(w + PAD)) - len(toxic(w + PAD)) for w in windows(text, self.window)], dtype=float)
         strong = np.array([(d >= g).sum() for g in GAINS])
         return [*np.log((strong + 0.25) / (len(d) + 5)), *np.log1p(strong), np.log1p(len(d)), d.mean() if len(d) else 0.0]
 
@@ -145,19 +149,39 @@ def telling_stretches(toxic: list[np.ndarray], ordinary: list[np.ndarray]) -> li
 
 
 def trained(samples: list[bytes]) -> bytes:
-    """The bytes of a dictionary that zstandard trains; of few samples, the samples themselves."""
+    """The bytes of a dictionary that zstandard trains. It refuses too few samples; then the dictionary is all of the
+    distinct samples, whole, and where these are more than a dictionary may hold, the refusal stands."""
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
     except zstandard.ZstdError:
-        return b"".join(sorted(set(samples)))[-DICTIONARY_BYTES:]
+        whole = b"".join(sorted(set(samples)))
+        if len(whole) > RAW_BYTES:
+            raise
+        return whole
 
 
-def dictionaries(rows: list[tuple[str | None, int]]) -> Classifier:
-    """A classifier with both dictionaries and no weights yet."""
+def dictionaries(rows: list[tuple[str | None, int]], lengths=WINDOWS) -> list[Classifier]:
+    """For each window length a classifier with both dictionaries and no weights yet."""
     of = lambda y: [np.frombuffer(b" %b " % b" ".join(words(t)), np.uint8) for t, k in rows if k == y]
-    plain = [w for t, y in rows if not y for w in windows(t)]
-    plain = [plain[i] for i in np.random.default_rng(0).permutation(len(plain))[:PLAIN_WINDOWS]]
-    return Classifier(trained(plain), trained(telling_stretches(of(1), of(0))), [0.0] * (N_FEATURES + 1))
+    toxic, out = trained(telling_stretches(of(1), of(0))), []
+    for n in lengths:
+        plain = [w for t, y in rows if not y for w in windows(t, n)]
+        plain = [plain[i] for i in np.random.default_rng(0).permutation(len(plain))[:PLAIN_WINDOWS]]
+        out.append(Classifier(trained(plain), toxic, [0.0] * (N_FEATURES + 1), n))
+    return out
+
+
+def _folded_loss(x: np.ndarray, y: np.ndarray, folds: int = 5) -> float:
+    """Log loss of rows, each judged by a logistic model of the other folds."""
+    fold, loss = np.arange(len(y)) % folds, 0.0
+    for k in range(folds):
+        a, b = fold != k, fold == k
+        if b.any():
+            mean, spread = x[a].mean(axis=0), x[a].std(axis=0) + 1e-9
+            w = np.array(_logistic((x[a] - mean) / spread, y[a]))
+            z = ((x[b] - mean) / spread @ w[1:] + w[0]).clip(-30, 30)
+            loss += float(np.sum(np.logaddexp(0, z) - y[b] * z))
+    return loss / max(len(y), 1)
 
 
 def fit(rows: list[tuple[str | None, int]]) -> Classifier:
@@ -167,13 +191,16 @@ def fit(rows: list[tuple[str | None, int]]) -> Classifier:
     share = labels.mean() if len(rows) else 0.0
     if not 0 < share < 1:
         return Classifier(b"", b"", [30.0 if share else -30.0] + [0.0] * N_FEATURES)
-    # the dictionaries come from two thirds of the sample, the weights from the rest
+    # the dictionaries come from two thirds of the sample, the window's length and the weights from the rest
     draw, apart = np.random.default_rng(0), np.zeros(len(rows), dtype=bool)
     for y in (0, 1):
         apart[draw.permutation(np.flatnonzero(labels == y))[::3]] = labels.sum() >= 6
-    model = dictionaries([r for r, x in zip(rows, apart) if not x])
     judged = apart if apart.any() else ~apart
-    x = model.rows([t for (t, _), j in zip(rows, judged) if j])
+    found = []
+    for model in dictionaries([r for r, x in zip(rows, apart) if not x]):
+        x = model.rows([t for (t, _), j in zip(rows, judged) if j])
+        found.append((_folded_loss(x, labels[judged]), model.window, model, x))
+    _, _, model, x = min(found, key=lambda f: f[:2])
     model.mean, model.spread = x.mean(axis=0).tolist(), (x.std(axis=0) + 1e-9).tolist()
     model.weights = _logistic((x - x.mean(axis=0)) / (x.std(axis=0) + 1e-9), labels[judged])
     return model
