@@ -96,7 +96,8 @@ def members(turns: DataFrame, convs: DataFrame) -> DataFrame:
     """
     rows, names = prefixes(turns, convs)
     nodes = rows.groupBy("depth", *names).agg(F.min("conv_id").alias("node"), F.count("*").alias("n_convs"), F.sum((F.col("n") == F.col("depth")).cast("long")).alias("ends"))
-    return cut(rows.join(nodes, ["depth", *names]).select("conv_id", "depth", "n", "node", "n_convs", "ends", "size"))
+    # written, so that both sides of the join are shuffled and a node that holds many prefixes is split
+    return cut(rows.join(cut(nodes), ["depth", *names]).select("conv_id", "depth", "n", "node", "n_convs", "ends", "size"))
 
 
 def _from_here_on(rows: DataFrame, *columns: str) -> DataFrame:
