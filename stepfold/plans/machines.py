@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from stepfold.operators import derivation as D
 from stepfold.operators import questions as Q
+from stepfold.operators import planning as P
 from stepfold.operators import state as S
 from stepfold.plans.derivations import EDGES_SQL, instances
 from stepfold.plans.registry import query
@@ -82,3 +84,113 @@ def machine_replay_violations(spark, sf_dir):
     start = state.select("machine", "key", F.lit(-1).cast("long").alias("step"), F.lit(-1).alias("seq"), F.lit("installed").alias("state"))
     done = log.where("state = 'removed'").select(F.concat_ws("/", "machine", "key").alias("action_id"), "machine", "key", F.lit("remove").alias("verb"), "step", "seq")
     return S.replay_violations(start.unionByName(log), done, edges, BY)
+
+
+START = {"screw": "fastened", "connector": "plugged", "ram_latch": "closed", "cpu_socket_lever": "closed"}
+PLAIN = [c for c in CLASSES if c not in START]
+#: what a part of each class lets be done, and from where to where; latches and levers stay in the machine
+STEPS = [
+    ("unscrew", "screw", "fastened", "loosened"), ("remove", "screw", "loosened", "removed"),
+    ("disconnect", "connector", "plugged", "unplugged"), ("remove", "connector", "plugged", "removed"), ("remove", "connector", "unplugged", "removed"),
+    *[(v, c, "closed", "open") for v in ("open", "release") for c in ("ram_latch", "cpu_socket_lever")],
+    *[x for c in PLAIN for x in (("displace", c, "installed", "displaced"), ("remove", c, "installed", "removed"), ("remove", c, "displaced", "removed"))],
+]
+GOALS = ["psu", "cpu", "cpu_cooler", "motherboard", "ram_module", "storage_drive"]
+START_SQL = "CASE cls " + " ".join(f"WHEN '{c}' THEN '{s}'" for c, s in START.items()) + " ELSE 'installed' END"
+NUMBER_SQL = "CAST(right({}, 2) AS INTEGER)"
+VERB_PLANS_SQL = f"""{EDGES_SQL},
+s AS MATERIALIZED (SELECT machine, key, cls, CASE WHEN ({NUMBER_SQL.format("key")} + machine) % 5 = 0 THEN {OPENED_SQL} ELSE {START_SQL} END AS state FROM r),
+b AS (SELECT machine, 'blocked_by' AS type, a.key AS target, b.key AS blocker FROM r a JOIN r b USING (machine) WHERE {NUMBER_SQL.format("a.key")} % 10 IN (3, 7) AND {NUMBER_SQL.format("b.key")} = {NUMBER_SQL.format("a.key")} + CASE {NUMBER_SQL.format("a.key")} % 10 WHEN 3 THEN 2 ELSE -2 END),
+h AS (SELECT machine, type, target, blocker FROM p UNION ALL SELECT * FROM b),
+ed AS MATERIALIZED (SELECT *, ({NUMBER_SQL.format("blocker")} + {NUMBER_SQL.format("target")}) % 4 = 0 AS soft, CASE type WHEN 'fastened_by' THEN ['loosened', 'removed'] WHEN 'connected_to' THEN ['unplugged', 'removed'] WHEN 'locked_by' THEN ['open', 'removed'] WHEN 'covered_by' THEN ['open', 'removed', 'displaced'] ELSE ['removed', 'displaced', 'released'] END AS fine,
+  CASE WHEN type IN ('fastened_by', 'locked_by') THEN ['remove', 'displace', 'open'] WHEN type = 'connected_to' THEN ['remove'] WHEN type = 'blocked_by' THEN ['remove', 'displace'] ELSE ['remove', 'displace', 'open', 'unscrew', 'disconnect', 'release'] END AS gated FROM h)"""
+
+
+def plan_graph(spark, sf_dir):
+    """(state, edges): the derived edges and some that a person added, a quarter of all preferences only."""
+    own = instances(spark, sf_dir)
+    rows = D.settled(own).select("machine", "key", "cls")
+    of = lambda table, rest: F.coalesce(*[F.when(F.col("cls") == c, s) for c, s in table.items()], F.lit(rest))
+    done = {c: s for c, (_, s) in DONE.items()}
+    state = rows.withColumn("state", F.when((number("key") + F.col("machine")) % 5 == 0, of(done, "installed")).otherwise(of(START, "installed")))
+    at = F.when(number("key") % 10 == 3, number("key") + 2).when(number("key") % 10 == 7, number("key") - 2)
+    named = rows.select("machine", F.col("key").alias("blocker"), number("key").alias("at"))
+    manual = rows.select("machine", F.col("key").alias("target"), at.alias("at")).join(named, ["machine", "at"]).select("machine", F.lit("blocked_by").alias("type"), "target", "blocker")
+    edges = D.propose_edges(own).select("machine", "type", "target", "blocker").unionByName(manual)
+    mode = F.when(F.col("type") == "blocked_by", "physical_path")
+    necessity = F.when((number("blocker") + number("target")) % 4 == 0, P.RECOMMENDED).otherwise("required")
+    return P.cut(state), P.cut(edges.select("*", mode.alias("mode"), necessity.alias("necessity"), F.lit("accepted").alias("status")))
+
+
+def _facts_sql(rounds: int) -> str:
+    """What can be brought about, round by round: an action is done once no gate of it lacks a state that satisfies it."""
+    out = """,
+va AS (SELECT * FROM (VALUES """ + ", ".join(f"('{v}', '{c}', '{a}', '{b}')" for v, c, a, b in STEPS) + """) x(verb, cls, a, b)),
+ac AS MATERIALIZED (SELECT machine, key, verb, a, b FROM s JOIN va USING (cls)),
+f0 AS MATERIALIZED (SELECT relaxed, machine, key, state FROM s, (VALUES (false), (true)) x(relaxed))"""
+    for k in range(rounds):
+        out += f""",
+f{k + 1} AS MATERIALIZED (SELECT * FROM f{k} UNION SELECT f.relaxed, ac.machine, ac.key, ac.b FROM ac JOIN f{k} f ON f.machine = ac.machine AND f.key = ac.key AND f.state = ac.a
+  WHERE NOT EXISTS (SELECT 1 FROM ed WHERE ed.machine = ac.machine AND ed.target = ac.key AND list_contains(gated, ac.verb) AND NOT (soft AND f.relaxed) AND target <> blocker
+    AND NOT EXISTS (SELECT 1 FROM f{k} o WHERE o.relaxed = f.relaxed AND o.machine = ed.machine AND o.key = ed.blocker AND list_contains(fine, o.state))))"""
+    return out
+
+
+@query("verb_plans", f"""
+WITH {VERB_PLANS_SQL}{_facts_sql(14)},
+w AS (SELECT DISTINCT relaxed, machine, key FROM f14 WHERE state = 'removed')
+SELECT machine, key AS goal, bool_and(relaxed) AS relaxed, true AS sound FROM w JOIN s USING (machine, key) WHERE cls IN ({", ".join(f"'{c}'" for c in GOALS)}) GROUP BY 1, 2""")
+def verb_plans(spark, sf_dir):
+    """Which parts can be taken out of each machine, with or without its preferences, and that each plan replays."""
+    state, edges = plan_graph(spark, sf_dir)
+    steps = _verb_plans(spark, state, edges)
+    bad = P.unsound(steps, state, edges, BY).select(*BY, "goal", F.lit(True).alias("bad"))
+    goals = steps.groupBy(*BY, "goal").agg(F.first("relaxed").alias("relaxed"))
+    return goals.join(bad, [*BY, "goal"], "left").select(*BY, "goal", "relaxed", F.col("bad").isNull().alias("sound"))
+
+
+def _verb_plans(spark, state, edges):
+    goals = state.where(F.col("cls").isin(GOALS)).select(*BY, F.col("key").alias("goal"))
+    vocabulary = spark.createDataFrame(STEPS, "verb string, cls string, from string, to string")
+    return P.removal_plans(state, edges, vocabulary, goals, BY)
+
+
+@query("verb_plan_steps")
+def verb_plan_steps(spark, sf_dir):
+    """The plans themselves, step by step (the choice among equal ones is not SQL's; `verb_plans` replays them)."""
+    state, edges = plan_graph(spark, sf_dir)
+    return _verb_plans(spark, state, edges)
+
+
+@query("certain_corruptions", f"""
+WITH {VERB_PLANS_SQL},
+q AS (SELECT machine, key, cls, {START_SQL} AS state FROM r),
+d AS (SELECT machine, target AS goal, blocker AS key, any_value(cls) AS cls FROM p JOIN r USING (machine) WHERE r.key = blocker GROUP BY 1, 2, 3),
+c AS (SELECT machine, goal, key, CASE cls {" ".join(f"WHEN '{c}' THEN '{v}'" for c, (v, _) in DONE.items())} ELSE 'remove' END AS verb, CASE cls {" ".join(f"WHEN '{c}' THEN '{s}'" for c, (_, s) in DONE.items())} ELSE 'removed' END AS "to" FROM d),
+l AS (SELECT machine, goal, list({{'key': key, 'verb': verb, 'to': "to"}} ORDER BY key) || [{{'key': goal, 'verb': 'remove', 'to': 'removed'}}] AS plan FROM c GROUP BY 1, 2),
+t AS MATERIALIZED (
+  SELECT machine, goal, 'true' AS tag, 'true' AS family, plan FROM l
+  UNION ALL SELECT machine, goal, 'swap' || i, 'swap', plan[:i] || [plan[i + 2], plan[i + 1]] || plan[i + 3:] FROM (SELECT *, unnest(range(len(plan) - 1)) AS i FROM l)
+  UNION ALL SELECT machine, goal, 'move' || j || 'to' || i, 'move', CASE WHEN i < j THEN plan[:i] || [plan[j + 1]] || plan[i + 1:j] || plan[j + 2:] ELSE plan[:j] || plan[j + 2:i + 1] || [plan[j + 1]] || plan[i + 2:] END
+    FROM (SELECT *, unnest(range(len(plan))) AS i FROM (SELECT *, unnest(range(len(plan))) AS j FROM l)) WHERE abs(i - j) >= 2),
+un AS MATERIALIZED (SELECT machine, goal, tag, family, pos - 1 AS pos, plan[pos].key AS key, plan[pos].verb AS verb, plan[pos]."to" AS "to" FROM (SELECT *, unnest(range(1, len(plan) + 1)) AS pos FROM t)),
+k AS (SELECT un.*, type, blocker, fine FROM un JOIN ed ON ed.machine = un.machine AND ed.target = un.key AND list_contains(gated, un.verb) AND NOT soft AND target <> blocker),
+z AS (SELECT k.machine, k.goal, k.tag, k.family, k.pos, type || '(' || k.key || ', ' || blocker || ')' AS label, coalesce(arg_max(b."to", b.pos), any_value(q.state)) AS was, any_value(fine) AS fine
+  FROM k JOIN q ON q.machine = k.machine AND q.key = k.blocker LEFT JOIN un b ON b.machine = k.machine AND b.goal = k.goal AND b.tag = k.tag AND b.key = k.blocker AND b.pos < k.pos GROUP BY ALL),
+w AS (SELECT machine, goal, tag, family, pos, list(DISTINCT label ORDER BY label) AS broken FROM z WHERE NOT list_contains(fine, was) GROUP BY ALL),
+e1 AS (SELECT machine, goal, tag, family, min(pos) AS first_error, arg_min(broken, pos) AS broken FROM w GROUP BY 1, 2, 3, 4),
+e2 AS (SELECT *, row_number() OVER (PARTITION BY machine, goal ORDER BY md5(machine || '|' || goal || '|' || tag)) AS nth FROM e1 WHERE tag <> 'true' AND NOT EXISTS (SELECT 1 FROM e1 o WHERE o.machine = e1.machine AND o.goal = e1.goal AND o.tag = 'true'))
+SELECT machine, goal, tag, family, first_error, array_to_string(broken, ', ') AS violated, (SELECT string_agg(verb || ' ' || key, ', ' ORDER BY pos) FROM un WHERE un.machine = e2.machine AND un.goal = e2.goal AND un.tag = e2.tag) AS corrupted FROM e2 WHERE nth = 1""")
+def certain_corruptions(spark, sf_dir):
+    """Of each part's demonstrated removal a rearrangement that violates a required edge, with the edge's name."""
+    _, edges = plan_graph(spark, sf_dir)
+    rows = D.settled(instances(spark, sf_dir)).select("machine", "key", "cls")
+    of = lambda table, rest: F.coalesce(*[F.when(F.col("cls") == c, s) for c, s in table.items()], F.lit(rest))
+    start = rows.withColumn("state", of(START, "installed"))
+    derived = edges.where("type <> 'blocked_by'").select("machine", F.col("target").alias("goal"), F.col("blocker").alias("key")).distinct()
+    first = derived.join(rows, ["machine", "key"]).select("machine", "goal", F.lit(0).alias("part"), "key", of({c: v for c, (v, _) in DONE.items()}, "remove").alias("verb"), of({c: s for c, (_, s) in DONE.items()}, "removed").alias("to"))
+    last = derived.select("machine", "goal").distinct().select("machine", "goal", F.lit(1).alias("part"), F.col("goal").alias("key"), F.lit("remove").alias("verb"), F.lit("removed").alias("to"))
+    pos = F.row_number().over(Window.partitionBy("machine", "goal").orderBy("part", "key")) - 1
+    logs = first.unionByName(last).select("machine", "goal", pos.alias("pos"), "key", "verb", "to")
+    out = P.certain_corruptions(logs, start, edges, ["machine", "goal"], BY)
+    return out.select("machine", "goal", "tag", "family", "first_error", F.array_join("broken", ", ").alias("violated"), F.array_join("corrupted", ", ").alias("corrupted"))
