@@ -11,6 +11,57 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 TERMINAL = ("remove",)
+# Verbs after which a part is still there, the part without an ordinal.
+NON_TERMINAL = ["displace", "open", "release", "loosen", "unscrew", "disconnect"]
+CHASSIS = "chassis"
+NAMES = ["owner", "qualifier", "of"]  #: what else tells parts of one class, kind and number apart
+
+
+def ledger(rows: DataFrame, machine: str = "machine") -> DataFrame:
+    """`rows` (machine, step, seq, cls, disc, number, owner, qualifier, of, verb, ok, gone) with `key`, `made` (the row
+    makes the instance) and `rivals` (several instances that an unnumbered removal could mean).
+
+    Windows alone, no search. Of numbered rows of one identity the j-th with a verb operates the j-th instance, because
+    each of the earlier ones has had that verb; it makes the instance if no verb came j times before. An unnumbered row
+    makes an instance, unless it is a successful removal and exactly one instance of its identity is open: made by an
+    unnumbered row that failed, or whose verb leaves the part there (`gone` says that it does not). Open instances never
+    get fewer once there are two, so it is enough to look at the row before and whether two were ever open. Ordinals
+    count the made instances of a class and kind on a machine; keys are `cls.disc.NN`, `cls.NN`, or `chassis`.
+    Rows stand by step, then seq; nulls in names are empty, `ok` and `gone` null are false.
+    """
+    said = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    r = rows.withColumns({f"_{c}": said(c) for c in ("cls", "disc", *NAMES)})
+    group, names = [machine, "_cls", "_disc"], [machine, "_cls", "_disc", *[f"_{c}" for c in NAMES]]
+    at = ["step", "seq"]
+    w = lambda *by: Window.partitionBy(*by).orderBy(*at)
+    earlier = lambda *by: w(*by).rowsBetween(Window.unboundedPreceding, -1)
+
+    n = r.where("number is not null").withColumn("_j", F.row_number().over(w(*names, "number", "verb")))
+    n = n.withColumn("made", F.coalesce(F.max("_j").over(earlier(*names, "number")), F.lit(0)) < F.col("_j"))
+    n = n.withColumn("_mine", F.struct(F.col("_j").cast("long").alias("a"), F.lit(0).cast("long").alias("b"))).drop("_j").withColumn("rivals", F.lit(False))
+
+    ok = F.coalesce(F.col("ok"), F.lit(False))
+    removes = ok & F.col("verb").isin(*TERMINAL)
+    opens = ~F.coalesce(F.col("gone"), F.lit(False)) & (~ok | F.col("verb").isin(NON_TERMINAL))
+    u = r.where("number is null").withColumn("_kind", F.when(removes, "R").when(opens, "O").otherwise("X"))
+    place = F.struct(F.col("step").cast("long").alias("a"), F.col("seq").cast("long").alias("b"))
+    told = u.withColumn("_told", F.col("_kind") != "X")
+    before = F.lag(F.struct("_kind", place.alias("p"))).over(w(*names, "_told"))
+    told = told.withColumn("_before", F.when(F.col("_told"), before))
+    two = F.coalesce((F.col("_kind") == "O") & (F.col("_before._kind") == "O"), F.lit(False))
+    told = told.withColumn("_two", F.coalesce(F.max(two.cast("int")).over(earlier(*names, "_told")), F.lit(0)) > 0)
+    reuse = F.coalesce((F.col("_kind") == "R") & (F.col("_before._kind") == "O") & ~F.col("_two"), F.lit(False))
+    u = told.withColumn("made", ~reuse).withColumn("_mine", F.when(reuse, F.col("_before.p")).otherwise(place))
+    u = u.withColumn("rivals", (F.col("_kind") == "R") & F.col("_two")).drop("_kind", "_told", "_before", "_two")
+
+    every = n.unionByName(u)
+    every = every.withColumn("_nth", F.sum(F.col("made").cast("int")).over(w(*group)))
+    own = F.first(F.when(F.col("made"), F.col("_nth")), ignorenulls=True).over(Window.partitionBy(*names, "number", "_mine"))
+    every = every.withColumn("_ordinal", own)
+    kind = F.when(F.col("_disc") != "", F.concat(F.lit("."), "_disc")).otherwise("")
+    digits = F.col("_ordinal").cast("string")
+    key = F.when(F.col("_cls") == CHASSIS, CHASSIS).otherwise(F.concat("_cls", kind, F.lit("."), F.when(F.length(digits) < 2, F.lpad(digits, 2, "0")).otherwise(digits)))
+    return every.withColumn("key", key).select(*rows.columns, "key", "made", "rivals")
 
 
 def step_type(step: Column, hint: Column, attempt: Column, multi: Column) -> Column:

@@ -21,7 +21,7 @@ from stepfold.operators.view import latest_versions, request_rechecks
 from stepfold.session import shared_folder
 
 BUCKETS = 64
-MANIFEST = "batch long, bucket int, place int, slot int"
+MANIFEST = "batch long, bucket int, place int, written long, slot int"
 
 
 def file_stream(spark: SparkSession, folder: str, name: str, schema: T.StructType, per_trigger: int = 1) -> DataFrame:
@@ -39,7 +39,7 @@ def _overwrite(df: DataFrame, path: str, *by: str) -> None:
 
 
 def _manifest(spark: SparkSession, folder: str, before: int | None = None) -> DataFrame:
-    """(batch, bucket, place) of the newest finished batch, or of the newest before a batch: one row a bucket, at most."""
+    """(batch, bucket, place, written) of the newest finished batch, or of the newest before a batch: one row a bucket, at most."""
     try:
         rows = spark.read.schema(MANIFEST).parquet(f"{folder}/manifest")
         rows = rows if before is None else rows.where(F.col("batch") < before)
@@ -49,20 +49,20 @@ def _manifest(spark: SparkSession, folder: str, before: int | None = None) -> Da
             raise
         newest = None
     if newest is None:
-        return spark.createDataFrame([], "batch long, bucket int, place int")
-    return rows.where(F.col("batch") == newest).select("batch", "bucket", "place")
+        return spark.createDataFrame([], MANIFEST).drop("slot")
+    return rows.where(F.col("batch") == newest).drop("slot")
 
 
 def state(spark: SparkSession, folder: str, schema: T.StructType, manifest: DataFrame | None = None) -> DataFrame:
     """The rows that the newest manifest (or the given one) points to. A manifest has one row a bucket, so it is broadcast."""
-    held = F.broadcast((_manifest(spark, folder) if manifest is None else manifest).select("bucket", "place"))
+    held = F.broadcast((_manifest(spark, folder) if manifest is None else manifest).select("bucket", "place", "written"))
     try:
-        rows = spark.read.schema(T.StructType([*schema.fields, T.StructField("bucket", T.IntegerType()), T.StructField("place", T.IntegerType())])).parquet(f"{folder}/data")
+        rows = spark.read.schema(T.StructType([*schema.fields, T.StructField("written", T.LongType()), T.StructField("bucket", T.IntegerType()), T.StructField("place", T.IntegerType())])).parquet(f"{folder}/data")
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], schema)
-    return rows.join(held, ["bucket", "place"]).select(*schema.names)
+    return rows.join(held, ["bucket", "place", "written"]).select(*schema.names)
 
 
 def advance(batch: DataFrame, number: int, folder: str, keys: list[str], merge: Callable[[DataFrame, DataFrame], DataFrame], schema: T.StructType, buckets: int = BUCKETS) -> None:
@@ -72,9 +72,9 @@ def advance(batch: DataFrame, number: int, folder: str, keys: list[str], merge:
     dealt = batch.withColumn("bucket", _bucket(keys, buckets))
     touched = dealt.select("bucket").distinct()  # one row a bucket, at most
     moved = touched.join(F.broadcast(old.select("bucket", "place")), "bucket", "left").select("bucket", (1 - F.coalesce("place", F.lit(1))).alias("place"))
-    moved = spark.createDataFrame([(number, r.bucket, r.place) for r in moved.collect()], "batch long, bucket int, place int")
+    moved = spark.createDataFrame([(number, r.bucket, r.place, number) for r in moved.collect()], "batch long, bucket int, place int, written long")
     before = state(spark, folder, schema, old.join(F.broadcast(moved.select("bucket")), "bucket", "left_semi"))
-    merged = merge(before, batch).select(*schema.names).withColumn("bucket", _bucket(keys, buckets))
+    merged = merge(before, batch).select(*schema.names).withColumn("bucket", _bucket(keys, buckets)).withColumn("written", F.lit(number).cast("long"))
     _overwrite(merged.join(F.broadcast(moved.select("bucket", "place")), "bucket"), f"{folder}/data", "bucket", "place")
     kept = old.join(F.broadcast(moved.select("bucket")), "bucket", "left_anti").withColumn("batch", F.lit(number).cast("long"))
     both = kept.unionByName(moved).withColumn("slot", F.lit(number % 2))
