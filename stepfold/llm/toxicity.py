@@ -34,6 +34,7 @@ GAINS = (2, 3, 4, 5, 6)  #: bytes that a window must gain to be counted
 PAD = b"0123456789" * 6
 N_FEATURES = 2 * len(GAINS) + 2
 THRESHOLD = 0.3
+KNOWN_WINDOWS = 1 << 18  #: gains that a task keeps before it starts anew, about; 30 MB
 PLAIN_WINDOWS = 100_000  #: windows that the ordinary dictionary is trained on, at most
 #: ASCII bytes that are no letter count as white space; all other bytes stay.
 LETTERS_ONLY = bytes(b if b > 127 or chr(b).isalpha() else 32 for b in range(256))
@@ -68,15 +69,23 @@ class Classifier:
         )
         return make(self.ordinary), make(self.ordinary + self.toxic)
 
-    def features(self, text: str | None, pair=None) -> list[float]:
+    def features(self, text: str | None, pair=None, known: dict[bytes, int] | None = None) -> list[float]:
+        """`known` keeps the gains of windows that were compressed before; most windows of few words occur often."""
         ordinary, toxic = pair or self.compressors()
-        d = np.array([len(ordinary(w + PAD)) - len(toxic(w + PAD)) for w in windows(text, self.window)], dtype=float)
+        known = {} if known is None else known
+        if len(known) > KNOWN_WINDOWS:
+            known.clear()
+        of = windows(text, self.window)
+        for w in of:
+            if w not in known:
+                known[w] = len(ordinary(w + PAD)) - len(toxic(w + PAD))
+        d = np.array([known[w] for w in of], dtype=float)
         strong = np.array([(d >= g).sum() for g in GAINS])
         return [*np.log((strong + 0.25) / (len(d) + 5)), *np.log1p(strong), np.log1p(len(d)), d.mean() if len(d) else 0.0]
 
     def rows(self, texts) -> np.ndarray:
-        pair = self.compressors()
-        return np.array([self.features(t, pair) for t in texts]).reshape(-1, N_FEATURES)
+        pair, known = self.compressors(), {}
+        return np.array([self.features(t, pair, known) for t in texts]).reshape(-1, N_FEATURES)
 
     def scores(self, rows: np.ndarray) -> np.ndarray:
         z = (rows - np.array(self.mean)) / np.array(self.spread) @ np.array(self.weights[1:]) + self.weights[0]
