@@ -164,21 +164,6 @@ def rle_contains(runs: Column, x: Column, y: Column, height: Column) -> Column:
     return F.exists(runs, lambda r: (r["start"] <= x * height + y) & (x * height + y < r["end"]))
 
 
-def _overlap(a: list[int], b: list[int]) -> int:
-    n = min(sum(a), sum(b))
-    on = lambda c: np.repeat(np.arange(len(c)) % 2 == 1, c)[:n]
-    return int((on(a) & on(b)).sum())
-
-
-def rle_overlap(a: Column, b: Column) -> Column:
-    """Pixels that both of two decoded masks have; masks of different sizes share none."""
-
-    def overlap(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([0 if x is None or y is None or sum(x) != sum(y) else _overlap(list(x), list(y)) for x, y in zip(a, b)])
-
-    return F.pandas_udf(overlap, "bigint")(a, b)
-
-
 def _grown(m: np.ndarray, r: int) -> np.ndarray:
     out = m.copy()
     for _ in range(r):

@@ -85,11 +85,13 @@ def bucket(width: Column, edges: list[tuple[str, float, float]]) -> Column:
     return F.coalesce(*[F.when((width >= lo) & (width < hi), F.lit(name)) for name, lo, hi in edges], F.lit(edges[-1][0]))
 
 
-def motion(table_px: Column, table_ok: Column, chassis_px: Column, area_ratio: Column) -> Column:
-    """camera, chassis, both, none or undetermined; the blob counts only while it keeps its size."""
-    cam = F.coalesce(table_px >= MOVE_PX, F.lit(False))
-    moved = F.coalesce(area_ratio.between(0.8, 1.25) & (chassis_px >= CHASSIS_PX), F.lit(False))
-    return F.when(~table_ok, "undetermined").when(cam & moved, "both").when(cam, "camera").when(moved, "chassis").otherwise("none")
+def motion(table_px: Column, table_ok: Column, chassis_px: Column, area_ratio: Column, least: tuple[float, float] = (MOVE_PX, CHASSIS_PX), steady: tuple[float, float] = (0.8, 1.25)) -> Column:
+    """What moved between two steps, by two tests: the table shifted by `least[0]` pixels, and a blob whose area kept
+    within `steady` shifted by `least[1]`. Without a table to measure by it is undetermined; missing numbers fail a test."""
+    passed = lambda test: F.coalesce(test, F.lit(False)).cast("int")
+    tests = passed(table_px >= least[0]) + 2 * passed((chassis_px >= least[1]) & area_ratio.between(*steady))
+    names = F.array(*[F.lit(n) for n in ("none", "camera", "chassis", "both")])
+    return F.when(table_ok.eqNullSafe(F.lit(False)), "undetermined").otherwise(F.get(names, tests))
 
 
 def view_tier(view: Column, tiers: dict[str, str]) -> Column:

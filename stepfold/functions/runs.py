@@ -267,6 +267,12 @@ def bbox(runs: Column) -> Column:
     return F.when(F.size(runs) > 0, found)
 
 
+def cropped(runs: Column, box: Column) -> Column:
+    """What lies in a box (x0, y0, x1, y1), in its coordinates; a null box is the whole canvas."""
+    moved = F.transform(runs, lambda r: F.struct((r["x"] - box["x0"]).cast("bigint").alias("x"), (F.greatest(r["y0"], box["y0"]) - box["y0"]).cast("bigint").alias("y0"), (F.least(r["y1"], box["y1"]) - box["y0"]).cast("bigint").alias("y1")))
+    return F.when(box.isNull(), runs).otherwise(F.filter(moved, lambda r: (r["x"] >= 0) & (r["x"] < box["x1"] - box["x0"]) & (r["y1"] > r["y0"])))
+
+
 def from_flat(flat: Column, height: Column) -> Column:
     """Runs of column-major intervals of pixel numbers (start, end): a run over a column's end is one in each column."""
     h = height.cast("bigint")
@@ -292,6 +298,15 @@ def counts(runs: Column, height: Column, width: Column) -> Column:
     return F.arrow_udf(counted, "array<bigint>")(runs, height, width)
 
 
+def overlap(a: Column, b: Column, height: Column, width: Column) -> Column:
+    """Pixels that both masks have."""
+
+    def shared(a: pa.Array, b: pa.Array, h: pa.Array, w: pa.Array) -> pa.Array:
+        return pa.array(read(a, h, w).both(read(b, h, w)).area(), pa.int64(), mask=~there(a, b, h, w))
+
+    return F.arrow_udf(shared, "bigint")(a, b, height, width)
+
+
 def filled(runs: Column, height: Column, width: Column) -> Column:
     """With holes filled; background that reaches the canvas edge stays open."""
 

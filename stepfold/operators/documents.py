@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stepfold.functions import runs as R
+from stepfold.functions.geometry import rle_encode
 from stepfold.operators.tasks import annotation_ids, verified
 
 FRAME = ["machine", "step"]
@@ -54,11 +56,24 @@ def in_region(box: Column, region: Column) -> Column:
     return F.when(region.isNull(), box).when((cut["x1"] > cut["x0"]) & (cut["y1"] > cut["y0"]), cut)
 
 
+def masked(rows: DataFrame, images: DataFrame) -> DataFrame:
+    """Compiled rows whose `runs` are their masks, with `mask_box`, `mask_area` and `segmentation` (size, counts as text)
+    on the canvas of their image (width, height), cropped to its `region` if it has one. What is empty then is no mask."""
+    sized = rows.join(images.select(*FRAME, "width", "height", F.col("region").alias("_region")), FRAME)
+    size = lambda low, high, whole: F.coalesce(F.col(f"_region.{high}") - F.col(f"_region.{low}"), F.col(whole)).cast("long")
+    cut = sized.withColumn("runs", R.cropped(F.col("runs"), F.col("_region"))).withColumn("_h", size("y0", "y1", "height")).withColumn("_w", size("x0", "x1", "width"))
+    seen = F.size("runs") > 0
+    text = rle_encode(R.counts(F.col("runs"), F.col("_h"), F.col("_w")))
+    out = cut.withColumn("mask_box", R.bbox(F.col("runs"))).withColumn("mask_area", F.when(seen, R.area(F.col("runs"))))
+    return out.withColumn("segmentation", F.when(seen, F.struct(F.array("_h", "_w").alias("size"), text.alias("counts")))).drop("_h", "_w", "_region", "width", "height", "runs")
+
+
 def annotations(images: DataFrame, rows: DataFrame, disputed: DataFrame, classes: DataFrame, order: list[str], only_verified: bool = True, include_boxes: bool = False) -> DataFrame:
     """Annotations of the given images with dense ids in the given order, after all rows without geometry or class are gone.
 
     A mask row has its pixel count as area; a plain box comes along under `include_boxes` only, clipped to the `region` of
-    its image, with its own area; masks are to be cropped before, as their pixels are not known here. A row of a disputed frame is not verified whatever its status says.
+    its image, with its own area; masks come cropped, as `masked` gives them. A row of a disputed frame is not verified
+    whatever its status says.
     """
     kept = rows.where(F.col("status") == "verified") if only_verified else rows
     named = classes.select(F.col("id").alias("category_id"), F.col("name").alias("cls"))

@@ -109,7 +109,10 @@ def exclusion_reasons(machines: DataFrame, versions: DataFrame, edges: DataFrame
 
 
 def corruptions(sequences: DataFrame, by: list[str], place: str, action: str, length: int) -> DataFrame:
-    """The last `length` actions of each log, and the same with two neighbours swapped, the first swap in hash order."""
+    """The last `length` actions of each log, and the same with two neighbours swapped, the first swap in hash order.
+
+    No edge is asked, so the swapped log may well be a plan that works: `planning.certain_corruptions` gives those that
+    cannot. This one is for pairs of sequences that differ, not for pairs of right and wrong."""
     back = F.row_number().over(Window.partitionBy(*by).orderBy(F.col(place).desc()))
     last = sequences.withColumn("_b", back).where(F.col("_b") <= length)
     g = last.groupBy(*by).agg(F.transform(F.sort_array(F.collect_list(F.struct(F.col(place).alias("p"), F.col(action).alias("a")))), lambda s: s["a"]).alias("logged"))  # `length` rows

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from stepfold.operators import derivation as D
 from stepfold.operators import questions as Q
 from stepfold.operators import planning as P
+from stepfold.operators import records as V
 from stepfold.operators import state as S
 from stepfold.plans.derivations import EDGES_SQL, instances
 from stepfold.plans.registry import query
@@ -44,7 +45,8 @@ def graph(spark, sf_dir):
     state = D.settled(own).select("machine", "key", "cls", F.when(turn == 0, "removed").when(turn == 1, opened).otherwise("installed").alias("state"))
     nth = (number("blocker") + number("target")) % 6
     status = F.coalesce(*[F.when(nth == k, v) for k, v in STATUS.items()], F.lit("proposed"))
-    return state, D.propose_edges(own).select("machine", "type", "target", "blocker", F.lit(None).cast("string").alias("mode"), status.alias("status"))
+    edges = D.propose_edges(own).select("machine", "type", "target", "blocker", F.lit(None).cast("string").alias("mode"), status.alias("status"))
+    return P.cut(state), P.cut(edges)
 
 
 def verbs(spark):
@@ -194,3 +196,50 @@ def certain_corruptions(spark, sf_dir):
     logs = first.unionByName(last).select("machine", "goal", pos.alias("pos"), "key", "verb", "to")
     out = P.certain_corruptions(logs, start, edges, ["machine", "goal"], BY)
     return out.select("machine", "goal", "tag", "family", "first_error", F.array_join("broken", ", ").alias("violated"), F.array_join("corrupted", ", ").alias("corrupted"))
+
+
+@query("ordered_edges", f"""
+WITH {EDGES_SQL} SELECT machine, type, target, blocker, row_number() OVER (PARTITION BY machine ORDER BY list_position(['fastened_by', 'connected_to', 'locked_by', 'covered_by', 'blocked_by'], type), target, blocker) AS nth FROM p WHERE target <> blocker""")
+def ordered_edges(spark, sf_dir):
+    """Each machine's constraint edges in the order in which they are shown."""
+    edges = D.constraint_edges(D.propose_edges(instances(spark, sf_dir)))
+    nth = F.row_number().over(Window.partitionBy("machine").orderBy(*D.edge_order()))
+    return edges.select("machine", "type", "target", "blocker", nth.alias("nth"))
+
+
+CASES_SQL = f"""{GRAPH_SQL},
+ok AS (SELECT machine, min(verb || ' ' || key) AS a FROM y WHERE applies AND NOT stopped GROUP BY 1),
+no AS (SELECT machine, min(verb || ' ' || key) AS a FROM y WHERE applies AND stopped GROUP BY 1),
+st AS (SELECT machine, min(verb || ' ' || key) AS a FROM y WHERE NOT applies GROUP BY 1),
+ca AS (SELECT machine, a, 'demonstrated' AS truth FROM ok UNION ALL SELECT machine, a, 'blocked_by_graph' FROM no UNION ALL SELECT machine, a, 'inapplicable' FROM st
+  UNION ALL SELECT machine, 'remove ' || key, 'failed_attempt' FROM s WHERE cls = 'ram_module' AND state = 'installed'),
+cs AS (SELECT machine, split_part(a, ' ', 1) AS verb, split_part(a, ' ', 2) AS key, truth FROM ca),
+bx AS (SELECT machine, key, n, n % 2 = 0 AS sure FROM s WHERE n % 3 <> 0),
+un2 AS (SELECT un.*, s.state AS bs FROM un JOIN s ON s.machine = un.machine AND s.key = un.blocker),
+ev AS (SELECT DISTINCT cs.machine, cs.verb, cs.key, cs.truth, u.type, u.blocker, u.bs FROM cs JOIN un2 u ON u.machine = cs.machine AND u.target = cs.key
+  AND list_contains(CASE u.type WHEN 'covered_by' THEN ['remove', 'displace', 'open', 'unscrew', 'disconnect', 'release'] WHEN 'connected_to' THEN ['remove'] ELSE ['remove', 'displace', 'open'] END, cs.verb) WHERE truth <> 'demonstrated'),
+eg AS (SELECT machine, verb, key, truth, list(DISTINCT blocker ORDER BY blocker) AS blockers, string_agg('recall_relation:' || key || ':' || type || ' ' || blocker || ';observe:' || blocker || ':' || bs || ';check_precondition:' || blocker || ':not met', ';' ORDER BY type, blocker) AS said FROM ev GROUP BY 1, 2, 3, 4)"""
+
+
+@query("feasibility_records", f"""
+WITH {CASES_SQL},
+f AS (SELECT cs.*, s.state, coalesce(blockers, []) AS blockers, said FROM cs JOIN s USING (machine, key) LEFT JOIN eg USING (machine, verb, key, truth) WHERE truth <> 'failed_attempt' OR said IS NOT NULL),
+k AS (SELECT f.machine, f.verb, f.key, f.truth, string_agg(bx.key || ' ' || bx.n, ',' ORDER BY bx.key) AS evidence, bool_and(sure) AS sure FROM f JOIN bx ON bx.machine = f.machine AND (bx.key = f.key OR list_contains(f.blockers, bx.key)) GROUP BY 1, 2, 3, 4)
+SELECT 'q_' || substr(sha256('V4|V4-' || machine || '-' || truth || '-' || verb || '-' || key), 1, 16) AS id, machine, 'Can you ' || verb || ' ' || key || ' now?' AS question,
+  json_object('feasible', truth = 'demonstrated', 'blockers', blockers, 'reason', CASE WHEN truth = 'demonstrated' THEN NULL WHEN len(blockers) > 0 THEN 'violates_edge' ELSE 'state' END)::VARCHAR AS answer,
+  'observe:' || key || ':' || state || coalesce(';' || said, '') || CASE WHEN truth = 'inapplicable' THEN ';check_precondition:' || key || ':not met' ELSE '' END AS chain,
+  coalesce(evidence, '') AS evidence, machine % 7 = 0 OR coalesce(sure, false) AS verified, CASE WHEN truth <> 'demonstrated' THEN truth END AS negative, truth
+FROM f LEFT JOIN k USING (machine, verb, key, truth)""")
+def feasibility_records(spark, sf_dir):
+    """A certain yes, a no of either kind and the failed attempts of each machine, as whole records."""
+    state, edges = graph(spark, sf_dir)
+    action = F.min(F.struct("verb", "key")).alias("a")
+    noes = Q.certain_noes(state, edges, verbs(spark), BY)
+    first = lambda df, truth: df.groupBy(*BY).agg(action).select(*BY, "a.verb", "a.key", F.lit(truth).alias("truth"))
+    tried = state.where("cls = 'ram_module' and state = 'installed'").select(*BY, F.lit("remove").alias("verb"), "key", F.lit(V.FAILED).alias("truth"))
+    cases = first(S.legal_actions(state, edges, verbs(spark), BY), V.DEMONSTRATED).unionByName(first(noes.where(F.col("cause") == V.GRAPH), V.GRAPH)).unionByName(first(noes.where(F.col("cause") == V.STATE), V.STATE)).unionByName(tried)
+    n = number("key").cast("long")
+    boxes = state.where(n % 3 != 0).select(*BY, "key", n.alias("x0"), n.alias("y0"), (n + 5).alias("x1"), (n + 7).alias("y1"), F.lit("visible").alias("visibility"), (n % 2 == 0).alias("verified"))
+    frames = state.select(*BY).distinct().withColumn("verified", F.col("machine") % 7 == 0)
+    out = V.feasibility(cases, state, edges, boxes, frames, BY, ["Can you {} now?"])
+    return out.select("id", "machine", "question", "answer", F.array_join(F.transform("chain", lambda t: F.concat_ws(":", t["op"], t["subject"], t["detail"])), ";").alias("chain"), F.array_join(F.transform("evidence", lambda e: F.concat_ws(" ", e["key"], e["box"][0])), ",").alias("evidence"), "verified", "negative", "truth")

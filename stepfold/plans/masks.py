@@ -7,8 +7,9 @@ import math
 from pyspark.sql import functions as F
 
 from stepfold.functions import runs as R
+from stepfold.functions.geometry import foreground, rle_decode
 from stepfold.operators import masks as M
-from stepfold.operators import view
+from stepfold.operators import documents, view
 from stepfold.plans.registry import query
 from stepfold.plans.tables import table
 
@@ -175,3 +176,33 @@ def boundary_scores(spark, sf_dir):
     old, new = _old_and_new(spark, sf_dir)
     both = old.join(new.withColumnRenamed("runs", "moved"), ["frame", "instance"])
     return both.select("instance", F.round(R.boundary_score(F.col("moved"), F.col("runs"), F.lit(SIDE), F.lit(SIDE)), 9).alias("f1"))
+
+
+@query("mask_overlaps", f"""
+WITH {SHAPES_SQL}, s AS (SELECT DISTINCT k, x + 2 AS x, y FROM px WHERE x + 2 < {SIDE})
+SELECT k AS instance, count(*) FILTER (s.k IS NOT NULL) AS shared, count(*) AS area FROM px LEFT JOIN s USING (k, x, y) GROUP BY k""")
+def mask_overlaps(spark, sf_dir):
+    """Pixels that each shape shares with itself two columns further right."""
+    m = M.gathered(_layers(spark, sf_dir), ["instance"])
+    right = F.transform("runs", lambda r: F.struct((r["x"] + 2).alias("x"), r["y0"], r["y1"]))
+    return m.select("instance", R.overlap(F.col("runs"), right, F.lit(SIDE), F.lit(SIDE)).alias("shared"), R.area(F.col("runs")).alias("area"))
+
+
+@query("mask_annotations", f"""
+WITH {COMPILED_SQL},
+z AS (SELECT frame, k, x - CASE WHEN frame % 2 = 1 THEN 60 ELSE 0 END AS x, y - CASE WHEN frame % 2 = 1 THEN 70 ELSE 0 END AS y FROM s WHERE seen AND (frame % 2 = 0 OR (x >= 60 AND x < 160 AND y >= 70 AND y < 150)))
+SELECT k AS instance, count(*)::DOUBLE AS area, min(x)::DOUBLE AS x, min(y)::DOUBLE AS y, (max(x) - min(x) + 1)::DOUBLE AS w, (max(y) - min(y) + 1)::DOUBLE AS h, count(*) AS decoded, CASE WHEN any_value(frame) % 2 = 1 THEN 80 ELSE {SIDE} END::BIGINT AS height FROM z GROUP BY k""")
+def mask_annotations(spark, sf_dir):
+    """What is seen of the shapes as annotations with run-length segments, cropped to the region of every second frame;
+    `decoded` counts the pixels that the segments' text holds."""
+    seen = M.compiled_runs(_layers(spark, sf_dir), ["frame"], _occluders(spark, sf_dir))
+    rows = seen.select(F.lit(1).alias("machine"), F.col("frame").alias("step"), F.col("instance").cast("string").alias("key"), F.lit("a").alias("cls"), F.lit("verified").alias("status"), "runs", F.lit(None).cast("struct<x0:bigint,y0:bigint,x1:bigint,y1:bigint>").alias("box"))
+    region = F.when(F.col("step") % 2 == 1, F.struct(F.lit(60).cast("long").alias("x0"), F.lit(70).cast("long").alias("y0"), F.lit(160).cast("long").alias("x1"), F.lit(150).cast("long").alias("y1")))
+    frames = rows.select("machine", "step").distinct().select("*", region.alias("region"), F.lit(SIDE).alias("width"), F.lit(SIDE).alias("height"), F.col("step").alias("image_id"), F.lit("normal").alias("step_type"), F.lit("verified").alias("review_status"))
+    masks = documents.masked(rows, frames)
+    none = documents.refuse_conflicts(frames.select("machine", "step").limit(0), allow=True)
+    shown = documents.images(frames, masks, none, "gold")
+    got = documents.annotations(shown, masks, none, documents.categories(spark, [("a", None)]), ["machine", "step", "key"])
+    got = got.withColumn("runs", rle_decode(F.col("segmentation.counts")))  # apart: no Python function in a lambda
+    decoded = F.aggregate(foreground(F.col("runs")), F.lit(0).cast("bigint"), lambda n, r: n + r["end"] - r["start"])
+    return got.select(F.col("key").cast("long").alias("instance"), "area", *[F.col("bbox")[i].alias(c) for i, c in enumerate("xywh")], decoded.alias("decoded"), F.col("segmentation.size")[0].alias("height"))

@@ -91,7 +91,7 @@ def pointable_rows(spark, sf_dir):
 
 @query("corrupted_logs")
 def corrupted_logs(spark, sf_dir):
-    """The last five events of each user and a certain corruption of them (hash order; tested)."""
+    """The last five events of each user and the same with two neighbours swapped, of unknown validity (hash order; tested)."""
     rows = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type")
     out = Q.corruptions(rows, ["user_id"], "event_id", "event_type", 5)
     return out.select("user_id", F.array_join("logged", ",").alias("logged"), F.array_join("corrupted", ",").alias("corrupted"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from stepfold.operators import aggregates, windows
+from stepfold.operators import aggregates, tasks, windows
 from stepfold.plans.registry import query
 from stepfold.plans.tables import ENTITY, ORDER, table
 
@@ -215,3 +215,19 @@ SELECT l_returnflag, l_linestatus, sum(l_quantity) AS sum_qty, round(sum(l_exten
 def flagship_revenue(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem")
     return rows.groupBy("l_returnflag", "l_linestatus").agg(F.sum("l_quantity").alias("sum_qty"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"), F.count("*").alias("n"))
+
+
+@query("nearest_ranks", """
+SELECT l_suppkey, v[round_even(0.9 * (len(v) - 1), 0)::INTEGER + 1] AS p90, v[len(v) // 2 + 1] AS middle FROM (SELECT l_suppkey, list_sort(list(l_quantity)) AS v FROM lineitem GROUP BY l_suppkey)""")
+def nearest_ranks(spark, sf_dir):
+    """Percentiles that are values themselves: the 90th by nearest rank, and the upper middle."""
+    v = table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.sort_array(F.collect_list("l_quantity")).alias("v"))
+    return v.select("l_suppkey", aggregates.nearest_rank(F.col("v"), 0.9).alias("p90"), aggregates.upper_middle(F.col("v")).alias("middle"))
+
+
+@query("id_collisions", """
+SELECT l_partkey % 50 AS id, count(DISTINCT (l_returnflag, l_suppkey, l_linenumber)) AS n FROM lineitem GROUP BY 1 HAVING count(DISTINCT (l_returnflag, l_suppkey, l_linenumber)) > 1""")
+def id_collisions(spark, sf_dir):
+    """Record ids that stand for more than one question."""
+    records = table(spark, sf_dir, "lineitem").select((F.col("l_partkey") % 50).alias("id"), F.col("l_returnflag").alias("task"), F.col("l_suppkey").alias("entity"), F.col("l_linenumber").alias("step"))
+    return tasks.id_collisions(records)

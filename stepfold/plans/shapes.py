@@ -155,3 +155,12 @@ def removal_plans(spark, sf_dir):
     needs = _needs(spark, sf_dir)
     goals = needs.where("action % 100 in (60, 95, 97)").select("machine", F.col("action").alias("goal")).distinct()
     return grouped.removal_plans(needs.join(goals, "machine"), ["machine"], "goal")
+
+
+@query("padded_boxes", f"""
+WITH {BOXES_SQL}, p AS (SELECT *, round((x1 - x0) * 0.25::DOUBLE)::BIGINT AS dx, round((y1 - y0) * 0.25::DOUBLE)::BIGINT AS dy FROM b)
+SELECT vec_id, least(greatest(x0 - dx, 0), 150) AS x0, least(greatest(y0 - dy, 0), 140) AS y0, least(greatest(x1 + dx, 0), 150) AS x1, least(greatest(y1 + dy, 0), 140) AS y1 FROM p""")
+def padded_boxes(spark, sf_dir):
+    """Boxes with a margin of a quarter of either side, cut to the frame."""
+    b = G.pad(G.box(), 0.25, 150, 140)
+    return boxes(spark, sf_dir).select("vec_id", *[b[e].alias(e) for e in b])

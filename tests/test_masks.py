@@ -268,3 +268,12 @@ def test_queries_without_sql(spark, sf):
         want = (m.sum(), n, (m | ((ground > 0) & ~np.isin(ground, list(out)))).sum(), kept.sum(), len(runs_of(kept)))
         assert (r.area, r.n_components, r.filled_area, r.kept_area, r.kept_runs) == want
     assert P.boundary_scores(spark, sf).where("instance % 6 in (0, 5) and f1 <> 1").count() == 0
+
+
+def test_cropped_masks_and_overlap(spark):
+    rng = np.random.default_rng(5)
+    a, b = rng.random((20, 30)) < 0.5, rng.random((20, 30)) < 0.5
+    df = spark.createDataFrame([(1, runs_of(a), runs_of(b), (4, 3, 20, 15)), (2, runs_of(a), runs_of(b), None), (3, None, runs_of(b), (0, 0, 2, 2))], f"i int, a {R.RUNS}, b {R.RUNS}, box struct<x0:bigint,y0:bigint,x1:bigint,y1:bigint>")
+    cut, both = got(df, R.cropped(F.col("a"), F.col("box"))), got(df, R.overlap(F.col("a"), F.col("b"), F.lit(20), F.lit(30)))
+    assert cut[1] == runs_of(a[3:15, 4:20]) and cut[2] == runs_of(a) and cut[3] is None
+    assert both == {1: (a & b).sum(), 2: (a & b).sum(), 3: None}

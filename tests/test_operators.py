@@ -232,3 +232,12 @@ def test_query_names_are_unique():
 
     with pytest.raises(ValueError):
         registry.query("legal_actions")(lambda spark, sf_dir: None)
+
+
+def test_draft_ids_are_stable(spark):
+    import zlib
+
+    from stepfold.functions import parts
+
+    rows = spark.createDataFrame([("r1",), ("é",), ("",), (None,)], "id string").select("id", parts.draft_id(F.col("id")).alias("n")).collect()
+    assert {r.id: r.n for r in rows} == {"r1": zlib.crc32(b"r1") & 0x7FFFFFFF, "é": zlib.crc32("é".encode()) & 0x7FFFFFFF, "": None, None: None}
