@@ -245,7 +245,7 @@ def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
     scanned = cut(scan(docs, doc_id, text))
     rows = scanned.where((F.size("loose") > 0) | (F.size("runs") > 0))
     each = rows.select("key", "base", F.explode("loose").alias("c")).union(stretches(rows.select("key", "base", F.explode("runs").alias("r"))))
-    known = labelled(each.dropDuplicates(["key", "c"]))
+    known = cut(labelled(each.dropDuplicates(["key", "c"])))  # read for the sample, the threshold and the result
     model, threshold = fit(known)
     rank = lambda kind: F.array_position(F.array(*[F.lit(k) for k in KINDS]), kind)
     ordered = lambda spans: F.transform(F.array_sort(F.transform(spans, lambda s: F.struct(s["start"], rank(s["kind"]).alias("rank"), s["kind"], s["end"]))), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
