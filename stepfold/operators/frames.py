@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stepfold.operators.joins import forward_asof
+from stepfold.operators.joins import forward_asof, overlaps
+from stepfold.operators.recut import turned
 
 
 def folder_step(path: Column) -> Column:
@@ -99,20 +100,15 @@ def merge_orders(keeper: Column, other: Column) -> Column:
 
 def turned_pairs(rows: DataFrame, keys: list[str], keeper: str, other: str) -> DataFrame:
     """(keys, above, below): pairs that `other` orders one way and the merged order the other way."""
-    place = lambda c, out: rows.select(*keys, F.posexplode(F.array_distinct(c)).alias(out, "e"))
-    merged = place(merge_orders(F.col(keeper), F.col(other)), "m")
-    both = place(F.col(other), "o").join(merged, [*keys, "e"])
-    later = both.select(*keys, F.col("e").alias("below"), F.col("o").alias("_o"), F.col("m").alias("_m"))
-    pairs = both.join(later, keys).where("o < _o and m > _m")  # one order's layers: a frame's parts
-    return pairs.select(*keys, F.col("e").alias("above"), "below")
+    pairs = turned(merge_orders(F.col(keeper), F.col(other)), F.col(other))
+    return rows.select(*keys, F.explode(pairs).alias("p")).select(*keys, "p.above", "p.below")
 
 
 def recut_keeper(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """For each new segment (keys, seg, start, end) the old one that it overlaps most, the earlier at a tie."""
-    o = old.select(*keys, F.col("seg").alias("old_seg"), F.col("start").alias("_s"), F.col("end").alias("_e"))
-    both = new.join(o, keys).withColumn("overlap", F.least("end", "_e") - F.greatest("start", "_s") + 1).where("overlap > 0")
-    best = F.max_by(F.struct("old_seg", "overlap"), F.struct("overlap", -F.col("_s")))
-    return both.groupBy(*keys, "seg").agg(best.alias("b"), F.count("*").alias("contributors")).select(*keys, "seg", "b.old_seg", "b.overlap", "contributors")
+    both = overlaps(old.select(*keys, "seg", "start", "end"), new.select(*keys, "seg", "start", "end"), keys).withColumn("overlap", F.col("b") - F.col("a") + 1)
+    best = F.max_by(F.struct(F.col("left.seg").alias("old_seg"), "overlap"), F.struct("overlap", -F.col("left.start")))
+    return both.groupBy(*keys, F.col("right.seg").alias("seg")).agg(best.alias("b"), F.count("*").alias("contributors")).select(*keys, "seg", "b.old_seg", "b.overlap", "contributors")
 
 
 def rekeyed(anchored: DataFrame, segments: DataFrame, keys: list[str], anchor: str) -> DataFrame:

@@ -50,6 +50,22 @@ def interval_lookup(left: DataFrame, ranges: DataFrame, by: list[str], at: str,
     return swept.withColumn("segment", F.coalesce(override, inside, default)).drop("version")
 
 
+def overlaps(left: DataFrame, right: DataFrame, by: list[str]) -> DataFrame:
+    """(by, left, right, a, b): the steps that a left and a right range (start, end) of one key share, ends included.
+
+    The ranges of either side do not overlap among themselves, so the pieces lie between neighbouring starts: one sweep,
+    no product of the two sides.
+    """
+    side = lambda df: F.struct(*[c for c in df.columns if c not in by])
+    none = lambda df: F.lit(None).cast(df.select(side(df).alias("s")).schema["s"].dataType)
+    ends = left.select(*by, F.col("start").alias("a"), side(left).alias("left"), none(right).alias("right")).union(right.select(*by, "start", none(left), side(right)))
+    starts = ends.groupBy(*by, "a").agg(F.max("left").alias("left"), F.max("right").alias("right"))
+    w = Window.partitionBy(*by).orderBy("a")
+    swept = starts.select(*by, "a", F.lead("a").over(w).alias("_next"), *[F.last(c, ignorenulls=True).over(w).alias(c) for c in ("left", "right")])
+    until = F.least(F.col("left.end"), F.col("right.end"), F.col("_next") - 1)
+    return swept.where("left is not null and right is not null").select(*by, "left", "right", "a", until.alias("b")).where("a <= b")
+
+
 def straddling(anchors: DataFrame, by: list[str], anchor: str, boundary: Column) -> DataFrame:
     """Anchors whose interval (previous anchor, anchor] holds a boundary that is not its own first position."""
     previous = F.coalesce(F.lag(anchor).over(Window.partitionBy(*by).orderBy(anchor)), F.lit(0))
