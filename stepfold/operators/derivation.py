@@ -7,10 +7,13 @@ equi-join on (machine, reference); references are explicit keys or classes with
 from __future__ import annotations
 
 from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stepfold.session import cut
+
 # Prefixes, cable kinds and owners, latch and cover vocabularies, edge types in order.
 CABLE, DRAFT = "cable:", "ls:"
 CABLE_DEFAULT_STATE = "routed"
@@ -47,10 +50,10 @@ def uniques(instances: DataFrame) -> DataFrame:
     return g.where("n = 1").drop("n")
 
 
-def references(instances: DataFrame) -> DataFrame:
+def references(instances: DataFrame, only: DataFrame | None = None) -> DataFrame:
     """(machine, ref, target): what a reference names, a key before a class of one instance."""
     own = settled(instances).select("machine", F.col("key").alias("ref"), F.col("key").alias("target"))
-    by_class = uniques(instances).select("machine", F.col("cls").alias("ref"), F.col("key").alias("target"))
+    by_class = (uniques(instances) if only is None else only).select("machine", F.col("cls").alias("ref"), F.col("key").alias("target"))
     return own.union(by_class.join(own.select("machine", "ref"), ["machine", "ref"], "left_anti"))
 
 
@@ -64,9 +67,22 @@ def _edges(rows: DataFrame, kind: str, target: str, blocker: str, reason: Column
     return rows.where(F.col(target).isNotNull()).select("machine", F.lit(kind).alias("type"), F.col(target).alias("target"), F.col(blocker).alias("blocker"), reason.alias("reason"), F.lit(place).alias("place"))
 
 
-def fastened_by(instances: DataFrame) -> DataFrame:
+class Names(NamedTuple):
+    """What the parts of the machines are called, computed once for all rules."""
+
+    refs: DataFrame
+    only: DataFrame
+
+    @classmethod
+    def of(cls, instances: DataFrame) -> Names:
+        """Both tables kept: classes with one instance, and all that a reference may name."""
+        only = cut(uniques(instances))
+        return cls(cut(references(instances, only)), only)
+
+
+def fastened_by(instances: DataFrame, names: Names) -> DataFrame:
     """A screw holds what its `fastens` names."""
-    rows = resolved(settled(instances).where("cls = 'screw'"), references(instances), "fastens", "held")
+    rows = resolved(settled(instances).where("cls = 'screw'"), names.refs, "fastens", "held")
     return _edges(rows, "fastened_by", "held", "key", F.concat_ws(" fastens ", "key", "held"), 0)
 
 
@@ -77,12 +93,12 @@ def cable_owner_class(cable: Column) -> Column:
     return F.when(~owner.isin(DETACHABLE), owner)
 
 
-def connector_owners(instances: DataFrame) -> DataFrame:
+def connector_owners(instances: DataFrame, only: DataFrame | None = None) -> DataFrame:
     """Settled connectors with `owner`: the power supply for power leads, none for two-ended leads, else the cable's owner;
     `fanless` marks those whose only owner is a cooler without a fan, which is no owner."""
     rows = settled(instances).where("cls = 'connector'")
     wanted = F.when(F.col("kind").isin(POWER_LEADS), F.lit("psu")).when(F.col("kind").isin(TWO_ENDED), F.lit(None)).otherwise(cable_owner_class(F.col("cable")))
-    only = uniques(instances).select("machine", F.col("cls").alias("wanted"), F.col("key").alias("found"))
+    only = (uniques(instances) if only is None else only).select("machine", F.col("cls").alias("wanted"), F.col("key").alias("found"))
     kinds = settled(instances).select("machine", F.col("key").alias("found"), F.col("kind").alias("found_kind"))
     joined = rows.withColumn("wanted", wanted).join(only, ["machine", "wanted"], "left").join(kinds, ["machine", "found"], "left")
     fanless = (F.col("wanted") == "cpu_cooler") & F.col("found").isNotNull() & ~F.coalesce(F.col("found_kind").isin(FAN_COOLERS), F.lit(False)) & ~F.coalesce(F.col("kind").isin(POWER_LEADS), F.lit(False))
@@ -94,20 +110,20 @@ def unresolved_fan_owners(instances: DataFrame) -> DataFrame:
     return connector_owners(instances).where("fanless").select("machine", "key", F.col("found").alias("cooler"))
 
 
-def connected_to(instances: DataFrame) -> DataFrame:
+def connected_to(instances: DataFrame, names: Names) -> DataFrame:
     """A connector gates its socket's host and, unless it was added by hand without a cable, the owner of its cable."""
-    rows = resolved(connector_owners(instances), references(instances), "socket_host", "host")
+    rows = resolved(connector_owners(instances, names.only), names.refs, "socket_host", "host")
     hosts = _edges(rows, "connected_to", "host", "key", F.concat_ws(" plugs into ", "key", "host"), 1)
     owners = rows.where("(not extra or cable is not null) and (host is null or owner <> host)")
     return hosts.union(_edges(owners, "connected_to", "owner", "key", F.concat_ws(" is on the cable of ", "key", "owner"), 2))
 
 
-def locked_by(instances: DataFrame) -> DataFrame:
+def locked_by(instances: DataFrame, names: Names) -> DataFrame:
     """A latch locks what its `of` names; levers and supply latches lock the one part of their class."""
     rows = settled(instances)
-    named = resolved(rows.where(F.col("cls").isin(LATCHES)), references(instances), "of", "held")
+    named = resolved(rows.where(F.col("cls").isin(LATCHES)), names.refs, "of", "held")
     fixed = rows.where(F.col("cls").isin(list(LATCH_HOSTS)) & ~F.col("extra")).withColumn("of", lookup(F.col("cls"), LATCH_HOSTS))
-    both = named.unionByName(resolved(fixed, uniques(instances).select("machine", F.col("cls").alias("ref"), F.col("key").alias("target")), "of", "held"))
+    both = named.unionByName(resolved(fixed, names.only.select("machine", F.col("cls").alias("ref"), F.col("key").alias("target")), "of", "held"))
     return _edges(both, "locked_by", "held", "key", F.concat_ws(" locks ", "key", "held"), 3)
 
 
@@ -127,22 +143,23 @@ def cover_targets(instances: DataFrame) -> DataFrame:
     return reduce(DataFrame.union, [df.select("machine", "key", "held") for df in (named, by_class, by_role)])
 
 
-def covered_by(instances: DataFrame) -> DataFrame:
+def covered_by(instances: DataFrame, names: Names) -> DataFrame:
     """A cover hides its targets, and the cooler sits on the processor where the machine has one of each."""
     covers = _edges(cover_targets(instances), "covered_by", "held", "key", F.concat_ws(" covers ", "key", "held"), 4)
     extra = settled(instances).where("extra").select("machine", "key")
-    only = uniques(instances).join(extra, ["machine", "key"], "left_anti")
+    only = names.only.join(extra, ["machine", "key"], "left_anti")
     sits = [only.where(F.col("cls") == under).select("machine", F.col("key").alias("under")).join(only.where(F.col("cls") == over).select("machine", F.col("key").alias("over")), "machine") for under, over in SITS_ON]
     return reduce(DataFrame.union, [covers, *[_edges(s, "covered_by", "under", "over", F.concat_ws(" sits on ", "over", "under"), 5) for s in sits]])
 
 
-#: The derivation rules: each takes instances and gives edges.
+#: The derivation rules: each takes instances and their names and gives edges.
 RULES = (fastened_by, connected_to, locked_by, covered_by)
 
 
 def propose_edges(instances: DataFrame, rules=RULES) -> DataFrame:
     """(machine, type, target, blocker, reason) of all rules; of equal edges the first rule's reason stays."""
-    every = reduce(DataFrame.union, [rule(instances) for rule in rules])
+    names = Names.of(instances)
+    every = reduce(DataFrame.union, [rule(instances, names) for rule in rules])
     return every.groupBy("machine", "type", "target", "blocker").agg(F.min_by("reason", "place").alias("reason"))
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from stepfold.functions import runs as R
 from stepfold.functions.geometry import rle_encode
 from stepfold.operators.tasks import annotation_ids, verified
+from stepfold.session import vocabulary
 
 FRAME = ["machine", "step"]
 
@@ -77,7 +78,7 @@ def annotations(images: DataFrame, rows: DataFrame, disputed: DataFrame, classes
     """
     kept = rows.where(F.col("status") == "verified") if only_verified else rows
     named = classes.select(F.col("id").alias("category_id"), F.col("name").alias("cls"))
-    joined = kept.join(images.select(*FRAME, "image_id", "region"), FRAME).join(F.broadcast(named), "cls").join(disputed, FRAME, "left")  # a vocabulary
+    joined = kept.join(images.select(*FRAME, "image_id", "region"), FRAME).join(vocabulary(named), "cls").join(disputed, FRAME, "left")
     plain = in_region(F.col("box"), F.col("region"))
     box = F.when(F.col("mask_box").isNotNull(), F.col("mask_box"))
     box = box.when(F.lit(include_boxes), plain)

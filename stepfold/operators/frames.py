@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from stepfold.operators.joins import forward_asof, overlaps
 from stepfold.operators.recut import turned
+from stepfold.session import vocabulary
 
 
 def folder_step(path: Column) -> Column:
@@ -23,7 +24,7 @@ def frame_index(steps: DataFrame, listings: dict[str, DataFrame], views: DataFra
     """
     every = reduce(DataFrame.unionByName, [df.select("desktop", F.lit(view).alias("view"), "step", "path") for view, df in listings.items()])
     found = every.groupBy("desktop", "view", "step").agg(F.min("path").alias("path"), F.count("*").alias("shots"))
-    expected = steps.select("desktop", "step").join(F.broadcast(views.select("view")))  # a vocabulary: a handful of views
+    expected = steps.select("desktop", "step").join(vocabulary(views.select("view")))
     return expected.join(found, ["desktop", "view", "step"], "left").select("desktop", "view", "step", "path", F.coalesce("shots", F.lit(0)).alias("shots"))
 
 

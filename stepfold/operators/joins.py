@@ -119,10 +119,23 @@ def band_candidates(left: DataFrame, right: DataFrame, by: list[str], at: str, o
     return near.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= limit)
 
 
-def explained(blobs: DataFrame, boxes: DataFrame, by: list[str], iou: Column, containment: Column, iou_min: float = 0.1, contain_min: float = 0.7) -> DataFrame:
-    """`blobs` with whether any box of the same frame overlaps enough or contains enough of it."""
-    hit = F.coalesce(F.col("_box") & ((iou >= iou_min) | (containment >= contain_min)), F.lit(False))
-    return blobs.join(boxes.withColumn("_box", F.lit(True)), by, "left").groupBy(*blobs.columns).agg(F.max(hit).alias("explained"))
+def touching(left: DataFrame, right: DataFrame, by: list[str], a: str, b: str, cell: int) -> DataFrame:
+    """Pairs of one key whose boxes (x0, y0, x1, y1 behind the prefixes `a` and `b`) come near each other.
+
+    Boxes are dealt to grid cells of `cell`; only those that share one are paired, in the first cell they share. All that
+    overlap are among the pairs, so the exact test follows. A box without coordinates meets none.
+    """
+    at = lambda c: F.floor(F.col(c) / cell)
+    deal = lambda df, p: df.withColumn("_cx", F.explode(F.sequence(at(f"{p}x0"), at(f"{p}x1")))).withColumn("_cy", F.explode(F.sequence(at(f"{p}y0"), at(f"{p}y1"))))
+    first = (F.col("_cx") == F.greatest(at(f"{a}x0"), at(f"{b}x0"))) & (F.col("_cy") == F.greatest(at(f"{a}y0"), at(f"{b}y0")))
+    return deal(left, a).join(deal(right, b), [*by, "_cx", "_cy"]).where(first).drop("_cx", "_cy")
+
+
+def explained(blobs: DataFrame, boxes: DataFrame, by: list[str], iou: Column, containment: Column, iou_min: float = 0.1, contain_min: float = 0.7, a: str = "a_", b: str = "b_", cell: int = 64) -> DataFrame:
+    """`blobs` with whether any box of the same frame overlaps enough or contains enough of it; both limits are above 0."""
+    hits = touching(blobs, boxes, by, a, b, cell).where((iou >= iou_min) | (containment >= contain_min))
+    every = blobs.withColumn("explained", F.lit(False)).union(hits.select(*blobs.columns, F.lit(True)))
+    return every.groupBy(*blobs.columns).agg(F.max("explained").alias("explained"))
 
 
 def orphans(child: DataFrame, parent: DataFrame, fk: str, pk: str) -> DataFrame:

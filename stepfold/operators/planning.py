@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from stepfold.operators.derivation import constraint_edges
 from stepfold.operators.state import INACTIVE, REQUIRED_STATES, gated_verbs
-from stepfold.session import cut
+from stepfold.session import cut, vocabulary
 
 # Verbs from the least destructive on, and the necessity that is a preference only.
 VERB_PREFERENCE = ["open", "release", "unscrew", "disconnect", "displace", "remove"]
@@ -35,7 +35,7 @@ def accepted_states(edge_type: Column) -> Column:
 
 def possible_actions(state: DataFrame, verbs: DataFrame, by: Sequence[str]) -> DataFrame:
     """(by, key, verb, from, to) of all parts; verbs: (verb, cls, from, to), the vocabulary. A removed part takes none."""
-    return state.select(*by, "key", "cls").join(F.broadcast(verbs), "cls").where("from <> 'removed' and from <> to").select(*by, "key", "verb", "from", "to")
+    return state.select(*by, "key", "cls").join(vocabulary(verbs), "cls").where("from <> 'removed' and from <> to").select(*by, "key", "verb", "from", "to")
 
 
 def conditions(actions: DataFrame, edges: DataFrame, state: DataFrame, attached: DataFrame | None, by: Sequence[str]) -> DataFrame:

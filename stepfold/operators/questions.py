@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stepfold.operators.state import stopped
+from stepfold.session import vocabulary
 
 # Labels that show a part well enough to be asked about, and the two causes of a certain no.
 ANSWERABLE = ["visible", "visible_tiny", "occluded_partial"]
@@ -37,7 +38,7 @@ def certain_noes(state: DataFrame, edges: DataFrame, verbs: DataFrame, by: Seque
     verbs: (verb, cls, to_state). The graph blocks an action that would apply; the state rules out a verb of the class
     that has happened already or comes too late.
     """
-    every = state.join(F.broadcast(verbs), "cls")  # a vocabulary: one row for each verb and class
+    every = state.join(vocabulary(verbs), "cls")
     applies = (F.col("state") != "removed") & (F.col("state") != F.col("to_state"))
     gated = stopped(edges, state, by).distinct()
     graph = every.where(applies).join(gated, [*by, "key", "verb"], "left_semi").select(*by, "key", "verb", F.lit(GRAPH).alias("cause"))
@@ -48,15 +49,19 @@ def matched_noes(demonstrated: DataFrame, noes: DataFrame, by: list[str], spoken
     """For each demonstrated action (by, verb, cls) the certain no (by, verb, cls, key, cause) closest to it.
 
     Same verb and class, then same verb, then same class, then any; then verbs that are used at all; the graph before
-    the state; ties in hash order.
+    the state; ties in hash order. The best no of each verb and class is found first, so that a demonstrated action meets
+    four rows of its machine, not all of its noes.
     """
-    used = noes.join(F.broadcast(spoken.select("verb").distinct().withColumn("_used", F.lit(True))), "verb", "left")  # a vocabulary
-    d = demonstrated.select(*by, F.col("verb").alias("_verb"), F.col("cls").alias("_cls"))
-    same_verb, same_cls = F.col("verb") == F.col("_verb"), F.col("cls") == F.col("_cls")
-    tier = F.when(same_verb & same_cls, 0).when(same_verb, 1).when(same_cls, 2).otherwise(3)
-    rank = F.struct(tier.alias("tier"), F.col("_used").isNull().alias("unspoken"), (F.col("cause") != GRAPH).alias("state"), seeded(*[F.col(c) for c in by], F.col("verb"), F.col("key")).alias("h"), F.col("verb"), F.col("key"))
-    best = used.join(d, by).groupBy(*by, "_verb", "_cls").agg(F.min_by(F.struct("verb", "key", "cause"), rank).alias("no"), F.min(rank)["tier"].alias("tier"))
-    return best.select(*by, F.col("_verb").alias("shown_verb"), "no.verb", "no.key", "no.cause", "tier")
+    used = noes.join(spoken.select("verb").distinct().withColumn("_used", F.lit(True)), "verb", "left")
+    rank = F.struct(F.col("_used").isNull().alias("unspoken"), (F.col("cause") != GRAPH).alias("state"), seeded(*[F.col(c) for c in by], F.col("verb"), F.col("key")).alias("h"), "verb", "key", "cause")
+    each = used.groupBy(*by, "verb", "cls").agg(F.min(rank).alias("r"))
+    found = demonstrated.select(*by, "verb", "cls").distinct()
+    tiers = (["verb", "cls"], ["verb"], ["cls"], [])
+    for n, like in enumerate(tiers):
+        found = found.join(each.groupBy(*by, *like).agg(F.min("r").alias(f"_r{n}")), [*by, *like], "left")
+    no = F.coalesce(*[F.col(f"_r{n}") for n in range(len(tiers))])
+    tier = F.coalesce(*[F.when(F.col(f"_r{n}").isNotNull(), n) for n in range(len(tiers))])
+    return found.where("_r3 is not null").select(*by, F.col("verb").alias("shown_verb"), no["verb"].alias("verb"), no["key"].alias("key"), no["cause"].alias("cause"), tier.alias("tier"))
 
 
 def bounded_sets(demonstrated: DataFrame, permitted: DataFrame, noes: DataFrame, by: list[str]) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stepfold.session import cut
+from stepfold.session import cut, vocabulary
 
 # Edge types, the blocker states that satisfy each, and the verbs that each gates.
 REQUIRED_STATES = {
@@ -46,7 +46,7 @@ def satisfied(edge_type: Column, state: Column) -> Column:
 
 def events_from_actions(actions: DataFrame, effects: DataFrame, by: list[str], order: list[str], verb: str, succeeded: Column, default: str) -> DataFrame:
     """State changes (old, new) of successful actions whose verb has an effect (verb, new) that is not yet the case."""
-    done = actions.where(succeeded).join(F.broadcast(effects), verb)  # a vocabulary: one row for each verb
+    done = actions.where(succeeded).join(vocabulary(effects), verb)
     old = F.coalesce(F.lag("new").over(Window.partitionBy(*by).orderBy(*order)), F.lit(default))
     return done.withColumn("old", old).where("old <> new")
 
@@ -118,7 +118,7 @@ def legal_actions(state: DataFrame, edges: DataFrame, verbs: DataFrame, by: Sequ
     state: (by, key, cls, state); verbs: (verb, cls, to_state), the vocabulary: a removed part takes no verb, nor does one
     that is already in the verb's state. For `by` see `unmet`.
     """
-    possible = state.join(F.broadcast(verbs), "cls").where("state <> 'removed' and state <> to_state").select(*by, "key", "verb")
+    possible = state.join(vocabulary(verbs), "cls").where("state <> 'removed' and state <> to_state").select(*by, "key", "verb")
     return possible.join(stopped(edges, state, by), [*by, "key", "verb"], "left_anti")
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from stepfold.functions.text import opaque_id
 from stepfold.operators.windows import hash_rank
-from stepfold.session import cut
+from stepfold.session import cut, vocabulary
 
 
 def annotation_ids(rows: DataFrame, order: list[str], out: str = "id") -> DataFrame:
@@ -79,7 +79,7 @@ def cross_view(rows: DataFrame, entity: str, step: str, view: str, label: str, t
 
 def options(rows: DataFrame, entity: str, step: str, label: str, pool: DataFrame, k: int, task: str = "V6") -> DataFrame:
     """The next label among k others of the vocabulary `pool` (one row each), listed in hash order."""
-    wrong = rows.join(F.broadcast(pool.select(F.col(label).alias("_o"))), F.col(label) != F.col("_o"))
+    wrong = rows.join(vocabulary(pool.select(F.col(label).alias("_o"))), F.col(label) != F.col("_o"))
     ranked = wrong.withColumn("_r", hash_rank([entity, step], F.concat_ws("|", F.col(step).cast("string"), "_o"), task)).where(F.col("_r") <= k)
     g = ranked.groupBy(entity, step, label).agg(F.collect_list("_o").alias("_w"))
     shown = F.array_sort(F.concat("_w", F.array(label)))

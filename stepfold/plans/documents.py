@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from stepfold.operators import documents, imports, tasks
-from stepfold.plans.registry import query
+from stepfold.plans.registry import ORACLES, query
 from stepfold.plans.tables import table
+from stepfold.session import shared_folder
 from stepfold.sources import shapes
 
 CLASSES = [("ECONOMY", "plain"), ("LARGE", None), ("MEDIUM", None), ("PROMO", "plain"), ("SMALL", None)]
@@ -71,12 +74,31 @@ FROM c WHERE segmented OR (x1 > x0 AND y1 > y0)""",
 )
 def document_annotations(spark, sf_dir):
     """Verified rows with masks or boxes, clipped to the region of their image, with dense ids."""
-    rows, disputed = _rows(spark, sf_dir), _disputed(spark, sf_dir)
+    return _shown(_document(spark, sf_dir)[2])
+
+
+def _document(spark, sf_dir):
+    rows, disputed, classes = _rows(spark, sf_dir), _disputed(spark, sf_dir), documents.categories(spark, CLASSES)
     shown = documents.images(_frames(spark, sf_dir), rows, disputed, "gold")
-    got = documents.annotations(shown, rows, disputed, documents.categories(spark, CLASSES), ORDER, include_boxes=True)
+    return classes, shown, documents.annotations(shown, rows, disputed, classes, ORDER, include_boxes=True)
+
+
+def _shown(got):
     return got.select("id", "image_id", "category_id", "segmented", *[F.col("bbox")[k].alias(f"bbox_{c}") for k, c in enumerate("xywh")], "area", "verified")
 
 
+@query("reread_annotations", ORACLES["document_annotations"])
+def reread_annotations(spark, sf_dir):
+    """The annotations of a document that was written as JSON lines and is read again; those whose image or category is
+    not in the document are left out, so the rows agree only if all three lists do."""
+    classes, images, got = _document(spark, sf_dir)
+    folder = f"{shared_folder(spark)}/document-{uuid.uuid4().hex}"
+    documents.write_document(folder, classes, images, got)
+    read = lambda name, df: spark.read.schema(df.schema).json(f"{folder}/{name}")
+    whole = read("annotations", got).join(read("images", images).select("image_id"), "image_id", "left_semi")
+    return _shown(whole.join(read("categories", classes).select(F.col("id").alias("category_id")), "category_id", "left_semi"))
+
+
 @query(
     "progress_records",
     """

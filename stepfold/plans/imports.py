@@ -11,7 +11,7 @@ from stepfold.operators.imports import import_logs
 from stepfold.plans.registry import query
 from stepfold.plans.tables import table
 from stepfold.session import shared_folder
-from stepfold.sources import entities, publish
+from stepfold.sources import entities, logs, publish
 from stepfold.sources.listing import read_listing
 
 VIEWS = [("scan",), ("oak",)]
@@ -33,6 +33,42 @@ def listed_frame_index(spark, sf_dir):
     return index.select("desktop", "view", "step", (F.col("shots") > 0).alias("there"))
 
 
+def _sheets(spark, sf_dir):
+    """A step log of every user, written as CSV and read again: a title, a wide table, the machine's data and a note."""
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("machine"), "event_id", "event_type")
+    far = F.concat(F.lit("," * 17), (F.col("event_id") % 3).cast("string"))  # the cell in the 20th column
+    name = F.when(F.col("event_id") % 7 == 0, "").otherwise(F.col("event_type"))
+    row = F.concat(F.col("event_id").cast("string"), F.lit(","), name, F.lit(',"see '), F.col("event_id").cast("string"), F.lit(', ""twice"""'), far)
+    steps = e.select("machine", (F.col("event_id") + 2).alias("n"), row.alias("value"))
+    head = [(0, "a title,,"), (1, "Sequence Number,Sequence Name,Notes" + "," * 17 + "Far")]
+    tail = [("Desktop ID", F.col("machine").cast("string")), ("Desktop Brand", F.concat(F.lit("B"), (F.col("machine") % 4).cast("string"))), ("Collection Date", F.lit("2025-06-03 00:00:00")), ("", F.concat(F.lit("note "), "machine"))]
+    fixed = F.array(*[F.struct(F.lit(n).cast("long").alias("n"), F.lit(text).alias("value")) for n, text in head], *[F.struct(F.lit(2**40 + n).alias("n"), F.concat(F.lit(f"{label},"), v).alias("value")) for n, (label, v) in enumerate(tail)])
+    rest = e.select("machine").distinct().select("machine", F.explode(fixed).alias("f")).select("machine", "f.*")
+    root = f"{shared_folder(spark)}/sheets-{uuid.uuid4().hex}"
+    steps.union(rest).repartition("machine").sortWithinPartitions("machine", "n").select("machine", "value").write.partitionBy("machine").text(root)
+    return logs.read_cells(spark, root)
+
+
+@query("step_log_rows", """SELECT user_id AS machine, event_id::VARCHAR AS number, event_type AS name, 'see ' || event_id || ', "twice"' AS notes, (event_id % 3)::VARCHAR AS far
+FROM events WHERE event_id % 7 <> 0""")
+def step_log_rows(spark, sf_dir):
+    """The named steps of every log, cells by their header."""
+    rows = logs.step_rows(_sheets(spark, sf_dir))
+    cell = {"number": "Sequence Number", "name": "Sequence Name", "notes": "Notes", "far": "Far"}
+    return rows.select(_machine(), *[F.col("row")[header].alias(out) for out, header in cell.items()])
+
+
+@query("step_log_machines", """SELECT DISTINCT user_id AS machine, user_id::VARCHAR AS id, 'B' || (user_id % 4) AS brand, DATE '2025-06-03' AS collected, 'note ' || user_id AS notes FROM events""")
+def step_log_machines(spark, sf_dir):
+    """The data of every log's machine, with its notes."""
+    rows = logs.meta_rows(_sheets(spark, sf_dir))
+    return rows.select(_machine(), F.col("meta")["Desktop ID"].alias("id"), F.col("meta")["Desktop Brand"].alias("brand"), logs.collection_date(F.col("meta")).alias("collected"), "notes")
+
+
+def _machine():
+    return F.regexp_extract("file", "machine=([0-9]+)", 1).cast("long").alias("machine")
+
+
 def _parsed(spark, sf_dir):
     """Log rows of the users: what was done to which part."""
     e = table(spark, sf_dir, "events").withColumn("k", F.get_json_object("props", "$.k").cast("int"))

@@ -19,7 +19,7 @@ def _pairs(spark, sf_dir):
     b = boxes(spark, sf_dir)
     left = b.select("frame", *[F.col(c).alias(f"a_{c}") for c in ("vec_id", "label", "x0", "y0", "x1", "y1")])
     right = b.select("frame", *[F.col(c).alias(f"b_{c}") for c in ("vec_id", "label", "x0", "y0", "x1", "y1")])
-    return left.join(right, "frame")
+    return joins.touching(left, right, ["frame"], "a_", "b_", 16)
 
 
 @query("box_iou", f"WITH {BOXES_SQL}, {IOU_SQL} SELECT a, b, i / (aa + ab - i) AS iou, i / aa AS containment, aa + ab - 2 * i AS sym_diff FROM i WHERE a < b AND i > 0")
@@ -34,7 +34,7 @@ def explained_blobs(spark, sf_dir):
     b = boxes(spark, sf_dir)
     blobs = b.where("label <> 0").select("frame", *[F.col(c).alias(f"a_{c}") for c in ("vec_id", "x0", "y0", "x1", "y1")])
     known = b.where("label = 0").select("frame", *[F.col(c).alias(f"b_{c}") for c in ("x0", "y0", "x1", "y1")])
-    out = joins.explained(blobs, known, ["frame"], G.iou(G.box("a_"), G.box("b_")), G.containment(G.box("a_"), G.box("b_")))
+    out = joins.explained(blobs, known, ["frame"], G.iou(G.box("a_"), G.box("b_")), G.containment(G.box("a_"), G.box("b_")), cell=16)
     return out.select(F.col("a_vec_id").alias("a"), "explained")
 
 

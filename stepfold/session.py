@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def session(app: str = "stepfold", **conf: str) -> SparkSession:
@@ -29,3 +30,8 @@ def cut(df: DataFrame) -> DataFrame:
     """`df` computed once and kept in the shared folder."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def vocabulary(df: DataFrame, most: int = 100_000) -> DataFrame:
+    """`df`, to be broadcast if it has at most `most` rows, which are counted first; a larger one is joined as Spark sees fit."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import csv
+import io
 import uuid
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,14 +16,27 @@ MARK = "Sequence Number"
 META_LABELS = ["Desktop ID", "Desktop Brand", "Desktop Size", "Total Disassembly Steps", "Total Disassembly Time", "Collection Date"]
 
 
-def read_cells(spark: SparkSession, path: str, columns: int = 16) -> DataFrame:
-    """(file, line, cells) of CSV files without an assumed header: one file is one task's, its lines are numbered in it."""
-    schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(columns)])
-    raw = spark.read.csv(path, schema=schema, header=False, multiLine=True, ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True, mode="PERMISSIVE")
-    cell = lambda i: F.trim(F.regexp_replace(F.coalesce(F.col(f"c{i}"), F.lit("")), "﻿", ""))
-    kept = raw.select(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("at"), F.array(*[cell(i) for i in range(columns)]).alias("cells"))
-    line = F.row_number().over(Window.partitionBy("file").orderBy("at"))
-    return kept.withColumn("line", line.cast("long")).drop("at")
+@F.pandas_udf(T.ArrayType(T.ArrayType(T.StringType())))
+def _rows_of_cells(texts: pd.Series) -> pd.Series:
+    """The records of each text that have a cell with text, padded to the widest of them."""
+
+    def rows(text: str) -> list[list[str]]:
+        csv.field_size_limit(max(len(text), 1))
+        read = [[c.strip() for c in row] for row in csv.reader(io.StringIO(text.replace("\ufeff", ""), newline=""))]
+        kept = [row for row in read if row]
+        wide = max([2, *map(len, kept)])
+        return [row + [""] * (wide - len(row)) for row in kept]
+
+    return texts.map(rows)
+
+
+def read_cells(spark: SparkSession, path: str, columns: int = 2) -> DataFrame:
+    """(file, line, cells) of CSV files without an assumed header, however wide: lines that are not blank are counted in
+    their file and padded to its widest line and to `columns`. A log is one machine's sheet, so a file is one row's text."""
+    text = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), _rows_of_cells("value").alias("rows"))
+    each = text.select("file", F.posexplode("rows").alias("at", "cells"))
+    padded = F.concat("cells", F.array_repeat(F.lit(""), F.greatest(F.lit(columns) - F.size("cells"), F.lit(0))))
+    return each.select("file", padded.alias("cells"), (F.col("at") + 1).cast("long").alias("line"))
 
 
 def step_rows(cells: DataFrame) -> DataFrame:

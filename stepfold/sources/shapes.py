@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stepfold.session import vocabulary
+
 # The geometry types of the tool's results.
 GEOMETRY = ["polygon", "polygonlabels", "ellipse", "rectangle", "brush", "brushlabels"]
 
@@ -41,7 +43,7 @@ def import_shapes(results: DataFrame, labels: DataFrame) -> DataFrame:
     """
     shapes = results.where(F.col("type").isin(GEOMETRY))
     known = labels.select("label", "cls", "hint", F.lit(True).alias("_known"))
-    joined = shapes.join(F.broadcast(known), "label", "left")  # a vocabulary
+    joined = shapes.join(vocabulary(known), "label", "left")
     joined = joined.withColumn("box", pixel_box(F.col("type"), F.col("value"), F.col("width"), F.col("height")))
     hint = F.coalesce(F.col("hint"), F.lit(False))
     outcome = (

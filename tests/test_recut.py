@@ -4,6 +4,8 @@ import random
 
 import pytest
 
+from stepfold.functions import geometry as G
+from stepfold.operators import joins as J
 from stepfold.operators import recut as R
 
 BY = ["m"]
@@ -202,3 +204,22 @@ def test_boundaries(spark):
     breaks = spark.createDataFrame([(1, "scan", 9, "accepted", 3.0), (1, "scan", 12, "accepted", None), (1, "scan", 14, "rejected", 3.0), (1, "oak", 15, "accepted", 3.0), (1, "scan", 16, "accepted", 25.0)], "m long, view string, step long, status string, px double")
     got = {(r.m, r.view, r.step, r.small) for r in R.boundaries(segments, turns, breaks, ["m", "view"]).collect()}
     assert got == {(1, "scan", 9, True), (1, "scan", 12, False), (1, "scan", 16, False)}
+
+
+def test_explained_is_null_safe_and_exact(spark):
+    rnd = random.Random(5)
+    box = lambda: (x := rnd.randint(-40, 90), y := rnd.randint(-40, 90), x + rnd.randint(0, 50), y + rnd.randint(0, 50))
+    blobs = [(f, i, *box()) for f in range(3) for i in range(25)] + [(0, None, None, None, None, None), (None, 99, 0, 0, 5, 5)]
+    boxes = [(f, *box()) for f in range(3) for _ in range(4)] + [(1, None, None, None, None)]
+    at = lambda p: ", ".join(f"{p}{c} double" for c in ("x0", "y0", "x1", "y1"))
+    known = spark.createDataFrame([(r[0], *[None if v is None else float(v) for v in r[1:]]) for r in boxes], f"frame long, {at('b_')}")
+    asked = spark.createDataFrame([(r[0], r[1], *[None if v is None else float(v) for v in r[2:]]) for r in blobs], f"frame long, id long, {at('a_')}")
+    got = J.explained(asked, known, ["frame"], G.iou(G.box("a_"), G.box("b_")), G.containment(G.box("a_"), G.box("b_")), cell=20)
+
+    def hit(a, b):
+        i = max(min(a[2], b[2]) - max(a[0], b[0]), 0) * max(min(a[3], b[3]) - max(a[1], b[1]), 0)
+        size = lambda r: (r[2] - r[0]) * (r[3] - r[1])
+        return i > 0 and (i / (size(a) + size(b) - i) >= 0.1 or i / size(a) >= 0.7)
+
+    want = {(r[0], r[1]): any(r[0] == b[0] and None not in (*r[2:], *b[1:]) and hit(r[2:], b[1:]) for b in boxes) for r in blobs}
+    assert {(r.frame, r.id): r.explained for r in got.collect()} == want and True in want.values()

@@ -20,6 +20,15 @@ def test_step_log(spark, tmp_path):
     assert meta.meta["Desktop Brand"] == "Acme X" and meta.notes == "left door open" and meta.date == datetime.date(2025, 6, 3)
 
 
+def test_wide_and_quoted_log(spark, tmp_path):
+    far = "," * 30 + "end"
+    (tmp_path / "a.csv").write_text('Sequence Number,Sequence Name,Notes\n\n1,"RAM ""A""","two\nlines, one cell"' + far + "\n")
+    (tmp_path / "b.csv").write_text("")
+    rows = logs.read_cells(spark, str(tmp_path)).orderBy("line").collect()
+    assert [(r.line, len(r.cells)) for r in rows] == [(1, 33), (2, 33)]
+    assert rows[1].cells[1:3] == ['RAM "A"', "two\nlines, one cell"] and rows[1].cells[-1] == "end"
+
+
 def test_listings(spark):
     files = spark.createDataFrame([("a/desktop_01.csv",), ("b/Desktop 1.csv",), ("a/desktop_13_meta.csv",), ("a/desktop_13.csv",), ("x.txt",)], "path string")
     assert {(r.desktop, r.path) for r in logs.log_files(files).collect()} == {(1, "b/Desktop 1.csv"), (13, "a/desktop_13.csv")}
