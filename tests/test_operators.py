@@ -241,3 +241,32 @@ def test_draft_ids_are_stable(spark):
 
     rows = spark.createDataFrame([("r1",), ("é",), ("",), (None,)], "id string").select("id", parts.draft_id(F.col("id")).alias("n")).collect()
     assert {r.id: r.n for r in rows} == {"r1": zlib.crc32(b"r1") & 0x7FFFFFFF, "é": zlib.crc32("é".encode()) & 0x7FFFFFFF, "": None, None: None}
+
+
+def test_closest_no_by_brute_force(spark):
+    import random
+    import zlib
+
+    from stepfold.operators import questions as Q
+
+    rnd = random.Random(4)
+    verbs, classes = ["open", "remove", "unscrew"], ["fan", "ram", None]
+    shown = [(m, rnd.choice(verbs), rnd.choice(classes)) for m in range(30) for _ in range(3)]
+    noes = [(m, rnd.choice(verbs), rnd.choice(classes), f"k{i}", rnd.choice([Q.GRAPH, Q.STATE])) for m in range(28) for i in range(rnd.randint(0, 5))]
+    spoken = [("open",), ("remove",), ("open",)]
+    got = Q.matched_noes(
+        spark.createDataFrame(shown, "m long, verb string, cls string"), spark.createDataFrame(noes, "m long, verb string, cls string, key string, cause string"), ["m"], spark.createDataFrame(spoken, "verb string"))
+
+    def rank(m, verb, cls, n):
+        same_cls = cls is not None and n[2] == cls
+        tier = 0 if n[1] == verb and same_cls else 1 if n[1] == verb else 2 if same_cls else 3
+        return tier, (n[1],) not in spoken, n[4] != Q.GRAPH, zlib.crc32(f"{m}|{n[1]}|{n[3]}".encode()), n[1], n[3], n[4]
+
+    want = set()
+    for m, verb, cls in set(shown):
+        own = [rank(m, verb, cls, n) for n in noes if n[0] == m]
+        if own:
+            best = min(own)
+            want.add((m, cls, verb, best[4], best[5], best[6], best[0]))
+    rows = [tuple(r) for r in got.collect()]
+    assert sorted(map(repr, rows)) == sorted(repr((m, *rest)) for m, cls, *rest in want)
