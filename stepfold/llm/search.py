@@ -1,4 +1,4 @@
-"""Exact BM25 top-k by block-max WAND over sharded inverted indexes, merged under global statistics.
+"""Exact BM25 top-k by block-max pruning, without pivots, over sharded inverted indexes, merged under global statistics.
 
 Each scan partition builds its shards: postings by term with term counts, documents ordered so that like ones share a
 block. Document counts, lengths and document frequencies are summed over all shards before any score is computed, so
