@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stepfold.operators.joins import interval_lookup, overlaps
-from stepfold.session import cut
+from stepfold.session import cut, shuffled
 
 # What belongs to a segment's reference step, what to its picture, the mark of a copied key frame and the
 # movement (pixels) below which a rectangle is still the right window.
@@ -24,7 +24,7 @@ CARRIED, SMALL_PX = "carried", 25.0
 def boundaries(segments: DataFrame, reorients: DataFrame, breaks: DataFrame, by: Sequence[str], below: float = SMALL_PX) -> DataFrame:
     """(by, step, small): where each view should be cut: its accepted breaks (by, step, status, px) and the turns of its
     machine (a part of `by`, step), from step 2 to its last. `small` are breaks with a measured movement under `below`."""
-    ends = segments.where(_ranged()).groupBy(*by).agg(F.max("end").alias("_n"))
+    ends = shuffled(segments.where(_ranged()).groupBy(*by).agg(F.max("end").alias("_n")))
     shared = [c for c in by if c in reorients.columns]
     turns = ends.join(reorients.select(*shared, "step"), shared).select(*by, "step", F.lit(False).alias("small"))
     accepted = breaks.where("status = 'accepted'").select(*by, "step", F.coalesce(F.col("px") < below, F.lit(False)).alias("small"))
@@ -34,7 +34,7 @@ def boundaries(segments: DataFrame, reorients: DataFrame, breaks: DataFrame, by:
 
 def ranges(segments: DataFrame, bounds: DataFrame, by: Sequence[str]) -> DataFrame:
     """(by, seg, start, end, small) of the new cut, numbered from 1; `small` tells of the boundary at the start."""
-    ends = segments.where(_ranged()).groupBy(*by).agg(F.max("end").alias("_n"))
+    ends = shuffled(segments.where(_ranged()).groupBy(*by).agg(F.max("end").alias("_n")))
     inner = bounds.join(ends, list(by)).where("step > 1 and step <= _n").groupBy(*by, F.col("step").alias("start"), "_n").agg(F.max("small").alias("small"))
     starts = ends.select(*by, F.lit(1).cast("long").alias("start"), "_n", F.lit(False).alias("small")).unionByName(inner)
     w = Window.partitionBy(*by).orderBy("start")
@@ -90,7 +90,7 @@ def recut(segments: DataFrame, bounds: DataFrame, by: Sequence[str], *, keyframe
     redrawn = plan.groupBy(*by, "old_seg", "old_start", "old_end").agg(F.max(same).alias("_same")).where("not _same").select(*by, F.col("old_start").alias("a"), F.col("old_end").alias("b"))
     dropped = moves.where("dropped").join(fresh.select(*by, "seg", "start", "end"), [*by, "seg"]).select(*by, F.col("start").alias("a"), F.col("end").alias("b"))
     steps = redrawn.union(dropped).select(*by, F.explode(F.sequence("a", "b")).alias("step"))
-    out["rechecks"] = frozen.select(*by, "step").distinct().join(steps, [*by, "step"], "left_semi")
+    out["rechecks"] = frozen.select(*by, "step").distinct().join(shuffled(steps), [*by, "step"], "left_semi")
     return out
 
 
@@ -101,7 +101,7 @@ def _ranged() -> Column:
 def _plan(segments: DataFrame, known: DataFrame, bounds: DataFrame, by: list[str]) -> tuple[DataFrame, DataFrame]:
     """Pieces (by, old_seg, old_start, old_end, seg, start, end, small, a, b) and new ranges of the views that change.
 
-    Both have a row for each segment at most twice over, and are kept, as every table is moved by them."""
+    Both have a row for each segment at most twice over, and are kept, as every table is moved by them, without broadcasts."""
     new = ranges(segments, bounds, by)
     both = overlaps(known.select(*by, "seg", "start", "end"), new, by)
     pieces = both.select(*by, *[F.col(f"left.{c}").alias(f"old_{c}") for c in ("seg", "start", "end")], "right.*", "a", "b")
@@ -109,9 +109,9 @@ def _plan(segments: DataFrame, known: DataFrame, bounds: DataFrame, by: list[str
     broken = ~F.coalesce(F.col("ref").between(F.col("start"), F.col("end")), F.lit(False))
     stored = segments.groupBy(*by).agg(F.count("*").alias("_rows"), F.max(broken).alias("_broken"))
     wanted = new.groupBy(*by).agg(F.count("*").alias("_new"))
-    state = wanted.join(stored, by).join(pieces.groupBy(*by).agg(same.alias("_same")), by, "left")
-    active = state.where("_broken or not (_rows <=> _same and _new <=> _same)").select(*by)
-    return cut(pieces.join(active, by, "left_semi")), cut(new.join(active, by, "left_semi"))
+    state = wanted.join(shuffled(stored), by).join(shuffled(pieces.groupBy(*by).agg(same.alias("_same"))), by, "left")
+    active = shuffled(state.where("_broken or not (_rows <=> _same and _new <=> _same)").select(*by))
+    return shuffled(cut(pieces.join(active, by, "left_semi"))), shuffled(cut(new.join(active, by, "left_semi")))
 
 
 def _segments(known: DataFrame, plan: DataFrame, fresh: DataFrame, by: list[str]) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
@@ -135,8 +135,8 @@ def _segments(known: DataFrame, plan: DataFrame, fresh: DataFrame, by: list[str]
     moves = new.where("k is not null and not _stays").select(*by, "seg", F.col("k.old_seg").alias("old_seg"), "ref", F.coalesce(*[F.col(f"k.{c}") for c in GEOMETRY]).isNotNull().alias("dropped"))
     now = new.select(*by, "seg", F.col("k.old_seg").alias("_keeper"), *[F.col(f"k.{c}").alias(f"_now_{c}") for c in GEOMETRY], *[F.col(c).alias(f"_now_{c}") for c in BOXES])
     fields = F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).alias("value"), F.col(f"_now_{c}").alias("now")) for c in (*GEOMETRY, *BOXES)])
-    lost = rows.join(now, [*by, "seg"]).where("old_seg <> _keeper").select(*by, "old_seg", F.col("seg").alias("into"), F.explode(fields).alias("f"))
-    return new.drop("k", "_stays"), keeper, moves, lost.where("f.value is not null and not f.value <=> f.now").select(*by, "old_seg", "into", "f.field", "f.value")
+    lost = rows.join(shuffled(now), [*by, "seg"]).where("old_seg <> _keeper").select(*by, "old_seg", F.col("seg").alias("into"), F.explode(fields).alias("f"))
+    return new.drop("k", "_stays"), shuffled(keeper), moves, lost.where("f.value is not null and not f.value <=> f.now").select(*by, "old_seg", "into", "f.field", "f.value")
 
 
 def _layers(orders: DataFrame, pairs: DataFrame, plan: DataFrame, fresh: DataFrame, home: DataFrame, keeper: DataFrame, by: list[str]) -> dict[str, DataFrame]:
@@ -147,7 +147,7 @@ def _layers(orders: DataFrame, pairs: DataFrame, plan: DataFrame, fresh: DataFra
     others = F.array_sort(F.collect_list(F.when(~first, F.struct("a", "old_seg", "layers"))))  # the pieces of one segment
     g = rows.groupBy(*at).agg(F.max_by(F.struct("layers", "version"), F.when(first, 1)).alias("k"), others.alias("others"))
     whole = F.aggregate("others", F.coalesce(F.array_distinct("k.layers"), F.array().cast(orders.schema["layers"].dataType)), lambda acc, o: F.array_union(acc, o["layers"]))
-    merged = g.select(*at, F.when(F.size("others") == 0, F.col("k.layers")).otherwise(whole).alias("layers"), F.coalesce("k.version", F.lit(1)).alias("version"), "others")
+    merged = shuffled(g).select(*at, F.when(F.size("others") == 0, F.col("k.layers")).otherwise(whole).alias("layers"), F.coalesce("k.version", F.lit(1)).alias("version"), "others")
     each = merged.select(*by, F.col("seg").alias("into"), "layers", F.explode("others").alias("o"))
     told = each.select(*by, F.col("o.old_seg").alias("old_seg"), "into", F.explode(turned(F.col("layers"), F.col("o.layers"))).alias("p"))
     loose_orders, loose_pairs = orders.join(home, at, "left_anti"), pairs.join(home, at, "left_anti")
@@ -172,18 +172,18 @@ def _keyframes(keyframes: DataFrame, parts: DataFrame, plan: DataFrame, fresh: D
     old_starts = plan.where("old_start > 1").select(*by, F.col("old_start").alias("step")).distinct()
     new_starts = fresh.where("start > 1").select(*by, F.col("start").alias("step"))
     gone = old_starts.join(new_starts, [*by, "step"], "left_anti")
-    fresh_cuts = new_starts.join(old_starts, [*by, "step"], "left_anti").join(carry.select(*by, "step"), [*by, "step"], "left_semi")
+    fresh_cuts = new_starts.join(old_starts, [*by, "step"], "left_anti").join(shuffled(carry.select(*by, "step")), [*by, "step"], "left_semi")
 
     ours = keyframes.withColumnRenamed("version", "_version")  # the lookup has a column of that name
     placed = interval_lookup(ours.join(home, [*by, "seg"], "left"), fresh, by, "anchor", "start", "end", "seg", F.lit(None).cast("long"), F.col("_home")).withColumnRenamed("_version", "version")
     rekeyed = placed.withColumn("seg", F.when(F.col("_home").isNotNull(), F.col("segment")).otherwise(F.col("seg"))).select(*keyframes.columns)
-    doomed = keyframes.where(F.col("source") == CARRIED).join(gone.select(*by, (F.col("step") - 1).alias("anchor")), [*by, "anchor"]).select(*by, "id", ((F.col("version") <= 1) & (F.col("edits") <= 0)).alias("_go"))
-    deleted = doomed.where("_go").select("id").distinct()
+    doomed = keyframes.where(F.col("source") == CARRIED).join(shuffled(gone.select(*by, (F.col("step") - 1).alias("anchor"))), [*by, "anchor"]).select(*by, "id", ((F.col("version") <= 1) & (F.col("edits") <= 0)).alias("_go"))
+    deleted = shuffled(doomed.where("_go").select("id").distinct())
 
     before = Window.partitionBy(*by, *chain, "seg").orderBy("anchor").rangeBetween(Window.unboundedPreceding, -1)
     begins = plan.groupBy(*by, F.col("old_seg").alias("seg")).agg(F.first("old_start").alias("_start"))
     covered = keyframes.join(begins, [*by, "seg"]).withColumn("_low", F.coalesce(F.max("anchor").over(before) + 1, F.col("_start")))
-    cuts = fresh_cuts.groupBy(*by).agg(F.collect_set("step").alias("_cuts"))  # the new boundaries of one view
+    cuts = shuffled(fresh_cuts.groupBy(*by).agg(F.collect_set("step").alias("_cuts")))  # the new boundaries of one view
     across = covered.join(cuts, by).withColumn("_at", F.explode(F.filter("_cuts", lambda c: (c > F.col("_low")) & (c <= F.col("anchor")))))
     sides = fresh.select(*by, (F.col("end") + 1).alias("_at"), F.col("seg").alias("_side"))
     new_id = F.concat("id", F.lit("@"), (F.col("_at") - 1).cast("string"))
@@ -191,7 +191,7 @@ def _keyframes(keyframes: DataFrame, parts: DataFrame, plan: DataFrame, fresh: D
     fresh_values = {"id": new_id, "seg": F.col("_side"), "anchor": F.col("_at") - 1, "source": F.lit(CARRIED), "version": F.lit(1), "edits": F.lit(0)}
     kinds = {f.name: f.dataType for f in keyframes.schema}
     copies = copies.select("_from", *[fresh_values[c].cast(kinds[c]).alias(c) if c in fresh_values else F.col(c) for c in keyframes.columns])
-    copied = parts.withColumnRenamed("id", "_from").join(copies.select("_from", "id"), "_from").select(*parts.columns)
+    copied = parts.withColumnRenamed("id", "_from").join(shuffled(copies.select("_from", "id")), "_from").select(*parts.columns)
     return {
         "keyframes": rekeyed.join(deleted, "id", "left_anti").select(*keyframes.columns).unionByName(copies.drop("_from")),
         "parts": parts.join(deleted, "id", "left_anti").select(*parts.columns).union(copied),

@@ -32,6 +32,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """`df`, joined by shuffle and sort, never broadcast: for tables whose size Spark underrates, as it takes all rows that
+    come of an exploded one for one, also once they are kept. Holds through all but joins and unions."""
+    return df.hint("merge")
+
+
 def vocabulary(df: DataFrame, most: int = 100_000) -> DataFrame:
     """`df`, to be broadcast if it has at most `most` rows, which are counted first; a larger one is joined as Spark sees fit."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df

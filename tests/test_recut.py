@@ -7,6 +7,7 @@ import pytest
 from stepfold.functions import geometry as G
 from stepfold.operators import joins as J
 from stepfold.operators import recut as R
+from stepfold.plans import recuts
 
 BY = ["m"]
 SEGMENTS = "m long, seg long, start long, end long, ref long, corners string, homography string, roi string, bench_roi string"
@@ -223,3 +224,9 @@ def test_explained_is_null_safe_and_exact(spark):
 
     want = {(r[0], r[1]): any(r[0] == b[0] and None not in (*r[2:], *b[1:]) and hit(r[2:], b[1:]) for b in boxes) for r in blobs}
     assert {(r.frame, r.id): r.explained for r in got.collect()} == want and True in want.values()
+
+
+def test_no_side_is_sent_to_the_driver(spark, sf):
+    """Exploded rows look small to Spark, so a re-cut of many views would collect them for broadcasts."""
+    plans = {name: df._jdf.queryExecution().sparkPlan().toString() for name, df in recuts._done(spark, sf).items()}
+    assert [name for name, plan in plans.items() if "BroadcastHashJoin" in plan] == []
