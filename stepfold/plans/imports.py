@@ -12,7 +12,7 @@ from stepfold.plans.registry import query
 from stepfold.plans.tables import table
 from stepfold.session import shared_folder
 from stepfold.sources import entities, logs, publish
-from stepfold.sources.listing import read_listing
+from stepfold.sources.listing import read_listing, write_files
 
 VIEWS = [("scan",), ("oak",)]
 
@@ -26,7 +26,9 @@ def listed_frame_index(spark, sf_dir):
     view = F.when(F.col("event_type") == "click", "scan").when(F.col("event_type") == "purchase", "oak")
     e = table(spark, sf_dir, "events").select(F.col("user_id").alias("desktop"), (F.col("event_id") % 5).alias("step"), view.alias("view"), F.col("event_id").cast("string").alias("text"))
     root = f"{shared_folder(spark)}/captures-{uuid.uuid4().hex}"
-    e.where("view is not null").repartition("desktop").write.partitionBy("desktop", "view", "step").text(root)
+    path = F.concat(F.lit("desktop="), "desktop", F.lit("/view="), "view", F.lit("/step="), "step", F.lit("/events.txt"))
+    text = F.array_join(F.array_sort(F.collect_list("text")), "\n").alias("text")  # the events of one folder
+    write_files(e.groupBy(path.alias("path")).agg(text).where("path is not null"), root)
     listed = read_listing(spark, root, "desktop=([0-9]+)")
     named = listed.where("error is null").select(F.col("machine").alias("desktop"), F.regexp_extract("dir", "view=([a-z]+)", 1).alias("view"), R.folder_step(F.col("dir")).alias("step"), F.concat_ws("/", "dir", "file").alias("path"))
     index = R.frame_index(e.select("desktop", "step").distinct(), {v: named.where(F.col("view") == v) for v, in VIEWS}, spark.createDataFrame(VIEWS, "view string"))
@@ -45,7 +47,10 @@ def _sheets(spark, sf_dir):
     fixed = F.array(*[F.struct(F.lit(n).cast("long").alias("n"), F.lit(text).alias("value")) for n, text in head], *[F.struct(F.lit(2**40 + n).alias("n"), F.concat(F.lit(f"{label},"), v).alias("value")) for n, (label, v) in enumerate(tail)])
     rest = e.select("machine").distinct().select("machine", F.explode(fixed).alias("f")).select("machine", "f.*")
     root = f"{shared_folder(spark)}/sheets-{uuid.uuid4().hex}"
-    steps.union(rest).repartition("machine").sortWithinPartitions("machine", "n").select("machine", "value").write.partitionBy("machine").text(root)
+    lines = F.array_sort(F.collect_list(F.struct("n", "value")))  # one machine's sheet
+    text = F.array_join(F.transform(lines, lambda x: x["value"]), "\n").alias("text")
+    path = F.concat(F.lit("part="), F.pmod("machine", F.lit(64)), F.lit("/machine="), "machine", F.lit(".csv"))
+    write_files(steps.union(rest).groupBy("machine").agg(text).select(path.alias("path"), "text").where("path is not null"), root)
     return logs.read_cells(spark, root)
 
 

@@ -1,4 +1,4 @@
-"""Directory listings as a data source: one partition a machine's folder, what cannot be read as a row of its own.
+"""Directory listings as a data source: machines' folders dealt to at most TASKS partitions, what cannot be read as a row of its own.
 
 `spark.dataSource.register(FolderListing)`, then `spark.read.format("folder_listing").option("machine", "desktop_([0-9]+)")
 .load(root)`. The root must be mounted on the driver and on every executor.
@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import os
 import re
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -17,15 +18,21 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter
 SCHEMA = "machine long, dir string, file string, bytes long, mtime double, error string"
 NAME = "folder_listing"
 FILTERS = "spark.sql.python.filterPushdown.enabled"
+TASKS = 256  #: fewer folders are a task each
 
 
 @dataclass
-class Folder(InputPartition):
+class Folder:
     machine: int | None
     path: str
     error: str | None = None
 
 
+@dataclass
+class Folders(InputPartition):
+    folders: list[Folder]
+
+
 def walk(path: str, base: str) -> Iterator[tuple[str, str | None, int | None, float | None, str | None]]:
     """(dir, file, bytes, mtime, error) of all files below, folders by name; a folder or file that fails is one row."""
     try:
@@ -60,24 +67,25 @@ class ListingReader(DataSourceReader):
             else:
                 yield f
 
-    def partitions(self) -> list[Folder]:
-        """One for each folder right below the root whose name tells a machine, and one for a root that cannot be read."""
+    def partitions(self) -> list[Folders]:
+        """The folders right below the root whose name tells a machine, dealt in turn, and one for a root that cannot be read."""
         try:
             with os.scandir(self.root) as found:
                 names = sorted(e.name for e in found if not e.name.startswith((".", "_")) and e.is_dir())
         except OSError as e:
-            return [Folder(None, self.root, f"{type(e).__name__}: {e.strerror}")]
+            return [Folders([Folder(None, self.root, f"{type(e).__name__}: {e.strerror}")])]
         told = [(self.pattern.fullmatch(n), n) for n in names]
         out = [Folder(int(m[1]), os.path.join(self.root, n)) for m, n in told if m and (self.wanted is None or int(m[1]) in self.wanted)]
-        return out or [Folder(None, self.root, "")]
+        return [Folders(out[i::TASKS]) for i in range(min(TASKS, len(out)))] or [Folders([Folder(None, self.root, "")])]
 
-    def read(self, partition: Folder) -> Iterator[tuple]:
-        if partition.error is not None:
-            if partition.error:
-                yield None, ".", None, None, None, partition.error
-            return
-        for row in walk(partition.path, partition.path):
-            yield partition.machine, *row
+    def read(self, partition: Folders) -> Iterator[tuple]:
+        for folder in partition.folders:
+            if folder.error is not None:
+                if folder.error:
+                    yield None, ".", None, None, None, folder.error
+                continue
+            for row in walk(folder.path, folder.path):
+                yield folder.machine, *row
 
 
 class FolderListing(DataSource):
@@ -99,3 +107,20 @@ def read_listing(spark: SparkSession, root: str, machine: str = "([0-9]+)") -> D
     spark.dataSource.register(FolderListing)
     spark.conf.set(FILTERS, "true")
     return spark.read.format(NAME).option("machine", machine).load(root)
+
+
+def write_files(rows: DataFrame, root: str) -> None:
+    """(path, text): one file for each path below `root`, which must be mounted as for a listing. Paths are unique; a file
+    appears whole, so a task that runs again changes nothing."""
+    base = root.removeprefix("file:")
+
+    def write(part) -> None:
+        for row in part:
+            to = os.path.join(base, row.path)
+            os.makedirs(os.path.dirname(to), exist_ok=True)
+            new = os.path.join(os.path.dirname(to), f".{uuid.uuid4().hex}")
+            with open(new, "w", encoding="utf-8", newline="") as f:
+                f.write(row.text)
+            os.replace(new, to)
+
+    rows.select("path", "text").foreachPartition(write)

@@ -28,6 +28,15 @@ def test_listing_has_files_and_errors(spark, tmp_path):
     assert listing.read_listing(spark, str(tmp_path / "other"), "desktop_([0-9]+)").count() == 0
 
 
+def test_many_folders_share_tasks(spark, tmp_path):
+    files = spark.createDataFrame([(f"desktop_{i}/scan/{i % 7}/é.txt", f"é{i}\nx") for i in range(300)], "path string, text string")
+    listing.write_files(files, str(tmp_path))
+    listing.write_files(files, f"file:{tmp_path}")  # once more: nothing is written twice
+    df = listing.read_listing(spark, str(tmp_path), "desktop_([0-9]+)")
+    assert df.rdd.getNumPartitions() == listing.TASKS
+    assert {(r.machine, r.dir, r.file, r.bytes) for r in df.collect()} == {(i, f"scan/{i % 7}", "é.txt", len(f"é{i}\nx".encode())) for i in range(300)} and df.count() == 300
+
+
 def test_machine_filters_choose_folders(spark, tmp_path):
     tree(tmp_path)
     df = listing.read_listing(spark, str(tmp_path), "desktop_([0-9]+)")
