@@ -41,19 +41,20 @@ def read_cells(spark: SparkSession, path: str, columns: int = 2) -> DataFrame:
 
 def step_rows(cells: DataFrame) -> DataFrame:
     """(file, line, row): map of header to cell for rows under the located header that have a sequence name."""
-    head = cells.where(F.array_contains("cells", MARK)).groupBy("file").agg(F.min_by(F.struct("line", "cells"), "line").alias("head"))
-    body = cells.join(head, "file").where(F.col("line") > F.col("head.line"))
+    of = Window.partitionBy("file").orderBy("line")
+    head = F.first(F.when(F.array_contains("cells", MARK), F.struct("line", "cells")), ignorenulls=True).over(of)
+    body = cells.withColumn("head", head).where(F.col("line") > F.col("head.line"))
     pairs = F.filter(F.arrays_zip(F.col("head.cells").alias("k"), F.col("cells").alias("v")), lambda p: p["k"] != "")
     row = F.map_from_entries(F.transform(pairs, lambda p: F.struct(p["k"], p["v"])))
-    stop = F.max(F.array_contains(F.array(*[F.lit(x) for x in META_LABELS]), F.col("cells")[0]).cast("int")).over(Window.partitionBy("file").orderBy("line"))
+    stop = F.max(F.array_contains(F.array(*[F.lit(x) for x in META_LABELS]), F.col("cells")[0]).cast("int")).over(of)
     return body.withColumn("row", row).withColumn("_stop", stop).where("_stop = 0").where(F.coalesce(F.try_element_at("row", F.lit("Sequence Name")), F.lit("")) != "").select("file", "line", "row")
 
 
 def meta_rows(cells: DataFrame) -> DataFrame:
     """(file, meta, notes): the label and value table; a blank label with a value is a note."""
     labels = F.array(*[F.lit(x) for x in META_LABELS])
-    first = cells.where(F.array_contains(labels, F.col("cells")[0])).groupBy("file").agg(F.min("line").alias("begin"))
-    rows = cells.join(first, "file").where(F.col("line") >= F.col("begin"))
+    begun = F.max(F.array_contains(labels, F.col("cells")[0])).over(Window.partitionBy("file").orderBy("line"))
+    rows = cells.withColumn("_begun", begun).where("_begun")
     entry = F.when(F.array_contains(labels, F.col("cells")[0]), F.struct(F.col("cells")[0], F.col("cells")[1]))
     note = F.when((F.col("cells")[0] == "") & (F.col("cells")[1] != ""), F.struct("line", F.col("cells")[1].alias("note")))
     g = rows.groupBy("file").agg(F.collect_list(entry).alias("e"), F.sort_array(F.collect_list(note)).alias("n"))

@@ -29,6 +29,16 @@ def test_wide_and_quoted_log(spark, tmp_path):
     assert rows[1].cells[1:3] == ['RAM "A"', "two\nlines, one cell"] and rows[1].cells[-1] == "end"
 
 
+def test_logs_are_read_once(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("Desktop ID,9\nSequence Number,Sequence Name\n1,RAM\nSequence Number,Sequence Name\nDesktop ID,13\n2,late\n,note\n")
+    (tmp_path / "b.csv").write_text("no,table\n")
+    cells = logs.read_cells(spark, str(tmp_path))
+    steps, meta = logs.step_rows(cells), logs.meta_rows(cells.where("line > 1"))
+    assert [df._jdf.queryExecution().sparkPlan().toString().count("FileScan") for df in (steps, meta)] == [1, 1]
+    assert [(r.line, r.row["Sequence Name"]) for r in steps.orderBy("line").collect()] == [(3, "RAM"), (4, "Sequence Name")]
+    assert [(r.meta, r.notes) for r in meta.collect()] == [({"Desktop ID": "13"}, "note")]
+
+
 def test_listings(spark):
     files = spark.createDataFrame([("a/desktop_01.csv",), ("b/Desktop 1.csv",), ("a/desktop_13_meta.csv",), ("a/desktop_13.csv",), ("x.txt",)], "path string")
     assert {(r.desktop, r.path) for r in logs.log_files(files).collect()} == {(1, "b/Desktop 1.csv"), (13, "a/desktop_13.csv")}
