@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stepfold.functions.text import merge_notes
+from stepfold.session import cut
 from stepfold.sources import entities
 
 # The closed set of rationale operations.
@@ -70,7 +71,7 @@ def import_logs(parsed: DataFrame) -> dict[str, DataFrame]:
     several = (F.col("step_type") == "compound") & (F.coalesce("cls", F.lit("")) != CHASSIS)
     plain = F.when(F.col("cls") == CHASSIS, CHASSIS).when(several, F.concat(F.coalesce(F.concat("cls", F.lit(".")), F.lit("")), F.lit("?"))).when(F.col("cls").isNull(), "?")
     acts = acts.withColumn("key", plain)
-    found = entities.resolve(acts.where("key is null").drop("key"), machine="machine")
+    found = cut(entities.resolve(acts.where("key is null").drop("key"), machine="machine"))  # of three tables
     actions = acts.where("key is not null").unionByName(found)
     named = found.groupBy("machine", "key", "cls").agg(F.array_sort(F.collect_list(F.struct("step", "raw")))["raw"].alias("raw_names"))
     chassis = parsed.select("machine").distinct().select("machine", F.lit(CHASSIS).alias("key"), F.lit(CHASSIS).alias("cls"), F.array().cast("array<string>").alias("raw_names"))

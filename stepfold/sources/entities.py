@@ -6,7 +6,7 @@ identities go through the grouped pass.
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -73,31 +73,38 @@ def resolve(rows: DataFrame, machine: str = "desktop", step: str = "step", cls:
     """`rows` with `key`: `class.NN` on its machine.
 
     A numbered row takes the instance of its number unless the verb was already done to it; an unnumbered successful
-    removal takes the only instance that is not removed; everything else makes a new instance.
+    removal takes the only instance that is not removed; everything else makes a new instance. Rows are read in order,
+    however many machines a partition has.
     """
     n = F.count("*").over(Window.partitionBy(machine, cls))
     marked = rows.withColumn("_n", n)
     single = marked.where("_n = 1").drop("_n").withColumn("key", F.concat(F.col(cls), F.lit(".01")))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        made: list[dict] = []
-        keys = []
-        for r in pdf.sort_values(step).to_dict("records"):
-            num = None if pd.isna(r[number]) else int(r[number])
-            found = None
-            if num is not None:
-                found = next((m for m in made if m["number"] == num and r[verb] not in m["done"]), None)
-            elif r[ok] and r[verb] in TERMINAL:
-                live = [m for m in made if not m["done"] & set(TERMINAL)]
-                found = live[0] if len(live) == 1 else None
-            if found is None:
-                found = {"number": num, "done": set(), "ordinal": len(made) + 1}
-                made.append(found)
-            if r[ok]:
-                found["done"].add(r[verb])
-            keys.append(f"{r[cls]}.{found['ordinal']:02d}")
-        return pdf.sort_values(step).assign(key=keys)
+    def run(batches):
+        group = None
+        for b in batches:
+            keys = []
+            for m, c, num, done, good in zip(*[b.column(x).to_pylist() for x in (machine, cls, number, verb, ok)]):
+                if group != (m, c):
+                    group, numbered, alive, n_made = (m, c), {}, {}, 0
+                found = None
+                if num is not None:
+                    found = next((i for i in numbered.get(int(num), []) if done not in i["done"]), None)
+                elif good and done in TERMINAL:
+                    found = next(iter(alive.values())) if len(alive) == 1 else None
+                if found is None:
+                    n_made += 1
+                    found = alive[n_made] = {"done": set(), "ordinal": n_made}
+                    if num is not None:
+                        numbered.setdefault(int(num), []).append(found)
+                if good:
+                    found["done"].add(done)
+                    if done in TERMINAL:
+                        alive.pop(found["ordinal"], None)
+                keys.append(f"{c}.{found['ordinal']:02d}")
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(keys, pa.string())], names=[*b.schema.names, "key"])
 
     many = marked.where("_n > 1").drop("_n")
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in many.schema.fields)
-    return single.unionByName(many.groupBy(machine, cls).applyInPandas(run, f"{kinds}, key string"))
+    ordered = many.repartition(machine, cls).sortWithinPartitions(machine, cls, F.col(step).asc_nulls_last())
+    return single.unionByName(ordered.mapInArrow(run, f"{kinds}, key string"))

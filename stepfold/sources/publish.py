@@ -1,8 +1,9 @@
 """Several tables published together, machine by machine, behind one manifest.
 
-Each machine's rows lie in one of two places in every table. A run writes the machines that changed to their other
-place, stamped with the run, and then the manifest: one row a machine that says where and of which run its rows are.
-Readers follow the manifest, so all tables of a machine change at once and a run that fails is not seen.
+Machines are dealt to BUCKETS buckets, whose rows lie in one of two places in every table. A run writes the buckets of
+the machines that changed to their other place, with what the bucket's other machines have, stamped with the run, and
+then the manifest: one row a machine that says where and of which run its rows are. Readers follow the manifest, so all
+tables of a machine change at once and a run that fails is not seen. Folders do not grow in number with the machines.
 """
 
 from __future__ import annotations
@@ -11,12 +12,13 @@ import uuid
 from functools import reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stepfold.session import cut
 
+BUCKETS = 64  #: not to be changed while tables are there
 MANIFEST = "machine long, place int, run string, digest string, serial long, slot int"
 
 
@@ -33,6 +35,10 @@ def _overwrite(df: DataFrame, path: str, *by: str) -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
 
 
+def _bucket() -> Column:
+    return F.pmod("machine", F.lit(BUCKETS)).cast("int").alias("_bucket")
+
+
 def manifest(spark: SparkSession, folder: str) -> DataFrame:
     """(machine, place, run, digest, serial) of the newest finished run: one row a machine."""
     rows = _read(spark, f"{folder}/manifest", MANIFEST)
@@ -68,16 +74,22 @@ def publish(tables: dict[str, DataFrame], folder: str, held: DataFrame | None =
     both = digests(known).join(had, "machine", "left")
     both = both.withColumn("_held", F.lit(None).cast("boolean")) if marks is None else both.join(marks, "machine", "left")
     outcome = F.when(F.col("_held"), "held").when(F.col("digest").eqNullSafe(F.col("_was")), "unchanged").otherwise("published")
-    # cut: where rows go is decided once, whatever is computed again
-    plan = cut(both.select("machine", outcome.alias("outcome"), "digest", (1 - F.coalesce("place", F.lit(1))).alias("place")))
-    new = plan.where("outcome = 'published'").select("machine", "digest", "place")
+    # cut: what is written is decided once, whatever is computed again
+    plan = cut(both.select("machine", outcome.alias("outcome"), "digest"))
+    new = plan.where("outcome = 'published'").select("machine", "digest")
     if new.take(1):
+        places = old.groupBy(_bucket()).agg(F.max("place").alias("_had"))  # a bucket's machines share one place
+        touched = new.select(_bucket()).distinct().join(places, "_bucket", "left")
+        to = F.broadcast(cut(touched.select("_bucket", (1 - F.coalesce("_had", F.lit(1))).alias("_place"))))  # at most BUCKETS rows
         for name, df in known.items():
-            rows = df.join(new.select("machine", F.col("place").alias("_place")), "machine").withColumn("_run", F.lit(run))
-            _overwrite(rows.repartition("machine"), f"{folder}/{name}", "machine", "_place")
+            fresh = df.join(new.select("machine"), "machine")
+            stay = published(spark, folder, name, df.schema).join(new.select("machine"), "machine", "left_anti")
+            rows = fresh.unionByName(stay).withColumn("_run", F.lit(run)).withColumn("_bucket", _bucket()).join(to, "_bucket")
+            _overwrite(rows.repartition("_bucket"), f"{folder}/{name}", "_bucket", "_place")
         serial = (old.agg(F.max("serial")).first()[0] or 0) + 1
-        kept = old.drop("serial").join(new.select("machine"), "machine", "left_anti")
-        now = kept.unionByName(new.withColumn("run", F.lit(run))).withColumn("serial", F.lit(serial).cast("long"))
+        kept = old.select("machine", "digest", "place", F.col("run").alias("_old")).join(new.select("machine"), "machine", "left_anti")
+        every = kept.unionByName(new, allowMissingColumns=True).withColumn("_bucket", _bucket()).join(to, "_bucket", "left")
+        now = every.select("machine", F.coalesce("_place", "place").alias("place"), F.when(F.col("_place").isNull(), F.col("_old")).otherwise(run).alias("run"), "digest", F.lit(serial).cast("long").alias("serial"))
         _overwrite(now.withColumn("slot", F.lit(serial % 2)).coalesce(1), f"{folder}/manifest", "slot")
     return plan.select("machine", "outcome")
 
@@ -85,6 +97,6 @@ def publish(tables: dict[str, DataFrame], folder: str, held: DataFrame | None =
 def published(spark: SparkSession, folder: str, name: str, schema: T.StructType) -> DataFrame:
     """A table as the newest manifest has it; `schema` is that of the table given to `publish`."""
     fields = [f for f in schema.fields if f.name != "machine"]
-    full = T.StructType([*fields, T.StructField("_run", T.StringType()), T.StructField("machine", T.LongType()), T.StructField("_place", T.IntegerType())])
+    full = T.StructType([*fields, T.StructField("_run", T.StringType()), T.StructField("machine", T.LongType()), T.StructField("_bucket", T.IntegerType()), T.StructField("_place", T.IntegerType())])
     now = manifest(spark, folder).select("machine", F.col("place").alias("_place"), F.col("run").alias("_run"))
     return _read(spark, f"{folder}/{name}", full).join(now, ["machine", "_place", "_run"]).select("machine", *[f.name for f in fields])

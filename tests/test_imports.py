@@ -96,6 +96,16 @@ def test_published_tables_change_together(spark, tmp_path, monkeypatch):
     assert [r for r in read("steps") if r[0] == "1"] == [("1", "1", "d"), ("1", "2", "d")] and read("actions") == [("1", "2", "remove")]
 
 
+def test_folders_do_not_grow_with_machines(spark, tmp_path):
+    folder = str(tmp_path / "out")
+    rows = [(m, s, f"{m}") for m in range(3 * publish.BUCKETS) for s in (1, 2)]
+    publish.publish(tables(spark, rows), folder)
+    publish.publish(tables(spark, [(5, 1, "new")]), folder)  # the others of its bucket come along
+    assert len([n for n in os.listdir(f"{folder}/steps") if "=" in n]) == publish.BUCKETS
+    got = publish.published(spark, folder, "steps", tables(spark, rows)["steps"].schema).collect()
+    assert sorted((r.machine, r.step, r.raw) for r in got) == sorted([r for r in rows if r[0] != 5] + [(5, 1, "new")])
+
+
 def searched(rows):
     """The ledger by search: books of made instances, one row after the other."""
     books, ordinals, out = {}, {}, {}
