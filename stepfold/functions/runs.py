@@ -1,7 +1,7 @@
 """Masks as runs: in each column of pixels sorted, disjoint intervals of rows. No canvas is painted.
 
 As a column a mask is array<struct<x, y0, y1>>, ends exclusive. The functions at the end are columns; their kernels work
-on all masks of an Arrow batch at once: columns of pixels are laid out on one line, with gaps between them, so that an
+on many masks of an Arrow batch at once (`in_pieces`): columns of pixels are laid out on one line, with gaps between them, so that an
 operation on masks is one on sorted intervals.
 """
 
@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 RUNS = "array<struct<x:bigint,y0:bigint,y1:bigint>>"
 BLOCK = 1 << 20  #: pixels that a turned mask looks up at a time
+PIECE = 1 << 17  #: runs and columns of pixels that a kernel holds at a time, at most about
 
 # A confirmed mask disagrees beyond this band, and this share of its area or number of pixels.
 TOLERANCE_PX, CONFLICT_SHARE, CONFLICT_PX = 2, 0.02, 20
@@ -253,6 +254,22 @@ def there(*columns: pa.Array) -> np.ndarray:
     return np.logical_and.reduce([c.is_valid().to_numpy(zero_copy_only=False) for c in columns])
 
 
+def in_pieces(kernel: Callable[..., pa.Array], width: int) -> Callable[..., pa.Array]:
+    """`kernel` over a batch in slices of PIECE runs and columns, one mask at least, so that what it holds depends neither
+    on the batch nor on the table. `width` is the place of the canvas width among the arguments."""
+
+    def pieces(*columns: pa.Array) -> pa.Array:
+        load = whole_numbers(columns[width]) + 1
+        for c in columns:
+            if pa.types.is_list(c.type):
+                load += np.nan_to_num(pc.list_value_length(c).to_numpy(zero_copy_only=False)).astype(np.int64)
+        ends = np.flatnonzero(np.diff(np.cumsum(load) // PIECE)) + 1
+        at = [0, *ends.tolist(), len(load)]
+        return pa.concat_arrays([kernel(*[c.slice(a, b - a) for c in columns]) for a, b in zip(at, at[1:])])
+
+    return pieces
+
+
 # --- columns ----------------------------------------------------------------------------------------------------
 
 
@@ -295,7 +312,7 @@ def counts(runs: Column, height: Column, width: Column) -> Column:
             out.append((n[:-1] if len(n) > 1 and n[-1] == 0 else n).tolist() if ok else None)
         return pa.array(out, pa.list_(pa.int64()))
 
-    return F.arrow_udf(counted, "array<bigint>")(runs, height, width)
+    return F.arrow_udf(in_pieces(counted, 2), "array<bigint>")(runs, height, width)
 
 
 def overlap(a: Column, b: Column, height: Column, width: Column) -> Column:
@@ -304,7 +321,7 @@ def overlap(a: Column, b: Column, height: Column, width: Column) -> Column:
     def shared(a: pa.Array, b: pa.Array, h: pa.Array, w: pa.Array) -> pa.Array:
         return pa.array(read(a, h, w).both(read(b, h, w)).area(), pa.int64(), mask=~there(a, b, h, w))
 
-    return F.arrow_udf(shared, "bigint")(a, b, height, width)
+    return F.arrow_udf(in_pieces(shared, 3), "bigint")(a, b, height, width)
 
 
 def filled(runs: Column, height: Column, width: Column) -> Column:
@@ -313,7 +330,7 @@ def filled(runs: Column, height: Column, width: Column) -> Column:
     def fill(r: pa.Array, h: pa.Array, w: pa.Array) -> pa.Array:
         return written(read(r, h, w).filled(), there(r, h, w))
 
-    return F.arrow_udf(fill, RUNS)(runs, height, width)
+    return F.arrow_udf(in_pieces(fill, 2), RUNS)(runs, height, width)
 
 
 def without_specks(runs: Column, height: Column, width: Column, least: int) -> Column:
@@ -322,7 +339,7 @@ def without_specks(runs: Column, height: Column, width: Column, least: int) -> C
     def kept(r: pa.Array, h: pa.Array, w: pa.Array) -> pa.Array:
         return written(read(r, h, w).without_specks(least), there(r, h, w))
 
-    return F.arrow_udf(kept, RUNS)(runs, height, width)
+    return F.arrow_udf(in_pieces(kept, 2), RUNS)(runs, height, width)
 
 
 def n_components(runs: Column, height: Column, width: Column) -> Column:
@@ -333,7 +350,7 @@ def n_components(runs: Column, height: Column, width: Column) -> Column:
         heads = np.flatnonzero(m.components(True) == np.arange(len(m.mask)))
         return pa.array(np.bincount(m.mask[heads], minlength=len(r)), pa.int64(), mask=~there(r, h, w))
 
-    return F.arrow_udf(number, "bigint")(runs, height, width)
+    return F.arrow_udf(in_pieces(number, 2), "bigint")(runs, height, width)
 
 
 def warped(runs: Column, height: Column, width: Column, scale: Column, theta: Column, tx: Column, ty: Column, to_height: Column, to_width: Column) -> Column:
@@ -344,7 +361,7 @@ def warped(runs: Column, height: Column, width: Column, scale: Column, theta: Co
         moved = read(r, h, w).warped(real(s), real(t), real(x), real(y), whole_numbers(to_h), whole_numbers(to_w))
         return written(moved, there(r, h, w, s, t, x, y, to_h, to_w))
 
-    return F.arrow_udf(warp, RUNS)(runs, height, width, scale, theta, tx, ty, to_height, to_width)
+    return F.arrow_udf(in_pieces(warp, 2), RUNS)(runs, height, width, scale, theta, tx, ty, to_height, to_width)
 
 
 def beyond(old: Column, new: Column, height: Column, width: Column, tolerance: int = TOLERANCE_PX) -> Column:
@@ -353,7 +370,7 @@ def beyond(old: Column, new: Column, height: Column, width: Column, tolerance: i
     def differing(a: pa.Array, b: pa.Array, h: pa.Array, w: pa.Array) -> pa.Array:
         return pa.array(read(a, h, w).beyond(read(b, h, w), tolerance), pa.int64(), mask=~there(a, b, h, w))
 
-    return F.arrow_udf(differing, "bigint")(old, new, height, width)
+    return F.arrow_udf(in_pieces(differing, 3), "bigint")(old, new, height, width)
 
 
 def conflict_bound(old: Column) -> Column:
@@ -367,4 +384,4 @@ def boundary_score(a: Column, b: Column, height: Column, width: Column, toleranc
     def scored(a: pa.Array, b: pa.Array, h: pa.Array, w: pa.Array) -> pa.Array:
         return pa.array(read(a, h, w).boundary_score(read(b, h, w), tolerance), pa.float64(), mask=~there(a, b, h, w))
 
-    return F.arrow_udf(scored, "double")(a, b, height, width)
+    return F.arrow_udf(in_pieces(scored, 3), "double")(a, b, height, width)

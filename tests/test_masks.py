@@ -1,6 +1,7 @@
 """Runs against painted bitmaps."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -277,3 +278,23 @@ def test_cropped_masks_and_overlap(spark):
     cut, both = got(df, R.cropped(F.col("a"), F.col("box"))), got(df, R.overlap(F.col("a"), F.col("b"), F.lit(20), F.lit(30)))
     assert cut[1] == runs_of(a[3:15, 4:20]) and cut[2] == runs_of(a) and cut[3] is None
     assert both == {1: (a & b).sum(), 2: (a & b).sum(), 3: None}
+
+
+def test_kernels_hold_a_piece_of_a_batch_at_a_time(monkeypatch):
+    held = []
+
+    def score(a: pa.Array, b: pa.Array, h: pa.Array, w: pa.Array) -> pa.Array:
+        held.append(len(a))
+        return pa.array(R.read(a, h, w).boundary_score(R.read(b, h, w), 2), pa.float64(), mask=~R.there(a, b, h, w))
+
+    masks = [runs_of(m) for m in some_masks()] * 20
+    kind = pa.list_(pa.struct([(c, pa.int64()) for c in ("x", "y0", "y1")]))
+    rows = lambda ms: pa.array([m and [dict(zip(("x", "y0", "y1"), r)) for r in m] for m in ms], kind)
+    a, b, side = rows(masks), rows([None, *masks[1:]]), pa.array([60] * len(masks))
+    whole = score(a, b, side, side).to_pylist()
+    held.clear()
+    monkeypatch.setattr(R, "PIECE", 500)
+    assert R.in_pieces(score, 3)(a, b, side, side).to_pylist() == whole
+    assert sum(held) == len(masks) and max(held) <= 9  # 61 and more for the columns of each
+    held.clear()
+    assert R.in_pieces(score, 3)(a[:0], b[:0], side[:0], side[:0]).to_pylist() == []
