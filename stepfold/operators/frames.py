@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from stepfold.operators.joins import forward_asof, overlaps
 from stepfold.operators.recut import turned
-from stepfold.session import vocabulary
+from stepfold.session import tasks_for, vocabulary
 
 
 def folder_step(path: Column) -> Column:
@@ -20,12 +20,15 @@ def folder_step(path: Column) -> Column:
 def frame_index(steps: DataFrame, listings: dict[str, DataFrame], views: DataFrame) -> DataFrame:
     """(desktop, view, step, path, shots): every expected frame, with its first file and how many there are.
 
-    listings: for each view (desktop, step, path). Frames without a file have a null path and no shots.
+    listings: for each view (desktop, step, path). Frames without a file have a null path and no shots. Tasks are as many
+    as the expected frames need.
     """
+    frame = ["desktop", "view", "step"]
+    tasks = tasks_for(steps, len(listings))
     every = reduce(DataFrame.unionByName, [df.select("desktop", F.lit(view).alias("view"), "step", "path") for view, df in listings.items()])
-    found = every.groupBy("desktop", "view", "step").agg(F.min("path").alias("path"), F.count("*").alias("shots"))
-    expected = steps.select("desktop", "step").join(vocabulary(views.select("view")))
-    return expected.join(found, ["desktop", "view", "step"], "left").select("desktop", "view", "step", "path", F.coalesce("shots", F.lit(0)).alias("shots"))
+    found = every.repartition(tasks, *frame).groupBy(*frame).agg(F.min("path").alias("path"), F.count("*").alias("shots"))
+    expected = steps.select("desktop", "step").join(vocabulary(views.select("view"))).repartition(tasks, *frame)
+    return expected.join(found, frame, "left").select("desktop", "view", "step", "path", F.coalesce("shots", F.lit(0)).alias("shots"))
 
 
 def stray_files(steps: DataFrame, listing: DataFrame) -> DataFrame:
@@ -33,8 +36,9 @@ def stray_files(steps: DataFrame, listing: DataFrame) -> DataFrame:
     return listing.join(steps.select("desktop", "step"), ["desktop", "step"], "left_anti")
 
 
-def index_report(index: DataFrame) -> DataFrame:
-    """(desktop, view, present, missing, gaps): counts, and the missing steps as ranges."""
+def index_report(index: DataFrame, tasks: int | None = None) -> DataFrame:
+    """(desktop, view, present, missing, gaps): counts, and the missing steps as ranges. tasks: that the desktops are dealt to."""
+    index = index if tasks is None else index.repartition(tasks, "desktop", "view")
     run = F.col("step") - F.row_number().over(Window.partitionBy("desktop", "view").orderBy("step"))
     gaps = index.where("path is null").withColumn("_run", run).groupBy("desktop", "view", "_run").agg(F.min("step").alias("a"), F.max("step").alias("b"))
     text = F.when(F.col("a") == F.col("b"), F.col("a").cast("string")).otherwise(F.concat_ws("-", F.col("a").cast("string"), F.col("b").cast("string")))
@@ -43,8 +47,9 @@ def index_report(index: DataFrame) -> DataFrame:
     return counts.join(listed, ["desktop", "view"], "left").withColumn("gaps", F.coalesce("gaps", F.lit("")))
 
 
-def index_documents(index: DataFrame) -> DataFrame:
-    """(desktop, doc): one JSON document for each desktop, frames by view and step."""
+def index_documents(index: DataFrame, tasks: int | None = None) -> DataFrame:
+    """(desktop, doc): one JSON document for each desktop, frames by view and step. tasks: that the desktops are dealt to."""
+    index = index if tasks is None else index.repartition(tasks, "desktop")
     frames = F.sort_array(F.collect_list(F.struct("view", "step", "path", "shots")))
     return index.groupBy("desktop").agg(F.to_json(F.struct(frames.alias("frames"))).alias("doc"))
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from stepfold.operators import frames as R
 from stepfold.plans.registry import query
 from stepfold.plans.tables import table
+from stepfold.session import tasks_for
 
 INDEX_SQL = """
 s AS (SELECT o_custkey AS desktop, o_orderkey AS step FROM orders),
@@ -19,7 +20,7 @@ x AS (SELECT s.desktop, v.view, s.step, f.path, coalesce(f.shots, 0) AS shots FR
 def _index(spark, sf_dir):
     orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("desktop"), F.col("o_orderkey").alias("step"))
     lines = table(spark, sf_dir, "lineitem").where("l_quantity > 10").select(F.col("l_orderkey").alias("step"), "l_linestatus", F.concat(F.lit("step_"), "l_linenumber").alias("path"))
-    files = lines.join(orders, "step")
+    files = lines.repartition(tasks_for(lines), "step").join(orders, "step")
     views = spark.createDataFrame([("scan",), ("oak",)], "view string")
     return R.frame_index(orders, {"scan": files.where("l_linestatus = 'F'"), "oak": files.where("l_linestatus <> 'F'")}, views)
 
@@ -34,13 +35,13 @@ h AS (SELECT desktop, view, min(step) AS a, max(step) AS b FROM g GROUP BY deskt
 t AS (SELECT desktop, view, string_agg(CASE WHEN a = b THEN a::VARCHAR ELSE a || '-' || b END, ',' ORDER BY a) AS gaps FROM h GROUP BY ALL)
 SELECT desktop, view, count(path) AS present, count(*) FILTER (path IS NULL) AS missing, coalesce(any_value(gaps), '') AS gaps FROM x LEFT JOIN t USING (desktop, view) GROUP BY desktop, view""")
 def index_report(spark, sf_dir):
-    return R.index_report(_index(spark, sf_dir))
+    return R.index_report(_index(spark, sf_dir), tasks_for(table(spark, sf_dir, "orders"), 2))
 
 
 @query("index_round_trip", f"WITH {INDEX_SQL} SELECT * FROM x WHERE shots > 0")
 def index_round_trip(spark, sf_dir):
     """The index written as documents and read back."""
-    return R.from_documents(R.index_documents(_index(spark, sf_dir))).where("shots > 0")
+    return R.from_documents(R.index_documents(_index(spark, sf_dir), tasks_for(table(spark, sf_dir, "orders"), 2))).where("shots > 0")
 
 
 @query("stray_files", "SELECT l_orderkey AS step, l_partkey AS desktop, l_linenumber FROM lineitem WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_orderkey = l_orderkey AND o_custkey = l_partkey)")

@@ -41,3 +41,12 @@ def shuffled(df: DataFrame) -> DataFrame:
 def vocabulary(df: DataFrame, most: int = 100_000) -> DataFrame:
     """`df`, to be broadcast if it has at most `most` rows, which are counted first; a larger one is joined as Spark sees fit."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+ROWS_A_TASK = 250_000  #: that a task sorts at a time, about
+
+
+def tasks_for(df: DataFrame, wide: int = 1) -> int:
+    """Tasks that `df`, `wide` rows of work for each of its rows, is dealt to by `repartition`, so that what a task sorts does
+    not grow with the table; Spark merges the partitions of its own shuffles into as many as there are cores. The rows are counted."""
+    return max(-(-df.count() * wide // ROWS_A_TASK), df.sparkSession.sparkContext.defaultParallelism)
