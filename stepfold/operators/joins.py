@@ -6,18 +6,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def forward_asof(left: DataFrame, versions: DataFrame, by: list[str], at: str, anchor: str, prefer: list[Column]) -> DataFrame:
+def forward_asof(left: DataFrame, versions: DataFrame, by: list[str], at: str, anchor: str, prefer: list[Column], tasks: int | None = None) -> DataFrame:
     """Each left row with the version of smallest `anchor` at or after `at`; ties by `prefer`; null where none is.
 
     Both sides are stacked and swept backwards in one sort by (key, position), so a key with many versions costs no
-    product. `left` columns and `version` (a struct of the version's columns) come back.
+    product. `left` columns and `version` (a struct of the version's columns) come back. tasks: that the keys are dealt to for
+    the sweep, else as many as Spark sees fit.
     """
     best = versions.withColumn("_rank", F.row_number().over(Window.partitionBy(*by, anchor).orderBy(*prefer))).where("_rank = 1").drop("_rank")
     kind = best.select(F.struct(*best.columns).alias("v")).schema["v"].dataType
     rows = left.select(*by, F.col(at).alias("_at"), F.struct(*left.columns).alias("row"), F.lit(None).cast(kind).alias("v"))
     vers = best.select(*by, F.col(anchor).alias("_at"), F.lit(None).cast(rows.schema["row"].dataType).alias("row"), F.struct(*best.columns).alias("v"))
     sweep = Window.partitionBy(*by).orderBy(F.col("_at").desc(), F.col("row").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
-    swept = rows.union(vers).withColumn("version", F.last("v", ignorenulls=True).over(sweep)).where("row is not null")
+    both = rows.union(vers)
+    swept = (both if tasks is None else both.repartition(tasks, *by)).withColumn("version", F.last("v", ignorenulls=True).over(sweep)).where("row is not null")
     return swept.select("row.*", "version")
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from stepfold.functions.text import visibility
 from stepfold.operators.joins import forward_asof
+from stepfold.session import tasks_for
 
 # Hand resolutions of a conflict, the labels that a confirmed row states, the order of refusals.
 RESOLUTIONS = ["keep_old", "accept_new", "edited"]
@@ -25,10 +26,11 @@ def chosen_keyframes(needs: DataFrame, keyframes: DataFrame) -> DataFrame:
     """(frame keys, instance, placement, segment, x0..y1, version): the shape that each needed instance has at its step.
 
     The next key frame at or after the step of the same view, placement chain and pose segment, the newest version
-    first; instances without one have null edges (a missing shape).
+    first; instances without one have null edges (a missing shape). Tasks are as many as both tables' rows need.
     """
     by = ["desktop", "view", "instance", "placement", "segment"]
-    out = forward_asof(needs, keyframes, by, "step", "anchor", [F.col("version").desc()])
+    dealt = keyframes.repartition(tasks_for(keyframes), *by)
+    out = forward_asof(needs, dealt, by, "step", "anchor", [F.col("version").desc()], tasks_for(needs))
     edges = ["x0", "y0", "x1", "y1"]
     return out.select(*needs.columns, *[F.col(f"version.{e}").alias(e) for e in edges], F.col("version.version").alias("keyframe_version"))
 

@@ -270,3 +270,15 @@ def test_closest_no_by_brute_force(spark):
             want.add((m, cls, verb, best[4], best[5], best[6], best[0]))
     rows = [tuple(r) for r in got.collect()]
     assert sorted(map(repr, rows)) == sorted(repr((m, *rest)) for m, cls, *rest in want)
+
+
+def test_tasks_follow_the_rows(spark, sf, monkeypatch):
+    from stepfold import session
+    from stepfold.plans import frames, truths
+
+    monkeypatch.setattr(session, "ROWS_A_TASK", 100)
+    steps = spark.read.parquet(f"{sf}/orders.parquet").count()
+    needs = spark.read.parquet(f"{sf}/lineitem.parquet").count()
+    assert frames.frame_index(spark, sf).rdd.getNumPartitions() == -(-2 * steps // 100)
+    assert frames.index_round_trip(spark, sf).rdd.getNumPartitions() == -(-2 * steps // 100)
+    assert truths.chosen_keyframes(spark, sf).rdd.getNumPartitions() == -(-needs // 100)
