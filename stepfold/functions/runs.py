@@ -270,9 +270,146 @@ def in_pieces(kernel: Callable[..., pa.Array], width: int) -> Callable[..., pa.A
     return pieces
 
 
+def once(kernel: Callable[..., pa.Array]) -> Callable[..., Column]:
+    """A kernel that gives masks, marked so that Spark does not run it again for each filter on what it gives."""
+    return F.arrow_udf(kernel, RUNS).asNondeterministic()
+
+
+# --- polygons: edges of rings from left to right, one entry an edge
+
+
+def numbers(column: pa.Array, missing: int = 0) -> np.ndarray:
+    return column.cast(pa.int64()).fill_null(missing).to_numpy(zero_copy_only=False)
+
+
+def spread(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(entry, value): the whole numbers from low to high of each entry, both ends included."""
+    n = np.maximum(high - low + 1, 0)
+    entry = np.repeat(np.arange(len(n)), n)
+    return entry, np.arange(len(entry)) - np.repeat(np.cumsum(n) - n, n) + low[entry]
+
+
+@dataclass
+class Edges:
+    """mask, ring and the ends a and b, ax <= bx, have one entry an edge, sorted by mask; so have h and w, the canvas as far
+    as the mask reaches."""
+
+    mask: np.ndarray
+    ring: np.ndarray
+    ax: np.ndarray
+    ay: np.ndarray
+    bx: np.ndarray
+    by: np.ndarray
+    h: np.ndarray
+    w: np.ndarray
+
+    @staticmethod
+    def of(masks: pa.Array) -> Edges:
+        """Of a column of lists of `ring`s; rows of one mask with the same number are one ring. One of fewer than three
+        points, or with a missing number, has no edges."""
+        n = np.nan_to_num(pc.list_value_length(masks).to_numpy(zero_copy_only=False)).astype(np.int64)
+        number, points, h, w = masks.flatten().flatten()
+        mask = np.repeat(np.arange(len(masks)), n)
+        _, ring = np.unique(np.stack([mask, numbers(number)], axis=1), axis=0, return_inverse=True)
+        n = np.nan_to_num(pc.list_value_length(points).to_numpy(zero_copy_only=False)).astype(np.int64)
+        px, py = points.flatten().flatten()
+        row = np.repeat(np.arange(len(n)), n)
+        ok = n >= 3
+        ok[row[~there(px, py)]] = False
+        x, y, some = numbers(px), numbers(py), n > 0
+        first = np.cumsum(n) - n
+        after = np.arange(1, len(x) + 1)
+        after[(first + n - 1)[some]] = first[some]
+        most = np.iinfo(np.int64).max
+        sizes = []
+        for c, size in ((y, numbers(h, most)), (x, numbers(w, most))):
+            reach = np.zeros(len(masks), np.int64)
+            np.maximum.at(reach, mask[row], c + 1)
+            sizes.append(np.minimum(reach[mask], np.maximum(size, 0)))
+        keep = np.flatnonzero(ok[row])
+        a, b = keep, after[keep]
+        a, b = np.where(x[a] <= x[b], a, b), np.where(x[a] <= x[b], b, a)
+        row = row[keep]
+        return Edges(mask[row], ring.reshape(-1)[row], x[a], y[a], x[b], y[b], sizes[0][row], sizes[1][row])
+
+    def picked(self, at: slice | np.ndarray) -> Edges:
+        return Edges(*(c[at] for c in (self.mask, self.ring, self.ax, self.ay, self.bx, self.by, self.h, self.w)))
+
+    def flat(self) -> np.ndarray:
+        return np.abs(self.by - self.ay) <= self.bx - self.ax
+
+    def load(self) -> np.ndarray:
+        """Crossings and drawn pixels of each edge, about."""
+        across = np.maximum(np.minimum(self.bx, self.w - 1) - np.maximum(self.ax, 0) + 1, 0)
+        down = np.maximum(np.minimum(np.maximum(self.ay, self.by), self.h - 1) - np.maximum(np.minimum(self.ay, self.by), 0) + 1, 0)
+        return 1 + across + np.where(self.flat(), across, down)
+
+    def spans(self) -> tuple[np.ndarray, ...]:
+        """(edge, x, y0, y1) between the crossings of each column, paired in their order; the pixels on both count."""
+        e, x = spread(np.maximum(self.ax, 0), np.where(self.bx > self.ax, np.minimum(self.bx, self.w) - 1, -1))
+        rise, dx, ay = (x - self.ax[e]) * (self.by - self.ay)[e], (self.bx - self.ax)[e], self.ay[e]
+        order = np.lexsort((ay + rise / dx, x, self.ring[e]))
+        low, high = order[0::2], order[1::2]
+        return e[low], x[low], (ay - -rise // dx)[low], (ay + rise // dx)[high] + 1
+
+    def along(self) -> tuple[np.ndarray, ...]:
+        """(edge, x, y0, y1): the drawn pixels of flat edges, one a column."""
+        e, x = spread(np.maximum(self.ax, 0), np.where(self.flat(), np.minimum(self.bx, self.w - 1), -1))
+        dx = (self.bx - self.ax)[e]
+        y = self.ay[e] + (2 * (x - self.ax[e]) * (self.by - self.ay)[e] + dx) // np.maximum(2 * dx, 1)
+        return e, x, y, y + 1
+
+    def upward(self) -> tuple[np.ndarray, ...]:
+        """(edge, x, y0, y1): the drawn pixels of steep edges, one a row."""
+        e, y = spread(np.maximum(np.minimum(self.ay, self.by), 0), np.where(self.flat(), -1, np.minimum(np.maximum(self.ay, self.by), self.h - 1)))
+        dx, dy = (self.bx - self.ax)[e], (self.by - self.ay)[e]
+        x = self.ax[e] + (2 * np.where(dy >= 0, y - self.ay[e], self.ay[e] - y) * dx + np.abs(dy)) // (2 * np.abs(dy))
+        ok = (x >= 0) & (x < self.w[e])
+        return e[ok], x[ok], y[ok], y[ok] + 1
+
+    def runs(self, n: int) -> Runs:
+        """The pixels of n masks, numbered from 0."""
+        e, x, y0, y1 = (np.concatenate(c) for c in zip(self.spans(), self.along(), self.upward()))
+        h, w = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        np.maximum.at(h, self.mask, self.h)
+        np.maximum.at(w, self.mask, self.w)
+        raw = Runs(self.mask[e], x, np.maximum(y0, 0), np.minimum(y1, self.h[e]), h, w)
+        return raw.of(merged(*raw.laid()))
+
+
 # --- columns ----------------------------------------------------------------------------------------------------
 
 
+def ring(number: Column, points: Column, height: Column, width: Column) -> Column:
+    """A ring (array of struct<x, y>, whole numbers) of a mask on its canvas; a null size is no limit. `number` tells the
+    rings of a mask apart."""
+    whole = F.transform(points, lambda p: F.struct(p["x"].cast("bigint").alias("x"), p["y"].cast("bigint").alias("y")))
+    return F.struct(F.xxhash64(number).alias("ring"), whole.alias("points"), height.cast("bigint").alias("h"), width.cast("bigint").alias("w"))
+
+
+def polygons(rings: Column) -> Column:
+    """Pixels of the polygons of a mask, an array of `ring`s, which are united and clipped to the canvas.
+
+    A ring holds the pixels whose centre is inside by the even-odd rule or on an edge, so one that crosses itself has
+    holes, and those of its drawn outline: one pixel for each step along the longer side of an edge, halves upwards.
+    Crossings are exact: every edge is laid over the columns that it spans, and the crossings of a column are paired in
+    their order. Masks are worked on in slices of PIECE crossings and drawn pixels, one mask at least.
+    """
+
+    def filled_in(masks: pa.Array) -> pa.Array:
+        edges, out = Edges.of(masks), []
+        load = np.bincount(edges.mask, edges.load(), len(masks)) + 1
+        ends = np.flatnonzero(np.diff(np.cumsum(load) // PIECE)) + 1
+        at = [0, *ends.tolist(), len(masks)]
+        for a, b in zip(at, at[1:]):
+            own = edges.picked(slice(*np.searchsorted(edges.mask, [a, b])))
+            own.mask = own.mask - a
+            out.append(written(own.runs(b - a), there(masks.slice(a, b - a))))
+        return pa.concat_arrays(out)
+
+    return once(filled_in)(rings)
+
+
 def area(runs: Column) -> Column:
     return F.aggregate(runs, F.lit(0).cast("bigint"), lambda n, r: n + r["y1"] - r["y0"])
 
@@ -361,7 +498,7 @@ def warped(runs: Column, height: Column, width: Column, scale: Column, theta: Co
         moved = read(r, h, w).warped(real(s), real(t), real(x), real(y), whole_numbers(to_h), whole_numbers(to_w))
         return written(moved, there(r, h, w, s, t, x, y, to_h, to_w))
 
-    return F.arrow_udf(in_pieces(warp, 2), RUNS)(runs, height, width, scale, theta, tx, ty, to_height, to_width)
+    return once(in_pieces(warp, 2))(runs, height, width, scale, theta, tx, ty, to_height, to_width)
 
 
 def beyond(old: Column, new: Column, height: Column, width: Column, tolerance: int = TOLERANCE_PX) -> Column:

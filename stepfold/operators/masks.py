@@ -1,9 +1,7 @@
-"""Shapes to runs of pixels, and the stacking of masks in a frame, as joins and windows on (mask, column)."""
+"""Shapes to runs of pixels, and the stacking of masks in a frame as joins and windows on (mask, column)."""
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,11 +9,6 @@ from stepfold.functions import runs as R
 from stepfold.functions.text import visibility
 
 
-def floor_div(n: Column, d: Column) -> Column:
-    """Exact integer quotient, rounded down, for d > 0."""
-    return F.call_function("div", n - F.pmod(n, d), d)
-
-
 def islands(rows: DataFrame, by: list[str]) -> DataFrame:
     """(by, y0, y1): intervals of each group that overlap or touch are one; empty ones go."""
     w = Window.partitionBy(*by).orderBy("y0", "y1")
@@ -37,37 +30,12 @@ def scattered(masks: DataFrame, keys: list[str], runs: str = "runs") -> DataFram
 def polygon_runs(rings: DataFrame, keys: list[str], ring: str, points: str, height: Column, width: Column) -> DataFrame:
     """(keys, x, y0, y1): pixels of the rings (array of struct<x, y>, whole numbers) of each mask, clipped to the canvas.
 
-    A ring holds the pixels whose centre is inside by the even-odd rule or on an edge, so one that crosses itself has
-    holes, and those of its drawn outline: one pixel for each step along the longer side of an edge, halves upwards.
-    Rings of a mask are united; a ring of fewer than three points is nothing. Crossings are exact: every edge is laid
-    over the columns that it spans, and the crossings of a column are paired by row number.
+    The rings of a mask come together in one row, as `runs.polygons` takes them; a ring of fewer than three points is
+    nothing.
     """
-    whole = F.col(points)
-    pair = lambda p, i: F.struct(p["x"].cast("bigint").alias("ax"), p["y"].cast("bigint").alias("ay"), F.get(whole, F.pmod(i + 1, F.size(whole)))["x"].cast("bigint").alias("bx"), F.get(whole, F.pmod(i + 1, F.size(whole)))["y"].cast("bigint").alias("by"))
-    sized = rings.where(F.size(points) >= 3).select(*keys, F.col(ring).alias("_ring"), height.cast("bigint").alias("_h"), width.cast("bigint").alias("_w"), F.explode(F.transform(whole, pair)).alias("_e"))
-    e = sized.select(*keys, "_ring", "_h", "_w", "_e.*")
-    side = lambda a, b: F.when(F.col("ax") <= F.col("bx"), F.col(a)).otherwise(F.col(b))
-    e = e.select(*keys, "_ring", "_h", "_w", side("ax", "bx").alias("ax"), side("ay", "by").alias("ay"), side("bx", "ax").alias("bx"), side("by", "ay").alias("by"))
-    dx, dy = F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")
-    inside = lambda low, high, most: F.explode(F.when(F.least(high, most - 1) >= F.greatest(low, F.lit(0)), F.sequence(F.greatest(low, F.lit(0)), F.least(high, most - 1))))
-
-    rise = (F.col("x") - F.col("ax")) * dy
-    cross = e.where("bx > ax").withColumn("x", inside(F.col("ax"), F.col("bx") - 1, F.col("_w")))
-    cross = cross.select(*keys, "_ring", "_h", "x", (F.col("ay") + rise / dx).alias("_y"), (F.col("ay") - floor_div(-rise, dx)).alias("_up"), (F.col("ay") + floor_div(rise, dx)).alias("_down"))
-    w = Window.partitionBy(*keys, "_ring", "x").orderBy("_y")
-    spans = cross.select(*keys, "_h", "x", F.col("_up").alias("y0"), (F.lead("_down").over(w) + 1).alias("y1"), F.row_number().over(w).alias("_n")).where("_n % 2 = 1").drop("_n")
-
-    flat = F.abs(dy) <= dx
-    along = e.where(flat).withColumn("x", inside(F.col("ax"), F.col("bx"), F.col("_w"))).withColumn("y", F.when(dx == 0, F.col("ay")).otherwise(F.col("ay") + floor_div(2 * rise + dx, F.greatest(2 * dx, F.lit(1)))))
-    low, tall = F.least("ay", "by"), F.abs(dy)
-    slope = F.when(dy >= 0, (F.col("y") - F.col("ay")) * dx).otherwise((F.col("ay") - F.col("y")) * dx)
-    up = e.where(~flat).withColumn("y", inside(low, F.greatest("ay", "by"), F.col("_h"))).withColumn("x", F.col("ax") + floor_div(2 * slope + tall, 2 * tall))
-    drawn = [d.select(*keys, "_h", "x", F.col("y").alias("y0"), (F.col("y") + 1).alias("y1")) for d in (along, up)]
-    drawn[1] = up.where("x >= 0 and x < _w").select(*keys, "_h", "x", F.col("y").alias("y0"), (F.col("y") + 1).alias("y1"))
-
-    every = reduce(DataFrame.union, [spans, *drawn])
-    clipped = every.select(*keys, "x", F.greatest("y0", F.lit(0)).alias("y0"), F.least("y1", "_h").alias("y1"))
-    return islands(clipped, [*keys, "x"])
+    each = rings.where(F.size(points) >= 3).select(*keys, R.ring(F.col(ring), F.col(points), height, width).alias("_r"))
+    masks = each.groupBy(*keys).agg(F.collect_list("_r").alias("_r"))
+    return scattered(masks.select(*keys, R.polygons(F.col("_r")).alias("runs")), keys)
 
 
 def ellipse_runs(ellipses: DataFrame, keys: list[str], height: Column, width: Column) -> DataFrame:

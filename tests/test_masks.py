@@ -298,3 +298,22 @@ def test_kernels_hold_a_piece_of_a_batch_at_a_time(monkeypatch):
     assert sum(held) == len(masks) and max(held) <= 9  # 61 and more for the columns of each
     held.clear()
     assert R.in_pieces(score, 3)(a[:0], b[:0], side[:0], side[:0]).to_pylist() == []
+
+
+def test_polygons_are_worked_on_ring_by_ring(spark, sf):
+    for make in (P.polygon_runs, P.mask_cleanup, P.warped_masks):
+        plan = make(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+        assert "Window" not in plan and plan.count("filled_in(") == 1 and plan.count("collect_list(") == 1, make.__name__
+
+
+def test_polygons_of_odd_rings(spark, monkeypatch):
+    monkeypatch.setattr(R, "PIECE", 7)  # several slices a batch
+    square = lambda a, b: [(a, a), (b, a), (b, b), (a, b)]
+    rows = [(1, 0, square(0, 6), 9, 9), (1, 0, square(2, 4), 9, 9), (2, 0, square(0, 6), 9, 9), (2, 1, square(2, 4), 9, 9), (3, 0, [(0, 0), (None, 1), (5, 5)], 9, 9)]
+    rows += [(4, 0, square(-(10**9), 10**9), 3, 2), (5, 0, square(1, 3), None, None), (6, 0, square(4, 5), 9, 4), (7, 0, square(0, 6), 3, 9), (7, 1, square(0, 6), 9, 2)]
+    df = spark.createDataFrame(rows, "k int, ring int, points array<struct<x:int,y:int>>, h int, w int")
+    found = {r.k: [tuple(x) for x in r.runs] for r in M.gathered(M.polygon_runs(df, ["k"], "ring", "points", F.col("h"), F.col("w")), ["k"]).collect()}
+    whole = [(x, 0, 7) for x in range(7)]
+    assert found[1] == whole[:3] + [(3, 0, 3), (3, 4, 7)] + whole[4:] and found[2] == whole  # rows with one number are one ring
+    assert found[4] == [(0, 0, 3), (1, 0, 3)] and found[5] == [(x, 1, 4) for x in (1, 2, 3)]
+    assert found[7] == whole[:2] + [(x, 0, 3) for x in range(2, 7)] and sorted(found) == [1, 2, 4, 5, 7]
