@@ -317,3 +317,9 @@ def test_polygons_of_odd_rings(spark, monkeypatch):
     assert found[1] == whole[:3] + [(3, 0, 3), (3, 4, 7)] + whole[4:] and found[2] == whole  # rows with one number are one ring
     assert found[4] == [(0, 0, 3), (1, 0, 3)] and found[5] == [(x, 1, 4) for x in (1, 2, 3)]
     assert found[7] == whole[:2] + [(x, 0, 3) for x in range(2, 7)] and sorted(found) == [1, 2, 4, 5, 7]
+
+
+def test_layers_are_drawn_ring_by_ring(spark, sf):
+    plan = P._layers(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and plan.count("filled_in(") == 1
+    assert P.mask_annotations(spark, sf).count() > 0
