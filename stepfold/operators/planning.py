@@ -39,74 +39,106 @@ def possible_actions(state: DataFrame, verbs: DataFrame, by: Sequence[str]) -> D
 
 
 def conditions(actions: DataFrame, edges: DataFrame, state: DataFrame, attached: DataFrame | None, by: Sequence[str]) -> DataFrame:
-    """(by, key, verb, from, to, edge, part, state): one row for each fact that meets a condition of an action.
+    """(by, key, verb, from, to, edge, soft, part, state): one row for each fact that meets a condition of an action, rows
+    may repeat.
 
-    `edge` names the condition: empty for the state the part starts from. Edges of blockers without a state are met and
-    left out. attached: (by, key, parent); such a part leaves when its parent is removed.
+    `edge` names the condition: empty for the state the part starts from; `soft`: of a preference only. Edges of blockers
+    without a state are met and left out. attached: (by, key, parent); such a part leaves when its parent is removed.
     """
-    own = actions.select("*", F.lit("").alias("edge"), F.col("key").alias("part"), F.col("from").alias("state"))
+    firm = F.lit(False).alias("soft")
+    own = actions.select("*", F.lit("").alias("edge"), firm, F.col("key").alias("part"), F.col("from").alias("state"))
     known = state.select(*by, F.col("key").alias("blocker"))
     gates = constraint_edges(edges).where(~F.col("status").isin(INACTIVE)).join(known, [*by, "blocker"], "left_semi")
-    gates = gates.select(*by, F.col("target").alias("key"), F.explode(gated_verbs(F.col("type"), F.col("mode"))).alias("verb"), F.concat_ws(" ", "type", "blocker").alias("edge"), F.col("blocker").alias("part"), F.explode(accepted_states(F.col("type"))).alias("state"))
+    soft = F.col("necessity").eqNullSafe(RECOMMENDED).alias("soft")
+    gates = gates.select(*by, F.col("target").alias("key"), F.explode(gated_verbs(F.col("type"), F.col("mode"))).alias("verb"), F.concat_ws(" ", "type", "blocker").alias("edge"), soft, F.col("blocker").alias("part"), F.explode(accepted_states(F.col("type"))).alias("state"))
     out = own.unionByName(actions.join(gates, [*by, "key", "verb"]))
     if attached is not None:
-        gone = attached.select(*by, "key", F.lit(LEAVES).alias("verb"), F.lit("any").alias("from"), F.lit("removed").alias("to"), F.lit("").alias("edge"), F.col("parent").alias("part"), F.lit("removed").alias("state"))
+        gone = attached.select(*by, "key", F.lit(LEAVES).alias("verb"), F.lit("any").alias("from"), F.lit("removed").alias("to"), F.lit("").alias("edge"), firm, F.col("parent").alias("part"), F.lit("removed").alias("state"))
         out = out.unionByName(gone)
-    return out.distinct()
+    return out
 
 
-def reachable(needs: DataFrame, state: DataFrame, by: Sequence[str], max_rounds: int = 200) -> DataFrame:
-    """(by, part, state, level, verb, from): the facts that can be brought about, each with the first action that does.
+def numbered(rows: DataFrame, name: str) -> DataFrame:
+    """`rows`, kept, with a number each."""
+    return cut(rows.withColumn(name, F.monotonically_increasing_id()))
 
-    Level 0 is what is the case. A fact's level is the round in which an action that leads to it has all conditions met;
-    of several the least destructive verb is kept. Rounds are as many as the longest chain of waiting actions.
+
+def both_kinds(rows: DataFrame, *numbers: str) -> DataFrame:
+    """`rows` twice, for the strict and the `relaxed` search; the numbers of either are apart, the relaxed ones odd."""
+    twice = rows.select("*", F.explode(F.array(F.lit(False), F.lit(True))).alias("relaxed"))
+    return twice.withColumns({c: F.col(c) * 2 + F.col("relaxed").cast("long") for c in numbers})
+
+
+def reachable(waits: DataFrame, gives: DataFrame, start: DataFrame, max_rounds: int = 200) -> DataFrame:
+    """(f, level, a): the facts that can be brought about, with each action that does so first. All are numbers: action a
+    waits for its n edges e, each of which any of its facts f meets (waits: a, e, f), and gives a fact (gives: a, n, gives).
+
+    Level 0 is what is the case (start: f), without an action. A fact's level is the round in which an action that leads to
+    it has all conditions met; an action that has is looked at no more. Rounds are as many as the longest chain of waiting
+    actions.
     """
-    action, fact = [*by, "key", "verb", "from", "to"], [*by, "part", "state"]
-    wanted = cut(needs.groupBy(*action).agg(F.countDistinct("edge").alias("n")))
-    found = cut(state.select(*by, F.col("key").alias("part"), "state", F.lit(0).alias("level"), F.lit(None).cast("string").alias("verb"), F.lit(None).cast("string").alias("from")))
-    met = None
+    found = fresh = cut(start.select("f", F.lit(0).alias("level"), F.lit(None).cast("long").alias("a")))
+    open_ = gives.select("a", "n", "gives", F.array().cast("array<int>").alias("es"))
     for level in range(1, max_rounds):
-        fresh = found.where(F.col("level") == level - 1)
-        now = needs.join(fresh.select(*fact), fact).select(*action, "edge")
-        met = cut((now if met is None else met.union(now)).distinct())
-        ready = met.groupBy(*action).agg(F.count("*").alias("have")).join(wanted, action).where("have = n")
-        best = F.min(F.struct(preference(F.col("verb")).alias("p"), "verb", "from")).alias("best")
-        new = ready.select(*by, F.col("key").alias("part"), F.col("to").alias("state"), "verb", "from").groupBy(*fact).agg(best)
-        new = cut(new.join(found.select(*fact), fact, "left_anti").select(*fact, F.lit(level).alias("level"), "best.verb", "best.from"))
-        if not new.take(1):
+        touched = waits.join(fresh.select("f").distinct(), "f").groupBy("a").agg(F.collect_set("e").alias("es"))
+        both = open_.unionByName(touched, allowMissingColumns=True).groupBy("a")
+        met = cut(both.agg(F.max("n").alias("n"), F.max("gives").alias("gives"), F.array_distinct(F.flatten(F.collect_list("es"))).alias("es")).where("n is not null"))
+        ready = met.where(F.size("es") == F.col("n")).select(F.col("gives").alias("f"), F.lit(level).alias("level"), "a")
+        fresh = cut(ready.join(found.select("f").distinct(), "f", "left_anti"))
+        if not fresh.take(1):
             return found
-        found = cut(found.union(new))
+        found, open_ = found.union(fresh), met.where(F.size("es") < F.col("n"))
     raise RuntimeError(f"no fixed point after {max_rounds} rounds")
 
 
-def plan_steps(needs: DataFrame, found: DataFrame, goals: DataFrame, by: Sequence[str]) -> DataFrame:
-    """(by, goal, step, key, verb, from, to): for each goal (by, goal, part) that can be removed, what has to be done, in order.
+def plan_steps(needs: DataFrame, state: DataFrame, goals: DataFrame, by: Sequence[str]) -> DataFrame:
+    """(by, relaxed, goal, step, key, verb, from, to): for each goal (by, goal, part) that can be removed, what has to be
+    done, in order, once with the `soft` conditions and once without; needs: as `conditions` gives them.
 
-    From the goal's fact back to what is the case: each needed fact brings its action, and each condition of that the
-    fact of the lowest level that meets it. Steps stand by level, so whatever an action waits for comes before it.
-    Goals that are removed already, or never can be, have no rows.
+    Names are shuffled a few times only: facts and actions get numbers, which the rounds go over. Of several actions that
+    bring a fact about in its round the least destructive verb is kept. From the goal's fact back to what is the case: each
+    needed fact brings its action, and each condition of that the fact of the lowest level that meets it. Steps stand by
+    level, so whatever an action waits for comes before it. Goals that are removed already, or never can be, have no rows.
     """
-    fact, action = [*by, "part", "state"], [*by, "key", "verb", "from"]
-    level = F.struct("level", preference(F.col("made_by")).alias("p"), "part", "state")
-    options = needs.join(found.select(*fact, "level", F.col("verb").alias("made_by")), fact)
-    made = found.where("level > 0").select(*by, F.col("part").alias("key"), F.col("state").alias("to"), "verb", "from", F.col("level").alias("at"))
-    chosen = cut(options.join(made, [*by, "key", "verb", "from", "to"]).where("level < at").groupBy(*action, "to", "edge").agg(F.min(level).alias("c")).select(*by, "key", "to", "c.part", "c.state"))
-    todo = goals.select(*by, "goal", "part", F.lit("removed").alias("state")).join(found.where("level > 0").select(*fact), fact, "left_semi")
-    needed = fresh = cut(todo)
+    fact, action = [*by, "part", "state"], [*by, "key", "verb", "from", "to"]
+    condition = F.struct("edge", "soft", "part", "state")
+    gathered = needs.groupBy(*action).agg(F.collect_set(condition).alias("c"))
+    edges = lambda c: F.array_sort(F.array_distinct(F.transform(c, lambda x: x["edge"])))
+    actions = numbered(gathered.select("*", edges(F.col("c")).alias("edges"), F.size(edges(F.filter("c", lambda x: ~x["soft"]))).alias("firm")), "a")
+    waits = actions.select(*by, "a", "edges", F.explode("c").alias("c")).select(*by, "a", F.array_position("edges", F.col("c.edge")).alias("e"), "c.soft", "c.part", "c.state")
+    now, made = state.select(*by, F.col("key").alias("part"), "state"), actions.select(*by, F.col("key").alias("part"), F.col("to").alias("state"), "a", "edges", "firm", "verb", "from")
+    # numbers of the facts of one group ascend by part and state, which decides between equal ones
+    facts = waits.select(*fact).union(made.select(*fact)).union(now).distinct().repartition(*by).sortWithinPartitions(*fact)
+    facts = numbered(facts, "f")
+    known = both_kinds(facts.join(now, fact, "left_semi").select("f"), "f")
+    made = made.join(facts, fact).select("a", F.size("edges").alias("n"), "firm", F.col("f").alias("gives"), "verb", "from")
+    waits = cut(both_kinds(waits.join(facts, fact).select("a", "e", "soft", "f"), "a", "f").where("not (relaxed and soft)").select("a", F.col("e").cast("int").alias("e"), "f"))
+    gives = both_kinds(made.select("a", "n", "firm", "gives"), "a", "gives").select("a", F.when(F.col("relaxed"), F.col("firm")).otherwise(F.col("n")).alias("n"), "gives")
+    found = reachable(waits, gives, known)
+    best = F.min(F.struct(preference(F.col("verb")).alias("p"), "verb", "from", "a")).alias("best")
+    made = cut(found.where("level > 0").join(both_kinds(made.select("a", "verb", "from"), "a").drop("relaxed"), "a").groupBy("f", "level").agg(best).select("f", "level", "best.*"))
+    found = known.select("f", F.lit(0).alias("level"), F.lit(None).cast("int").alias("p")).unionByName(made.select("f", "level", "p"))
+    options = waits.join(made.select("a", F.col("f").alias("_k"), F.col("level").alias("at")), "a").join(found, "f")
+    chosen = options.where("level < at").groupBy("_k", "e").agg(F.min(F.struct("level", "p", "f")).alias("c"))
+    chosen = cut(chosen.select("_k", "c.f").distinct())
+    todo = goals.select(*by, "goal", "part", F.lit("removed").alias("state")).join(facts, fact).select("goal", "f").distinct()
+    needed = fresh = cut(both_kinds(todo, "f").select("goal", "f").join(made, "f", "left_semi"))
     while fresh.take(1):
-        below = chosen.select(*by, F.col("key").alias("_k"), F.col("to").alias("_t"), "part", "state")
-        wider = fresh.select(*by, "goal", F.col("part").alias("_k"), F.col("state").alias("_t")).join(below, [*by, "_k", "_t"]).select(*by, "goal", "part", "state").distinct()
-        fresh = cut(wider.join(needed, [*by, "goal", "part", "state"], "left_anti"))
+        wider = fresh.withColumnRenamed("f", "_k").join(chosen, "_k").select("goal", "f").distinct()
+        fresh = cut(wider.join(needed, ["goal", "f"], "left_anti"))
         needed = cut(needed.unionByName(fresh))
-    done = needed.join(found.where("level > 0"), fact).where(F.col("verb") != LEAVES)
+    named = made.where(F.col("verb") != LEAVES).select("f", "level", "verb", "from", F.expr("f % 2 = 1").alias("relaxed"), F.expr("f div 2").alias("_f"))
+    named = named.join(facts.withColumnRenamed("f", "_f"), "_f").drop("_f")
+    done = needed.join(named, "f").drop("f")
+    by = [*by, "relaxed"]
     # a part that is needed in several states goes through them in order: from the one before where the verb starts from
     # that too; once it is removed, which satisfies every edge, it is not touched again
     order = ["level", preference(F.col("verb")), "part", "state"]
     own = Window.partitionBy(*by, "goal", "part").orderBy(*order)
     gone = F.max((F.col("state") == "removed").cast("int")).over(own.rowsBetween(Window.unboundedPreceding, -1))
     done = done.withColumn("_gone", gone).where("_gone is null or _gone = 0").withColumn("_was", F.lag("state").over(own))
-    starts = needs.select(*by, F.col("key").alias("part"), "verb", F.col("from").alias("_was"), F.col("to").alias("state"), F.lit(True).alias("_starts")).distinct()
-    done = done.join(starts, [*by, "part", "verb", "_was", "state"], "left").withColumn("from", F.when(F.col("_starts"), F.col("_was")).otherwise(F.col("from")))
+    starts = actions.select(*by[:-1], F.col("key").alias("part"), "verb", F.col("from").alias("_was"), F.col("to").alias("state"), F.lit(True).alias("_starts"))
+    done = done.join(starts, [*by[:-1], "part", "verb", "_was", "state"], "left").withColumn("from", F.when(F.col("_starts"), F.col("_was")).otherwise(F.col("from")))
     step = F.row_number().over(Window.partitionBy(*by, "goal").orderBy(*order)) - 1
     return done.select(*by, "goal", step.alias("step"), F.col("part").alias("key"), "verb", "from", F.col("state").alias("to"))
 
@@ -118,15 +150,8 @@ def removal_plans(state: DataFrame, edges: DataFrame, verbs: DataFrame, goals: D
     to). Recommended edges hold where that leaves a plan; else the plan of the required ones alone is given, `relaxed`.
     An attached part, which only leaves with its parent, is planned as its parent's removal.
     """
-    kinds = F.explode(F.array(F.lit(False), F.lit(True))).alias("relaxed")
-    both = [*by, "relaxed"]
-    now = state.select("*", kinds)
-    held = edges.select("*", kinds).where(~F.col("relaxed") | ~F.col("necessity").eqNullSafe(RECOMMENDED))
-    left = None if attached is None else attached.select("*", kinds)
-    needs = cut(conditions(possible_actions(now, verbs, both), held, now, left, both))
-    found = reachable(needs, now, both)
-    asked = goals.select(*by, "goal", F.col("goal").alias("part"), kinds)
-    steps = cut(plan_steps(needs, found, asked, both))
+    needs = cut(conditions(possible_actions(state, verbs, by), edges, state, attached, by))
+    steps = cut(plan_steps(needs, state, goals.select(*by, "goal", F.col("goal").alias("part")), by))
     strict = steps.where("not relaxed").select(*by, "goal").distinct()
     return steps.where("not relaxed").unionByName(steps.where("relaxed").join(strict, [*by, "goal"], "left_anti"))
 

@@ -187,3 +187,18 @@ def test_rearrangements_are_all_there(spark, n):
             rest = [k for k in range(n) if k != j]
             want[f"move{j}to{i}"] = [*rest[:i], j, *rest[i:]]
     assert found == want
+
+
+def test_rounds_go_over_numbers_alone(spark, monkeypatch):
+    """Names are kept as often for a long chain of waiting parts as for a short one."""
+    kept, cut = [], P.cut
+    monkeypatch.setattr(P, "cut", lambda df: kept.append(df.columns) or cut(df))
+    named = {"key", "part", "verb", "from", "to", "state"}
+    seen = {}
+    for n in (3, 6):
+        kept.clear()
+        chain = {f"board.{i:02}": None for i in range(n)}
+        found = plans(spark, [(chain, [edge(f"board.{i:02}", "covered_by", f"board.{i + 1:02}") for i in range(n - 1)])], ["board.00"])
+        assert [k for _, k, *_ in found[0, "board.00"][1]] == sorted(chain, reverse=True)
+        seen[n] = sum(bool(named & set(c)) for c in kept), len(kept)
+    assert seen[3][0] == seen[6][0] and seen[3][1] < seen[6][1]
