@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from stepfold.operators.derivation import constraint_edges
 from stepfold.operators.state import INACTIVE, REQUIRED_STATES, gated_verbs
-from stepfold.session import cut, vocabulary
+from stepfold.session import cut, tasks_for, vocabulary
 
 # Verbs from the least destructive on, and the necessity that is a preference only.
 VERB_PREFERENCE = ["open", "release", "unscrew", "disconnect", "displace", "remove"]
@@ -171,20 +171,26 @@ def unsound(steps: DataFrame, state: DataFrame, edges: DataFrame, by: Sequence[s
     return reduce(DataFrame.union, [broken, odd, ends]).distinct()
 
 
+def rearranged(rows: DataFrame, n: str) -> DataFrame:
+    """`rows` once for each way to swap two neighbours of a log of `n` actions or to move one by two places or more, as
+    (tag, family, _j, _i): what stood at place _j comes to place _i."""
+    spots = F.explode(F.sequence(F.lit(0), F.col(n).cast("int") - 1))
+    ways = rows.withColumn("_j", spots).withColumn("_i", spots).where("_i = _j + 1 or abs(_i - _j) >= 2")
+    swap = F.col("_i") == F.col("_j") + 1
+    tag = F.when(swap, F.concat(F.lit("swap"), "_j")).otherwise(F.concat(F.lit("move"), "_j", F.lit("to"), "_i"))
+    return ways.withColumn("tag", tag).withColumn("family", F.when(swap, "swap").otherwise("move"))
+
+
+def there(p: Column) -> Column:
+    """Where what stood at place `p` stands then."""
+    i, j = F.col("_i"), F.col("_j")
+    return F.when(p == j, i).when((j < p) & (p <= i), p - 1).when((i <= p) & (p < j), p + 1).otherwise(p)
+
+
 def rearrangements(logs: DataFrame, by: Sequence[str]) -> DataFrame:
-    """(by, tag, family, pos, key, verb, to): each log (by, pos from 0, key, verb, to) with two neighbours swapped, and
-    with one action moved by two places or more, in every way."""
-    n = F.count("*").over(Window.partitionBy(*by))
-    rows = logs.select(*by, "pos", "key", "verb", "to", n.alias("_n"))
-    spots = lambda upto: F.sequence(F.lit(0), upto.cast("int") - 1)
-    swap = rows.where("_n >= 2").withColumn("_i", F.explode(spots(F.col("_n") - 1)))
-    there = F.when(F.col("pos") == F.col("_i"), F.col("_i") + 1).when(F.col("pos") == F.col("_i") + 1, F.col("_i")).otherwise(F.col("pos"))
-    swapped = swap.select(*by, F.concat(F.lit("swap"), F.col("_i")).alias("tag"), F.lit("swap").alias("family"), there.alias("pos"), "key", "verb", "to")
-    move = rows.where("_n >= 3").withColumn("_j", F.explode(spots(F.col("_n")))).withColumn("_i", F.explode(spots(F.col("_n")))).where(F.abs(F.col("_i") - F.col("_j")) >= 2)
-    p, i, j = F.col("pos"), F.col("_i"), F.col("_j")
-    to = F.when(p == j, i).when((j < p) & (p <= i), p - 1).when((i <= p) & (p < j), p + 1).otherwise(p)
-    moved = move.select(*by, F.concat(F.lit("move"), "_j", F.lit("to"), "_i").alias("tag"), F.lit("move").alias("family"), to.alias("pos"), "key", "verb", "to")
-    return swapped.unionByName(moved)
+    """(by, tag, family, pos, key, verb, to): each log (by, pos from 0, key, verb, to) rearranged in every way."""
+    every = rearranged(logs.withColumn("_n", F.count("*").over(Window.partitionBy(*by))), "_n")
+    return every.select(*by, "tag", "family", there(F.col("pos")).alias("pos"), "key", "verb", "to")
 
 
 def simulated(plans: DataFrame, state: DataFrame, edges: DataFrame, on: Sequence[str], by: Sequence[str]) -> DataFrame:
@@ -194,18 +200,27 @@ def simulated(plans: DataFrame, state: DataFrame, edges: DataFrame, on: Sequence
     blocker's state is before a position is the last earlier action's on it, else the state at the start: actions and
     questions are stacked and swept once for each plan and part, whatever the number of plans.
     """
-    gates = constraint_edges(edges).where(~F.col("status").isin(INACTIVE) & ~F.coalesce(F.col("necessity") == RECOMMENDED, F.lit(False)))
-    gates = gates.select(*by, F.col("target").alias("key"), F.explode(gated_verbs(F.col("type"), F.col("mode"))).alias("verb"), "type", "blocker")
     keep = list(dict.fromkeys([*on, *by]))
-    start = state.select(*by, F.col("key").alias("blocker"), F.col("state").alias("_start"))
-    asked = plans.join(gates, [*by, "key", "verb"]).join(start, [*by, "blocker"])  # blockers without a state satisfy all
-    asked = asked.select(*keep, F.col("blocker").alias("part"), "pos", "type", F.col("key").alias("target"), "_start", F.lit(None).cast("string").alias("to"))
+    asked = questions(plans, state, edges, by).select(*keep, F.col("blocker").alias("part"), "pos", "type", F.col("key").alias("target"), "_start", F.lit(None).cast("string").alias("to"))
     made = plans.select(*keep, F.col("key").alias("part"), "pos", F.lit(None).cast("string").alias("type"), F.lit(None).cast("string").alias("target"), F.lit(None).cast("string").alias("_start"), "to")
     before = Window.partitionBy(*keep, "part").orderBy("pos").rangeBetween(Window.unboundedPreceding, -1)
     was = F.coalesce(F.last("to", ignorenulls=True).over(before), "_start")
     swept = asked.unionByName(made).withColumn("_was", was).where("type is not null")
     bad = swept.where(~F.array_contains(accepted_states(F.col("type")), F.col("_was")))
-    return bad.groupBy(*keep, "pos").agg(F.array_sort(F.collect_set(F.concat(F.col("type"), F.lit("("), "target", F.lit(", "), "part", F.lit(")")))).alias("broken"))
+    return bad.groupBy(*keep, "pos").agg(F.array_sort(F.collect_set(edge_label("type", "target", "part"))).alias("broken"))
+
+
+def questions(plans: DataFrame, state: DataFrame, edges: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Each action of `plans` with each required edge that gates it: type, blocker and `_start`, the blocker's state at the
+    start. Blockers without a state satisfy all and are left out."""
+    gates = constraint_edges(edges).where(~F.col("status").isin(INACTIVE) & ~F.coalesce(F.col("necessity") == RECOMMENDED, F.lit(False)))
+    gates = gates.select(*by, F.col("target").alias("key"), F.explode(gated_verbs(F.col("type"), F.col("mode"))).alias("verb"), "type", "blocker")
+    start = state.select(*by, F.col("key").alias("blocker"), F.col("state").alias("_start"))
+    return plans.join(gates, [*by, "key", "verb"]).join(start, [*by, "blocker"])
+
+
+def edge_label(kind: str, target: str, blocker: str) -> Column:
+    return F.concat(F.col(kind), F.lit("("), target, F.lit(", "), blocker, F.lit(")"))
 
 
 def certain_corruptions(logs: DataFrame, state: DataFrame, edges: DataFrame, on: Sequence[str], by: Sequence[str]) -> DataFrame:
@@ -214,14 +229,23 @@ def certain_corruptions(logs: DataFrame, state: DataFrame, edges: DataFrame, on:
     logs: (on, by, pos, key, verb, to) from position 0. All rearrangements of all logs are simulated at once; those that
     break nothing are plans of unknown validity and never given, and of the others the first in the order of
     md5(on | tag) is. A log that does not itself hold, or that no rearrangement breaks, gives nothing. `corrupted` is
-    the wrong plan as `verb key` strings.
+    the wrong plan as `verb key` strings. No rearranged log is written out: each question of a log is put together with the
+    actions on its blocker, dealt to tasks by log, and only there asked once for each rearrangement.
     """
     keep = list(dict.fromkeys([*on, *by]))
     sound = logs.join(simulated(logs, state, edges, on, by).select(*keep).distinct(), keep, "left_anti")
-    every = cut(rearrangements(sound, keep))
-    wrong = simulated(every, state, edges, [*keep, "tag", "family"], by)
-    first = wrong.groupBy(*keep, "tag", "family").agg(F.min_by("broken", "pos").alias("broken"), F.min("pos").alias("first_error"))
+    sound = cut(sound.withColumn("_n", F.count("*").over(Window.partitionBy(*keep))))
+    acts = sound.where("to is not null").groupBy(*keep, F.col("key").alias("blocker")).agg(F.collect_list(F.struct("pos", "to")).alias("_acts"))
+    asked = questions(sound, state, edges, by).join(acts, [*keep, "blocker"], "left").select(*keep, "_n", "pos", "type", "key", "blocker", "_start", "_acts")
+    every = rearranged(asked.repartition(tasks_for(sound), *keep), "_n").withColumn("_at", there(F.col("pos")))
+    before = F.filter(F.transform("_acts", lambda a: F.struct(there(a["pos"]).alias("pos"), a["to"].alias("to"))), lambda a: a["pos"] < F.col("_at"))
+    was = F.coalesce(F.array_max(before)["to"], "_start")
+    wrong = every.where(~F.array_contains(accepted_states(F.col("type")), was))
+    told = wrong.groupBy(*keep, "tag", "family", "_i", "_j").agg(F.min("_at").alias("first_error"), F.collect_set(F.struct(F.col("_at").alias("pos"), edge_label("type", "key", "blocker").alias("label"))).alias("_b"))
+    broken = F.array_sort(F.transform(F.filter("_b", lambda x: x["pos"] == F.col("first_error")), lambda x: x["label"]))
     seed = F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in on], "tag"))
-    picked = first.groupBy(*keep).agg(F.min_by(F.struct("tag", "family", "first_error", "broken"), F.struct(seed.alias("h"), "tag")).alias("p")).select(*keep, "p.*")
-    said = every.groupBy(*keep, "tag").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.concat_ws(" ", "verb", "key").alias("a")))), lambda s: s["a"]).alias("corrupted"))
-    return picked.join(said, [*keep, "tag"])
+    first = F.min_by(F.struct("tag", "family", "first_error", broken.alias("broken"), "_i", "_j"), F.struct(seed.alias("h"), "tag"))
+    picked = told.groupBy(*keep).agg(first.alias("p")).select(*keep, "p.*")
+    said = F.transform(F.array_sort(F.collect_list(F.struct(there(F.col("pos")).alias("pos"), F.concat_ws(" ", "verb", "key").alias("a")))), lambda s: s["a"])
+    named = picked.join(sound.select(*keep, "pos", "key", "verb"), keep)
+    return named.groupBy(*keep, "tag", "family", "first_error", "broken").agg(said.alias("corrupted"))

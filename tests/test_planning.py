@@ -202,3 +202,18 @@ def test_rounds_go_over_numbers_alone(spark, monkeypatch):
         assert [k for _, k, *_ in found[0, "board.00"][1]] == sorted(chain, reverse=True)
         seen[n] = sum(bool(named & set(c)) for c in kept), len(kept)
     assert seen[3][0] == seen[6][0] and seen[3][1] < seen[6][1]
+
+
+def test_no_rearranged_log_is_kept(spark, monkeypatch):
+    """A log of n actions has about n rearrangements an action; what is kept has a row an action."""
+    kept, cut = [], P.cut
+    monkeypatch.setattr(P, "cut", lambda df: kept.append(cut(df)) or kept[-1])
+    parts = [f"screw.{i}" for i in range(8)] + ["screw.0", "board.1"]  # one screw is turned twice
+    steps = [("unscrew", "loosened")] * 8 + [("remove", "removed")] * 2
+    state = spark.createDataFrame([(0, k, k.split(".")[0], START[k.split(".")[0]]) for k in sorted(set(parts))], "machine int, key string, cls string, state string")
+    edges = spark.createDataFrame([(0, *edge("board.1", "fastened_by", "screw.0")), (0, *edge("screw.0", "covered_by", "board.1", status="rejected"))], EDGE)
+    logs = spark.createDataFrame([(0, 7, i, k, *s) for i, (k, s) in enumerate(zip(parts, steps))], "machine int, log int, pos int, key string, verb string, to string")
+    (r,) = P.certain_corruptions(logs, state, edges, ["log"], ["machine"]).collect()
+    at = r.corrupted.index("remove board.1")
+    assert r.first_error == at and not {"unscrew screw.0", "remove screw.0"} & set(r.corrupted[:at]) and r.broken == ["fastened_by(board.1, screw.0)"]
+    assert sorted(r.corrupted) == sorted(f"{v} {k}" for k, (v, _) in zip(parts, steps)) and max(df.count() for df in kept) == len(parts)
