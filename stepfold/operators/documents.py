@@ -98,7 +98,6 @@ def json_number(value: Column) -> Column:
 
 
 def write_document(folder: str, classes: DataFrame, images: DataFrame, annotations: DataFrame) -> None:
-    """The three lists of a document as JSON lines, a folder for each, so that no task writes them all."""
-    classes.coalesce(1).write.json(f"{folder}/categories")
-    images.write.json(f"{folder}/images")
-    annotations.write.json(f"{folder}/annotations")
+    """The three lists of a document as JSON lines, gzipped, a folder for each, so that no task writes them all."""
+    for name, rows in (("categories", classes.coalesce(1)), ("images", images), ("annotations", annotations)):
+        rows.write.option("compression", "gzip").json(f"{folder}/{name}")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from stepfold.operators import documents, imports, tasks
 from stepfold.plans.registry import ORACLES, query
 from stepfold.plans.tables import table
-from stepfold.session import shared_folder
+from stepfold.session import cut, shared_folder
 from stepfold.sources import shapes
 
 CLASSES = [("ECONOMY", "plain"), ("LARGE", None), ("MEDIUM", None), ("PROMO", "plain"), ("SMALL", None)]
@@ -79,7 +79,7 @@ def document_annotations(spark, sf_dir):
 
 def _document(spark, sf_dir):
     rows, disputed, classes = _rows(spark, sf_dir), _disputed(spark, sf_dir), documents.categories(spark, CLASSES)
-    shown = documents.images(_frames(spark, sf_dir), rows, disputed, "gold")
+    shown = cut(documents.images(_frames(spark, sf_dir), rows, disputed, "gold"))  # written, and asked by the annotations
     return classes, shown, documents.annotations(shown, rows, disputed, classes, ORDER, include_boxes=True)
 
 

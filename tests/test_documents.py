@@ -109,3 +109,12 @@ def test_bands_of_ties_and_nulls(spark):
     values = [1.0] * 5 + [2.0] * 3 + [9.0, None, None]
     df = spark.createDataFrame([("a", v) for v in values] + [("b", 1.0)], "k string, v double")
     assert [tuple(r) for r in aggregates.bands(df, ["k"], "v", 2).collect()] == [("a", 1.0, 1.0, 9.0, 9)]
+
+
+def test_document_lists_are_compressed(spark, tmp_path):
+    rows = spark.range(2000).selectExpr("id", "concat('name ', id) as name", "array(1.0D * id, null) as bbox")
+    documents.write_document(str(tmp_path / "d"), rows, rows, rows)
+    for name in ("categories", "images", "annotations"):
+        files = [f for f in (tmp_path / "d" / name).iterdir() if f.name.startswith("part-")]
+        assert files and all(f.name.endswith(".json.gz") for f in files)
+        assert sorted(spark.read.schema(rows.schema).json(str(tmp_path / "d" / name)).collect()) == sorted(rows.collect())
