@@ -46,23 +46,22 @@ def processor(work: Callable[[int, str, int], bool], delays: tuple[float, ...] =
             return pd.DataFrame({"key": [key], "attempt": [failed + 1], "outcome": [outcome], "requests": [requests]})
 
         def _wait(self, payload: str, failed: int, requests: int, due: int) -> None:
-            for t in list(self.handle.listTimers()):
-                self.handle.deleteTimer(t)
             self.waiting.update((payload, failed, requests, due))
             self.handle.registerTimer(due)
 
         def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
             every = pd.concat(list(rows))
             payload, n, now = every["payload"].max(), len(every), timerValues.getCurrentProcessingTimeInMs()
-            if self.waiting.exists():
-                _, failed, requests, due = self.waiting.get()
+            if (was := self.waiting.get()) is not None:
+                _, failed, requests, due = was
+                self.handle.deleteTimer(due)  # the only one: an expired timer goes by itself
                 self._wait(payload, failed, requests + n, max(due, now + int(quiet * 1000)))
             else:
                 yield self._attempt(int(key[0]), payload, 0, n, now)
 
         def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-            if self.waiting.exists():
-                payload, failed, requests, _ = self.waiting.get()
+            if (was := self.waiting.get()) is not None:
+                payload, failed, requests, _ = was
                 yield self._attempt(int(key[0]), payload, failed, requests, timerValues.getCurrentProcessingTimeInMs())
 
         def close(self) -> None:

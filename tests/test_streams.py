@@ -2,7 +2,9 @@
 
 import os
 import tempfile
+from types import SimpleNamespace
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from stepfold.operators.view import latest_versions
@@ -90,3 +92,29 @@ def test_retries_go_on_after_a_restart(spark):
     put(spark, base, 1, [(3, "0")], schema)
     again = retries.drained(stream(), work, (12.0, 0.5), 0.2, state, stop_after=lambda rows: rows.where(F.col("key") == 3).count() == 4)
     assert again.where("key = 3 and outcome = 'done' and attempt = 1").count() == 1
+
+
+def test_an_attempt_asks_the_store_little():
+    """Each call on state or timers goes to another process; one timer is live at a time."""
+
+    class Store:
+        def __init__(self):
+            self.value, self.timers, self.calls = None, set(), 0
+
+        def __getattr__(self, name):
+            self.calls += 1
+            todo = {"get": lambda: self.value, "exists": lambda: self.value is not None, "update": lambda v: setattr(self, "value", v), "clear": lambda: setattr(self, "value", None)}
+            todo |= {"registerTimer": self.timers.add, "deleteTimer": self.timers.remove, "listTimers": lambda: iter(sorted(self.timers)), "getValueState": lambda *_: self}
+            return todo[name]
+
+    clock = lambda t: SimpleNamespace(getCurrentProcessingTimeInMs=lambda: t)
+    p, store = retries.processor(lambda key, payload, attempt: attempt > 2, (0.5, 1.0), 0.2), Store()
+    p.init(store)
+    request, said = pd.DataFrame({"payload": ["x"]}), []
+    for step in (lambda: p.handleInputRows((1,), iter([request]), clock(0)), lambda: p.handleInputRows((1,), iter([request]), clock(400)), lambda: p.handleExpiredTimer((1,), clock(600), None), lambda: p.handleExpiredTimer((1,), clock(1600), None)):
+        before, store.calls = set(store.timers), 0
+        said += [tuple(r) for out in step() or [] for r in out.itertuples(index=False)]
+        assert store.calls <= 4
+        if len(said) > 1:  # Spark removes an expired timer
+            store.timers -= before
+    assert said == [(1, 1, "retry", 1), (1, 2, "retry", 2), (1, 3, "done", 2)] and not store.timers and store.value is None
