@@ -3,8 +3,9 @@
 Each scan partition builds its shards: postings by term with term counts, documents ordered so that like ones share a
 block. Document counts, lengths and document frequencies are summed over all shards before any score is computed, so
 every shard scores as one index would. A query bounds each block by its terms' block maxima, scores the most promising
-blocks first and skips all whose bound is below the k-th score so far. The query set goes round in blocks of bounded
-size; only those and never documents pass through the driver.
+blocks first and skips all whose bound is below the k-th score so far. All queries of a batch that ask a block are scored
+together: terms frequent in it by a product of matrices, the others by their postings. The query set goes round in
+blocks of bounded size; only those and never documents pass through the driver.
 """
 
 from __future__ import annotations
@@ -20,6 +21,9 @@ K = 10
 K1, B = 1.2, 0.75
 SHARD_DOCS = 8192
 BLOCK_BITS = 9  #: 512 documents; smaller blocks bound tighter, but hold hardly more postings than entries
+BLOCK = 1 << BLOCK_BITS
+OFTEN = 64  #: postings in a block from which a term has a row in its matrix; about where a product of rows gets cheaper than sums of postings
+BATCH, BATCH_TERMS = 512, 1 << 17  #: queries, and about at most their terms, that are scored at once
 HASH_BYTES = 2 << 20
 QUERY_BLOCK_TERMS = 500_000  #: (query, term) weights in a query block (8 MB), at most about; one block is live at a time
 DIGITS = 6  #: scores are compared after rounding, so that equal texts tie and the smaller id wins
@@ -99,67 +103,130 @@ def query_terms(queries: DataFrame, query_id: str, text: str) -> DataFrame:
 
 
 class Shard:
-    """A shard ready to be searched: BM25 impacts, and for each (term, block) its postings and largest impact."""
+    """A shard ready to be searched: BM25 impacts, and for each (term, block) its postings and largest impact. A term that
+    is frequent in a block has its impacts there as a row of the block's matrix, with a column for each document."""
 
     def __init__(self, row: dict, mean_length: float):
         self.ids = np.frombuffer(row["ids"], np.int64)
         self.terms = np.frombuffer(row["terms"], np.uint64)
-        docs = np.frombuffer(row["docs"], np.uint16).astype(np.int64)
+        docs = np.frombuffer(row["docs"], np.uint16)
         counts = np.frombuffer(row["counts"], np.uint32).astype(float)
         length = np.frombuffer(row["lengths"], np.int32) / max(mean_length, 1e-9)
-        self.docs = docs
-        self.impact = counts * (K1 + 1) / (counts + K1 * (1 - B + B * length[docs]))
+        impact = counts * (K1 + 1) / (counts + (K1 * (1 - B + B * length))[docs])
         starts = np.frombuffer(row["starts"], np.int32).astype(np.int64)
-        block = docs >> BLOCK_BITS
+        block = docs >> np.uint16(BLOCK_BITS)
         new = np.zeros(len(docs), dtype=bool)
         new[1:] = block[1:] != block[:-1]
         new[starts] = True
-        self.begin = np.flatnonzero(new)
-        self.block = block[self.begin]
-        self.most = np.maximum.reduceat(self.impact, self.begin) if len(docs) else np.empty(0)
-        self.begin = np.append(self.begin, len(docs))
-        self.first = np.append(np.searchsorted(self.begin[:-1], starts), len(self.block))
+        begin = np.flatnonzero(new)
+        self.block = block[begin]
+        self.most = np.maximum.reduceat(impact, begin) if len(docs) else np.empty(0)
+        self.first = np.append(np.searchsorted(begin, starts), len(begin))
         self.blocks = (len(self.ids) >> BLOCK_BITS) + 1
+        # postings are laid out block by block, so that those of one block are near each other in memory
+        order = np.argsort(block, kind="stable")
+        self.place, self.impact = (docs[order] & np.uint16(BLOCK - 1)).astype(np.int64), impact[order]
+        self.count = np.diff(np.append(begin, len(docs)))
+        order = np.argsort(self.block, kind="stable")
+        self.begin = np.empty(len(order), np.int64)
+        self.begin[order] = np.cumsum(self.count[order]) - self.count[order]
+        #: of a frequent (term, block), its row in the block's matrix; -1 of others
+        self.row = np.full(len(self.block), -1)
+        self.matrix = []
+        often = np.flatnonzero(self.count >= OFTEN)
+        for b in range(self.blocks):
+            e = often[self.block[often] == b]
+            self.row[e] = np.arange(len(e))
+            at = self._spread(self.begin[e], self.count[e])
+            self.matrix.append(np.zeros((len(e), BLOCK)))
+            self.matrix[b][np.repeat(np.arange(len(e)), self.count[e]), self.place[at]] = self.impact[at]
 
     @staticmethod
-    def _spread(begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-        n = end - begin
-        return np.arange(n.sum()) + np.repeat(begin - np.concatenate([[0], np.cumsum(n)[:-1]]), n)
-
-    def search(self, terms: np.ndarray, weights: np.ndarray, k: int, floor: float) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and scores of all documents that may be among the k best, given that k others score `floor`."""
+    def _spread(begin: np.ndarray, n: np.ndarray) -> np.ndarray:
+        return np.arange(n.sum()) + np.repeat(begin - (np.cumsum(n) - n), n)
+
+    def _scores(self, b: int, floor: np.ndarray, rare: tuple, often: tuple) -> tuple[np.ndarray, np.ndarray]:
+        """The queries, numbered from 0 as their floors are, that may reach their floor in block b, and their scores of
+        its documents, by (query, entry, weight) of rare and frequent terms. Sums of the rare ones sharpen the bound."""
+        query, entry, w = rare
+        many = self.count[entry]
+        post = self._spread(self.begin[entry], many)
+        spot, part = np.repeat(query * BLOCK, many), np.repeat(w, many)
+        spot += self.place[post]
+        part *= self.impact[post]
+        score = np.bincount(spot, weights=part, minlength=len(floor) * BLOCK).reshape(len(floor), BLOCK)
+        query, entry, w = often
+        able = score.max(axis=1) + np.bincount(query, weights=self.most[entry] * w, minlength=len(floor)) >= floor
+        number, use = np.cumsum(able) - 1, able[query]
+        weights = np.zeros((number[-1] + 1, len(self.matrix[b])))
+        weights[number[query[use]], self.row[entry[use]]] = w[use]
+        total = weights @ self.matrix[b]
+        total += score[able]
+        return np.flatnonzero(able), total
+
+    def search(self, query: np.ndarray, terms: np.ndarray, term: np.ndarray, weights: np.ndarray, top: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Queries, ids and scores of all documents that may be among the k best of a query, of (query, number in `terms`,
+        weight) rows; `terms` are sorted.
+
+        `top` has a row for each query, with the k best scores so far; those of this shard are put in.
+        """
+        none = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
         if not len(self.terms):
-            return np.empty(0, np.int64), np.empty(0)
+            return none
         at = np.minimum(np.searchsorted(self.terms, terms), len(self.terms) - 1)
-        own = self.terms[at] == terms
-        at, weights = at[own], weights[own]
-        lo, hi = self.first[at], self.first[at + 1]
-        entry, w = self._spread(lo, hi), np.repeat(weights, hi - lo)
-        bound = np.bincount(self.block[entry], weights=self.most[entry] * w, minlength=self.blocks)
-        todo = np.argsort(-bound, kind="stable")
-        todo = todo[bound[todo] > 0]
-        score, done, wave = np.zeros(len(self.ids)), 0, 4
-        while done < len(todo):
-            ahead = todo[done : done + wave]
-            ahead = ahead[bound[ahead] >= floor - 10.0**-DIGITS]
-            if not len(ahead):
-                break
-            chosen = np.zeros(self.blocks, dtype=bool)
-            chosen[ahead] = True
-            use = chosen[self.block[entry]]
-            lo, hi = self.begin[entry[use]], self.begin[entry[use] + 1]
-            post = self._spread(lo, hi)
-            score += np.bincount(self.docs[post], weights=self.impact[post] * np.repeat(w[use], hi - lo), minlength=len(self.ids))
-            if len(score) > k:
-                floor = max(floor, np.partition(score, -k)[-k])
+        own = (self.terms[at] == terms)[term]
+        at, query, weights = at[term[own]], query[own], weights[own]
+        many = self.first[at + 1] - self.first[at]
+        entry, query, w = self._spread(self.first[at], many), np.repeat(query, many), np.repeat(weights, many)
+        block = self.block[entry]
+        bound = np.bincount(query * self.blocks + block, weights=self.most[entry] * w, minlength=len(top) * self.blocks).reshape(len(top), self.blocks)
+        turn = np.argsort(np.argsort(-bound, axis=1, kind="stable"), axis=1)
+        kind = 2 * block + (self.row[entry] >= 0)  # rare and frequent terms of a block one after the other
+        order = np.argsort(kind, kind="stable")
+        entry, query, w = entry[order], query[order], w[order]
+        ends = np.concatenate([[0], np.cumsum(np.bincount(kind, minlength=2 * self.blocks))])
+        k, found, done, wave = top.shape[1], [none], 0, 1
+        while done < self.blocks:
+            for b in range(self.blocks):
+                ask = (turn[:, b] >= done) & (turn[:, b] < done + wave) & (bound[:, b] > 0) & (bound[:, b] >= top.min(axis=1) - 10.0**-DIGITS)
+                asked = np.flatnonzero(ask)
+                if not len(asked):
+                    continue
+                number, parts = np.cumsum(ask) - 1, []
+                for here in (slice(ends[2 * b], ends[2 * b + 1]), slice(ends[2 * b + 1], ends[2 * b + 2])):
+                    use = ask[query[here]]
+                    parts.append((number[query[here][use]], entry[here][use], w[here][use]))
+                able, score = self._scores(b, top[asked].min(axis=1) - 10.0**-DIGITS, *parts)
+                asked = asked[able]
+                if not len(asked):
+                    continue
+                better = np.flatnonzero(score.max(axis=1) > top[asked].min(axis=1))
+                top[asked[better]] = np.partition(np.concatenate([top[asked[better]], score[better]], axis=1), -k, axis=1)[:, -k:]
+                q, d = np.nonzero((score > 0) & (score >= top[asked].min(axis=1)[:, None] - 10.0**-DIGITS))
+                found.append((asked[q], self.ids[d + (b << BLOCK_BITS)], score[q, d]))
             done, wave = done + wave, wave * 4
-        hit = np.flatnonzero((score > 0) & (score >= floor - 10.0**-DIGITS))
-        return self.ids[hit], score[hit]
-
-
-def best(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    order = np.lexsort((ids, -np.round(scores, DIGITS)))[:k]
-    return ids[order], scores[order]
+        query, ids, score = (np.concatenate(x) for x in zip(*found))
+        last = score >= top.min(axis=1)[query] - 10.0**-DIGITS
+        return query[last], ids[last], score[last]
+
+
+def best(query: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best rows of each query."""
+    order = np.lexsort((ids, -np.round(scores, DIGITS), query))
+    query, ids, scores = query[order], ids[order], scores[order]
+    kept = np.arange(len(query)) - np.searchsorted(query, query) < k
+    return query[kept], ids[kept], scores[kept]
+
+
+def batches_of(query: np.ndarray) -> list[slice]:
+    """Rows of (query, term), sorted by query, in pieces of whole queries, each of a bounded number of queries and about of rows."""
+    starts = np.flatnonzero(np.concatenate([[True], query[1:] != query[:-1]])) if len(query) else np.empty(0, int)
+    ends, pieces, at = np.append(starts[1:], len(query)), [], 0
+    while at < len(starts):
+        upto = max(at + 1, min(at + BATCH, int(np.searchsorted(ends, starts[at] + BATCH_TERMS, "right"))))
+        pieces.append(slice(int(starts[at]), int(ends[upto - 1])))
+        at = upto
+    return pieces
 
 
 def top_k(docs: DataFrame, queries: DataFrame, k: int = K, doc_id: str = "doc_id", text: str = "text", query_id: str = "query_id", query_text: str = "text") -> DataFrame:
@@ -181,20 +248,20 @@ def top_k(docs: DataFrame, queries: DataFrame, k: int = K, doc_id: str = "doc_id
     weighed = cut(own.join(df, "term").select(F.pmod(F.xxhash64("query"), F.lit(blocks)).alias("block"), "query", "term", weight.alias("w")))
 
     def search(batches, held):
-        weights = held.value
-        found = {}
+        query, term, w = held.value
+        pieces = []
+        for rows in batches_of(query):
+            names, number = np.unique(query[rows], return_inverse=True)
+            none = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+            pieces.append([names, (number, *np.unique(term[rows], return_inverse=True), w[rows]), np.zeros((len(names), k)), none])
         for b in batches:
-            for row in b.to_pylist():
-                shard = Shard(row, mean)
-                for query, (terms, w) in weights.items():
-                    ids, scores = found.get(query, (np.empty(0, np.int64), np.empty(0)))
-                    floor = scores.min() if len(scores) == k else 0.0
-                    more, score = shard.search(terms, w, k, floor)
-                    if len(more):
-                        found[query] = best(np.concatenate([ids, more]), np.concatenate([scores, score]), k)
-        rows = [(q, i, s) for q, (ids, scores) in found.items() for i, s in zip(ids.tolist(), scores.tolist())]
-        q, i, s = zip(*rows) if rows else ((), (), ())
-        yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(i, pa.int64()), pa.array(s, pa.float64())], names=["query_id", "doc_id", "score"])
+            for at in range(b.num_rows):
+                shard = Shard(b.slice(at, 1).to_pylist()[0], mean)
+                for piece in pieces:
+                    _, asked, top, found = piece
+                    piece[3] = best(*(np.concatenate(x) for x in zip(found, shard.search(*asked, top))), k)
+        for names, *_, (q, i, s) in pieces:
+            yield pa.RecordBatch.from_arrays([pa.array(names[q], pa.int64()), pa.array(i, pa.int64()), pa.array(s, pa.float64())], names=["query_id", "doc_id", "score"])
 
     results = None
     for block in range(blocks):
@@ -202,9 +269,7 @@ def top_k(docs: DataFrame, queries: DataFrame, k: int = K, doc_id: str = "doc_id
         query, term, w = rows.column("query").to_numpy(), rows.column("term").to_numpy().view(np.uint64), rows.column("w").to_numpy()
         order = np.lexsort((term, query))
         query, term, w = query[order], term[order], w[order]
-        ends = np.flatnonzero(np.diff(query)) + 1
-        parts = zip(np.split(query, ends), np.split(term, ends), np.split(w, ends))
-        held = spark.sparkContext.broadcast({int(q[0]): (t, x) for q, t, x in parts if len(q)})
+        held = spark.sparkContext.broadcast((query, term, w))
         found = cut(index.mapInArrow(lambda batches, held=held: search(batches, held), "query_id long, doc_id long, score double"))
         held.destroy()  # the block's results are in the shared folder
         results = found if results is None else results.union(found)

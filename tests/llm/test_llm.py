@@ -460,6 +460,41 @@ def test_search_over_many_shards_and_query_blocks(spark, monkeypatch):
     assert got == [x[:3] for x in sorted(brute_bm25(rows, asked, 7))]
 
 
+def test_search_scores_the_queries_of_a_batch_together(monkeypatch):
+    """Frequent terms by products, rare ones by postings, give the brute force's ranks, and a block is scored once a wave."""
+    for name, value in {"BLOCK_BITS": 5, "BLOCK": 32, "OFTEN": 6, "BATCH": 40, "BATCH_TERMS": 400}.items():
+        monkeypatch.setattr(search, name, value)
+    rng = np.random.default_rng(23)
+    words = np.array([f"w{i}" for i in range(300)])
+    rows = [(i, " ".join(words[np.minimum(rng.zipf(1.3, int(n)) - 1, 299)])) for i, n in enumerate(rng.integers(0, 40, 300))]
+    rows += [(i + 300, t) for i, t in rows[:60]]
+    asked = rows[::4]
+    shards = [search.Shard(search.build_shard(np.array([i for i, _ in part]), [t for _, t in part]), sum(len(t.split()) for _, t in rows) / len(rows)) for part in (rows[:200], rows[200:], [(-1, "")])]
+    assert any(len(m) for m in shards[0].matrix) and any((s.row < 0).any() for s in shards[:2])
+    df = collections.Counter(w for _, t in rows for w in set(t.split()))
+    terms, lengths = search.term_rows([t for _, t in asked])
+    hashed = dict(zip((search.Words([w]).hashes()[0] for w in df), df.values()))
+    n = len(rows)
+    weight = terms["count"] * np.log(1 + (n - np.array([hashed[h] for h in terms.term]) + 0.5) / (np.array([hashed[h] for h in terms.term]) + 0.5))
+    order = np.lexsort((terms.term, terms.doc))
+    query, term, weight = terms.doc[order], terms.term[order], weight[order]
+    calls = []
+    plain = search.Shard._scores
+    monkeypatch.setattr(search.Shard, "_scores", lambda self, b, *rest: calls.append(b) or plain(self, b, *rest))
+    pieces, got = search.batches_of(query), []
+    assert len(pieces) > 1 and sum(p.stop - p.start for p in pieces) == len(query)
+    for rows_ in pieces:
+        names, number = np.unique(query[rows_], return_inverse=True)
+        top, found = np.zeros((len(names), 5)), (np.empty(0, int), np.empty(0, int), np.empty(0))
+        for shard in shards:
+            more = shard.search(number, *np.unique(term[rows_], return_inverse=True), weight[rows_], top)
+            found = search.best(*(np.concatenate(x) for x in zip(found, more)), 5)
+        got += [(asked[names[q]][0], i) for q, i in zip(found[0], found[1])]
+    assert got == [(q, i) for q, _, i, _ in brute_bm25(rows, asked, 5)]
+    assert len(calls) <= 3 * len(pieces) * sum(s.blocks for s in shards)  # three waves, whatever the number of queries
+    assert search.batches_of(query[:0]) == []
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_oracles(name, spark, sf, duck):
     assert_agree(queries.QUERIES[name](spark, sf), duck, queries.ORACLES[name])
