@@ -53,6 +53,58 @@ def combined(rule: Callable[..., np.ndarray], *sets: Set) -> Set:
     return at[step[:-1] == 1], at[np.flatnonzero(step == -1)]
 
 
+def topmost(start: np.ndarray, end: np.ndarray) -> Set:
+    """The sorted ends of intervals, and the last interval that covers the piece after each end, -1 where none does.
+
+    An interval marks two stretches of a power of two pieces that cover it; marks are handed down from long stretches to
+    short ones, so that the work does not grow with the pieces that intervals share.
+    """
+    at = np.unique(np.concatenate([start, end]))
+    low, high = np.searchsorted(at, start), np.searchsorted(at, end)
+    level, top = np.frexp(high - low)[1] - 1, np.full(len(at), -1)
+    for k in range(level.max(initial=0), -1, -1):
+        own = np.flatnonzero(level == k)
+        np.maximum.at(top, np.concatenate([low[own], high[own] - (1 << k)]), np.concatenate([own, own]))
+        if k:
+            half, above = 1 << k - 1, top.copy()
+            np.maximum(top[half:], above[:-half], out=top[half:])
+    return at, top
+
+
+def stacked(group: np.ndarray, stack: np.ndarray, front: np.ndarray, item: np.ndarray, y0: np.ndarray, y1: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, y0, y1, seen): where each item of a stack is seen, and where it is but hidden; `row` is one of its rows.
+
+    Rows (not empty) are sorted by group, then from the lowest to the highest. Rows in `front` lie on all stacks of their
+    group; those with a negative item hide and are not told of.
+    """
+    own, n_stacks, n_items = np.flatnonzero(~front), stack.max(initial=0) + 1, item.max(initial=0) + 1
+    stacks, of = np.unique(group[own] * n_stacks + stack[own], return_inverse=True)
+    low, high = (np.searchsorted(stacks // n_stacks, group[front], side) for side in ("left", "right"))
+    over, at = spread(low, high - 1)
+    row, at = np.concatenate([own, np.flatnonzero(front)[over]]), np.concatenate([of, at])
+    order = np.argsort(row, kind="stable")
+    row, at = row[order], at[order]
+    least = y0.min(initial=0)
+    pitch = y1.max(initial=0) - least + 1
+    line = at * pitch - least
+    ends, top = topmost(line + y0[row], line + y1[row])
+    code = np.where(item[row] >= 0, at * n_items + item[row], -1)
+    who = np.where(top >= 0, code[top], -1)
+    new = np.concatenate([who[:1] >= 0, who[1:] != who[:-1]])
+    begin = np.flatnonzero(new & (who >= 0))
+    stop = ends[np.flatnonzero(np.concatenate([new, [True]]))[np.cumsum(new)[begin]]] if len(begin) else ends[:0]
+    told = np.flatnonzero(code >= 0)
+    codes, first, number = np.unique(code[told], return_index=True, return_inverse=True)
+    base = number * pitch - least
+    whole = merged(base + y0[row[told]], base + y1[row[told]])
+    shift = (np.searchsorted(codes, who[begin]) - at[top[begin]]) * pitch
+    seen = ends[begin] + shift, stop + shift
+    hidden = combined(lambda a, b: a & ~b, whole, seen)
+    start, end = (np.concatenate(x) for x in zip(seen, hidden))
+    base = start // pitch * pitch
+    return row[told[first]][start // pitch], start - base + least, end - base + least, np.arange(len(start)) < len(begin)
+
+
 def square(reach: int) -> list[tuple[int, int]]:
     """How far up and down a square brush reaches, by column."""
     return [(dx, reach) for dx in range(-reach, reach + 1)]

@@ -1,22 +1,16 @@
-"""Shapes to runs of pixels, and the stacking of masks in a frame as joins and windows on (mask, column)."""
+"""Shapes to runs of pixels, and the stacking of masks in a frame, column by column."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stepfold.functions import runs as R
 from stepfold.functions.text import visibility
 
 
-def islands(rows: DataFrame, by: list[str]) -> DataFrame:
-    """(by, y0, y1): intervals of each group that overlap or touch are one; empty ones go."""
-    w = Window.partitionBy(*by).orderBy("y0", "y1")
-    reach = F.max("y1").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    marked = rows.where("y1 > y0").select(*by, "y0", "y1", (reach.isNull() | (F.col("y0") > reach)).cast("int").alias("_new"))
-    return marked.withColumn("_n", F.sum("_new").over(w)).groupBy(*by, "_n").agg(F.min("y0").alias("y0"), F.max("y1").alias("y1")).drop("_n")
-
-
 def gathered(rows: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, runs): the rows (x, y0, y1) of each mask as one sorted array."""
     return rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col("x").cast("bigint").alias("x"), F.col("y0").cast("bigint").alias("y0"), F.col("y1").cast("bigint").alias("y1")))).alias("runs"))
@@ -75,27 +69,71 @@ def label_tool_runs(results: DataFrame, keys: list[str]) -> DataFrame:
     return turned.unionByName(ellipse_runs(round_, keys, F.col("_height"), F.col("_width")))
 
 
+STRIP = 16  #: columns of a frame that are dealt to one task together
+
+
 def stacked(layers: DataFrame, frame: list[str], occluders: DataFrame | None = None) -> DataFrame:
-    """(frame, placement, instance, x, y0, y1, seen): each instance's pixels, cut where what lies on top changes.
+    """(frame, placement, instance, runs, amodal_px, visible_px): parts of what is seen of each instance, sorted, with the
+    numbers of its own pixels and of those seen; an instance may have several rows, for different columns.
 
     layers: (frame, placement, instance, layer, x, y0, y1); an instance may have several, and the same layer twice. In
     each placement the highest layer is seen; of equal ones the greater instance. Occluders (frame, x, y0, y1) hide
-    every placement. Each column of a placement is cut at its runs' ends and decided on its own, so a crowded frame is
-    spread over as many groups as it has columns.
+    every placement. Each column of a frame is decided on its own, and a crowded frame is spread over its strips of
+    columns; rows are shuffled and sorted by column once, and a kernel holds a batch and one column at a time.
     """
-    column = [*frame, "placement", "x"]
-    own = layers.select(*column, "instance", F.struct(F.lit(0).alias("front"), F.col("layer"), F.col("instance").alias("by")).alias("rank"), "y0", "y1").where("y1 > y0")
+    key, column = [*frame, "placement", "instance"], [*frame, "x"]
+    tell = [*key, "x"]
+    rows = layers.select(*tell, "layer", F.lit(False).alias("front"), "y0", "y1").where(F.col("placement").isNotNull())
     if occluders is not None:
-        kind = own.select("rank").schema[0].dataType
-        where = own.select(*column).distinct()
-        front = occluders.where("y1 > y0").join(where, [*frame, "x"]).select(*column, F.lit(None).cast(layers.schema["instance"].dataType).alias("instance"), F.struct(F.lit(1).alias("front"), F.lit(None).cast(kind["layer"].dataType).alias("layer"), F.lit(None).cast(kind["by"].dataType).alias("by")).alias("rank"), "y0", "y1")
-        own = own.unionByName(front)
-    ends = own.select(*column, F.explode(F.array("y0", "y1")).alias("a")).distinct()
-    pieces = ends.withColumn("b", F.lead("a").over(Window.partitionBy(*column).orderBy("a"))).where("b is not null")
-    over = own.join(pieces, column).where("y0 <= a and b <= y1")
-    top = over.groupBy(*column, "a", "b", "instance").agg(F.max("rank").alias("rank"))
-    highest = F.max("rank").over(Window.partitionBy(*column, "a", "b"))
-    return top.withColumn("seen", F.col("rank") == highest).where("instance is not null").select(*frame, "placement", "instance", "x", F.col("a").alias("y0"), F.col("b").alias("y1"), "seen")
+        none = [F.lit(None).cast(layers.schema[c].dataType).alias(c) for c in ("placement", "instance", "layer")]
+        rows = rows.unionByName(occluders.select(*column, *none, F.lit(True).alias("front"), "y0", "y1"))
+    whole = rows.withColumns({c: F.col(c).cast("bigint") for c in ("y0", "y1")}).where("y1 > y0").dropna(subset=column)
+    placed = whole.repartition(*frame, F.floor(F.col("x") / STRIP)).sortWithinPartitions(*column, "front", "layer", "instance")
+
+    def codes(rows: pa.RecordBatch, name: str) -> np.ndarray:
+        return rows.column(name).dictionary_encode(null_encoding="encode").indices.to_numpy().astype(np.int64)
+
+    def group(rows: pa.RecordBatch) -> np.ndarray:
+        new = np.zeros(rows.num_rows, dtype=bool)
+        for name in column:
+            new[1:] |= np.diff(codes(rows, name)) != 0
+        return np.cumsum(new)
+
+    def decided(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        rows = pa.concat_batches(held)
+        front, y0, y1 = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("front", "y0", "y1"))
+        item = np.where(R.there(rows.column("instance")), codes(rows, "instance"), -1)
+        row, y0, y1, seen = R.stacked(group(rows), codes(rows, "placement"), front, item, y0, y1)
+        of = np.zeros(len(row), np.int64)
+        for name in key:
+            at = codes(rows, name)
+            of = np.unique(of * (at.max(initial=0) + 1) + at[row], return_inverse=True)[1]
+        x = rows.column("x").cast(pa.int64()).to_numpy()[row]
+        order = np.lexsort((y0, x, of))
+        row, of, x, y0, y1, seen = (c[order] for c in (row, of, x, y0, y1, seen))
+        first, px = np.flatnonzero(np.diff(of, prepend=-1)), y1 - y0
+        n = [np.bincount(of, weights, len(first)).astype(np.int64) for weights in (px, px * seen, seen)]
+        runs = pa.StructArray.from_arrays([pa.array(c[seen]) for c in (x, y0, y1)], ["x", "y0", "y1"])
+        runs = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n[2])]).astype(np.int32)), runs)
+        told = [rows.column(c).take(pa.array(row[first])) for c in key]
+        return pa.RecordBatch.from_arrays([*told, runs, pa.array(n[0]), pa.array(n[1])], names=[*key, "runs", "amodal_px", "visible_px"])
+
+    def run(batches):
+        held = []
+        for b in batches:
+            if not b.num_rows:
+                continue
+            last = group(b)
+            whole = int(np.searchsorted(last, last[-1]))  # the last column may go on in the next batch
+            if whole:
+                yield decided([*held, b.slice(0, whole)])
+                held = []
+            held.append(b.slice(whole))
+        if held:
+            yield decided(held)
+
+    kinds = [f"`{c}` {placed.schema[c].dataType.simpleString()}" for c in key]
+    return placed.mapInArrow(run, ", ".join([*kinds, f"runs {R.RUNS}", "amodal_px bigint", "visible_px bigint"]))
 
 
 def compiled_runs(layers: DataFrame, frame: list[str], occluders: DataFrame | None = None) -> DataFrame:
@@ -106,11 +144,8 @@ def compiled_runs(layers: DataFrame, frame: list[str], occluders: DataFrame | No
     not in the result: their shape is missing.
     """
     key = [*frame, "placement", "instance"]
-    cut = stacked(layers, frame, occluders)
-    px = F.col("y1") - F.col("y0")
-    sums = cut.groupBy(*key).agg(F.sum(px).alias("amodal_px"), F.sum(F.when(F.col("seen"), px).otherwise(0)).alias("visible_px"))
-    seen = gathered(islands(cut.where("seen"), [*key, "x"]), key)
-    out = sums.join(seen, key, "left").withColumn("runs", F.coalesce("runs", F.array().cast(R.RUNS)))
+    runs = F.array_sort(F.flatten(F.collect_list("runs")))
+    out = stacked(layers, frame, occluders).groupBy(*key).agg(runs.alias("runs"), *[F.sum(c).alias(c) for c in ("amodal_px", "visible_px")])
     box = R.bbox(F.col("runs"))
     side = F.coalesce(F.least(box["x1"] - box["x0"], box["y1"] - box["y0"]), F.lit(0))
     out = out.withColumn("occlusion", 1 - F.col("visible_px") / F.col("amodal_px"))

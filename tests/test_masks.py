@@ -323,3 +323,44 @@ def test_layers_are_drawn_ring_by_ring(spark, sf):
     plan = P._layers(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert "Window" not in plan and plan.count("filled_in(") == 1
     assert P.mask_annotations(spark, sf).count() > 0
+
+
+def test_stacking_is_one_pass_over_the_rows_whatever_the_batches(spark, sf):
+    layers, over = P._layers(spark, sf), P._occluders(spark, sf)
+    out = M.compiled_runs(layers, ["frame"], over)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "Join" not in plan and plan.count("filled_in(") == 1
+    want = sorted(out.collect())
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        some = M.compiled_runs(layers.where("frame < 2"), ["frame"], over)
+        assert sorted(some.collect()) == [r for r in want if r.frame < 2]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+
+
+def test_stacks_of_columns_against_painting():
+    rng = np.random.default_rng(31)
+    for n in (0, 1, 40, 300):
+        group, front = np.sort(rng.integers(0, 6, n)), rng.random(n) < 0.15
+        order = np.lexsort((front, group))
+        group, front = group[order], front[order]
+        stack, item = rng.integers(0, 2, n), np.where(front, -1, rng.integers(-1, 8, n))
+        y0 = rng.integers(0, 50, n)
+        y1 = y0 + rng.integers(1, 30, n)
+        top, own = {}, {}
+        for g, s, f, i, a, b in zip(group.tolist(), stack.tolist(), front.tolist(), item.tolist(), y0.tolist(), y1.tolist()):
+            for y in range(a, b):
+                for at in (0, 1) if f else (s,):
+                    top[g, at, y] = i
+                if i >= 0:
+                    own.setdefault((g, s, i), set()).add(y)
+        row, a, b, seen = R.stacked(group, stack, front, item, y0, y1)
+        got = {}
+        for r, lo, hi, ok in zip(row.tolist(), a.tolist(), b.tolist(), seen.tolist()):
+            for y in range(lo, hi):
+                key = int(group[r]), int(stack[r]), int(item[r])
+                assert (*key, y) not in got  # no pixel twice
+                got[*key, y] = ok
+        assert got == {(*k, y): top[k[0], k[1], y] == k[2] for k, ys in own.items() for y in ys}
